@@ -62,7 +62,8 @@ def text_rows(
     options = {}
     if keep_corrupt:
         text = text.add(CORRUPT, "string")
-        options["columnNameOfCorruptRecord"] = CORRUPT
+        # A pruned read does not look at the other fields, so it cannot tell their number.
+        options |= {"columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
     df = _reader(spark, sep, header, line_sep, recursive, glob, **options).schema(text).csv(path)
     tokens = list(null_tokens)
     if tokens:
