@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabweave.functions.scalar import safe_cast
 from tabweave.operators.joins import anti_join, first_per_key
 from tabweave.operators.positions import number_rows, running_before
 
@@ -46,7 +48,10 @@ def data_conversion(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 def safe_conversion(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Cast, with NULL where the text does not convert."""
-    return df.withColumns({name: F.col(name).try_cast(kind) for name, kind in types.items()})
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return df.withColumns(
+        {n: safe_cast(F.col(n), kind) if n in text else F.col(n).try_cast(kind) for n, kind in types.items()}
+    )
 
 
 def calculated_column(df: DataFrame, columns: Mapping[str, Column | str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.functions.scalar import file_name
+from tabweave.functions.scalar import file_name, safe_cast
 
 CORRUPT = "_corrupt_record"
 
@@ -82,7 +82,7 @@ def delimited_source(
     rows = text_rows(spark, path, fields, **options)
     return rows.select(
         *[
-            (F.col(f.name).cast(f.dataType) if strict else F.col(f.name).try_cast(f.dataType)).alias(f.name)
+            (F.col(f.name).cast(f.dataType) if strict else safe_cast(F.col(f.name), f.dataType.simpleString())).alias(f.name)
             for f in fields
         ]
     )
@@ -105,7 +105,7 @@ def multi_file_source(spark: SparkSession, root: str, schema: T.StructType | str
     fields = _struct(schema)
     rows = text_rows(spark, root, fields, recursive=True, glob=glob, **options)
     return rows.select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields],
+        *[safe_cast(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in fields],
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
     )
@@ -131,7 +131,7 @@ def file_listing(spark: SparkSession, path: str, glob: str = "*", depth: int | N
 
 def _failed_columns(fields: T.StructType) -> list[Column]:
     return [
-        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name))
+        F.when(F.col(f.name).isNotNull() & safe_cast(F.col(f.name), f.dataType.simpleString()).isNull(), F.lit(f.name))
         for f in fields
         if not isinstance(f.dataType, T.StringType)
     ]
@@ -152,7 +152,7 @@ def reject_rows(rows: DataFrame, schema: T.StructType | str, strict: bool = Fals
         code = F.when(F.col(CORRUPT).isNotNull() & failed.isNull(), F.lit("FIELD_COUNT")).otherwise(code)
     marked = rows.withColumns({"error_column": failed, "error_code": code})
     good = marked.where(F.col("error_code").isNull()).select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields]
+        *[safe_cast(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in fields]
     )
     bad = marked.where(F.col("error_code").isNotNull()).select(*fields.names, "error_code", "error_column")
     return good, bad

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabweave.operators import catalog as c
 from tabweave.operators.transforms import union_all
-from workload.base import doubles, longs, query, table
+from workload.base import query, table
 from workload.joins import NODES_SQL, geography_nodes
 
 # Order states stand for component states: F supported, O partial, P not supported.

@@ -9,7 +9,7 @@ from tabweave.operators.transforms import union_all
 from tabweave.plans import measures as m
 from tabweave.session import scratch_dir
 from tabweave.streaming import feeds
-from workload.base import doubles, query, table
+from workload.base import amounts, cents, query, table
 
 KEY = ["o_orderkey"]
 
@@ -220,7 +220,7 @@ def auto_ingest(spark, sf_dir):
 )
 def incremental_aggregate(spark, sf_dir):
     measures = [
-        m.sum_("total", F.col("value").cast("decimal(12,2)")),
+        m.sum_("total", cents("value")),
         m.count_rows("n"),
         m.maximum("largest", "value"),
     ]
@@ -228,7 +228,7 @@ def incremental_aggregate(spark, sf_dir):
     summary.start(
         _event_feed(spark, sf_dir), scratch_dir(spark, "summary-checkpoint"), feeds.AVAILABLE_NOW
     ).awaitTermination()
-    return doubles(summary.result(), "total")
+    return amounts(summary.result(), "total")
 
 
 @query(

@@ -8,7 +8,7 @@ from tabweave.operators import joins as j
 from tabweave.operators.transforms import union_all
 from tabweave.plans import measures as m
 from tabweave.plans.model import Relationship, SemanticModel
-from workload.base import REVENUE, SALES_SQL, doubles, longs, query, revenue, sales_model, table
+from workload.base import REVENUE, SALES_SQL, amounts, cents, order_total, query, revenue, revenues, sales_model, table
 
 
 @query(
@@ -91,10 +91,10 @@ def related_table(spark, sf_dir):
         table(spark, sf_dir, "customer").select("c_custkey", "c_name"),
         table(spark, sf_dir, "orders"),
         {"c_custkey": "o_custkey"},
-        total=F.sum(F.col("o_totalprice").cast("decimal(12,2)")),
+        total=F.sum(order_total()),
         n_orders=F.count(F.lit(1)),
     )
-    return doubles(out, "total")
+    return amounts(out, "total")
 
 
 @query(
@@ -145,7 +145,7 @@ def inactive_relationship(spark, sf_dir):
     # The customer path to nation is set aside for this measure.
     model.relationships = [r for r in model.relationships if r.from_table != "customer"]
     out = model.query("lineitem", ["supplier_revenue", "lines"], by=["n_name"], use=["supplier_nation"])
-    return doubles(out, "supplier_revenue")
+    return revenues(out, "supplier_revenue")
 
 
 @query(
@@ -169,10 +169,10 @@ def bridge_join(spark, sf_dir):
     rich = table(spark, sf_dir, "supplier").where("s_acctbal > 5000")
     bridge = j.semi_join(table(spark, sf_dir, "lineitem"), rich, {"l_suppkey": "s_suppkey"})
     parts = j.bridge_filter(table(spark, sf_dir, "part"), bridge, {"p_partkey": "l_partkey"})
-    return parts.groupBy("p_type").agg(
-        F.count(F.lit(1)).alias("parts"),
-        F.sum(F.col("p_retailprice").cast("decimal(12,2)")).cast("double").alias("list_value"),
+    values = parts.groupBy("p_type").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum(cents("p_retailprice")).alias("list_value")
     )
+    return amounts(values, "list_value")
 
 
 @query(

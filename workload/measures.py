@@ -11,7 +11,23 @@ from tabweave.plans import measures as m
 from tabweave.plans.timeintel import daily_total, parallel_period, time_items
 from tabweave.session import scratch_dir
 from tabweave.sources.sinks import mart_overwrite
-from workload.base import ORDER_TOTAL, REVENUE, SALES_SQL, doubles, longs, order_total, query, revenue, sales_model, table
+from workload.base import (
+    ORDER_TOTAL,
+    REVENUE,
+    SALES_SQL,
+    TAXED,
+    amounts,
+    cents,
+    doubles,
+    longs,
+    order_total,
+    query,
+    revenue,
+    revenues,
+    sales_model,
+    table,
+    taxed,
+)
 
 
 @query(
@@ -33,7 +49,7 @@ def flagship(spark, sf_dir):
             m.compound(
                 "returned_share",
                 ("returned_revenue", "revenue"),
-                lambda p: F.round(p["returned_revenue"].cast("double") / p["revenue"].cast("double"), 9),
+                lambda p: F.round(p["returned_revenue"] / p["revenue"], 9),
             ),
         ],
     )
@@ -43,7 +59,7 @@ def flagship(spark, sf_dir):
         by=["r_name", "order_year"],
         columns={"order_year": F.year("o_orderdate").cast("bigint")},
     )
-    return doubles(out, "revenue", "returned_revenue")
+    return revenues(out, "revenue", "returned_revenue")
 
 
 def _by_flag(spark, sf_dir, *measures, by=("l_returnflag",)):
@@ -55,7 +71,8 @@ def _by_flag(spark, sf_dir, *measures, by=("l_returnflag",)):
     f"SELECT l_returnflag, CAST(sum({REVENUE}) AS DOUBLE) AS revenue, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1",
 )
 def agg_sum(spark, sf_dir):
-    return doubles(_by_flag(spark, sf_dir, m.sum_("revenue", revenue()), m.sum_("quantity", "l_quantity")), "revenue")
+    out = _by_flag(spark, sf_dir, m.sum_("revenue", revenue()), m.sum_("quantity", "l_quantity"))
+    return revenues(out, "revenue")
 
 
 @query(
@@ -84,7 +101,7 @@ def agg_average(spark, sf_dir):
     average = m.Measure(
         "avg_total",
         m.average("avg_total", order_total()).base,
-        lambda p: p["sum"].cast("double") / p["count"],
+        lambda p: p["sum"] / 100 / p["count"],
     )
     return m.evaluate(table(spark, sf_dir, "orders"), [average], ["o_orderpriority"])
 
@@ -152,16 +169,17 @@ def agg_distinct_noblank(spark, sf_dir):
   CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2""",
 )
 def aggregate_transform(spark, sf_dir):
-    return (
+    out = (
         table(spark, sf_dir, "events")
         .groupBy("user_id", "event_type")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("value").alias("lo"),
             F.max("value").alias("hi"),
-            F.sum(F.col("value").cast("decimal(12,2)")).cast("double").alias("total"),
+            F.sum(cents("value")).alias("total"),
         )
     )
+    return amounts(out, "total")
 
 
 @query(
@@ -177,32 +195,33 @@ def group_by_all(spark, sf_dir):
     )
 
 
-def _iterator(name, measure, sql_aggregate):
+def _iterator(name, measure, sql_aggregate, digits=4):
     @query(
         name,
         f"SELECT l_linestatus, CAST({sql_aggregate} AS DOUBLE) AS result FROM lineitem GROUP BY 1",
     )
     def run(spark, sf_dir):
-        return doubles(_by_flag(spark, sf_dir, measure(), by=("l_linestatus",)), "result")
+        return amounts(_by_flag(spark, sf_dir, measure(), by=("l_linestatus",)), "result", digits=digits)
 
     return run
 
 
-TAXED = f"{REVENUE} * (1 + CAST(l_tax AS DECIMAL(4,2)))"
-_iterator("iterator_sumx", lambda: m.sum_("result", F.expr(TAXED)), f"sum({TAXED})")
-_iterator("iterator_minx", lambda: m.minimum("result", F.expr(TAXED)), f"min({TAXED})")
-_iterator("iterator_maxx", lambda: m.maximum("result", F.expr(TAXED)), f"max({TAXED})")
+_iterator("iterator_sumx", lambda: m.sum_("result", taxed()), f"sum({TAXED})")
+_iterator("iterator_minx", lambda: m.minimum("result", taxed()), f"min({TAXED})")
+_iterator("iterator_maxx", lambda: m.maximum("result", taxed()), f"max({TAXED})")
 _iterator(
     "iterator_averagex",
     lambda: m.Measure(
-        "result", m.average("result", F.expr(TAXED)).base, lambda p: p["sum"].cast("double") / p["count"]
+        "result", m.average("result", taxed()).base, lambda p: p["sum"] / 10000 / p["count"]
     ),
     f"CAST(sum({TAXED}) AS DOUBLE) / count({TAXED})",
+    digits=0,
 )
 _iterator(
     "iterator_countx",
     lambda: m.count("result", F.expr("CASE WHEN l_discount > 0.05 THEN l_quantity END")),
     "count(CASE WHEN l_discount > 0.05 THEN l_quantity END)",
+    digits=0,
 )
 
 
@@ -240,7 +259,7 @@ def calculate_filter(spark, sf_dir):
     base = m.sum_("revenue", revenue())
     promo = m.calculate_filter(base, F.col("p_type") == "PROMO", "promo_revenue")
     out = sales_model(spark, sf_dir, [base, promo]).query("lineitem", ["revenue", "promo_revenue"], by=["p_brand"])
-    return doubles(out, "revenue", "promo_revenue")
+    return revenues(out, "revenue", "promo_revenue")
 
 
 @query(
@@ -253,7 +272,7 @@ FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1""",
 def calculate_all(spark, sf_dir):
     base = m.sum_("revenue", revenue())
     share = m.compound(
-        "share", ("revenue", "all_revenue"), lambda p: F.round(p["revenue"].cast("double") / p["all_revenue"].cast("double"), 9)
+        "share", ("revenue", "all_revenue"), lambda p: F.round(p["revenue"] / p["all_revenue"], 9)
     )
     out = m.evaluate(
         table(spark, sf_dir, "lineitem"),
@@ -261,7 +280,7 @@ def calculate_all(spark, sf_dir):
         ["l_returnflag"],
         {"l_linestatus": F.col("l_linestatus") == "O"},
     )
-    return doubles(out, "revenue", "all_revenue")
+    return revenues(out, "revenue", "all_revenue")
 
 
 @query(
@@ -278,7 +297,7 @@ def calculate_allselected(spark, sf_dir):
         ["l_returnflag"],
         {"l_linestatus": F.col("l_linestatus") == "O"},
     )
-    return doubles(out, "revenue", "selected_revenue")
+    return revenues(out, "revenue", "selected_revenue")
 
 
 @query(
@@ -300,7 +319,7 @@ def calculate_allexcept(spark, sf_dir):
             "o_orderdate": F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"),
         },
     )
-    return doubles(out, "total", "priority_total")
+    return amounts(out, "total", "priority_total")
 
 
 @query(
@@ -315,7 +334,7 @@ def calculate_keepfilters(spark, sf_dir):
     out = sales_model(spark, sf_dir, [base, final]).query(
         "orders", ["total", "final_total"], ["c_mktsegment"], {"o_orderstatus": F.col("o_orderstatus").isin("F", "O")}
     )
-    return doubles(out, "total", "final_total")
+    return amounts(out, "total", "final_total")
 
 
 @query(
@@ -365,17 +384,17 @@ FROM (SELECT p_type, sum({REVENUE}) AS rev, sum(CAST(l_extendedprice AS DECIMAL(
 )
 def compound_measure(spark, sf_dir):
     def rate(parts):
-        return parts["discount_given"].cast("double") / parts["gross"].cast("double")
+        return parts["discount_given"] / parts["gross"]
 
     measures = [
         m.compound("discount_pct", ("discount_given", "gross"), lambda p: F.round(rate(p) * 100, 6)),
         m.compound("discount_rate", ("discount_given", "gross"), lambda p: F.round(rate(p), 9)),
         m.compound("discount_given", ("gross", "revenue"), lambda p: p["gross"] - p["revenue"]),
-        m.sum_("gross", F.expr("CAST(l_extendedprice AS DECIMAL(12,2))")),
+        m.sum_("gross", cents("l_extendedprice") * 100),
         m.sum_("revenue", revenue()),
     ]
     out = sales_model(spark, sf_dir, measures).query("lineitem", [x.name for x in measures], by=["p_type"])
-    return doubles(out, "discount_given", "gross", "revenue")
+    return revenues(out, "discount_given", "gross", "revenue")
 
 
 AS_OF = "2000-08-15"
@@ -404,7 +423,9 @@ def calc_group_expand(spark, sf_dir):
         [m.sum_("Total", order_total()), m.count_rows("Orders")], time_items("o_orderdate", AS_OF), {"PY": "0.00"}
     )
     out = m.evaluate(table(spark, sf_dir, "orders"), measures, ["o_orderpriority"])
-    return doubles(out, *[x.name for x in measures])
+    names = [x.name for x in measures]
+    out = amounts(out, *[n for n in names if n.startswith("Total")])
+    return doubles(out, *[n for n in names if n.startswith("Orders")])
 
 
 @query(
@@ -421,12 +442,12 @@ def period_over_period(spark, sf_dir):
     expanded = m.calc_group_expand([m.sum_("Total", order_total())], items)
 
     def change(parts):
-        now, before = parts["Total YTD"].cast("double"), parts["Total PY"].cast("double")
+        now, before = parts["Total YTD"], parts["Total PY"]
         return F.round((now - before) / before, 9)
 
     growth = m.compound("growth", ("Total YTD", "Total PY"), change)
     model = sales_model(spark, sf_dir, [*expanded, growth])
-    return doubles(model.query("orders", ["Total YTD", "Total PY", "growth"], ["r_name"]), "Total YTD", "Total PY")
+    return amounts(model.query("orders", ["Total YTD", "Total PY", "growth"], ["r_name"]), "Total YTD", "Total PY")
 
 
 @query(
@@ -443,8 +464,8 @@ def kpi_status(spark, sf_dir):
         table(spark, sf_dir, "orders").withColumn("month", F.trunc("o_orderdate", "month")), order_total(), "month"
     )
     shifted = parallel_period(months, "value", -1, "month", out="previous")
-    values = shifted.select(
-        F.col("date").alias("month"), F.col("value").cast("double"), F.col("previous").cast("double")
+    values = amounts(shifted, "value", "previous").select(
+        F.col("date").alias("month"), "value", "previous"
     ).withColumn("target", F.col("previous") * 1.05)
     return values.withColumns(m.kpi_columns(F.col("value"), F.col("target"), F.col("previous")))
 
@@ -461,7 +482,7 @@ def hierarchy_rollup(spark, sf_dir):
     model = sales_model(spark, sf_dir, hierarchies={"geography": ["r_name", "n_name", "c_mktsegment"]})
     rows = model.star("orders", ["region"])
     measures = [m.sum_("total", order_total()), m.count_rows("order_rows")]
-    return doubles(m.hierarchy_rollup(rows, model.hierarchies["geography"], measures), "total")
+    return amounts(m.hierarchy_rollup(rows, model.hierarchies["geography"], measures), "total")
 
 
 @query(
@@ -473,7 +494,7 @@ def preaggregate(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("month", F.trunc("o_orderdate", "month"))
     path = scratch_dir(spark, "preaggregate")
     mart_overwrite(m.preaggregate(rows, measures, ["month", "o_orderstatus", "o_orderpriority"]), path)
-    return doubles(m.reaggregate(spark.read.parquet(path), measures, ["o_orderstatus"]), "total")
+    return amounts(m.reaggregate(spark.read.parquet(path), measures, ["o_orderstatus"]), "total")
 
 
 @query(
@@ -492,4 +513,4 @@ def row_context_metric(spark, sf_dir):
             "o_orderdate": F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"),
         },
     )
-    return longs(doubles(out, "revenue"), "orders")
+    return longs(revenues(out, "revenue"), "orders")

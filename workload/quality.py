@@ -6,10 +6,9 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabweave.operators import quality as q
-from tabweave.operators.transforms import row_count
 from tabweave.plans import measures as m
 from tabweave.session import scratch_dir
-from workload.base import ORDER_TOTAL, REVENUE, doubles, longs, order_total, query, revenue, table
+from workload.base import ORDER_TOTAL, amounts, order_total, query, table
 
 
 @query(
@@ -77,7 +76,7 @@ def measure_parity(spark, sf_dir):
     by, total = ["o_orderstatus", "o_orderpriority"], m.sum_("total", order_total())
     orders = table(spark, sf_dir, "orders")
     shipped = orders.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
-    sides = [doubles(m.evaluate(df, [total], by), "total") for df in (orders, shipped)]
+    sides = [amounts(m.evaluate(df, [total], by), "total") for df in (orders, shipped)]
     return q.measure_parity(*sides, by, "total", 3_000_000)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabweave.operators import security as sec
 from tabweave.plans import measures as m
 from tabweave.plans.model import Role
-from workload.base import ORDER_TOTAL, doubles, order_total, query, sales_model, table
+from workload.base import ORDER_TOTAL, amounts, order_total, query, sales_model, table
 
 
 def user_regions(spark, sf_dir):
@@ -73,7 +73,7 @@ def ols_table(spark, sf_dir):
         hidden_columns={"customer": ("c_acctbal",)},
     )
     model = sales_model(spark, sf_dir, [m.sum_("total", order_total())], roles={"analyst": role})
-    return doubles(model.query("orders", ["total"], ["c_mktsegment"], role="analyst"), "total")
+    return amounts(model.query("orders", ["total"], ["c_mktsegment"], role="analyst"), "total")
 
 
 @query("ols_column_omit", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")

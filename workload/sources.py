@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabweave.operators.transforms import multi_source_union, union_all
 from tabweave.session import scratch_dir
 from tabweave.sources import files, sinks
 from tabweave.sources.nested import nested_json_flatten
-from workload.base import longs, query, table
+from workload.base import query, table
 
 ORDER_DDL = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 TABLES = ["customer", "events", "lineitem", "orders", "part", "supplier"]

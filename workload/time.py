@@ -8,7 +8,7 @@ from tabweave.operators.positions import rank_by
 from tabweave.operators.transforms import dedupe_first
 from tabweave.plans import measures as m
 from tabweave.plans import timeintel as ti
-from workload.base import ORDER_TOTAL, REVENUE, doubles, longs, order_total, query, revenue, sales_model, table
+from workload.base import ORDER_TOTAL, REVENUE, amounts, longs, order_total, query, revenue, revenues, sales_model, table
 
 AS_OF = "2000-08-15"
 DAY = "CAST(o_orderdate AS DATE)"
@@ -28,7 +28,7 @@ def _to_date(name: str, unit: str):
     ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS to_date FROM d""",
     )
     def run(spark, sf_dir):
-        return doubles(ti.total_to_date(daily(spark, sf_dir), "value", unit, KEYS, out="to_date"), "value", "to_date")
+        return amounts(ti.total_to_date(daily(spark, sf_dir), "value", unit, KEYS, out="to_date"), "value", "to_date")
 
 
 _to_date("total_ytd", "year")
@@ -46,7 +46,7 @@ def _as_of(name: str, unit: str, start: str):
         measure = m.calculate_filter(
             m.sum_("total", order_total()), ti.to_date_filter(F.col("o_orderdate"), unit, AS_OF)
         )
-        return doubles(m.evaluate(table(spark, sf_dir, "orders"), [measure], KEYS), "total")
+        return amounts(m.evaluate(table(spark, sf_dir, "orders"), [measure], KEYS), "total")
 
 
 _as_of("dates_ytd", "year", "2000-01-01")
@@ -61,7 +61,7 @@ def _shifted(name: str, n: int, unit: str, interval: str):
 FROM d a LEFT JOIN d b ON b.o_orderpriority = a.o_orderpriority AND b.date = CAST(a.date + {interval} AS DATE)""",
     )
     def run(spark, sf_dir):
-        return doubles(ti.date_shift(daily(spark, sf_dir), "value", n, unit, KEYS), "value", "shifted")
+        return amounts(ti.date_shift(daily(spark, sf_dir), "value", n, unit, KEYS), "value", "shifted")
 
 
 _shifted("date_shift", -1, "quarter", "INTERVAL (-3) MONTH")
@@ -73,7 +73,7 @@ _shifted("date_shift", -1, "quarter", "INTERVAL (-3) MONTH")
 FROM d a LEFT JOIN d b ON b.o_orderpriority = a.o_orderpriority AND b.date = CAST(a.date + INTERVAL (-12) MONTH AS DATE)""",
 )
 def same_period_last_year(spark, sf_dir):
-    return doubles(ti.same_period_last_year(daily(spark, sf_dir), "value", KEYS), "value", "last_year")
+    return amounts(ti.same_period_last_year(daily(spark, sf_dir), "value", KEYS), "value", "last_year")
 
 
 def _whole_period(name: str, n: int, unit: str, months: int, out: str):
@@ -84,7 +84,7 @@ SELECT d.o_orderpriority, d.date, CAST(d.value AS DOUBLE) AS value, CAST(p.total
 FROM d LEFT JOIN p ON p.o_orderpriority = d.o_orderpriority AND p.start = date_trunc('{unit}', d.date) + INTERVAL ({months}) MONTH""",
     )
     def run(spark, sf_dir):
-        return doubles(ti.parallel_period(daily(spark, sf_dir), "value", n, unit, KEYS, out=out), "value", out)
+        return amounts(ti.parallel_period(daily(spark, sf_dir), "value", n, unit, KEYS, out=out), "value", out)
 
 
 _whole_period("parallel_period", 1, "quarter", 3, "parallel")
@@ -103,7 +103,7 @@ _whole_period("previous_year", -1, "year", -12, "previous")
 def dates_in_period(spark, sf_dir):
     rows = ti.dates_in_period(daily(spark, sf_dir), "value", 30, "day", KEYS, out="rolling_30d")
     rows = ti.dates_in_period(rows, "value", 3, "month", KEYS, out="rolling_3m")
-    return doubles(rows.drop("value"), "rolling_30d", "rolling_3m")
+    return amounts(rows.drop("value"), "rolling_30d", "rolling_3m")
 
 
 @query(
@@ -124,7 +124,7 @@ FROM (SELECT p_partkey, sum({REVENUE}) AS total FROM lineitem JOIN part ON l_par
 def rankx(spark, sf_dir):
     model = sales_model(spark, sf_dir, [m.sum_("revenue", revenue())])
     totals = model.query("lineitem", ["revenue"], ["l_partkey"]).withColumnRenamed("l_partkey", "p_partkey")
-    return doubles(rank_by(totals, "revenue"), "revenue")
+    return revenues(rank_by(totals, "revenue"), "revenue")
 
 
 @query(
@@ -135,7 +135,7 @@ FROM (SELECT o_orderpriority, o_custkey, sum({ORDER_TOTAL}) AS total FROM orders
 )
 def rankx_within(spark, sf_dir):
     totals = m.evaluate(table(spark, sf_dir, "orders"), [m.sum_("total", order_total())], ["o_orderpriority", "o_custkey"])
-    return doubles(rank_by(totals, "total", within=["o_orderpriority"]), "total")
+    return amounts(rank_by(totals, "total", within=["o_orderpriority"]), "total")
 
 
 @query(
@@ -175,7 +175,7 @@ SELECT k.o_orderpriority, days.date, coalesce(CAST(d.value AS DOUBLE), 0) AS val
 LEFT JOIN d ON d.o_orderpriority = k.o_orderpriority AND d.date = days.date""",
 )
 def densify_dates(spark, sf_dir):
-    rows = doubles(daily(spark, sf_dir), "value")
+    rows = amounts(daily(spark, sf_dir), "value")
     return ti.densify_dates(rows, "date", KEYS, "1997-01-01", "1998-12-31", {"value": 0.0})
 
 

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from tabweave.operators import transforms as t
 from tabweave.operators.joins import lookup_default
-from tabweave.plans.timeintel import daily_total
 from tabweave.session import scratch_dir
-from tabweave.sources.files import seed_source
-from workload.base import ORDER_TOTAL, REVENUE, doubles, longs, order_total, query, revenue, sales_model, table
+from workload.base import REVENUE, query, revenue, revenues, sales_model, table
 
 
 def cut(text: str):
@@ -242,7 +240,7 @@ ORDER BY total DESC, l_partkey LIMIT 10""",
 )
 def top_n(spark, sf_dir):
     totals = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(revenue()).alias("revenue"))
-    return doubles(t.top_n(totals, "revenue", 10, ["l_partkey"]), "revenue")
+    return revenues(t.top_n(totals, "revenue", 10, ["l_partkey"]), "revenue")
 
 
 @query(
