@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.operators.joins import anti_join, null_safe_join
+from tabweave.operators.joins import anti_join, lookup_join, null_safe_join
 from tabweave.session import cut_lineage
 
 #: Effort in hours per component by status (fixed values).
@@ -116,26 +116,29 @@ def dependency_levels(
 ) -> DataFrame:
     """Level of each node, leaves at 0; nodes on or above a cycle have level NULL.
 
-    Each round settles the nodes whose dependencies are all settled and drops
-    the edges to them, so the work shrinks with every round.
+    Each round marks the edges whose target is settled. A node all of whose
+    edges are marked is settled next, and marked edges are dropped, so the work
+    shrinks with every round.
     """
-    ends = edges.select(F.col(source).alias("node")).unionByName(edges.select(F.col(target).alias("node")))
+    open_edges = cut_lineage(edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).distinct())
+    ends = open_edges.select(F.col("__to").alias("node"))
     if nodes is not None:
         ends = ends.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")))
-    open_nodes = cut_lineage(ends.distinct())
-    open_edges = cut_lineage(edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).distinct())
-    settled = []
-    for level in range(max_rounds):
-        ready = cut_lineage(anti_join(open_nodes, open_edges, {"node": "__from"}))
+    ready = cut_lineage(anti_join(ends.distinct(), open_edges, {"node": "__from"}))
+    settled = [ready.withColumn("level", F.lit(0))]
+    for level in range(1, max_rounds + 2):
+        done = ready.select(F.col("node").alias("__to"), F.lit(True).alias("__done"))
+        marked = cut_lineage(
+            lookup_join(open_edges, done, "__to").withColumn("__done", F.coalesce("__done", F.lit(False)))
+        )
+        ready = cut_lineage(
+            marked.groupBy(F.col("__from").alias("node")).agg(F.bool_and("__done").alias("__done")).where("__done").drop("__done")
+        )
+        open_edges = marked.where(~F.col("__done")).drop("__done")
         if ready.isEmpty():
             break
-        settled.append(ready.withColumn("level", F.lit(level)))
-        open_nodes = cut_lineage(anti_join(open_nodes, ready, "node"))
-        if open_nodes.isEmpty():
-            break
-        open_edges = cut_lineage(anti_join(open_edges, ready, {"__to": "node"}))
-    else:
-        if not anti_join(open_nodes, open_edges, {"node": "__from"}).isEmpty():
+        if level > max_rounds:
             raise ValueError(f"dependencies are deeper than {max_rounds} levels")
-    unresolved = open_nodes.withColumn("level", F.lit(None).cast("int"))
+        settled.append(ready.withColumn("level", F.lit(level)))
+    unresolved = open_edges.select(F.col("__from").alias("node")).distinct().withColumn("level", F.lit(None).cast("int"))
     return reduce(DataFrame.unionByName, [*settled, unresolved])

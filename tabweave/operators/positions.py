@@ -1,9 +1,9 @@
-"""Exact global positions without a single-partition window.
+"""Exact positions in a global order without a single-partition window.
 
-Row numbers, ranks and percentiles need to know how many rows come before a row
-in a global order. The rows are range partitioned and checkpointed with the
-number of their slice; one small row per slice then carries the offset, and each
-slice is numbered on its own.
+Row numbers, ranks and percentiles need to know how many rows come before a row.
+The rows are range partitioned and checkpointed with the number of their slice.
+One small row per slice and group then carries the offset, and each slice is
+numbered on its own.
 """
 
 from __future__ import annotations
@@ -17,36 +17,42 @@ from tabweave.operators.joins import null_safe_join
 from tabweave.session import cut_lineage
 
 _SLICE = "__slice"
-_START = "__slice_start"
-
-
-def _columns(items: Sequence[str | Column]) -> list[Column]:
-    return [F.col(item) if isinstance(item, str) else item for item in items]
 
 
 def running_before(
-    df: DataFrame, order_by: Sequence[str | Column], weight: str | None = None, out: str = "rows_before"
+    df: DataFrame,
+    order_by: Sequence[str | Column],
+    weight: str | None = None,
+    within: Sequence[str] = (),
+    out: str = "rows_before",
+    total: str | None = None,
 ) -> DataFrame:
-    """Add the total ``weight`` (or row count) of all rows ordered before a row.
+    """Add the total ``weight`` (or row count) of the rows ordered before a row.
 
-    ``order_by`` has to tell rows apart: rows that share all its values land in
-    one slice, so group repeated values first and pass their count as ``weight``.
+    With ``within`` the count starts anew in each group, and ``total`` names a
+    column for the group's whole weight. ``order_by`` has to tell the rows of a
+    group apart: rows that share all its values land in one slice, so group
+    repeated values first and pass their count as ``weight``.
     """
-    order = _columns(order_by)
+    order = [F.col(item) if isinstance(item, str) else item for item in order_by]
     size = F.col(weight) if weight else F.lit(1)
-    sliced = cut_lineage(df.repartitionByRange(*order).withColumn(_SLICE, F.spark_partition_id()))
-    # One row per slice, so this unpartitioned window is bounded by the partition count.
-    starts = (
-        sliced.groupBy(_SLICE)
-        .agg(F.sum(size).cast("long").alias("__n"))
-        .select(_SLICE, (F.sum("__n").over(Window.orderBy(_SLICE)) - F.col("__n")).alias(_START))
+    ranged = df.repartitionByRange(*[F.col(c) for c in within], *order)
+    sliced = cut_lineage(ranged.withColumn(_SLICE, F.spark_partition_id()))
+    # A group has at most one part per slice, which bounds these two windows.
+    parts = sliced.groupBy(_SLICE, *within).agg(F.sum(size).cast("long").alias("__n"))
+    group = Window.partitionBy(*within)
+    parts = parts.select(
+        _SLICE,
+        *within,
+        (F.sum("__n").over(group.orderBy(_SLICE)) - F.col("__n")).alias("__start"),
+        *([F.sum("__n").over(group).alias(total)] if total else []),
     )
-    inside = Window.partitionBy(_SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(_SLICE, *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = sliced.withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     return (
-        sliced.withColumn(out, F.coalesce(F.sum(size).over(inside), F.lit(0)).cast("long"))
-        .join(starts, _SLICE)
-        .withColumn(out, F.col(out) + F.col(_START))
-        .drop(_SLICE, _START)
+        null_safe_join(numbered, parts, [_SLICE, *within])
+        .withColumn(out, (F.col("__inside") + F.col("__start")).cast("long"))
+        .drop(_SLICE, "__start", "__inside")
     )
 
 
@@ -56,19 +62,8 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column], out: str = "row
     return running_before(df, order_by, out=out).withColumn(out, (F.col(out) + first).cast("long"))
 
 
-def _tallied_positions(df: DataFrame, value: str, within: Sequence[str], descending: bool) -> DataFrame:
-    """One row per (within, value): its count and the rows before it in its group."""
-    tallies = df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("__n"))
-    direction = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    placed = running_before(tallies, [*within, direction], weight="__n", out="__before")
-    if not within:
-        return placed
-    starts = placed.groupBy(*within).agg(F.min("__before").alias("__first"))
-    return (
-        null_safe_join(placed, starts, list(within))
-        .withColumn("__before", F.col("__before") - F.col("__first"))
-        .drop("__first")
-    )
+def _tallies(df: DataFrame, value: str, within: Sequence[str]) -> DataFrame:
+    return df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("__n"))
 
 
 def rank_by(df: DataFrame, value: str, within: Sequence[str] = (), descending: bool = True, out: str = "rank") -> DataFrame:
@@ -77,9 +72,11 @@ def rank_by(df: DataFrame, value: str, within: Sequence[str] = (), descending: b
     Equal values are counted before they are placed, so a value or a group that
     holds most rows costs one row in the ordered part.
     """
-    ranks = _tallied_positions(df, value, within, descending).select(
-        *within, value, (F.col("__before") + 1).cast("long").alias(out)
-    )
+    # Read twice below, so whatever led to these rows should run once.
+    df = cut_lineage(df)
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    placed = running_before(_tallies(df, value, within), [order], "__n", within, "__before")
+    ranks = placed.select(*within, value, (F.col("__before") + 1).alias(out))
     return null_safe_join(df, ranks, [*within, value])
 
 
@@ -88,12 +85,8 @@ def exact_percentiles(df: DataFrame, value: str, points: dict[str, float], by: S
 
     ``points`` maps output names to fractions, e.g. ``{"median": 0.5}``.
     """
-    placed = _tallied_positions(df.where(F.col(value).isNotNull()), value, by, descending=False)
-    sizes = placed.groupBy(*by).agg(F.sum("__n").alias("__size"))
-    if by:
-        spread = null_safe_join(placed, sizes, list(by))
-    else:
-        spread = placed.withColumn("__size", sizes.scalar())
+    tallies = _tallies(df.where(F.col(value).isNotNull()), value, by)
+    placed = running_before(tallies, [value], "__n", by, "__before", total="__size")
     first, last = F.col("__before"), F.col("__before") + F.col("__n") - 1
     picks = []
     for name, fraction in points.items():
@@ -104,7 +97,7 @@ def exact_percentiles(df: DataFrame, value: str, points: dict[str, float], by: S
             F.max(F.when(above.between(first, last), F.col(value))).alias(f"__hi_{name}"),
             F.max(at - below).alias(f"__part_{name}"),
         ]
-    found = spread.groupBy(*by).agg(*picks)
+    found = placed.groupBy(*by).agg(*picks)
     return found.select(
         *by,
         *[

@@ -250,6 +250,45 @@ def _finished(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], sho
     )
 
 
+def _scope_totals(
+    df: DataFrame,
+    selected: DataFrame,
+    where: Where,
+    scope: Scope,
+    group: Sequence[Measure],
+    local: Sequence[Measure],
+    by: Sequence[str],
+    kept: Sequence[str],
+) -> DataFrame:
+    """Base results of the measures of one wider scope, per ``kept`` group.
+
+    Where the scope sees the same rows as the query and everything can be
+    merged, the totals come from the grouped rows. That grouping is the very one
+    the query itself shuffles, so Spark runs it once and the base is read once.
+    """
+    if scope.kind == "all":
+        rows, same_rows = df, where is None
+    elif scope.kind == "allselected":
+        rows, same_rows = selected, True
+    else:
+        rows = _filtered(df, _predicate(where, scope.columns))
+        same_rows = where is None or (not isinstance(where, Column) and set(where) <= set(scope.columns))
+    bases = {repr(a.column()): a for m in [*group, *local] for a in m.base.values()}
+    covered = {repr(a.column()) for m in local for a in m.base.values()}
+    if not (same_rows and by and all(a.merge for a in bases.values()) and set(bases) == covered):
+        return rows.groupBy(*kept).agg(*_aggregates(group))
+    grouped = selected.groupBy(*by).agg(*_aggregates(local))
+    slots = {repr(a.column()): _slot(m, p) for m in local for p, a in m.base.items()}
+    merges = [
+        a.merge(_quoted(slots[repr(a.column())])).alias(_slot(m, p)) for m in group for p, a in m.base.items()
+    ]
+    if kept:
+        return grouped.groupBy(*kept).agg(*merges)
+    # Merging every base result keeps the grouping identical to the query's own.
+    rest = [a.merge(_quoted(_slot(m, p))).alias(_slot(m, p)) for m in local for p, a in m.base.items()]
+    return grouped.agg(*merges, *rest)
+
+
 def evaluate(
     df: DataFrame,
     measures: Sequence[Measure],
@@ -275,20 +314,23 @@ def evaluate(
 
     for scope in dict.fromkeys(m.scope for m in bases if m.scope.kind != "local"):
         group = [m for m in bases if m.scope == scope]
-        if scope.kind == "allexcept":
-            source, kept = _filtered(df, _predicate(where, scope.columns)), [c for c in by if c in scope.columns]
-        else:
-            source, kept = (df if scope.kind == "all" else selected), []
+        kept = [c for c in by if scope.kind == "allexcept" and c in scope.columns]
+        totals = _scope_totals(df, selected, where, scope, group, local, by, kept)
         if kept:
-            out = null_safe_join(out, source.groupBy(*kept).agg(*_aggregates(group)), kept, "left")
+            out = null_safe_join(out, totals, kept, "left")
         else:
             slots = [_slot(m, p) for m in group for p in m.base]
-            totals = source.agg(*_aggregates(group)).select(F.struct(*map(_quoted, slots)).alias("__totals"))
-            out = out.withColumn("__totals", totals.scalar())
+            whole = totals.select(F.struct(*map(_quoted, totals.columns)).alias("__totals"))
+            out = out.withColumn("__totals", whole.scalar())
             out = out.withColumns({s: F.col("__totals")[s] for s in slots}).drop("__totals")
     return _finished(out, measures, by, show)
 
 
+def mergeable(measures: Iterable[Measure]) -> bool:
+    """Whether every base result can be combined from partial results."""
+    return all(a.merge for m in measures for a in m.base.values())
+
+
 def preaggregate(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], where: Where = None) -> DataFrame:
     """Partial results per group, to be stored and re-aggregated later."""
     for m in measures:
@@ -328,7 +370,7 @@ def hierarchy_rollup(
     """
     bases = [m for m in measures if not m.needs]
     depth = reduce(lambda a, b: a + b, [F.lit(1) - F.grouping(c) for c in levels]).cast("int").alias("depth")
-    if all(a.merge for m in bases for a in m.base.values()):
+    if mergeable(bases):
         leaves = preaggregate(df, bases, levels, where)
         rolled = leaves.rollup(*levels).agg(
             depth, *[a.merge(_quoted(_slot(m, p))).alias(_slot(m, p)) for m in bases for p, a in m.base.items()]

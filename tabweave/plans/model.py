@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.operators.joins import equi_join
 from tabweave.operators.transforms import perspective_view
-from tabweave.plans.measures import Measure, Where, evaluate
+from tabweave.plans.measures import Measure, evaluate, merge_partials, mergeable, preaggregate, reaggregate
+from tabweave.session import fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -89,6 +91,15 @@ class SemanticModel:
         Only the paths to the wanted tables are joined. A relationship that
         filters in both directions is an inner join, every other a left join.
         """
+        df = self.table(fact, role)
+        for link in self._steps(fact, tables, role, use, ignore):
+            df = self._attach(df, link, role)
+        return df
+
+    def _steps(
+        self, fact: str, tables: Sequence[str] | None, role: str | None, use: Sequence[str], ignore: Sequence[str]
+    ) -> list[Relationship]:
+        """The relationships to follow, in join order, to reach the wanted tables."""
         links, paths, queue = self._links(use, ignore), {fact: []}, [fact]
         while queue:
             here = queue.pop(0)
@@ -103,19 +114,15 @@ class SemanticModel:
         if role:
             # Row security on a dimension also has to limit the facts that point to it.
             wanted += [t for t in self.roles[role].rows if t in paths and t != fact]
-        df, joined = self.table(fact, role), {fact}
-        for link in [step for t in wanted for step in paths[t]]:
-            if link.to_table in joined:
-                continue
-            secured = bool(role) and link.to_table in self.roles[role].rows
-            how = "inner" if link.both_directions or secured else "left"
-            one = self.table(link.to_table, role)
-            if link.from_column == link.to_column:
-                df = equi_join(df, one, link.from_column, how)
-            else:
-                df = equi_join(df, one.withColumn("__to", F.col(link.to_column)), {link.from_column: "__to"}, how)
-            joined.add(link.to_table)
-        return df
+        return list({link.to_table: link for t in wanted for link in paths[t]}.values())
+
+    def _attach(self, df: DataFrame, link: Relationship, role: str | None) -> DataFrame:
+        secured = bool(role) and link.to_table in self.roles[role].rows
+        how = "inner" if link.both_directions or secured else "left"
+        one = self.table(link.to_table, role)
+        if link.from_column == link.to_column:
+            return equi_join(df, one, link.from_column, how)
+        return equi_join(df, one.withColumn("__to", F.col(link.to_column)), {link.from_column: "__to"}, how)
 
     def owner(self, column: str) -> str:
         holders = [name for name, df in self.tables.items() if column in df.columns]
@@ -147,7 +154,63 @@ class SemanticModel:
                 stack += measure.needs
         tables = [self.owner(c) for c in [*by, *(where or {})] if c not in columns]
         tables += [t for m in needed.values() for t in m.tables]
-        rows = self.star(fact, list(dict.fromkeys(tables)), role, use, ignore)
+        steps = self._steps(fact, list(dict.fromkeys(tables)), role, use, ignore)
+        measures, where = list(needed.values()), dict(where or {})
+        partials = self._reduced_star(fact, steps, measures, by, where, columns, role)
+        if partials is not None:
+            return reaggregate(partials, measures, by, show=list(metrics))
+        rows = self.table(fact, role)
+        for link in steps:
+            rows = self._attach(rows, link, role)
         if columns:
             rows = rows.withColumns(columns)
-        return evaluate(rows, list(needed.values()), by, where, show=list(metrics))
+        return evaluate(rows, measures, by, where or None, show=list(metrics))
+
+    def _reduced_star(
+        self,
+        fact: str,
+        steps: Sequence[Relationship],
+        measures: Sequence[Measure],
+        by: Sequence[str],
+        where: Mapping[str, Column],
+        columns: Mapping[str, Column],
+        role: str | None,
+    ) -> DataFrame | None:
+        """Partial results joined to the dimensions, or None where that does not apply.
+
+        Before each join with a dimension too large to broadcast, the rows are
+        aggregated to the keys that are still needed, so the shuffle carries
+        partial sums instead of fact rows.
+        """
+        bases = [m for m in measures if not m.needs]
+        df = self.table(fact, role)
+        if not mergeable(bases) or any(m.scope.kind != "local" for m in bases):
+            return None
+        if not _resolves(df, [a.value if a.keep is None else a.keep for m in bases for a in m.base.values()]):
+            return None
+        if all(fits_broadcast(self.table(link.to_table, role)) for link in steps):
+            return None
+        waiting, underived, reduced = dict(where), dict(columns), False
+        for i, link in enumerate([*steps, None]):
+            for name in [n for n, e in underived.items() if _resolves(df, [e])]:
+                df = df.withColumn(name, underived.pop(name))
+            for name in [n for n, p in waiting.items() if _resolves(df, [p])]:
+                df = df.where(waiting.pop(name))
+            if link is None:
+                break
+            if not fits_broadcast(self.table(link.to_table, role)):
+                later = {step.from_column for step in steps[i:]} | set(by)
+                keys = [c for c in df.columns if c in later]
+                df = merge_partials(df, bases, keys) if reduced else preaggregate(df, bases, keys)
+                reduced = True
+            df = self._attach(df, link, role)
+        # An expression over columns of several tables may have lost one of them.
+        return None if waiting or underived else df
+
+
+def _resolves(df: DataFrame, expressions: Sequence[Column]) -> bool:
+    try:
+        df.select(*expressions)
+    except AnalysisException:
+        return False
+    return True

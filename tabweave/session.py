@@ -47,3 +47,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate of ``df`` is below its broadcast threshold."""
+    limit = int(str(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 <= size <= limit

@@ -106,14 +106,15 @@ def relations(spark, sf_dir):
     )
 
 
-def trade_edges(spark, sf_dir):
+def trade_edges(spark, sf_dir, distinct=True):
     """Orders need their customer and the parts they list; customers need their nation and region."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lines = (pairs.distinct() if distinct else pairs).select(
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("from"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to"),
     )
     up = relations(spark, sf_dir).select(F.col("from_table").alias("from"), F.col("to_table").alias("to"))
-    return union_all(up, lines.distinct())
+    return union_all(up, lines)
 
 
 @query(
@@ -124,7 +125,7 @@ UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'c' || c_cus
 UNION ALL SELECT 'o' || o_orderkey, 3 FROM orders""",
 )
 def dependency_levels(spark, sf_dir):
-    return c.dependency_levels(trade_edges(spark, sf_dir))
+    return c.dependency_levels(trade_edges(spark, sf_dir, distinct=False))
 
 
 @query(

@@ -146,7 +146,7 @@ def fn_logic(spark, sf_dir):
         F.lit(True).alias("yes"),
         F.lit(False).alias("no"),
         F.coalesce(open_or_final, F.lit("none")).alias("known"),
-        s.if_error(priority.try_cast("int"), 0).alias("number_or_zero"),
+        s.if_error(s.safe_cast(priority, "int"), 0).alias("number_or_zero"),
         s.is_number(F.left(priority, F.lit(1))).alias("starts_numeric"),
         s.is_text(priority).alias("priority_is_text"),
     )
