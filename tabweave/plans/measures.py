@@ -30,7 +30,7 @@ class Agg:
     """
 
     fold: Callable[[Column], Column]
-    value: Column
+    value: Column | str | int
     merge: Callable[[Column], Column] | None = None
     keep: Column | None = None
 
@@ -38,7 +38,8 @@ class Agg:
         return replace(self, keep=predicate if self.keep is None else self.keep & predicate)
 
     def column(self) -> Column:
-        return self.fold(self.value if self.keep is None else F.when(self.keep, self.value))
+        value = _c(self.value)
+        return self.fold(value if self.keep is None else F.when(self.keep, value))
 
 
 @dataclass(frozen=True)
@@ -62,8 +63,11 @@ class Measure:
     format_string: str | None = None
 
 
-def _c(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def _c(value: Column | str | int) -> Column:
+    """Names are columns and numbers literals, resolved when a query is built."""
+    if isinstance(value, str):
+        return F.col(value)
+    return value if isinstance(value, Column) else F.lit(value)
 
 
 def _quoted(name: str) -> Column:
@@ -78,16 +82,16 @@ def _slot(measure: Measure, part: str) -> str:
 
 
 def sum_(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.sum, _c(value), F.sum)})
+    return Measure(name, {"value": Agg(F.sum, value, F.sum)})
 
 
-def count(name: str, value: Column | str) -> Measure:
+def count(name: str, value: Column | str | int) -> Measure:
     """Non-NULL values."""
-    return Measure(name, {"value": Agg(F.count, _c(value), F.sum)})
+    return Measure(name, {"value": Agg(F.count, value, F.sum)})
 
 
 def count_rows(name: str) -> Measure:
-    return count(name, F.lit(1))
+    return count(name, 1)
 
 
 def count_blank(name: str, value: Column | str) -> Measure:
@@ -96,36 +100,36 @@ def count_blank(name: str, value: Column | str) -> Measure:
 
 def distinct_count(name: str, value: Column | str) -> Measure:
     """Distinct values; NULL is not one of them."""
-    return Measure(name, {"value": Agg(F.count_distinct, _c(value))})
+    return Measure(name, {"value": Agg(F.count_distinct, value)})
 
 
 def average(name: str, value: Column | str) -> Measure:
     """Kept as sum and count, so partial results can be merged."""
     return Measure(
         name,
-        {"sum": Agg(F.sum, _c(value), F.sum), "count": Agg(F.count, _c(value), F.sum)},
+        {"sum": Agg(F.sum, value, F.sum), "count": Agg(F.count, value, F.sum)},
         lambda parts: divide(parts["sum"], parts["count"]),
     )
 
 
 def minimum(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.min, _c(value), F.min)})
+    return Measure(name, {"value": Agg(F.min, value, F.min)})
 
 
 def maximum(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.max, _c(value), F.max)})
+    return Measure(name, {"value": Agg(F.max, value, F.max)})
 
 
 def stddev(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.stddev_samp, _c(value))})
+    return Measure(name, {"value": Agg(F.stddev_samp, value)})
 
 
 def variance(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.var_samp, _c(value))})
+    return Measure(name, {"value": Agg(F.var_samp, value)})
 
 
 def _bounds(value: Column | str) -> dict[str, Agg]:
-    return {"low": Agg(F.min, _c(value), F.min), "high": Agg(F.max, _c(value), F.max)}
+    return {"low": Agg(F.min, value, F.min), "high": Agg(F.max, value, F.max)}
 
 
 def has_one_value(name: str, value: Column | str) -> Measure:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from tabweave.operators.joins import equi_join
@@ -140,10 +140,13 @@ class SemanticModel:
         use: Sequence[str] = (),
         ignore: Sequence[str] = (),
         columns: Mapping[str, Column] | None = None,
+        tables: Sequence[str] = (),
     ) -> DataFrame:
         """Metrics of a fact by dimension columns under filters per column.
 
-        ``columns`` names grouping expressions, e.g. a year of a date column.
+        ``columns`` names grouping expressions, e.g. a year of a date column;
+        ``tables`` adds the tables such expressions need beyond those of the
+        grouping and filter columns.
         """
         columns = dict(columns or {})
         needed, stack = {}, list(metrics)
@@ -152,7 +155,7 @@ class SemanticModel:
             if measure.name not in needed:
                 needed[measure.name] = measure
                 stack += measure.needs
-        tables = [self.owner(c) for c in [*by, *(where or {})] if c not in columns]
+        tables = list(tables) + [self.owner(c) for c in [*by, *(where or {})] if c not in columns]
         tables += [t for m in needed.values() for t in m.tables]
         steps = self._steps(fact, list(dict.fromkeys(tables)), role, use, ignore)
         measures, where = list(needed.values()), dict(where or {})
@@ -186,7 +189,7 @@ class SemanticModel:
         df = self.table(fact, role)
         if not mergeable(bases) or any(m.scope.kind != "local" for m in bases):
             return None
-        if not _resolves(df, [a.value if a.keep is None else a.keep for m in bases for a in m.base.values()]):
+        if not _resolves(df.groupBy(), [a.column() for m in bases for a in m.base.values()]):
             return None
         if all(fits_broadcast(self.table(link.to_table, role)) for link in steps):
             return None
@@ -208,9 +211,9 @@ class SemanticModel:
         return None if waiting or underived else df
 
 
-def _resolves(df: DataFrame, expressions: Sequence[Column]) -> bool:
+def _resolves(df: DataFrame | GroupedData, expressions: Sequence[Column]) -> bool:
     try:
-        df.select(*expressions)
+        (df.agg if isinstance(df, GroupedData) else df.select)(*expressions)
     except AnalysisException:
         return False
     return True
