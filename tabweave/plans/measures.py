@@ -37,6 +37,11 @@ class Agg:
     def where(self, predicate: Column) -> Agg:
         return replace(self, keep=predicate if self.keep is None else self.keep & predicate)
 
+    def identity(self) -> tuple:
+        """Equal for aggregates made of the same parts, as scoped copies of a measure are."""
+        value = id(self.value) if isinstance(self.value, Column) else (type(self.value), self.value)
+        return id(self.fold), value, id(self.keep)
+
     def column(self) -> Column:
         value = _c(self.value)
         return self.fold(value if self.keep is None else F.when(self.keep, value))
@@ -277,15 +282,12 @@ def _scope_totals(
     else:
         rows = _filtered(df, _predicate(where, scope.columns))
         same_rows = where is None or (not isinstance(where, Column) and set(where) <= set(scope.columns))
-    bases = {repr(a.column()): a for m in [*group, *local] for a in m.base.values()}
-    covered = {repr(a.column()) for m in local for a in m.base.values()}
-    if not (same_rows and by and all(a.merge for a in bases.values()) and set(bases) == covered):
+    slots = {a.identity(): _slot(m, p) for m in local for p, a in m.base.items()}
+    covered = all(a.identity() in slots for m in group for a in m.base.values())
+    if not (same_rows and by and covered and mergeable(local)):
         return rows.groupBy(*kept).agg(*_aggregates(group))
     grouped = selected.groupBy(*by).agg(*_aggregates(local))
-    slots = {repr(a.column()): _slot(m, p) for m in local for p, a in m.base.items()}
-    merges = [
-        a.merge(_quoted(slots[repr(a.column())])).alias(_slot(m, p)) for m in group for p, a in m.base.items()
-    ]
+    merges = [a.merge(_quoted(slots[a.identity()])).alias(_slot(m, p)) for m in group for p, a in m.base.items()]
     if kept:
         return grouped.groupBy(*kept).agg(*merges)
     # Merging every base result keeps the grouping identical to the query's own.
