@@ -176,19 +176,31 @@ def type_safety_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Leading zeros or a mix of numbers and other text mean a code: it stays text.
     """
 
-    def converts(kind: str):
-        return lambda c: F.count_if(c.try_cast(kind).isNotNull())
+    def kind(name: str) -> Column:
+        """One class per value, so most values meet one or two patterns."""
+        text = F.col(name).cast("string")
+        return (
+            F.when(text.isNull(), F.lit(None))
+            .when(text.rlike("^-?[0-9]+$"), F.when(text.rlike("^-?0[0-9]"), "padded").otherwise("whole"))
+            .when(text.rlike(r"^-?[0-9]+\.[0-9]+$"), F.when(text.rlike("^-?0[0-9]"), "padded fraction").otherwise("fraction"))
+            .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when(text.try_cast("date").isNotNull(), "date").otherwise("other"))
+            .when(F.lower(text).isin("true", "false"), "logical")
+            .otherwise("other")
+        ).alias(name)
+
+    def among(*kinds: str):
+        return lambda c: F.count_if(c.isin(*kinds))
 
     profile = _per_column(
-        df.select(*[F.col(c).cast("string").alias(c) for c in columns]),
+        df.select(*map(kind, columns)),
         columns,
         {
             "filled": lambda c: F.count(c),
-            "numeric": lambda c: F.count_if(c.rlike(r"^-?[0-9]+(\.[0-9]+)?$")),
-            "whole": lambda c: F.count_if(c.rlike(r"^-?[0-9]+$")),
-            "padded": lambda c: F.count_if(c.rlike(r"^-?0[0-9]")),
-            "dates": lambda c: F.count_if(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & c.try_cast("date").isNotNull()),
-            "logical": lambda c: F.count_if(F.lower(c).isin("true", "false")),
+            "numeric": among("whole", "padded", "fraction", "padded fraction"),
+            "whole": among("whole", "padded"),
+            "padded": among("padded", "padded fraction"),
+            "dates": among("date"),
+            "logical": among("logical"),
         },
     )
     filled = F.col("filled")
