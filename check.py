@@ -34,8 +34,8 @@ def _value(v):
     return str(v)
 
 
-def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
-    df = QUERIES[name](spark, sf_dir)
+def compare(spark, con, sf_dir: str, name: str, df=None) -> tuple[bool, str]:
+    df = QUERIES[name](spark, sf_dir) if df is None else df
     got = df.toArrow()
     if name not in ORACLES:
         return True, f"rows only: {got.num_rows}"

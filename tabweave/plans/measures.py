@@ -27,12 +27,14 @@ class Agg:
     """An aggregate whose input rows can still be narrowed.
 
     ``merge`` combines partial results; it is absent where that is not possible.
+    ``distinct`` marks a fold over the distinct values only.
     """
 
     fold: Callable[[Column], Column]
     value: Column | str | int
     merge: Callable[[Column], Column] | None = None
     keep: Column | None = None
+    distinct: bool = False
 
     def where(self, predicate: Column) -> Agg:
         return replace(self, keep=predicate if self.keep is None else self.keep & predicate)
@@ -42,9 +44,13 @@ class Agg:
         value = id(self.value) if isinstance(self.value, Column) else (type(self.value), self.value)
         return id(self.fold), value, id(self.keep)
 
-    def column(self) -> Column:
+    def input(self) -> Column:
+        """The value to fold: NULL, which no fold counts, for rows that are not kept."""
         value = _c(self.value)
-        return self.fold(value if self.keep is None else F.when(self.keep, value))
+        return value if self.keep is None else F.when(self.keep, value)
+
+    def column(self) -> Column:
+        return self.fold(self.input())
 
 
 @dataclass(frozen=True)
@@ -105,7 +111,7 @@ def count_blank(name: str, value: Column | str) -> Measure:
 
 def distinct_count(name: str, value: Column | str) -> Measure:
     """Distinct values; NULL is not one of them."""
-    return Measure(name, {"value": Agg(F.count_distinct, value)})
+    return Measure(name, {"value": Agg(F.count_distinct, value, distinct=True)})
 
 
 def average(name: str, value: Column | str) -> Measure:
@@ -354,6 +360,40 @@ def merge_partials(partials: DataFrame, measures: Sequence[Measure], by: Sequenc
     return partials.groupBy(*by).agg(*merges)
 
 
+class Reduction:
+    """Partial results kept while rows are joined to further tables.
+
+    Mergeable aggregates become partial results. The values of distinct
+    aggregates stay as grouping columns, which drops their repeats only.
+    """
+
+    def __init__(self, measures: Sequence[Measure]):
+        self.measures = list(measures)
+        aggs = {_slot(m, p): a for m in measures if not m.needs for p, a in m.base.items()}
+        self.partial = {s: a for s, a in aggs.items() if a.merge}
+        self.values = {s: a for s, a in aggs.items() if a.distinct}
+        #: Whether every base result can be computed this way.
+        self.complete = len(self.partial) + len(self.values) == len(aggs)
+
+    def start(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        valued = df.withColumns({s: a.input() for s, a in self.values.items()})
+        return self._group(valued, keys, {s: a.column() for s, a in self.partial.items()})
+
+    def reduce(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return self._group(df, keys, {s: a.merge(_quoted(s)) for s, a in self.partial.items()})
+
+    def _group(self, df: DataFrame, keys: Sequence[str], folds: Mapping[str, Column]) -> DataFrame:
+        groups = [*keys, *map(_quoted, self.values)]
+        if not folds:
+            return df.select(*groups).distinct()
+        return df.groupBy(*groups).agg(*[fold.alias(s) for s, fold in folds.items()])
+
+    def finish(self, df: DataFrame, by: Sequence[str], show: Sequence[str]) -> DataFrame:
+        folds = [a.merge(_quoted(s)).alias(s) for s, a in self.partial.items()]
+        folds += [a.fold(_quoted(s)).alias(s) for s, a in self.values.items()]
+        return _finished(df.groupBy(*by).agg(*folds), self.measures, by, show)
+
+
 def reaggregate(
     partials: DataFrame,
     measures: Sequence[Measure],

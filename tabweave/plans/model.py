@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabweave.operators.joins import equi_join
 from tabweave.operators.transforms import perspective_view
-from tabweave.plans.measures import Measure, evaluate, merge_partials, mergeable, preaggregate, reaggregate
+from tabweave.plans.measures import Measure, Reduction, evaluate
 from tabweave.session import fits_broadcast
 
 
@@ -159,9 +159,10 @@ class SemanticModel:
         tables += [t for m in needed.values() for t in m.tables]
         steps = self._steps(fact, list(dict.fromkeys(tables)), role, use, ignore)
         measures, where = list(needed.values()), dict(where or {})
-        partials = self._reduced_star(fact, steps, measures, by, where, columns, role)
-        if partials is not None:
-            return reaggregate(partials, measures, by, show=list(metrics))
+        reduction = Reduction(measures)
+        reduced = self._reduced_star(fact, steps, reduction, by, where, columns, role)
+        if reduced is not None:
+            return reduction.finish(reduced, by, list(metrics))
         rows = self.table(fact, role)
         for link in steps:
             rows = self._attach(rows, link, role)
@@ -173,7 +174,7 @@ class SemanticModel:
         self,
         fact: str,
         steps: Sequence[Relationship],
-        measures: Sequence[Measure],
+        reduction: Reduction,
         by: Sequence[str],
         where: Mapping[str, Column],
         columns: Mapping[str, Column],
@@ -185,9 +186,9 @@ class SemanticModel:
         aggregated to the keys that are still needed, so the shuffle carries
         partial sums instead of fact rows.
         """
-        bases = [m for m in measures if not m.needs]
+        bases = [m for m in reduction.measures if not m.needs]
         df = self.table(fact, role)
-        if not mergeable(bases) or any(m.scope.kind != "local" for m in bases):
+        if not reduction.complete or any(m.scope.kind != "local" for m in bases):
             return None
         if not _resolves(df.groupBy(), [a.column() for m in bases for a in m.base.values()]):
             return None
@@ -204,7 +205,7 @@ class SemanticModel:
             if not fits_broadcast(self.table(link.to_table, role)):
                 later = {step.from_column for step in steps[i:]} | set(by)
                 keys = [c for c in df.columns if c in later]
-                df = merge_partials(df, bases, keys) if reduced else preaggregate(df, bases, keys)
+                df = reduction.reduce(df, keys) if reduced else reduction.start(df, keys)
                 reduced = True
             df = self._attach(df, link, role)
         # An expression over columns of several tables may have lost one of them.

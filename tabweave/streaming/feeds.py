@@ -88,8 +88,11 @@ class ChangeTable:
     and ``compact`` folds them into a new base when they have become many.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: Sequence[str], schema: T.StructType):
+    def __init__(
+        self, spark: SparkSession, root: str, key: Sequence[str], schema: T.StructType, compact_after: int | None = None
+    ):
         self.spark, self.root, self.key, self.schema = spark, root.rstrip("/"), list(key), schema
+        self.compact_after = compact_after
 
     def log(self) -> DataFrame:
         """One row per applied batch with its counts: this is also the audit log."""
@@ -111,6 +114,8 @@ class ChangeTable:
         net.write.mode("overwrite").parquet(path)
         counts = cdc_counts(self.spark.read.schema(net.schema).parquet(path)).first()
         self._commit("delta", batch_id, path, (counts["inserts"], counts["updates"], counts["deletes"]))
+        if self.compact_after and len(self._pending()[1]) >= self.compact_after:
+            self.compact()
 
     def _pending(self) -> tuple[str | None, list[str], int]:
         """Path of the base, paths of the changes since, and the last batch."""

@@ -119,6 +119,14 @@ def test_change_table_streams_compacts_and_replays(spark, tmp_path):
     assert rows(target.current()) == [(3, "d")]
 
 
+def test_change_table_compacts_by_itself(spark, tmp_path):
+    target = feeds.ChangeTable(spark, str(tmp_path / "t"), ["id"], T.StructType.fromDDL(DDL), compact_after=2)
+    for i, batch in enumerate(BATCHES):
+        target.apply(spark.createDataFrame(batch, CHANGE_DDL), i)
+    assert target.log().where("kind = 'base'").count() == 1
+    assert rows(target.current()) == [(1, "c"), (3, "d")]
+
+
 def test_append_takes_inserts_once(spark, tmp_path):
     path, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     feeds.stream_append(feed_of(spark, path, *BATCHES), out, ck, feeds.AVAILABLE_NOW).awaitTermination()

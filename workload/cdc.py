@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabweave.operators import cdc
 from tabweave.operators.transforms import union_all
 from tabweave.plans import measures as m
-from tabweave.session import scratch_dir
+from tabweave.session import cut_lineage, scratch_dir
 from tabweave.streaming import feeds
 from workload.base import amounts, cents, query, table
 
@@ -45,12 +45,13 @@ UNION ALL SELECT o_orderkey, o_custkey, 'P', o_totalprice, o_orderdate, 'DELETE'
 
 
 def changes(spark, sf_dir):
-    return cdc.cdc_diff(*snapshots(spark, sf_dir), KEY)
+    """The change feed as it would be stored: read by several branches, computed once."""
+    return cut_lineage(cdc.cdc_diff(*snapshots(spark, sf_dir), KEY))
 
 
 @query("cdc_diff", DIFF_SQL)
 def cdc_diff(spark, sf_dir):
-    return changes(spark, sf_dir)
+    return cdc.cdc_diff(*snapshots(spark, sf_dir), KEY)
 
 
 @query(
@@ -59,9 +60,9 @@ def cdc_diff(spark, sf_dir):
 )
 def cdc_source(spark, sf_dir):
     # First read: the initial rows of the old state, then the changes stored by the feed.
-    old, _ = snapshots(spark, sf_dir)
+    old, new = snapshots(spark, sf_dir)
     path = scratch_dir(spark, "changes")
-    changes(spark, sf_dir).write.parquet(path)
+    cdc.cdc_diff(old, new, KEY).write.parquet(path)
     return union_all(cdc.initial_rows(old), spark.read.parquet(path))
 
 
@@ -139,7 +140,7 @@ def cdc_merge(spark, sf_dir):
   count(*) FILTER (WHERE _action = 'DELETE' AND NOT _is_update) AS deletes FROM ({DIFF_SQL})""",
 )
 def cdc_counts(spark, sf_dir):
-    return cdc.cdc_counts(changes(spark, sf_dir))
+    return cdc.cdc_counts(cdc.cdc_diff(*snapshots(spark, sf_dir), KEY))
 
 
 @query(
