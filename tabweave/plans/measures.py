@@ -388,9 +388,12 @@ class Reduction:
             return df.select(*groups).distinct()
         return df.groupBy(*groups).agg(*[fold.alias(s) for s, fold in folds.items()])
 
-    def finish(self, df: DataFrame, by: Sequence[str], show: Sequence[str]) -> DataFrame:
+    def finish(self, df: DataFrame, by: Sequence[str], show: Sequence[str], rollup: bool = False) -> DataFrame:
+        """Results per ``by`` group, or per drill level of ``by`` with its depth."""
         folds = [a.merge(_quoted(s)).alias(s) for s, a in self.partial.items()]
         folds += [a.fold(_quoted(s)).alias(s) for s, a in self.values.items()]
+        if rollup:
+            return _finished(df.rollup(*by).agg(_depth(by), *folds), self.measures, [*by, "depth"], show)
         return _finished(df.groupBy(*by).agg(*folds), self.measures, by, show)
 
 
@@ -406,8 +409,16 @@ def reaggregate(
     return _finished(merged, measures, by, show)
 
 
+def _depth(levels: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.lit(1) - F.grouping(c) for c in levels]).cast("int").alias("depth")
+
+
 def hierarchy_rollup(
-    df: DataFrame, levels: Sequence[str], measures: Sequence[Measure], where: Where = None
+    df: DataFrame,
+    levels: Sequence[str],
+    measures: Sequence[Measure],
+    where: Where = None,
+    show: Sequence[str] | None = None,
 ) -> DataFrame:
     """All drill levels, top to leaf; ``depth`` counts the levels present.
 
@@ -415,15 +426,14 @@ def hierarchy_rollup(
     rollup makes are of grouped rows.
     """
     bases = [m for m in measures if not m.needs]
-    depth = reduce(lambda a, b: a + b, [F.lit(1) - F.grouping(c) for c in levels]).cast("int").alias("depth")
     if mergeable(bases):
         leaves = preaggregate(df, bases, levels, where)
         rolled = leaves.rollup(*levels).agg(
-            depth, *[a.merge(_quoted(_slot(m, p))).alias(_slot(m, p)) for m in bases for p, a in m.base.items()]
+            _depth(levels), *[a.merge(_quoted(_slot(m, p))).alias(_slot(m, p)) for m in bases for p, a in m.base.items()]
         )
     else:
-        rolled = _filtered(df, _predicate(where)).rollup(*levels).agg(depth, *_aggregates(bases))
-    return _finished(rolled, measures, [*levels, "depth"], None)
+        rolled = _filtered(df, _predicate(where)).rollup(*levels).agg(_depth(levels), *_aggregates(bases))
+    return _finished(rolled, measures, [*levels, "depth"], show)
 
 
 def concatenatex(df: DataFrame, value: str, by: Sequence[str] = (), delimiter: str = ", ", out: str = "joined") -> DataFrame:

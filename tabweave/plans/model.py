@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabweave.operators.joins import equi_join
 from tabweave.operators.transforms import perspective_view
-from tabweave.plans.measures import Measure, Reduction, evaluate
+from tabweave.plans.measures import Measure, Reduction, evaluate, hierarchy_rollup
 from tabweave.session import fits_broadcast
 
 
@@ -124,6 +124,37 @@ class SemanticModel:
             return equi_join(df, one, link.from_column, how)
         return equi_join(df, one.withColumn("__to", F.col(link.to_column)), {link.from_column: "__to"}, how)
 
+    def _needed(self, metrics: Sequence[str]) -> dict[str, Measure]:
+        """The metrics and every measure they are computed from."""
+        needed, stack = {}, list(metrics)
+        while stack:
+            measure = self.measures[stack.pop()]
+            if measure.name not in needed:
+                needed[measure.name] = measure
+                stack += measure.needs
+        return needed
+
+    def drill(
+        self,
+        fact: str,
+        metrics: Sequence[str],
+        hierarchy: str,
+        where: Mapping[str, Column] | None = None,
+        role: str | None = None,
+    ) -> DataFrame:
+        """Metrics at every level of a hierarchy, the total at depth 0."""
+        levels, measures = self.hierarchies[hierarchy], list(self._needed(metrics).values())
+        tables = [self.owner(c) for c in [*levels, *(where or {})]] + [t for m in measures for t in m.tables]
+        steps = self._steps(fact, list(dict.fromkeys(tables)), role, (), ())
+        reduction = Reduction(measures)
+        reduced = self._reduced_star(fact, steps, reduction, levels, where or {}, {}, role)
+        if reduced is not None:
+            return reduction.finish(reduced, levels, list(metrics), rollup=True)
+        rows = self.table(fact, role)
+        for link in steps:
+            rows = self._attach(rows, link, role)
+        return hierarchy_rollup(rows, levels, measures, where, list(metrics))
+
     def owner(self, column: str) -> str:
         holders = [name for name, df in self.tables.items() if column in df.columns]
         if len(holders) != 1:
@@ -148,13 +179,7 @@ class SemanticModel:
         ``tables`` adds the tables such expressions need beyond those of the
         grouping and filter columns.
         """
-        columns = dict(columns or {})
-        needed, stack = {}, list(metrics)
-        while stack:
-            measure = self.measures[stack.pop()]
-            if measure.name not in needed:
-                needed[measure.name] = measure
-                stack += measure.needs
+        columns, needed = dict(columns or {}), self._needed(metrics)
         tables = list(tables) + [self.owner(c) for c in [*by, *(where or {})] if c not in columns]
         tables += [t for m in needed.values() for t in m.tables]
         steps = self._steps(fact, list(dict.fromkeys(tables)), role, use, ignore)

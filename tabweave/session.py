@@ -16,6 +16,7 @@ def local_session(app: str = "tabweave", cores: int | str = "*", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -42,7 +43,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to reliable storage so lost executors do not matter."""
+    """Checkpoint ``df`` to reliable storage so lost executors do not matter.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes the files again
+    when the result is no longer referenced.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoint"))

@@ -22,6 +22,11 @@ def table_source(spark: SparkSession, name_or_path: str, schema: T.StructType |
     return reader.parquet(name_or_path)
 
 
+def external_table(spark: SparkSession, name: str, path: str, schema: T.StructType | str) -> DataFrame:
+    """Register Parquet files in place as a catalog table."""
+    return spark.catalog.createTable(name, path=path, source="parquet", schema=_struct(schema))
+
+
 def _struct(schema: T.StructType | str) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 

@@ -197,6 +197,19 @@ def test_reduced_star_equals_plain_star(spark, star):
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", default)
 
 
+def test_drill(spark, star):
+    star.hierarchies["make"] = ["category", "maker"]
+    default = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    results = []
+    for limit in (default, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        out = star.drill("sales", ["mean", "products"], "make", {"store": F.col("store") != "s1"})
+        results.append(rows(out))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", default)
+    assert results[0] == results[1]
+    assert sum(r[2] == 0 for r in results[0]) == 1
+
+
 def test_roles(star):
     out = star.query("sales", ["n"], ["store"], role="limited")
     assert {r[0] for r in rows(out)} == {"s2", "s3"}

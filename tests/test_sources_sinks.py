@@ -94,6 +94,10 @@ def test_table_source(spark, tmp_path):
     assert files.table_source(spark, path).count() == 3
     spark.range(2).createOrReplaceTempView("two_rows")
     assert files.table_source(spark, "two_rows").count() == 2
+    assert files.external_table(spark, "in_place", path, "id bigint").count() == 3
+    assert files.table_source(spark, "in_place").count() == 3
+    spark.sql("DROP TABLE in_place")
+    assert spark.read.parquet(path).count() == 3
     profile = files.catalog_profile(spark, {"t": path}).first()
     assert profile["row_count"] == 3 and profile["bytes"] > 0
 

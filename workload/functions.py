@@ -48,7 +48,7 @@ def fn_math(spark, sf_dir):
   substr(c_name, 10, 5) AS mid_5, upper(c_name) AS up, lower(c_name) AS low, trim('  ' || c_mktsegment || ' ') AS trimmed,
   replace(c_name, '#', '-') AS substituted, c_name || ' / ' || c_mktsegment AS joined,
   CAST(CAST(c_acctbal AS DECIMAL(38,2)) AS VARCHAR) AS balance_text,
-  TRY_CAST(right(c_name, 9) AS DECIMAL(38,10)) AS name_value, TRY_CAST(left(c_name, 9) AS DECIMAL(38,10)) AS no_value,
+  CAST(TRY_CAST(right(c_name, 9) AS DECIMAL(38,10)) AS DOUBLE) AS name_value, TRY_CAST(left(c_name, 9) AS DECIMAL(38,10)) IS NULL AS no_value,
   CAST(instr(c_name, '#') AS BIGINT) AS found, CAST(instr(lower(c_name), 'mer') AS BIGINT) AS searched,
   reverse(c_name) AS reversed, split_part(c_name, '#', -1) AS last_part, regexp_extract(c_name, '[0-9]+') AS digits
 FROM customer""",
@@ -67,8 +67,8 @@ def fn_text(spark, sf_dir):
         s.substitute(name, "#", "-").alias("substituted"),
         s.concatenate(name, " / ", segment).alias("joined"),
         s.format_number(F.col("c_acctbal")).alias("balance_text"),
-        s.value(F.right(name, F.lit(9))).alias("name_value"),
-        s.value(F.left(name, F.lit(9))).alias("no_value"),
+        s.value(F.right(name, F.lit(9))).cast("double").alias("name_value"),
+        s.value(F.left(name, F.lit(9))).isNull().alias("no_value"),
         s.find("#", name).alias("found"),
         s.search("MER", name).alias("searched"),
         F.reverse(name).alias("reversed"),

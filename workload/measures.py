@@ -479,10 +479,9 @@ FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_na
 LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name, c_mktsegment)""",
 )
 def hierarchy_rollup(spark, sf_dir):
-    model = sales_model(spark, sf_dir, hierarchies={"geography": ["r_name", "n_name", "c_mktsegment"]})
-    rows = model.star("orders", ["region"])
     measures = [m.sum_("total", order_total()), m.count_rows("order_rows")]
-    return amounts(m.hierarchy_rollup(rows, model.hierarchies["geography"], measures), "total")
+    model = sales_model(spark, sf_dir, measures, hierarchies={"geography": ["r_name", "n_name", "c_mktsegment"]})
+    return amounts(model.drill("orders", ["total", "order_rows"], "geography"), "total")
 
 
 @query(

@@ -33,12 +33,14 @@ def derived_column(spark, sf_dir):
 @query(
     "data_conversion",
     """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey,
-  CAST(c_acctbal AS DECIMAL(19,4)) AS c_acctbal, c_name FROM customer""",
+  CAST(CAST(c_acctbal AS DECIMAL(19,4)) AS VARCHAR) AS c_acctbal, c_name FROM customer""",
 )
 def data_conversion(spark, sf_dir):
     kinds = {"c_custkey": "string", "c_nationkey": "int64", "c_acctbal": "currency"}
     rows = table(spark, sf_dir, "customer").select(*kinds, "c_name")
-    return t.data_conversion(rows, {c: t.spark_type(k) for c, k in kinds.items()})
+    converted = t.data_conversion(rows, {c: t.spark_type(k) for c, k in kinds.items()})
+    # As text, so that the scale of the amount shows.
+    return t.data_conversion(converted, {"c_acctbal": "string"})
 
 
 @query(
