@@ -56,11 +56,12 @@ def clustering_pays(rows: int, fact: bool = True) -> bool:
 def clustered_write(df: DataFrame, path: str, keys: Sequence[str | Column], mode: str = "overwrite") -> None:
     """Write rows in ranges of up to three keys, so scans can skip files.
 
-    A row hash after the keys lets a single hot key value span several ranges.
+    A seeded random number after the keys lets a single hot key value, or many
+    copies of one row, span several ranges.
     """
     order = [F.col(k) if isinstance(k, str) else k for k in keys][:MAX_CLUSTER_KEYS]
-    spread = F.xxhash64(*df.columns)
-    df.repartitionByRange(*order, spread).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    ranged = df.withColumn("__spread", F.rand(7)).repartitionByRange(*order, F.col("__spread"))
+    ranged.sortWithinPartitions(*order).drop("__spread").write.mode(mode).parquet(path)
 
 
 def partition_split_write(df: DataFrame, path: str, routes: Sequence[tuple[str, Column]], default: str = "default", column: str = "route") -> None:
