@@ -74,6 +74,8 @@ def safe_cast(text: Column, kind: str) -> Column:
     costs a hundred times more than a pattern match.
     """
     family = kind.split("(")[0].lower()
+    if family == "variant":
+        return F.try_parse_json(text)
     if family in ("double", "float", "decimal"):
         fits = text.rlike(NUMBER_PATTERN)
     elif family in ("tinyint", "smallint", "int", "bigint", "long", "integer"):
@@ -182,6 +184,15 @@ def file_name(path: Column) -> Column:
 # -- dates ---------------------------------------------------------------
 
 
+def today(as_of: str | None = None) -> Column:
+    """The current date, or a fixed one so that results can be repeated."""
+    return F.current_date() if as_of is None else F.lit(as_of).cast("date")
+
+
+def now() -> Column:
+    return F.current_timestamp()
+
+
 def weekday(day: Column) -> Column:
     """1 = Sunday ... 7 = Saturday."""
     return F.dayofweek(day)

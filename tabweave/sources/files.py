@@ -36,7 +36,8 @@ def _as_text(schema: T.StructType) -> T.StructType:
 
 
 def _reader(spark: SparkSession, sep: str, header: bool, line_sep: str | None, recursive: bool, glob: str | None, **options):
-    reader = spark.read.options(sep=sep, header=header, mode="PERMISSIVE", **options)
+    # A quote inside a quoted field is doubled.
+    reader = spark.read.options(sep=sep, header=header, mode="PERMISSIVE", escape='"', **options)
     if line_sep:
         reader = reader.option("lineSep", line_sep)
     if recursive:
@@ -85,12 +86,14 @@ def delimited_source(
     """
     fields = _struct(schema)
     rows = text_rows(spark, path, fields, **options)
-    return rows.select(
-        *[
-            (F.col(f.name).cast(f.dataType) if strict else safe_cast(F.col(f.name), f.dataType.simpleString())).alias(f.name)
-            for f in fields
-        ]
-    )
+    return rows.select(*[_converted(f, strict).alias(f.name) for f in fields])
+
+
+def _converted(field: T.StructField, strict: bool) -> Column:
+    text, kind = F.col(field.name), field.dataType.simpleString()
+    if kind == "variant":
+        return F.parse_json(text) if strict else safe_cast(text, kind)
+    return text.cast(kind) if strict else safe_cast(text, kind)
 
 
 def cr_line_source(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:

@@ -26,11 +26,16 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def mart_overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def mart_overwrite(df: DataFrame, target: str, partition_by: Sequence[str] = ()) -> None:
+    """Materialise a destination: Parquet files under a path, or a catalog table by name."""
     if partition_by:
         # Rebalancing gathers a partition's rows into few files and splits large ones.
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    writer = df.write.mode("overwrite").partitionBy(*partition_by)
+    if "/" in target:
+        writer.parquet(target)
+    else:
+        writer.format("parquet").saveAsTable(target)
 
 
 def mart_append(df: DataFrame, path: str, key: Sequence[str] | str) -> None:
@@ -41,7 +46,7 @@ def mart_append(df: DataFrame, path: str, key: Sequence[str] | str) -> None:
 
 
 def delimited_sink(df: DataFrame, path: str, sep: str = ",", header: bool = True, null_token: str = "", **options) -> None:
-    df.write.mode("overwrite").options(sep=sep, header=header, nullValue=null_token, **options).csv(path)
+    df.write.mode("overwrite").options(sep=sep, header=header, nullValue=null_token, escape='"', **options).csv(path)
 
 
 def cluster_keys(*candidates: Sequence[str]) -> list[str]:

@@ -54,6 +54,8 @@ L = F.lit
         (lambda: s.search("B", L("abb")), 2),
         (lambda: s.find("z", L("abb")), 0),
         (lambda: s.file_name(L("batch_0/file.csv")), "file.csv"),
+        (lambda: s.today("2001-02-03"), day("2001-02-03")),
+        (lambda: s.now() >= s.today(), True),
         (lambda: s.weekday(L("2001-01-07").cast("date")), 1),
         (lambda: s.edate(L("2001-01-31").cast("date"), 1), day("2001-02-28")),
         (lambda: s.eomonth(L("2000-01-31").cast("date"), 1), day("2000-02-29")),

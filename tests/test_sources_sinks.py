@@ -83,9 +83,10 @@ def test_manifest(spark, tmp_path):
 
 def test_seed_keeps_codes(spark, tmp_path):
     path = write(tmp_path / "seed.csv", "prefix,since,ok,doc\n00123,2001-01-31,true,\"{\"\"a\"\":1}\"\n")
-    seed = files.seed_source(spark, path, "prefix string, since date, ok boolean, doc string")
+    seed = files.seed_source(spark, path, "prefix string, since date, ok boolean, doc variant")
     assert seed.first()["prefix"] == "00123"
-    assert dict(seed.dtypes) == {"prefix": "string", "since": "date", "ok": "boolean", "doc": "string"}
+    assert dict(seed.dtypes) == {"prefix": "string", "since": "date", "ok": "boolean", "doc": "variant"}
+    assert seed.select(F.variant_get("doc", "$.a", "int")).first()[0] == 1
 
 
 def test_table_source(spark, tmp_path):
@@ -168,6 +169,14 @@ def test_overwrite_with_partitions(spark, tmp_path):
     assert {p.name for p in (tmp_path / "mart").iterdir() if p.is_dir()} == {"p=0", "p=1"}
 
 
+def test_overwrite_a_catalog_table(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE marts LOCATION '{tmp_path}/marts'")
+    sinks.mart_overwrite(spark.range(3), "marts.daily")
+    sinks.mart_overwrite(spark.range(2), "marts.daily")
+    assert spark.table("marts.daily").count() == 2
+    spark.sql("DROP DATABASE marts CASCADE")
+
+
 def test_hot_cluster_key_spans_files_and_ranges_stay_apart(spark, tmp_path):
     path = str(tmp_path / "c")
     # Three quarters of the rows are copies of one row.
@@ -202,5 +211,5 @@ def test_split_write(spark, tmp_path):
 
 def test_delimited_sink(spark, tmp_path):
     path = str(tmp_path / "flat")
-    sinks.delimited_sink(spark.createDataFrame([(1, "a|b"), (2, None)], "id int, v string"), path, sep="|", null_token="NULL")
-    assert rows(files.delimited_source(spark, path, "id int, v string", sep="|", null_tokens=("NULL",))) == [(1, "a|b"), (2, None)]
+    sinks.delimited_sink(spark.createDataFrame([(1, 'a|"b"'), (2, None)], "id int, v string"), path, sep="|", null_token="NULL")
+    assert rows(files.delimited_source(spark, path, "id int, v string", sep="|", null_tokens=("NULL",))) == [(1, 'a|"b"'), (2, None)]
