@@ -81,54 +81,68 @@ def auto_ingest(
     )
 
 
+class BatchLog:
+    """Which batches a sink has taken: a base and the deltas written after it."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def entries(self) -> DataFrame:
+        found = read_if_present(self.spark, f"{self.root}/log")
+        return self.spark.createDataFrame([], _LOG_DDL) if found is None else found
+
+    def has(self, batch_id: int) -> bool:
+        return not self.entries().where((F.col("kind") == "delta") & (F.col("batch_id") == batch_id)).isEmpty()
+
+    def path(self, kind: str, batch_id: int) -> str:
+        return f"{self.root}/{kind}/{batch_id:020d}"
+
+    def commit(self, kind: str, batch_id: int, counts: tuple[int, int, int] = (0, 0, 0)) -> None:
+        row = (kind, batch_id, self.path(kind, batch_id), *counts, dt.datetime.now(dt.timezone.utc))
+        self.spark.createDataFrame([row], _LOG_DDL).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+
+    def pending(self) -> tuple[str | None, list[str], int]:
+        """Path of the base, paths of the deltas since, and the last batch."""
+        log = self.entries().select("kind", "path", "batch_id")
+        base = log.where(F.col("kind") == "base").orderBy(F.col("batch_id").desc()).first()
+        after = base["batch_id"] if base else -1
+        deltas = log.where((F.col("kind") == "delta") & (F.col("batch_id") > after)).orderBy("batch_id").collect()
+        return base["path"] if base else None, [d["path"] for d in deltas], deltas[-1]["batch_id"] if deltas else after
+
+
 class ChangeTable:
     """A keyed table kept as a base and the net changes of later batches.
 
     Applying a batch writes only its changes. Reading merges them into the base,
-    and ``compact`` folds them into a new base when they have become many.
+    and ``compact`` folds them into a new base, by itself after ``compact_after``
+    batches where that is given.
     """
 
     def __init__(
         self, spark: SparkSession, root: str, key: Sequence[str], schema: T.StructType, compact_after: int | None = None
     ):
-        self.spark, self.root, self.key, self.schema = spark, root.rstrip("/"), list(key), schema
-        self.compact_after = compact_after
+        self.spark, self.key, self.schema = spark, list(key), schema
+        self.batches, self.compact_after = BatchLog(spark, root), compact_after
 
     def log(self) -> DataFrame:
         """One row per applied batch with its counts: this is also the audit log."""
-        found = read_if_present(self.spark, f"{self.root}/log")
-        return self.spark.createDataFrame([], _LOG_DDL) if found is None else found
-
-    def _commit(self, kind: str, batch_id: int, path: str, counts: tuple[int, int, int]) -> None:
-        row = (kind, batch_id, path, *counts, dt.datetime.now(dt.timezone.utc))
-        self.spark.createDataFrame([row], _LOG_DDL).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        return self.batches.entries()
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
         """Apply a batch of change rows; a batch that is in the log is skipped."""
-        if not self.log().where((F.col("kind") == "delta") & (F.col("batch_id") == batch_id)).isEmpty():
+        if self.batches.has(batch_id):
             return
-        path = f"{self.root}/delta/{batch_id:020d}"
-        net = cdc_net_changes(changes, self.key).select(
-            *self.schema.names, ACTION, IS_UPDATE
-        ).withColumn("_batch", F.lit(batch_id).cast("long"))
+        path = self.batches.path("delta", batch_id)
+        net = cdc_net_changes(changes, self.key).select(*self.schema.names, ACTION, IS_UPDATE)
+        net = net.withColumn("_batch", F.lit(batch_id).cast("long"))
         net.write.mode("overwrite").parquet(path)
         counts = cdc_counts(self.spark.read.schema(net.schema).parquet(path)).first()
-        self._commit("delta", batch_id, path, (counts["inserts"], counts["updates"], counts["deletes"]))
-        if self.compact_after and len(self._pending()[1]) >= self.compact_after:
+        self.batches.commit("delta", batch_id, (counts["inserts"], counts["updates"], counts["deletes"]))
+        if self.compact_after and len(self.batches.pending()[1]) >= self.compact_after:
             self.compact()
 
-    def _pending(self) -> tuple[str | None, list[str], int]:
-        """Path of the base, paths of the changes since, and the last batch."""
-        log = self.log()
-        base = log.where(F.col("kind") == "base").orderBy(F.col("batch_id").desc()).select("path", "batch_id").first()
-        after = base["batch_id"] if base else -1
-        deltas = (
-            log.where((F.col("kind") == "delta") & (F.col("batch_id") > after)).orderBy("batch_id").select("path", "batch_id").collect()
-        )
-        return base["path"] if base else None, [d["path"] for d in deltas], deltas[-1]["batch_id"] if deltas else after
-
     def current(self) -> DataFrame:
-        base_path, deltas, _ = self._pending()
+        base_path, deltas, _ = self.batches.pending()
         reader = self.spark.read.schema(self.schema)
         base = reader.parquet(base_path) if base_path else self.spark.createDataFrame([], self.schema)
         if not deltas:
@@ -143,11 +157,10 @@ class ChangeTable:
 
     def compact(self) -> None:
         """Write the merged table as the new base."""
-        _, deltas, last = self._pending()
+        _, deltas, last = self.batches.pending()
         if deltas:
-            path = f"{self.root}/base/{last:020d}"
-            self.current().write.mode("overwrite").parquet(path)
-            self._commit("base", last, path, (0, 0, 0))
+            self.current().write.mode("overwrite").parquet(self.batches.path("base", last))
+            self.batches.commit("base", last)
 
 
 def stream_cdc_foreach_batch(
@@ -165,31 +178,56 @@ def stream_cdc_foreach_batch(
 class IncrementalAggregate:
     """A grouped result that follows its input by merging partial results."""
 
-    def __init__(self, spark: SparkSession, root: str, measures: Sequence[Measure], by: Sequence[str]):
-        self.spark, self.root, self.measures, self.by = spark, root.rstrip("/"), list(measures), list(by)
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        measures: Sequence[Measure],
+        by: Sequence[str],
+        compact_after: int | None = None,
+    ):
+        self.spark, self.measures, self.by = spark, list(measures), list(by)
+        self.batches, self.compact_after = BatchLog(spark, root), compact_after
 
-    def _write_batch(self, batch: DataFrame, batch_id: int) -> None:
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        if self.batches.has(batch_id):
+            return
         partial = preaggregate(batch, self.measures, self.by)
-        partial.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        partial.write.mode("overwrite").parquet(self.batches.path("delta", batch_id))
+        self.batches.commit("delta", batch_id)
+        if self.compact_after and len(self.batches.pending()[1]) >= self.compact_after:
+            self.compact()
 
     def start(self, feed: DataFrame, checkpoint: str, trigger: Trigger = EVERY_MINUTE) -> StreamingQuery:
         return (
-            feed.writeStream.foreachBatch(self._write_batch)
+            feed.writeStream.foreachBatch(self.apply)
             .option("checkpointLocation", checkpoint)
             .trigger(**trigger)
             .start()
         )
 
     def partials(self) -> DataFrame:
-        return self.spark.read.parquet(self.root)
+        base, deltas, _ = self.batches.pending()
+        paths = ([base] if base else []) + deltas
+        if not paths:
+            raise ValueError("no batch has been taken yet")
+        return self.spark.read.parquet(*paths)
 
     def result(self, by: Sequence[str] | None = None) -> DataFrame:
         """The current aggregate, also for a coarser grouping."""
         return reaggregate(self.partials(), self.measures, self.by if by is None else by)
 
-    def compacted(self) -> DataFrame:
-        """All batches merged into one set of partial results."""
-        return merge_partials(self.partials(), self.measures, self.by)
+    def compact(self) -> None:
+        """Write the merged partial results as the new base."""
+        _, deltas, last = self.batches.pending()
+        if not deltas:
+            return
+        partials = self.partials()
+        merged = merge_partials(partials, self.measures, self.by)
+        # A merged decimal is wider; the stored type has to stay the same.
+        kept = merged.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in partials.schema])
+        kept.write.mode("overwrite").parquet(self.batches.path("base", last))
+        self.batches.commit("base", last)
 
 
 def stream_multi_target(
