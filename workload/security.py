@@ -25,9 +25,8 @@ USER, ADMIN = "Supplier#000000001", "Supplier#000000000"
 
 
 def admins(spark, sf_dir):
-    """Suppliers of the first nation listed with a supplier named by its first key."""
-    first = table(spark, sf_dir, "supplier").agg(F.min("s_name").alias("username"))
-    return first
+    """The override table: the first supplier by name."""
+    return table(spark, sf_dir, "supplier").agg(F.min("s_name").alias("username"))
 
 
 @query("rls_direct", "SELECT conv_id, turn, role, text FROM conversations WHERE role = 'assistant'")
