@@ -1,6 +1,6 @@
 """Operators for preparing training corpora, and the queries that apply them."""
 
-from tabweave.llm import decontaminate, exact_dedup, near_dedup, shards, urls  # noqa: F401
+from tabweave.llm import decontaminate, exact_dedup, near_dedup, shards, substrings, urls  # noqa: F401
 from tabweave.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
