@@ -131,3 +131,13 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
 def row_of(firsts: np.ndarray) -> np.ndarray:
     """The text that each word belongs to."""
     return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+
+
+def hashes_any(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of short stretches in any order, by their bytes and length."""
+    out = np.zeros(len(starts), np.uint64)
+    n = ends - starts
+    for j in range(int(n.max(initial=0))):
+        on = np.flatnonzero(n > j)
+        out[on] = out[on] * _BASE + data[starts[on] + j] + np.uint64(1)
+    return mix(out)
