@@ -8,9 +8,10 @@ that its similarity reaches the threshold falls below ``MISS``. What is left is
 verified on the full sets.
 
 Pairs of a band are not all listed. First every class is compared with the
-smallest class of its band. Only where a band still holds several components
-after that are its pairs across components listed, so large groups of copies
-cost one pair for each member.
+smallest class of its band, so a large group of copies costs one pair for each
+member. Where a band still holds several components after that, pairs across
+components are compared where the band's rows are, in blocks, and only those that
+the bounds let through are listed.
 
 Null texts and texts without words have an empty set and are linked with nothing.
 Texts with fewer words than a shingle have their whole sequence as one shingle.
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 
 from tabweave.llm import text as tx
 from tabweave.llm.base import query
-from tabweave.llm.frames import documents, join_groups, stored
+from tabweave.llm.frames import documents, join_groups, shuffle_tasks, stored
 
 #: Chance that a similar pair never shares a band, and that a comparison drops it.
 MISS = 1e-7
 BAND_ROWS = 6
 BATCH = 32
+BLOCK_ROWS = 512
 
 
 def shingle_sets(column, size: int) -> Iterator[np.ndarray]:
@@ -95,6 +97,41 @@ def least_matches(threshold: float, total: int, miss: float = MISS) -> tuple[tup
     return tuple(out)
 
 
+def signatures(column, total: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, total)
+
+
+def within_bounds(x: np.ndarray, y: np.ndarray, steps) -> np.ndarray:
+    """The rows of two signature tables that pass the posterior bound after every batch."""
+    alive, matched, start = np.arange(len(x)), np.zeros(len(x), int), 0
+    for n, least in steps:
+        matched = matched + (x[alive, start:n] == y[alive, start:n]).sum(1)
+        alive, matched = alive[matched >= least], matched[matched >= least]
+        start = n
+    return alive
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Groups of rows with equal keys of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        if held and any(held[-1].column(c)[0] != batch.column(c)[0] for c in keys):
+            yield pa.concat_batches(held)
+            held = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 class NearDuplicates:
     """Near-duplicate classes and components of ``docs`` (columns doc_id, text)."""
 
@@ -129,22 +166,60 @@ class NearDuplicates:
 
         return self.docs.mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>, bytes binary")
 
-    def _similar(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked: posterior bounds first, then the full sets."""
-        percent, shingle, total = self.percent, self.shingle, self.bands * self.band_rows
-        steps = least_matches(percent / 100, total)
+    def _near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose signatures stay within the posterior bounds."""
+        total = self.bands * self.band_rows
+        steps = least_matches(self.percent / 100, total)
 
         def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, y = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, total) for c in ("bytes_a", "bytes_b")
-                )
-                alive, matched, start = np.arange(batch.num_rows), np.zeros(batch.num_rows, int), 0
-                for n, least in steps:
-                    matched = matched + (x[alive, start:n] == y[alive, start:n]).sum(1)
-                    alive, matched = alive[matched >= least], matched[matched >= least]
-                    start = n
-                yield batch.select(["a", "b"]).take(pa.array(alive))
+                x, y = (signatures(batch.column(c), total) for c in ("bytes_a", "bytes_b"))
+                yield batch.select(["a", "b"]).take(pa.array(within_bounds(x, y, steps)))
+
+        sides = [classes.select(F.col("doc_id").alias(c), F.col("bytes").alias(f"bytes_{c}")) for c in ("a", "b")]
+        return stored(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(prune, "a long, b long"), "near")
+
+    def _near_across(self, rows: DataFrame) -> DataFrame:
+        """The same for all pairs of different components in a band; ``rows`` has band, n_band, doc_id, n, root, bytes.
+
+        A band of more than BLOCK_ROWS rows is cut into blocks by a hash, and each
+        pair of blocks is a task's unit of its own. Only pairs within the bounds
+        leave a task.
+        """
+        percent, total = self.percent, self.bands * self.band_rows
+        steps = least_matches(percent / 100, total)
+        blocks = F.ceil(F.col("n_band") / BLOCK_ROWS).cast("int")
+        own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+        other = F.explode(F.sequence(F.lit(0), blocks - 1))
+        dealt = rows.withColumn("own", own).withColumn("other", other)
+        dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "root", "bytes")
+        dealt = dealt.repartition(shuffle_tasks(self.spark), "band", "low", "high").sortWithinPartitions("band", "low", "high", "n")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in groups_of(batches, ["band", "low", "high"]):
+                doc, n, root, block = (group.column(c).to_numpy() for c in ("doc_id", "n", "root", "own"))
+                bytes_ = signatures(group.column("bytes"), total)
+                across = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+                # Rows are sorted by n, so partners of a fitting size stand right behind.
+                ends = np.searchsorted(n, 100 * n // percent, "right")
+                out_a, out_b = [], []
+                for i in range(len(doc) - 1):
+                    j = np.arange(i + 1, ends[i])
+                    j = j[root[j] != root[i]]
+                    if across:
+                        j = j[block[j] != block[i]]
+                    if len(j):
+                        j = j[within_bounds(np.broadcast_to(bytes_[i], (len(j), total)), bytes_[j], steps)]
+                        out_a.append(np.minimum(doc[i], doc[j]))
+                        out_b.append(np.maximum(doc[i], doc[j]))
+                if out_a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
+
+        return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+    def _verified(self, near: DataFrame) -> DataFrame:
+        """The pairs that are linked by their full sets."""
+        percent, shingle = self.percent, self.shingle
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last_text, last = None, None
@@ -161,8 +236,6 @@ class NearDuplicates:
                         keep.append(i)
                 yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-        sides = [classes.select(F.col("doc_id").alias(c), F.col("bytes").alias(f"bytes_{c}")) for c in ("a", "b")]
-        near = stored(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(prune, "a long, b long"), "near")
         wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         # A class's smallest id may stand in several rows; all of them have its set.
         texts = stored(self.docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
@@ -188,20 +261,19 @@ class NearDuplicates:
         in_band = join_groups(placed, bands, "band", "n_band", n_classes)
         star = in_band.filter((F.col("doc_id") != F.col("head.doc_id")) & self._size_fits("n", "head.n"))
         tried = stored(star.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "star-pairs")
-        links = self._similar(tried, classes)
+        links = self._verified(self._near(tried, classes))
         roots = connected(links)
 
         # Bands that still hold several components: pairs across components only.
         named = placed.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
         named = named.select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-        named = stored(join_groups(named, bands.select("band", "n_band"), "band", "n_band", n_classes).drop("n_band"), "named")
-        mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n_band"))
-        mixed = stored(mixed.filter("low < high").select("band", "n_band"), "mixed-bands")
-        rest = stored(join_groups(named, mixed, "band", "n_band", n_classes).drop("n_band"), "mixed-rows")
-        x, y = (rest.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "root"))) for s in "xy")
-        across = x.join(y, "band").filter((F.col("root_x") != F.col("root_y")) & (F.col("doc_id_x") < F.col("doc_id_y")))
-        across = across.filter(self._size_fits("n_x", "n_y")).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
-        more = self._similar(stored(across.distinct().join(tried, ["a", "b"], "left_anti"), "cross-pairs"), classes)
+        named = stored(join_groups(named, bands.select("band", "n_band"), "band", "n_band", n_classes), "named")
+        mixed = named.groupBy("band").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("n_band"))
+        mixed = stored(mixed.filter("first < last").select("band", "n_band"), "mixed-bands")
+        rest = join_groups(named.drop("n_band"), mixed, "band", "n_band", n_classes)
+        rest = rest.join(classes.select("doc_id", "bytes"), "doc_id")
+        near = stored(self._near_across(rest).join(tried, ["a", "b"], "left_anti"), "near-across")
+        more = self._verified(near)
         roots = connected(links.unionByName(more))
 
         heads = members.join(roots.withColumnRenamed("node", "class"), "class", "left")
