@@ -120,6 +120,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each text."""
+    """Keep one document of each text. Rows without id can't be told apart and stay."""
     index = DigestIndex(temp_name("pipeline_index"), shuffle_tasks(spark))
-    return docs.join(deduplicate(docs, index), "doc_id", "left_semi")
+    dropped = groups(docs, index).filter("doc_id <> keep_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti")

@@ -247,15 +247,19 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_DOCS, max_chars:
     return train(sample.text.tolist(), sample.lang.tolist()) if len(sample) else None
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], runs: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, keep: list[str], runs: bool = False, prefix: str = "") -> DataFrame:
     """Columns ``keep``, the language of the whole text and its score; with ``runs`` also the words' languages.
 
-    The languages of words come as stretches (lang, n_words).
+    The languages of words come as stretches (lang, n_words). ``prefix`` goes before the added names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     size = max(len(model.langs), 1) if model else 1
     limit = max(1 << 16, (4 << 20) * 16 // max(16, size * size))
-    names = [*keep, "lang_pred", "score", *(["word_langs"] if runs else [])]
+    added = [T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())]
+    if runs:
+        stretch = T._parse_datatype_string("array<struct<lang: string, n_words: int>>")
+        added.append(T.StructField(f"{prefix}word_langs", stretch))
+    schema = T.StructType([*(docs.schema[c] for c in keep), *added])
     run_type = pa.list_(pa.struct([("lang", pa.string()), ("n_words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +282,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], runs: bool =
             columns = [*(batch.column(c) for c in keep), pa.array(preds), pa.array(scores)]
             if runs:
                 columns.append(pa.array(stretches, run_type))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    added = T._parse_datatype_string("lang_pred string, score double" + ", word_langs array<struct<lang: string, n_words: int>>" * runs)
-    schema = T.StructType([*(docs.schema[c] for c in keep), *added])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -307,10 +309,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no letter, or no language that holds MIN_SCORE of the words."""
-    usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)
-    model = fit(docs, usable)
-    named = predict(docs, model, docs.columns)
+    """Drop documents without a language: no letter, or no language that holds MIN_SCORE of the words.
+
+    Without any known language nothing is dropped.
+    """
+    model = fit(docs, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     if model is None:
         return docs
-    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    named = predict(docs, model, docs.columns, prefix="__")
+    return named.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
