@@ -21,6 +21,8 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
+import unicodedata
 from collections.abc import Iterator
 
 import duckdb
@@ -28,6 +30,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +67,28 @@ SELECT d, unhex(string_agg(hex, '' ORDER BY p)) AS bytes FROM ids JOIN vocabular
 """
 
 
+def strays() -> dict[int, str]:
+    """Letters and numbers of a newer Unicode than the tokenizer library knows, each with a stand-in of no class.
+
+    The pattern's classes are those of the library, so it is asked about all
+    characters that this Python doesn't know yet.
+    """
+    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
+    newer = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    ranks = {bytes([i]): i for i in range(256)}
+    known = tiktoken.Encoding("classes", pat_str=r"[\p{L}\p{N}]", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return {ord(c): "\ue000" for c in newer if not known(c)}
+
+
 class Tokenizer:
     """The ranks of a file, with the merge table and vocabulary in a DuckDB of this process."""
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.split = regex.compile(pattern).findall
+        self.pieces = regex.compile(pattern).findall
+        self.strays = strays()
+        self.stray = regex.compile(f"[{regex.escape(''.join(map(chr, self.strays)))}]").search if self.strays else None
         self.byte_tokens = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.packed: dict[str, bytes] = {}
         ranks = self.ranks
@@ -86,6 +104,12 @@ class Tokenizer:
             self.sql.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.sql.unregister("given")
 
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or not self.stray or not self.stray(text):
+            return self.pieces(text)
+        ends = np.cumsum([len(x) for x in self.pieces(text.translate(self.strays))]).tolist()
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _rows(self, statement: str, name: str, table: pa.Table) -> pa.Table:
         self.sql.register(name, table)
         try:
