@@ -40,8 +40,8 @@ PREFIXES = (4, 5)
 SAMPLE_POSITIVE = 3000
 SAMPLE_UNLABELLED = 9000
 SAMPLE_CHARS = 20_000
-LEAST_DOCS = 4
-SMOOTHING = 12.0
+LEAST_SIGMAS = 2.0
+SMOOTHING = 4.0
 STEPS = 100
 LINE_STEPS = 3000
 RATE = 0.05
@@ -113,12 +113,14 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     buckets = np.concatenate(rows)
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     n, p, u = len(rows), len(parts[0]), len(parts[1])
-    # Buckets count by how much oftener confirmed documents have them, so that the many
-    # words that only tell single documents apart weigh little.
+    # Buckets count by how much oftener confirmed documents have them, where that is no
+    # chance, so that the many words that only tell single documents apart have no weight.
     in_positive = np.bincount(buckets[doc < p], minlength=BUCKETS)
     in_unlabelled = np.bincount(buckets[doc >= p], minlength=BUCKETS)
     lift = np.log((in_positive + SMOOTHING * p / n) / p) - np.log((in_unlabelled + SMOOTHING * u / n) / u)
-    scale = np.where(in_positive + in_unlabelled >= LEAST_DOCS, lift * np.abs(lift), 0)
+    expected = in_unlabelled * (p / u)
+    clear = np.abs(in_positive - expected) >= LEAST_SIGMAS * np.sqrt(expected + 1)
+    scale = np.where(clear, lift * np.abs(lift), 0)
     used = np.flatnonzero(scale)
     number = np.full(BUCKETS, -1)
     number[used] = np.arange(len(used))
