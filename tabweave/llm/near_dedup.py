@@ -9,9 +9,10 @@ verified on the full sets.
 
 Pairs of a band are not all listed. First every class is compared with the
 smallest class of its band, so a large group of copies costs one pair for each
-member. Where a band still holds several components after that, pairs across
-components are compared where the band's rows are, in blocks, and only those that
-the bounds let through are listed.
+member. Where a band still holds several components after that, signatures are
+compared across components where the band's rows are, in blocks. What stays
+within the bounds forms groups; a group's full sets are compared in blocks too,
+and only links leave a task.
 
 Null texts and texts without words have an empty set and are linked with nothing.
 Texts with fewer words than a shingle have their whole sequence as one shingle.
@@ -40,6 +41,7 @@ MISS = 1e-7
 BAND_ROWS = 6
 BATCH = 32
 BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_sets(column, size: int) -> Iterator[np.ndarray]:
@@ -132,6 +134,20 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.concat_batches(held)
 
 
+def partners(group: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers (i, all j > i) of two blocks, of other components and fitting size; rows are sorted by n."""
+    n, root, block = (group.column(c).to_numpy() for c in ("n", "root", "own"))
+    across = group.column("low")[0].as_py() != group.column("high")[0].as_py()
+    ends = np.searchsorted(n, 100 * n // percent, "right")
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, ends[i])
+        j = j[root[j] != root[i]]
+        if across:
+            j = j[block[j] != block[i]]
+        if len(j):
+            yield i, j
+
+
 class NearDuplicates:
     """Near-duplicate classes and components of ``docs`` (columns doc_id, text)."""
 
@@ -179,43 +195,82 @@ class NearDuplicates:
         sides = [classes.select(F.col("doc_id").alias(c), F.col("bytes").alias(f"bytes_{c}")) for c in ("a", "b")]
         return stored(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(prune, "a long, b long"), "near")
 
-    def _near_across(self, rows: DataFrame) -> DataFrame:
-        """The same for all pairs of different components in a band; ``rows`` has band, n_band, doc_id, n, root, bytes.
+    def _blocks(self, rows: DataFrame, group: str, weight) -> DataFrame:
+        """``rows`` dealt to pairs of blocks of their group, sorted by set size in each.
 
-        A band of more than BLOCK_ROWS rows is cut into blocks by a hash, and each
-        pair of blocks is a task's unit of its own. Only pairs within the bounds
-        leave a task.
+        A group is cut into so many blocks by a hash of the id that each has about
+        BLOCK_ROWS rows; every pair of blocks is a unit of its own.
         """
-        percent, total = self.percent, self.bands * self.band_rows
-        steps = least_matches(percent / 100, total)
-        blocks = F.ceil(F.col("n_band") / BLOCK_ROWS).cast("int")
+        blocks = F.greatest(F.lit(1), F.ceil(weight)).cast("int")
         own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
         other = F.explode(F.sequence(F.lit(0), blocks - 1))
         dealt = rows.withColumn("own", own).withColumn("other", other)
-        dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "root", "bytes")
-        dealt = dealt.repartition(shuffle_tasks(self.spark), "band", "low", "high").sortWithinPartitions("band", "low", "high", "n")
+        dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+        return dealt.repartition(shuffle_tasks(self.spark), group, "low", "high").sortWithinPartitions(group, "low", "high", "n", "doc_id")
+
+    def _candidates(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) that connect all rows of a band whose signatures stay within the bounds across components.
+
+        ``rows`` has band, n_band, doc_id, n, root and bytes. A band's rows give at
+        most one pair each, however many of them are alike.
+        """
+        percent, total = self.percent, self.bands * self.band_rows
+        steps = least_matches(percent / 100, total)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in groups_of(batches, ["band", "low", "high"]):
-                doc, n, root, block = (group.column(c).to_numpy() for c in ("doc_id", "n", "root", "own"))
-                bytes_ = signatures(group.column("bytes"), total)
-                across = group.column("low")[0].as_py() != group.column("high")[0].as_py()
-                # Rows are sorted by n, so partners of a fitting size stand right behind.
-                ends = np.searchsorted(n, 100 * n // percent, "right")
-                out_a, out_b = [], []
-                for i in range(len(doc) - 1):
-                    j = np.arange(i + 1, ends[i])
-                    j = j[root[j] != root[i]]
-                    if across:
-                        j = j[block[j] != block[i]]
+                doc, bytes_ = group.column("doc_id").to_numpy(), signatures(group.column("bytes"), total)
+                head = np.arange(len(doc))
+                for i, j in partners(group, percent):
+                    j = j[within_bounds(np.broadcast_to(bytes_[i], (len(j), total)), bytes_[j], steps)]
                     if len(j):
-                        j = j[within_bounds(np.broadcast_to(bytes_[i], (len(j), total)), bytes_[j], steps)]
-                        out_a.append(np.minimum(doc[i], doc[j]))
-                        out_b.append(np.maximum(doc[i], doc[j]))
+                        joined = np.unique(np.append(head[j], head[i]))
+                        head[np.isin(head, joined)] = joined[0]
+                on = np.flatnonzero(head != np.arange(len(doc)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[head[on]]), pa.array(doc[on])], ["a", "b"])
+
+        dealt = self._blocks(rows, "band", F.col("n_band") / BLOCK_ROWS)
+        return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+    def _across(self, candidates: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links between different components: full sets of all that candidates connect, compared in blocks."""
+        percent, shingle, total = self.percent, self.shingle, self.bands * self.band_rows
+        steps = least_matches(percent / 100, total)
+        groups = connected(candidates)
+        groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "candidate-groups")
+        members = groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
+        members = members.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        members = members.join(classes.select("doc_id", "n", "bytes"), "doc_id")
+        members = stored(members, "candidate-members")
+        sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n_group"), F.sum("n").alias("n_all"))
+        sizes = stored(sizes, "candidate-sizes")
+        texts = self.docs.join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        rows = join_groups(members, sizes, "group", "n_group", members.count()).join(texts, "doc_id")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in groups_of(batches, ["group", "low", "high"]):
+                doc, n, bytes_ = part.column("doc_id").to_numpy(), part.column("n").to_numpy(), signatures(part.column("bytes"), total)
+                sets = list(shingle_sets(part.column("text"), shingle))
+                flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                firsts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                mark = np.zeros(len(flat), bool)
+                out_a, out_b = [], []
+                for i, j in partners(part, percent):
+                    j = j[within_bounds(np.broadcast_to(bytes_[i], (len(j), total)), bytes_[j], steps)]
+                    if not len(j):
+                        continue
+                    mark[flat[firsts[i] : firsts[i + 1]]] = True
+                    low = firsts[i + 1]
+                    both = np.add.reduceat(mark[flat[low:]], firsts[i + 1 : -1] - low, dtype=np.int64)[j - i - 1]
+                    mark[flat[firsts[i] : firsts[i + 1]]] = False
+                    j = j[100 * both >= percent * (n[i] + n[j] - both)]
+                    out_a.append(np.minimum(doc[i], doc[j]))
+                    out_b.append(np.maximum(doc[i], doc[j]))
                 if out_a:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
 
-        return dealt.mapInArrow(compare, "a long, b long").distinct()
+        weight = F.greatest(F.col("n_group") / BLOCK_ROWS, F.col("n_all") / BLOCK_SHINGLES)
+        return stored(self._blocks(rows, "group", weight).mapInArrow(compare, "a long, b long"), "links-across")
 
     def _verified(self, near: DataFrame) -> DataFrame:
         """The pairs that are linked by their full sets."""
@@ -272,8 +327,7 @@ class NearDuplicates:
         mixed = stored(mixed.filter("first < last").select("band", "n_band"), "mixed-bands")
         rest = join_groups(named.drop("n_band"), mixed, "band", "n_band", n_classes)
         rest = rest.join(classes.select("doc_id", "bytes"), "doc_id")
-        near = stored(self._near_across(rest).join(tried, ["a", "b"], "left_anti"), "near-across")
-        more = self._verified(near)
+        more = self._across(self._candidates(rest), classes, roots)
         roots = connected(links.unionByName(more))
 
         heads = members.join(roots.withColumnRenamed("node", "class"), "class", "left")
