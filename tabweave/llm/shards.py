@@ -15,9 +15,11 @@ gives an empty result.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.base import query
@@ -27,7 +29,7 @@ SHARDS = 40
 ROW_BYTES = 16
 SHARES = 64
 BUCKET_GROUPS = 4000
-SLOT_ROWS = 4000
+PART_ROWS = 4000
 DIMENSIONS = ["size", "tokens", "rows"]
 
 
@@ -91,15 +93,15 @@ def pack(rows: DataFrame, shards: int = SHARDS, shares: int = SHARES) -> DataFra
     for at, k in sorted(zip(order, chosen, strict=True)):
         of_group.setdefault(pieces[at][0], []).append(int(k))
     placed = F.broadcast(spark.createDataFrame(list(of_group.items()), "group string, places array<int>"))
-    # Rows of a cut group are dealt to its pieces by the hash of their id.
-    piece = F.pmod(F.xxhash64("doc_id", "size"), F.size("places")).cast("int")
-    near = rows.join(placed, "group").withColumn("shard", F.get("places", piece)).drop("places")
+    near = numbered(stored(rows.join(placed, "group"), "large-groups"), "group", "number")
+    piece = F.pmod(F.col("number"), F.size("places").cast("long")).cast("int")
+    near = near.withColumn("shard", F.get("places", piece)).drop("places", "number")
 
     buckets = max(1, -(-n_groups // BUCKET_GROUPS))
     room = capacity.clip(0)
     share = room / np.maximum(room.sum(0), 1e-9)
 
-    def pack_bucket(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack_bucket(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         v = frame[DIMENSIONS].to_numpy(float)
         order = np.lexsort((frame.group.to_numpy(), -(v / limits).max(1)))
         out = np.empty(len(v), np.int64)
@@ -112,24 +114,22 @@ def pack(rows: DataFrame, shards: int = SHARDS, shares: int = SHARES) -> DataFra
     return near.unionByName(far)
 
 
-def slots(rows: DataFrame) -> DataFrame:
-    """Gapless positions from 0 in each shard: rows are numbered in small parts, parts by running sums."""
-    from pyspark.sql import Window
-
-    parts = max(1, -(-rows.count() // SLOT_ROWS))
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Gapless numbers from 0 within each ``key``: rows are numbered in small parts, parts by running sums."""
+    parts = max(1, -(-rows.count() // PART_ROWS))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "group"), F.lit(parts)).cast("int"))
-    counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("part", "shard").orderBy("doc_id", "group")
-    numbered = rows.withColumn("at", F.row_number().over(own) - 1)
-    return numbered.join(stored(starts, "starts"), ["part", "shard"]).withColumn("slot", F.col("at") + F.col("start")).drop("part", "at", "start")
+    counts = rows.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(counts.select(key, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
+    own = Window.partitionBy("part", key).orderBy("doc_id", "group")
+    out = rows.withColumn("at", F.row_number().over(own) - 1).join(starts, ["part", key])
+    return out.withColumn(name, F.col("at") + F.col("start")).drop("part", "at", "start")
 
 
 @query("op2_shards")
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(sized(documents(spark, sf_dir)), "sized")
-    placed = slots(stored(pack(rows), "packed"))
+    placed = numbered(stored(pack(rows), "packed"), "shard", "slot")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "tokens",
