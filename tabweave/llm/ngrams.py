@@ -46,7 +46,7 @@ from tabweave.session import scratch_dir
 
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E44000000002)
 SHARD_BYTES = 8 << 20
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 #: A first word with more than 1 / (HOT * shards) of all tokens is spread.
 HOT = 4
 BLOB = "bucket int, kind string, a binary, b binary"

@@ -25,7 +25,7 @@ def plain_words(text, pattern=r"[^\x20\x09-\x0D]+", lower=False):
     ("table", "pattern"), [(tx.SPACED, r"[^\x20\x09-\x0D]+"), (tx.ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")]
 )
 def test_words(table, pattern, monkeypatch):
-    monkeypatch.setattr(tx, "BLOCK_BYTES", 16)
+    monkeypatch.setattr(tx, "HASH_BYTES", 16)
     h, firsts = tx.words(pa.array(TEXTS), table, lower=True)
     want = [plain_words(t, pattern, lower=True) for t in TEXTS]
     assert np.diff(firsts).tolist() == [len(w) for w in want]
