@@ -88,7 +88,7 @@ class Tokenizer:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pieces = regex.compile(pattern).findall
         self.strays = strays()
-        self.stray = regex.compile(f"[{regex.escape(''.join(map(chr, self.strays)))}]").search if self.strays else None
+        self.stray_chars = frozenset(map(chr, self.strays))
         self.byte_tokens = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.packed: dict[str, bytes] = {}
         ranks = self.ranks
@@ -105,7 +105,7 @@ class Tokenizer:
             self.sql.unregister("given")
 
     def split(self, text: str) -> list[str]:
-        if text.isascii() or not self.stray or not self.stray(text):
+        if text.isascii() or self.stray_chars.isdisjoint(text):
             return self.pieces(text)
         ends = np.cumsum([len(x) for x in self.pieces(text.translate(self.strays))]).tolist()
         return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
