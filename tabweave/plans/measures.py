@@ -63,12 +63,16 @@ class Scope:
 
 @dataclass(frozen=True)
 class Measure:
-    """``finish`` gets the base results, or for a compound the measures it needs."""
+    """``finish`` gets the base results, or for a compound the measures it needs.
+
+    ``changes`` are context changes of a compound; they apply to the measures it needs.
+    """
 
     name: str
     base: Mapping[str, Agg] = field(default_factory=dict)
     finish: Callable[[Parts], Column] = lambda parts: parts["value"]
     needs: tuple[str, ...] = ()
+    changes: tuple[Callable[[Measure], Measure], ...] = ()
     scope: Scope = Scope()
     tables: tuple[str, ...] = ()
     format_string: str | None = None
@@ -92,13 +96,18 @@ def _slot(measure: Measure, part: str) -> str:
 # -- base measures -------------------------------------------------------
 
 
+def _sum_of_counts(counts: Column) -> Column:
+    """Counts merged; the count of nothing is 0."""
+    return F.coalesce(F.sum(counts), F.lit(0))
+
+
 def sum_(name: str, value: Column | str) -> Measure:
     return Measure(name, {"value": Agg(F.sum, value, F.sum)})
 
 
 def count(name: str, value: Column | str | int) -> Measure:
     """Non-NULL values."""
-    return Measure(name, {"value": Agg(F.count, value, F.sum)})
+    return Measure(name, {"value": Agg(F.count, value, _sum_of_counts)})
 
 
 def count_rows(name: str) -> Measure:
@@ -118,7 +127,7 @@ def average(name: str, value: Column | str) -> Measure:
     """Kept as sum and count, so partial results can be merged."""
     return Measure(
         name,
-        {"sum": Agg(F.sum, value, F.sum), "count": Agg(F.count, value, F.sum)},
+        {"sum": Agg(F.sum, value, F.sum), "count": Agg(F.count, value, _sum_of_counts)},
         lambda parts: divide(parts["sum"], parts["count"]),
     )
 
@@ -165,17 +174,49 @@ def ratio(name: str, numerator: str, denominator: str, alternative: object = Non
 # -- context changes -----------------------------------------------------
 
 
-def _base_only(measure: Measure) -> None:
+def _changed(measure: Measure, change: Callable[[Measure], Measure], name: str | None) -> Measure:
+    """The measure in a changed context. A compound hands the change on to the measures it needs."""
+    name = name or measure.name
     if measure.needs:
-        raise ValueError(f"{measure.name}: change the context of the base measures of a compound instead")
+        return replace(measure, name=name, changes=(*measure.changes, change))
+    return replace(change(measure), name=name)
+
+
+def resolved(measures: Iterable[Measure]) -> list[Measure]:
+    """The measures with every changed compound over changed copies of what it needs."""
+    given = {m.name: m for m in measures}
+    out: dict[str, Measure] = {}
+
+    def add(measure: Measure) -> None:
+        copies = {}
+        if measure.changes:
+            for need in measure.needs:
+                if need not in given:
+                    raise KeyError(f"measure {need} is needed but not given")
+                copy = reduce(lambda m, change: _changed(m, change, None), measure.changes, given[need])
+                copies[need] = f"{need} of {measure.name}"
+                add(replace(copy, name=copies[need]))
+            finish = measure.finish
+            measure = replace(
+                measure,
+                needs=tuple(copies.values()),
+                changes=(),
+                finish=lambda parts: finish({need: parts[copy] for need, copy in copies.items()}),
+            )
+        out[measure.name] = measure
+
+    for measure in given.values():
+        add(measure)
+    return list(out.values())
 
 
 def calculate_filter(measure: Measure, predicate: Column, name: str | None = None) -> Measure:
     """The measure over rows that also satisfy ``predicate``; others are unaffected."""
-    _base_only(measure)
-    return replace(
-        measure, name=name or measure.name, base={k: a.where(predicate) for k, a in measure.base.items()}
-    )
+
+    def change(m: Measure) -> Measure:
+        return replace(m, base={k: a.where(predicate) for k, a in m.base.items()})
+
+    return _changed(measure, change, name)
 
 
 def calculate_keepfilters(measure: Measure, predicate: Column, name: str | None = None) -> Measure:
@@ -184,8 +225,7 @@ def calculate_keepfilters(measure: Measure, predicate: Column, name: str | None
 
 
 def _scoped(measure: Measure, scope: Scope, name: str | None) -> Measure:
-    _base_only(measure)
-    return replace(measure, name=name or measure.name, scope=scope)
+    return _changed(measure, lambda m: replace(m, scope=scope), name)
 
 
 def calculate_all(measure: Measure, name: str | None = None) -> Measure:
@@ -229,7 +269,9 @@ def _predicate(where: Where, only: Sequence[str] | None = None) -> Column | None
     if where is None:
         return None
     if isinstance(where, Column):
-        return where if only is None else None
+        if only is not None:
+            raise ValueError("a measure that keeps some columns' filters needs the query filter given per column")
+        return where
     parts = [p for column, p in where.items() if only is None or column in only]
     return reduce(lambda a, b: a & b, parts) if parts else None
 
@@ -314,6 +356,8 @@ def evaluate(
     own columns. Totals of wider scopes are aggregated from the base rows and
     attached as scalar subqueries, or joined on the kept columns.
     """
+    show = show or [m.name for m in measures]
+    measures = resolved(measures)
     bases = [m for m in measures if not m.needs]
     local = [m for m in bases if m.scope.kind == "local"]
     selected = _filtered(df, _predicate(where))
@@ -345,6 +389,7 @@ def mergeable(measures: Iterable[Measure]) -> bool:
 
 def preaggregate(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], where: Where = None) -> DataFrame:
     """Partial results per group, to be stored and re-aggregated later."""
+    measures = resolved(measures)
     for m in measures:
         if any(a.merge is None for a in m.base.values()):
             raise ValueError(f"{m.name} cannot be computed from partial results")
@@ -354,6 +399,7 @@ def preaggregate(df: DataFrame, measures: Sequence[Measure], by: Sequence[str],
 
 def merge_partials(partials: DataFrame, measures: Sequence[Measure], by: Sequence[str]) -> DataFrame:
     """Partial results of several inputs or finer groups merged per ``by``."""
+    measures = resolved(measures)
     merges = [
         a.merge(_quoted(_slot(m, p))).alias(_slot(m, p)) for m in measures if not m.needs for p, a in m.base.items()
     ]
@@ -368,7 +414,7 @@ class Reduction:
     """
 
     def __init__(self, measures: Sequence[Measure]):
-        self.measures = list(measures)
+        self.measures = resolved(measures)
         aggs = {_slot(m, p): a for m in measures if not m.needs for p, a in m.base.items()}
         self.partial = {s: a for s, a in aggs.items() if a.merge}
         self.values = {s: a for s, a in aggs.items() if a.distinct}
@@ -406,7 +452,7 @@ def reaggregate(
 ) -> DataFrame:
     """Answer a coarser query from stored partial results."""
     merged = merge_partials(_filtered(partials, _predicate(where)), measures, by)
-    return _finished(merged, measures, by, show)
+    return _finished(merged, resolved(measures), by, show or [m.name for m in measures])
 
 
 def _depth(levels: Sequence[str]) -> Column:
@@ -425,6 +471,8 @@ def hierarchy_rollup(
     Mergeable measures are aggregated to the leaf level first, so the copies a
     rollup makes are of grouped rows.
     """
+    show = show or [m.name for m in measures]
+    measures = resolved(measures)
     bases = [m for m in measures if not m.needs]
     if mergeable(bases):
         leaves = preaggregate(df, bases, levels, where)

@@ -57,15 +57,38 @@ class SemanticModel:
     def table(self, name: str, role: str | None = None) -> DataFrame:
         """The table as the role sees it; a hidden table does not exist for it."""
         rules = self.roles[role] if role else Role()
+        if name in rules.hidden_tables:
+            raise PermissionError(f"table {name} does not exist or is not authorized")
+        return self._rows(name, role).drop(*rules.hidden_columns.get(name, ()))
+
+    def _rows(self, name: str, role: str | None) -> DataFrame:
+        """The table's rows for the role, with the key columns that joins need even where they are hidden."""
+        rules = self.roles[role] if role else Role()
         if name in rules.hidden_tables:
             raise PermissionError(f"table {name} does not exist or is not authorized")
         df = self.tables[name]
         if name in rules.rows:
             df = rules.rows[name](df)
-        return df.drop(*rules.hidden_columns.get(name, ()))
+        keys = {r.from_column for r in self.relationships if r.from_table == name}
+        keys |= {r.to_column for r in self.relationships if r.to_table == name}
+        return df.drop(*[c for c in rules.hidden_columns.get(name, ()) if c not in keys])
 
-    def perspective(self, name: str, table: str) -> DataFrame:
-        return perspective_view(self.tables[table], self.perspectives[name][table])
+    def visible(self, role: str | None = None) -> dict[str, list[str]]:
+        """The tables and columns that the role can see."""
+        hidden = self.roles[role].hidden_tables if role else ()
+        return {name: self.table(name, role).columns for name in self.tables if name not in hidden}
+
+    def _allowed(self, columns: Sequence[str], role: str | None) -> None:
+        """Raise where the role names a hidden column."""
+        hidden = {c for cs in self.roles[role].hidden_columns.values() for c in cs} if role else set()
+        for c in columns:
+            if c in hidden:
+                raise PermissionError(f"column {c} does not exist or is not authorized")
+
+    def perspective(self, name: str, table: str, role: str | None = None) -> DataFrame:
+        """The perspective's columns of the table, as the role sees it."""
+        seen = self.table(table, role)
+        return perspective_view(seen, [c for c in self.perspectives[name][table] if c in seen.columns])
 
     def _links(self, use: Sequence[str], ignore: Sequence[str]) -> list[Relationship]:
         """Relationships in force. One named in ``use`` replaces the active one between the same tables."""
@@ -91,10 +114,12 @@ class SemanticModel:
         Only the paths to the wanted tables are joined. A relationship that
         filters in both directions is an inner join, every other a left join.
         """
-        df = self.table(fact, role)
-        for link in self._steps(fact, tables, role, use, ignore):
+        df = self._rows(fact, role)
+        steps = self._steps(fact, tables, role, use, ignore)
+        for link in steps:
             df = self._attach(df, link, role)
-        return df
+        rules = self.roles[role] if role else Role()
+        return df.drop(*[c for t in [fact, *(link.to_table for link in steps)] for c in rules.hidden_columns.get(t, ())])
 
     def _steps(
         self, fact: str, tables: Sequence[str] | None, role: str | None, use: Sequence[str], ignore: Sequence[str]
@@ -119,7 +144,7 @@ class SemanticModel:
     def _attach(self, df: DataFrame, link: Relationship, role: str | None) -> DataFrame:
         secured = bool(role) and link.to_table in self.roles[role].rows
         how = "inner" if link.both_directions or secured else "left"
-        one = self.table(link.to_table, role)
+        one = self._rows(link.to_table, role)
         if link.from_column == link.to_column:
             return equi_join(df, one, link.from_column, how)
         return equi_join(df, one.withColumn("__to", F.col(link.to_column)), {link.from_column: "__to"}, how)
@@ -144,13 +169,14 @@ class SemanticModel:
     ) -> DataFrame:
         """Metrics at every level of a hierarchy, the total at depth 0."""
         levels, measures = self.hierarchies[hierarchy], list(self._needed(metrics).values())
+        self._allowed([*levels, *(where or {})], role)
         tables = [self.owner(c) for c in [*levels, *(where or {})]] + [t for m in measures for t in m.tables]
         steps = self._steps(fact, list(dict.fromkeys(tables)), role, (), ())
         reduction = Reduction(measures)
         reduced = self._reduced_star(fact, steps, reduction, levels, where or {}, {}, role)
         if reduced is not None:
             return reduction.finish(reduced, levels, list(metrics), rollup=True)
-        rows = self.table(fact, role)
+        rows = self._rows(fact, role)
         for link in steps:
             rows = self._attach(rows, link, role)
         return hierarchy_rollup(rows, levels, measures, where, list(metrics))
@@ -180,6 +206,7 @@ class SemanticModel:
         grouping and filter columns.
         """
         columns, needed = dict(columns or {}), self._needed(metrics)
+        self._allowed([*by, *(where or {})], role)
         tables = list(tables) + [self.owner(c) for c in [*by, *(where or {})] if c not in columns]
         tables += [t for m in needed.values() for t in m.tables]
         steps = self._steps(fact, list(dict.fromkeys(tables)), role, use, ignore)
@@ -188,7 +215,7 @@ class SemanticModel:
         reduced = self._reduced_star(fact, steps, reduction, by, where, columns, role)
         if reduced is not None:
             return reduction.finish(reduced, by, list(metrics))
-        rows = self.table(fact, role)
+        rows = self._rows(fact, role)
         for link in steps:
             rows = self._attach(rows, link, role)
         if columns:
@@ -212,12 +239,12 @@ class SemanticModel:
         partial sums instead of fact rows.
         """
         bases = [m for m in reduction.measures if not m.needs]
-        df = self.table(fact, role)
+        df = self._rows(fact, role)
         if not reduction.complete or any(m.scope.kind != "local" for m in bases):
             return None
         if not _resolves(df.groupBy(), [a.column() for m in bases for a in m.base.values()]):
             return None
-        if all(fits_broadcast(self.table(link.to_table, role)) for link in steps):
+        if all(fits_broadcast(self._rows(link.to_table, role)) for link in steps):
             return None
         waiting, underived, reduced = dict(where), dict(columns), False
         for i, link in enumerate([*steps, None]):
@@ -227,7 +254,7 @@ class SemanticModel:
                 df = df.where(waiting.pop(name))
             if link is None:
                 break
-            if not fits_broadcast(self.table(link.to_table, role)):
+            if not fits_broadcast(self._rows(link.to_table, role)):
                 later = {step.from_column for step in steps[i:]} | set(by)
                 keys = [c for c in df.columns if c in later]
                 df = reduction.reduce(df, keys) if reduced else reduction.start(df, keys)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tabweave.operators.joins import null_safe_join
 from tabweave.plans.measures import Measure, calculate_filter
 
-#: First day and length of the default calendar (fixed values).
+#: First day and length of the default calendar (fixed values): 2000-01-01 to 2049-12-31.
+#: ``date_spine_of`` covers the dates that a table holds.
 CALENDAR_START = "2000-01-01"
 CALENDAR_DAYS = 18263
 
@@ -79,8 +80,12 @@ def densify_dates(
     """Give every key a row for every day from ``start`` to ``end``.
 
     The grid grows from the distinct keys by a date sequence per key; ``df`` has
-    at most one row per key and day. Days outside the range are left out.
+    at most one row per key and day. A row outside the range is an error when the
+    result is computed, as it would be lost.
     """
+    outside = f"{date_col} lies outside {start} to {end}"
+    inside = F.col(date_col).cast("date").between(_date(start), _date(end)) | F.col(date_col).isNull()
+    df = df.withColumn(date_col, F.when(inside, F.col(date_col)).otherwise(F.raise_error(F.lit(outside))))
     days = F.explode(F.sequence(_date(start), _date(end))).alias(date_col)
     seeds = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
     grid = seeds.select(*keys, days)

@@ -104,8 +104,8 @@ def test_compounds_resolve_in_any_order(sales):
     assert rows(m.evaluate(sales, measures, show=["double_share"])) == [(60.0 / 36,)]
     with pytest.raises(KeyError):
         m.evaluate(sales, [m.ratio("x", "amount", "absent"), AMOUNT])
-    with pytest.raises(ValueError):
-        m.calculate_filter(measures[1], F.lit(True))
+    with pytest.raises(KeyError):
+        m.evaluate(sales, [m.calculate_filter(m.ratio("x", "amount", "absent"), F.lit(True)), AMOUNT])
 
 
 def test_ratio_by_zero(spark):
@@ -223,3 +223,44 @@ def test_roles(star):
 def test_unreachable_table(star):
     with pytest.raises(ValueError):
         star.star("store", ["maker"])
+
+
+def test_counts_of_nothing_are_zero(spark):
+    """Direct, from partial results, and through a model with large and small dimensions."""
+    df = spark.createDataFrame([(1, 10, 2.0), (2, 20, 3.0)], "k int, d int, v double")
+    measures = [m.count_rows("n"), m.count("v_n", "v"), m.average("mean", "v"), m.sum_("v_sum", "v")]
+    nothing = {"k": F.col("k") > 5}
+    want = [(0, 0, None, None)]
+    assert rows(m.evaluate(df, measures, where=nothing)) == want
+    assert rows(m.reaggregate(m.preaggregate(df, measures, ["k"]), measures, where=nothing)) == want
+    dim = spark.createDataFrame([(10, "a"), (20, "b")], "key int, name string")
+    model = SemanticModel({"f": df, "d": dim}, [Relationship("f", "d", "d", "key")], measures)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (threshold, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            names = [x.name for x in measures]
+            assert rows(model.query("f", names, where={"name": F.col("name") == "z"})) == want
+            assert rows(model.query("f", names, ["name"])) == [("a", 1, 1, 2.0, 2.0), ("b", 1, 1, 3.0, 3.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_context_changes_of_compounds(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 6.0)], "g string, k int, v double")
+    base = [m.sum_("v", "v"), m.count_rows("n"), m.ratio("mean", "v", "n")]
+    nested = m.compound("double", ("mean",), lambda p: p["mean"] * 2)
+    changed = [
+        m.calculate_filter(base[2], F.col("k") == 1, "first"),
+        m.calculate_all(nested, "all"),
+        m.calculate_filter(m.calculate_allselected(base[2]), F.col("k") == 1, "first_all"),
+        m.calculate_allexcept(base[2], ["g"], "of_g"),
+    ]
+    shown = [x.name for x in changed]
+    got = m.evaluate(df, [*base, nested, *changed], ["g"], {"k": F.col("k") < 3}, show=shown)
+    assert rows(got) == [("a", 2.0, 8.0, 4.0, 3.0), ("b", 6.0, 8.0, 4.0, 6.0)]
+    items = {"first": lambda x: m.calculate_filter(x, F.col("k") == 1), "now": lambda x: x}
+    expanded = m.calc_group_expand([base[2]], items)
+    assert rows(m.evaluate(df, [*base, *expanded], ["g"], show=[x.name for x in expanded])) == [("a", 2.0, 3.0), ("b", 6.0, 6.0)]
+    with pytest.raises(ValueError):
+        m.evaluate(df, [*base, m.calculate_allexcept(base[0], ["g"], "x")], ["g"], F.col("k") < 3)

@@ -252,13 +252,18 @@ def selected_value(spark, sf_dir):
 @query(
     "calculate_filter",
     f"""SELECT p_brand, CAST(sum({REVENUE}) AS DOUBLE) AS revenue,
-  CAST(sum(CASE WHEN p_type = 'PROMO' THEN {REVENUE} END) AS DOUBLE) AS promo_revenue
+  CAST(sum(CASE WHEN p_type = 'PROMO' THEN {REVENUE} END) AS DOUBLE) AS promo_revenue,
+  round(sum(CASE WHEN p_type = 'PROMO' THEN l_quantity END) / count(CASE WHEN p_type = 'PROMO' THEN 1 END), 9) AS promo_size
 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1""",
 )
 def calculate_filter(spark, sf_dir):
     base = m.sum_("revenue", revenue())
     promo = m.calculate_filter(base, F.col("p_type") == "PROMO", "promo_revenue")
-    out = sales_model(spark, sf_dir, [base, promo]).query("lineitem", ["revenue", "promo_revenue"], by=["p_brand"])
+    sizes = [m.sum_("quantity", "l_quantity"), m.count_rows("lines"), m.ratio("size", "quantity", "lines")]
+    promo_size = m.calculate_filter(sizes[2], F.col("p_type") == "PROMO", "promo_size")
+    model = sales_model(spark, sf_dir, [base, promo, *sizes, promo_size])
+    out = model.query("lineitem", ["revenue", "promo_revenue", "promo_size"], by=["p_brand"])
+    out = out.withColumn("promo_size", F.round("promo_size", 9))
     return revenues(out, "revenue", "promo_revenue")
 
 
@@ -400,7 +405,7 @@ def compound_measure(spark, sf_dir):
 AS_OF = "2000-08-15"
 
 
-def _item_sql(base: str, name: str) -> str:
+def _item_sql(base: str, name: str, shown: str = "{}") -> str:
     day = "CAST(o_orderdate AS DATE)"
     bounds = {
         "MTD": "DATE '2000-08-01' AND DATE '2000-08-15'",
@@ -409,20 +414,21 @@ def _item_sql(base: str, name: str) -> str:
         "PY": "DATE '1999-01-01' AND DATE '1999-08-15'",
     }
     columns = [
-        f"CAST({base} FILTER (WHERE {day} BETWEEN {b}) AS DOUBLE) AS \"{name} {item}\"" for item, b in bounds.items()
+        f"CAST({shown.format(f'{base} FILTER (WHERE {day} BETWEEN {b})')} AS DOUBLE) AS \"{name} {item}\""
+        for item, b in bounds.items()
     ]
-    return ", ".join([*columns, f'CAST({base} AS DOUBLE) AS "{name} Current"'])
+    return ", ".join([*columns, f'CAST({shown.format(base)} AS DOUBLE) AS "{name} Current"'])
 
 
 @query(
     "calc_group_expand",
-    f"SELECT o_orderpriority, {_item_sql(f'sum({ORDER_TOTAL})', 'Total')}, {_item_sql('count(*)', 'Orders')} FROM orders GROUP BY 1",
+    f"SELECT o_orderpriority, {_item_sql(f'sum({ORDER_TOTAL})', 'Total')}, {_item_sql('count(*)', 'Orders')}, {_item_sql('avg(cents)', 'Mean', 'round({}, 2)')} FROM (SELECT *, CAST(round(o_totalprice * 100) AS DOUBLE) AS cents FROM orders) GROUP BY 1",
 )
 def calc_group_expand(spark, sf_dir):
-    measures = m.calc_group_expand(
-        [m.sum_("Total", order_total()), m.count_rows("Orders")], time_items("o_orderdate", AS_OF), {"PY": "0.00"}
-    )
-    out = m.evaluate(table(spark, sf_dir, "orders"), measures, ["o_orderpriority"])
+    bases = [m.sum_("Total", order_total()), m.count_rows("Orders"), m.ratio("Mean", "Total", "Orders")]
+    measures = m.calc_group_expand(bases, time_items("o_orderdate", AS_OF), {"PY": "0.00"})
+    out = m.evaluate(table(spark, sf_dir, "orders"), [*bases, *measures], ["o_orderpriority"], show=[x.name for x in measures])
+    out = out.withColumns({x.name: F.round(x.name, 2) for x in measures if x.name.startswith("Mean")})
     names = [x.name for x in measures]
     out = amounts(out, *[n for n in names if n.startswith("Total")])
     return doubles(out, *[n for n in names if n.startswith("Orders")])
