@@ -58,32 +58,28 @@ def if_error(value: Column, alternative: Value) -> Column:
     return F.coalesce(value, _c(alternative))
 
 
-#: Text that is a decimal number, with or without exponent, and a whole number.
+#: Text that is a decimal number, with or without exponent.
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-WHOLE_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
-#: Text that starts like a date or timestamp.
-DATE_PATTERN = r"^\s*[0-9]{4}-[0-9]{1,2}"
+#: A digit, or one of the words for special numbers.
+FRACTION_SCREEN = r"(?i)[0-9]|^[\x00-\x20]*[+-]?(nan|inf|infinity)[\x00-\x20]*$"
 #: Texts that stand for a truth value (fixed values).
 LOGICAL_TEXTS = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
 
 
 def safe_cast(text: Column, kind: str) -> Column:
-    """``try_cast`` of text that is screened first.
+    """``try_cast`` of text; what cannot convert at all is screened first.
 
     A conversion that fails raises and catches an exception for its row, which
-    costs a hundred times more than a pattern match.
+    costs a hundred times more than a pattern match. The screen only stops text
+    without any digit that is not one of the words Spark converts.
     """
     family = kind.split("(")[0].lower()
     if family == "variant":
         return F.try_parse_json(text)
     if family in ("double", "float", "decimal"):
-        fits = text.rlike(NUMBER_PATTERN)
-    elif family in ("tinyint", "smallint", "int", "bigint", "long", "integer"):
-        fits = text.rlike(WHOLE_PATTERN)
-    elif family.startswith(("date", "timestamp")):
-        fits = text.rlike(DATE_PATTERN)
-    elif family == "boolean":
-        fits = F.lower(F.trim(text)).isin(*LOGICAL_TEXTS)
+        fits = text.rlike(FRACTION_SCREEN)
+    elif family in ("tinyint", "smallint", "int", "bigint", "long", "integer") or family.startswith(("date", "timestamp")):
+        fits = text.rlike("[0-9]")
     else:
         return text.try_cast(kind)
     return F.when(fits, text.try_cast(kind))
@@ -115,24 +111,24 @@ def mod(x: Column, n: Value) -> Column:
 
 
 def round_up(x: Column, digits: int) -> Column:
-    """Away from zero."""
-    scale = F.lit(float(10**digits))
-    return F.signum(x) * F.ceil(F.abs(x) * scale) / scale
+    """Away from zero, in the decimal digits that the number shows."""
+    scale = 10**digits
+    return F.signum(x) * F.ceil(F.abs(x).cast("decimal(28,12)") * scale).cast("double") / float(scale)
 
 
 def round_down(x: Column, digits: int) -> Column:
-    """Towards zero."""
-    scale = F.lit(float(10**digits))
-    return F.signum(x) * F.floor(F.abs(x) * scale) / scale
+    """Towards zero, in the decimal digits that the number shows."""
+    scale = 10**digits
+    return F.signum(x) * F.floor(F.abs(x).cast("decimal(28,12)") * scale).cast("double") / float(scale)
 
 
 def to_units(x: Column, digits: int = 2) -> Column:
-    """A fractional amount as a whole number of units of its last digit.
+    """A fractional amount as a whole number (bigint) of units of its last digit.
 
-    Sums of whole numbers do not depend on the order of the rows as long as they
-    stay below 2**53, and they cost what a double sum costs, not a decimal sum.
+    Sums of whole numbers are exact and do not depend on the order of the rows;
+    one beyond 2**63 is an error. They cost less than a decimal sum.
     """
-    return F.rint(x * float(10**digits))
+    return F.rint(x * float(10**digits)).cast("bigint")
 
 
 def from_units(x: Column, digits: int = 2) -> Column:

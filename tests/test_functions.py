@@ -90,3 +90,19 @@ def test_checksum(spark, texts):
 def test_case_function(spark):
     register_case_function(spark, "grade", "CASE WHEN x > 5 THEN 'high' ELSE 'low' END", "x INT")
     assert [r[0] for r in spark.sql("SELECT grade(6), grade(1)").collect()[0:1]] == ["high"]
+
+
+def test_safe_cast_takes_what_spark_takes(spark):
+    texts = ["NaN", "-Infinity", "inf", "1e3", " 7 ", "x", "", None, "2024", "2024-02", "yes", "T ", "0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind in ("double", "int", "date", "timestamp", "boolean", "decimal(10,2)"):
+        pairs = df.select(s.safe_cast(F.col("t"), kind).alias("a"), F.col("t").try_cast(kind).alias("b"))
+        assert pairs.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0, kind
+
+
+def test_rounding_and_units(spark):
+    one = spark.range(1)
+    got = one.select(s.round_up(F.lit(0.07), 2), s.round_down(F.lit(0.29), 2), s.round_up(F.lit(-1.21), 1), s.to_units(F.lit(0.29))).first()
+    assert tuple(got) == (0.07, 0.29, -1.3, 29)
+    large = spark.range(0, 1000, 1, 7).select((F.lit(9_007_199_254_740.99) * 100).cast("bigint").alias("u"))
+    assert large.agg(F.sum("u")).first()[0] == 1000 * 900719925474099

@@ -53,9 +53,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-# The SQL side sums money as decimals. The Spark side sums whole units in doubles,
-# 1/100 for prices and 1/10000 for prices times a rate, and divides at the end: the
-# same exact value at these scales for a third of the cost.
+# The SQL side sums money as decimals. The Spark side sums whole units (bigint),
+# 1/100 for prices and 1/10000 for prices times a rate, and divides at the end.
 PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
 REVENUE = f"{PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2)))"
 TAXED = f"{PRICE} * (1 + CAST(l_tax AS DECIMAL(4,2)))"

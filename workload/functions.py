@@ -18,7 +18,8 @@ from workload.base import longs, query, table
   abs(l_discount - 0.05) AS abs_gap, round(l_extendedprice, 1) AS price_1, CAST(floor(l_extendedprice) AS BIGINT) AS price_int,
   CAST(ceil(l_extendedprice) AS BIGINT) AS price_ceil, round(sqrt(l_extendedprice), 6) AS root,
   l_quantity * l_quantity AS qty_2, l_quantity % 7 AS qty_mod,
-  ceil(abs(l_extendedprice) * 10) / 10 AS price_up, floor(abs(l_extendedprice) * 10) / 10 AS price_down
+  CAST(ceil(CAST(l_extendedprice AS DECIMAL(18,4)) * 10) AS DOUBLE) / 10 AS price_up,
+  CAST(floor(CAST(l_extendedprice AS DECIMAL(18,4)) * 10) AS DOUBLE) / 10 AS price_down
 FROM lineitem""",
 )
 def fn_math(spark, sf_dir):
