@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -112,7 +113,7 @@ def dependency_fanin(edges: DataFrame, node: str = "from", minimum: int = 2) ->
 
 
 def dependency_levels(
-    edges: DataFrame, nodes: DataFrame | None = None, source: str = "from", target: str = "to", max_rounds: int = 100
+    edges: DataFrame, nodes: DataFrame | None = None, source: str = "from", target: str = "to"
 ) -> DataFrame:
     """Level of each node, leaves at 0; nodes on or above a cycle have level NULL.
 
@@ -126,19 +127,15 @@ def dependency_levels(
         ends = ends.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")))
     ready = cut_lineage(anti_join(ends.distinct(), open_edges, {"node": "__from"}))
     settled = [ready.withColumn("level", F.lit(0))]
-    for level in range(1, max_rounds + 2):
+    for level in itertools.count(1):
         done = ready.select(F.col("node").alias("__to"), F.lit(True).alias("__done"))
         marked = cut_lineage(
             lookup_join(open_edges, done, "__to").withColumn("__done", F.coalesce("__done", F.lit(False)))
         )
-        ready = cut_lineage(
-            marked.groupBy(F.col("__from").alias("node")).agg(F.bool_and("__done").alias("__done")).where("__done").drop("__done")
-        )
+        ready = marked.groupBy(F.col("__from").alias("node")).agg(F.bool_and("__done").alias("__done")).where("__done").drop("__done")
         open_edges = marked.where(~F.col("__done")).drop("__done")
         if ready.isEmpty():
             break
-        if level > max_rounds:
-            raise ValueError(f"dependencies are deeper than {max_rounds} levels")
         settled.append(ready.withColumn("level", F.lit(level)))
     unresolved = open_edges.select(F.col("__from").alias("node")).distinct().withColumn("level", F.lit(None).cast("int"))
     return reduce(DataFrame.unionByName, [*settled, unresolved])

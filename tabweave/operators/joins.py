@@ -138,10 +138,11 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right, shared, how)
 
 
-def _exists_join(left: DataFrame, right: DataFrame, on: Keys | str, how: str) -> DataFrame:
+def _exists_join(left: DataFrame, right: DataFrame, on: Keys | str, how: str, null_safe: bool = False) -> DataFrame:
     pairs = _pairs(on)
+    compare = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
     keys = right.select(*[F.col(r).alias(f"__key_{i}") for i, (_, r) in enumerate(pairs)])
-    condition = reduce(lambda a, b: a & b, [F.col(l) == F.col(f"__key_{i}") for i, (l, _) in enumerate(pairs)])
+    condition = reduce(lambda a, b: a & b, [compare(F.col(l), F.col(f"__key_{i}")) for i, (l, _) in enumerate(pairs)])
     return left.join(keys, condition, how)
 
 
@@ -150,34 +151,37 @@ def semi_join(left: DataFrame, right: DataFrame, on: Keys | str) -> DataFrame:
     return _exists_join(left, right, on, "left_semi")
 
 
-def anti_join(left: DataFrame, right: DataFrame, on: Keys | str) -> DataFrame:
+def anti_join(left: DataFrame, right: DataFrame, on: Keys | str, null_safe: bool = False) -> DataFrame:
     """Rows without a partner, e.g. keys the target does not have yet."""
-    return _exists_join(left, right, on, "left_anti")
+    return _exists_join(left, right, on, "left_anti", null_safe)
 
 
-def hierarchy_expand(
-    df: DataFrame, node: str, parent: str, label: str, max_depth: int = 64, separator: str = " > "
-) -> DataFrame:
+def hierarchy_expand(df: DataFrame, node: str, parent: str, label: str, separator: str = " > ") -> DataFrame:
     """Depth and label path of every node below a root (NULL parent).
 
-    One join per level against the previous level only. Nodes on a cycle have no
-    root above them and do not appear; more levels than ``max_depth`` is an error.
+    Every round doubles the reach: a node takes over the path, depth and upper
+    end of the node it has reached so far, so n levels take log2(n) rounds. A
+    round in which no node reaches a root leaves only nodes on or below cycles or
+    missing parents; these do not appear.
     """
-    nodes = df.select(node, parent, label)
-    level = nodes.where(F.col(parent).isNull()).withColumns({"depth": F.lit(0), "path": F.col(label)})
-    level = cut_lineage(level)
-    levels = [level]
-    for depth in range(1, max_depth + 2):
-        above = level.select(F.col(node).alias("__above"), F.col("path").alias("__path"))
-        level = nodes.join(above, F.col(parent) == F.col("__above")).select(
+    state = df.select(node, parent, label, F.col(parent).alias("__up"), F.lit(0).alias("depth"), F.col(label).alias("path"))
+    state, placed = cut_lineage(state), None
+    while True:
+        done = state.where(F.col("__up").isNull())
+        now = done.count()
+        if now == placed:
+            return done.drop("__up")
+        placed = now
+        above = state.select(
+            F.col(node).alias("__node"), F.col("__up").alias("__next"), F.col("depth").alias("__depth"), F.col("path").alias("__path")
+        )
+        moved = state.where(F.col("__up").isNotNull()).join(above, F.col("__up") == F.col("__node"))
+        moved = moved.select(
             node,
             parent,
             label,
-            F.lit(depth).alias("depth"),
-            F.concat(F.col("__path"), F.lit(separator), F.col(label)).alias("path"),
+            F.col("__next").alias("__up"),
+            (F.col("depth") + F.col("__depth") + 1).alias("depth"),
+            F.concat(F.col("__path"), F.lit(separator), F.col("path")).alias("path"),
         )
-        level = cut_lineage(level)
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(level)
-    raise ValueError(f"hierarchy is deeper than {max_depth} levels")
+        state = cut_lineage(done.unionByName(moved))

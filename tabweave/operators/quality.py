@@ -120,15 +120,18 @@ def measure_parity(
     left: DataFrame, right: DataFrame, by: Sequence[str], measure: str, tolerance: float = 0.0
 ) -> DataFrame:
     """The same measure from two sources, one row per group of either side."""
-    a = left.select(*by, F.col(measure).alias("expected"))
-    b = right.select(*by, F.col(measure).alias("actual"))
-    both = null_safe_join(
-        a.unionByName(b, allowMissingColumns=True).select(*by).distinct(), a, by, "left"
-    )
-    both = null_safe_join(both, b, by, "left")
+    # One row per side and group meets in one aggregate; a group that a side lacks fails.
+    sides = [
+        df.select(*by, *(F.col(measure).alias(n) if n == name else F.lit(None).cast(df.schema[measure].dataType).alias(n) for n in names), *(F.lit(n == name).alias(f"__{n}") for n in names))
+        for names in [("expected", "actual")]
+        for df, name in ((left, "expected"), (right, "actual"))
+    ]
+    both = sides[0].unionByName(sides[1]).groupBy(*by)
+    both = both.agg(*(F.max(n).alias(n) for n in ("expected", "actual")), *(F.bool_or(f"__{n}").alias(f"__{n}") for n in ("expected", "actual")))
     close = F.abs(F.col("expected") - F.col("actual")) <= tolerance
-    missing = F.col("expected").isNull() & F.col("actual").isNull()
-    return both.withColumn("status", _pass(F.coalesce(close, missing)))
+    blank = F.col("expected").isNull() & F.col("actual").isNull()
+    passes = F.col("__expected") & F.col("__actual") & F.coalesce(close, blank)
+    return both.withColumn("status", _pass(passes)).drop("__expected", "__actual")
 
 
 def column_reconcile(model: DataFrame, physical: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
@@ -173,7 +176,8 @@ def max_length_profile(df: DataFrame, declared: Mapping[str, int]) -> DataFrame:
 def type_safety_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """What text columns look like, and the type to declare for each.
 
-    Leading zeros or a mix of numbers and other text mean a code: it stays text.
+    Leading zeros, numbers beyond 64 bits or a mix of numbers and other text mean a
+    code: it stays text.
     """
 
     def kind(name: str) -> Column:
@@ -181,7 +185,7 @@ def type_safety_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         text = F.col(name).cast("string")
         return (
             F.when(text.isNull(), F.lit(None))
-            .when(text.rlike("^-?[0-9]+$"), F.when(text.rlike("^-?0[0-9]"), "padded").otherwise("whole"))
+            .when(text.rlike("^-?[0-9]+$"), F.when(text.rlike("^-?0[0-9]"), "padded").when(text.try_cast("bigint").isNull(), "long").otherwise("whole"))
             .when(text.rlike(r"^-?[0-9]+\.[0-9]+$"), F.when(text.rlike("^-?0[0-9]"), "padded fraction").otherwise("fraction"))
             .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when(text.try_cast("date").isNotNull(), "date").otherwise("other"))
             .when(F.lower(text).isin("true", "false"), "logical")
@@ -196,9 +200,10 @@ def type_safety_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         columns,
         {
             "filled": lambda c: F.count(c),
-            "numeric": among("whole", "padded", "fraction", "padded fraction"),
-            "whole": among("whole", "padded"),
+            "numeric": among("whole", "long", "padded", "fraction", "padded fraction"),
+            "whole": among("whole", "long", "padded"),
             "padded": among("padded", "padded fraction"),
+            "long": among("long"),
             "dates": among("date"),
             "logical": among("logical"),
         },
@@ -208,8 +213,8 @@ def type_safety_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.when(filled == 0, "string")
         .when(F.col("dates") == filled, "date")
         .when(F.col("logical") == filled, "boolean")
-        .when((F.col("whole") == filled) & (F.col("padded") == 0), "bigint")
-        .when((F.col("numeric") == filled) & (F.col("padded") == 0), "double")
+        .when((F.col("whole") == filled) & (F.col("padded") + F.col("long") == 0), "bigint")
+        .when((F.col("numeric") == filled) & (F.col("padded") + F.col("long") == 0), "double")
         .otherwise("string")
     )
-    return profile.withColumn("declare", declare)
+    return profile.withColumn("declare", declare).drop("long")

@@ -61,18 +61,21 @@ def rls_admin_bypass(spark, sf_dir):
 
 @query(
     "ols_table",
-    f"""SELECT c_mktsegment, CAST(sum({ORDER_TOTAL}) AS DOUBLE) AS total FROM orders JOIN
-  (SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY') ON o_custkey = c_custkey GROUP BY 1""",
+    f"""SELECT c_mktsegment, CAST(sum({ORDER_TOTAL}) AS DOUBLE) AS total,
+  'customer,lineitem,nation,orders,region,supplier' AS tables, 'c_custkey,c_name,c_nationkey,c_mktsegment' AS customer_columns
+FROM orders JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY') ON o_custkey = c_custkey GROUP BY 1""",
 )
 def ols_table(spark, sf_dir):
-    # The role sees no part table and only some segments; the facts follow the dimension's filter.
+    # The role sees no part table, no balance and only some segments; the facts follow the dimension's filter.
     role = Role(
         rows={"customer": lambda df: df.where("c_mktsegment <> 'MACHINERY'")},
         hidden_tables=("part",),
         hidden_columns={"customer": ("c_acctbal",)},
     )
     model = sales_model(spark, sf_dir, [m.sum_("total", order_total())], roles={"analyst": role})
-    return amounts(model.query("orders", ["total"], ["c_mktsegment"], role="analyst"), "total")
+    seen = model.visible("analyst")
+    out = amounts(model.query("orders", ["total"], ["c_mktsegment"], role="analyst"), "total")
+    return out.withColumns({"tables": F.lit(",".join(sorted(seen))), "customer_columns": F.lit(",".join(seen["customer"]))})
 
 
 @query("ols_column_omit", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
