@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from tabweave.operators.joins import anti_join
 from tabweave.operators.transforms import route_column
+from tabweave.session import cut_lineage
 
-#: Rows below which clustering a table does not pay (fixed values).
-CLUSTER_FACT_MIN_ROWS = 10_000_000
-CLUSTER_DIMENSION_MIN_ROWS = 1_000_000
+#: Most keys by which clustering is of use (fixed value).
 MAX_CLUSTER_KEYS = 3
 
 
@@ -39,9 +38,12 @@ def mart_overwrite(df: DataFrame, target: str, partition_by: Sequence[str] = ())
 
 
 def mart_append(df: DataFrame, path: str, key: Sequence[str] | str) -> None:
-    """Append the rows whose key the destination does not have yet."""
+    """Append the rows whose key the destination does not have yet. NULL keys are equal.
+
+    Rows that repeat a key within ``df`` are all appended.
+    """
     present = read_if_present(df.sparkSession, path)
-    new = df if present is None else anti_join(df, present, key)
+    new = df if present is None else anti_join(df, present, key, null_safe=True)
     new.write.mode("append").parquet(path)
 
 
@@ -54,18 +56,17 @@ def cluster_keys(*candidates: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(c for group in candidates for c in group))[:MAX_CLUSTER_KEYS]
 
 
-def clustering_pays(rows: int, fact: bool = True) -> bool:
-    return rows >= (CLUSTER_FACT_MIN_ROWS if fact else CLUSTER_DIMENSION_MIN_ROWS)
-
-
 def clustered_write(df: DataFrame, path: str, keys: Sequence[str | Column], mode: str = "overwrite") -> None:
     """Write rows in ranges of up to three keys, so scans can skip files.
 
     A seeded random number after the keys lets a single hot key value, or many
-    copies of one row, span several ranges.
+    copies of one row, span several ranges. The rows are checkpointed before, so a
+    repeated task reads them in the same order and deals them the same way.
     """
-    order = [F.col(k) if isinstance(k, str) else k for k in keys][:MAX_CLUSTER_KEYS]
-    ranged = df.withColumn("__spread", F.rand(7)).repartitionByRange(*order, F.col("__spread"))
+    if len(keys) > MAX_CLUSTER_KEYS:
+        raise ValueError(f"{len(keys)} cluster keys; at most {MAX_CLUSTER_KEYS} are of use")
+    order = [F.col(k) if isinstance(k, str) else k for k in keys]
+    ranged = cut_lineage(df).withColumn("__spread", F.rand(7)).repartitionByRange(*order, F.col("__spread"))
     ranged.sortWithinPartitions(*order).drop("__spread").write.mode(mode).parquet(path)
 
 

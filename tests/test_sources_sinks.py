@@ -198,8 +198,6 @@ def test_hot_cluster_key_spans_files_and_ranges_stay_apart(spark, tmp_path):
 
 def test_cluster_policy():
     assert sinks.cluster_keys(["d"], ["d", "key"], ["h"], ["fk"]) == ["d", "key", "h"]
-    assert sinks.clustering_pays(10_000_000) and not sinks.clustering_pays(9_999_999)
-    assert sinks.clustering_pays(1_000_000, fact=False)
 
 
 def test_split_write(spark, tmp_path):
@@ -213,3 +211,13 @@ def test_delimited_sink(spark, tmp_path):
     path = str(tmp_path / "flat")
     sinks.delimited_sink(spark.createDataFrame([(1, 'a|"b"'), (2, None)], "id int, v string"), path, sep="|", null_token="NULL")
     assert rows(files.delimited_source(spark, path, "id int, v string", sep="|", null_tokens=("NULL",))) == [(1, 'a|"b"'), (2, None)]
+
+
+def test_append_and_clustering_rules(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    df = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    for _ in range(2):
+        sinks.mart_append(df, path, "k")
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError):
+        sinks.clustered_write(df, path, ["k", "v", "k", "v"])

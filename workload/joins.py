@@ -44,14 +44,15 @@ def lookup_default(spark, sf_dir):
 def _merge(name, how, sql_join):
     @query(
         name,
-        f"""WITH p AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P'),
-l AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 30)
+        f"""WITH p AS (SELECT o_orderkey + 10 AS o_orderkey, o_totalprice FROM orders),
+l AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem)
 SELECT {'coalesce(o_orderkey, l_orderkey)' if how == 'full' else 'o_orderkey'} AS o_orderkey, o_totalprice, l_linenumber, l_quantity
 FROM p {sql_join} JOIN l ON o_orderkey = l_orderkey""",
     )
     def run(spark, sf_dir):
-        orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice")
-        lines = table(spark, sf_dir, "lineitem").where("l_quantity > 30").select("l_orderkey", "l_linenumber", "l_quantity")
+        # Keys moved by ten, so that both sides have rows without partner.
+        orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 10).alias("o_orderkey"), "o_totalprice")
+        lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
         return j.merge_join(orders, lines, {"o_orderkey": "l_orderkey"}, how)
 
 

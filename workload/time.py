@@ -169,14 +169,15 @@ def date_spine(spark, sf_dir):
 
 @query(
     "densify_dates",
-    f"""WITH {DAILY}, days AS (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS date),
+    f"""WITH {DAILY}, days AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM d), (SELECT max(date) FROM d), INTERVAL 1 DAY)) AS DATE) AS date),
 k AS (SELECT DISTINCT o_orderpriority FROM d)
 SELECT k.o_orderpriority, days.date, coalesce(CAST(d.value AS DOUBLE), 0) AS value FROM k CROSS JOIN days
 LEFT JOIN d ON d.o_orderpriority = k.o_orderpriority AND d.date = days.date""",
 )
 def densify_dates(spark, sf_dir):
     rows = amounts(daily(spark, sf_dir), "value")
-    return ti.densify_dates(rows, "date", KEYS, "1997-01-01", "1998-12-31", {"value": 0.0})
+    first, last = rows.agg(F.min("date"), F.max("date")).first()
+    return ti.densify_dates(rows, "date", KEYS, first, last, {"value": 0.0})
 
 
 @query(
