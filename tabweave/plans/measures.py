@@ -66,6 +66,7 @@ class Measure:
     """``finish`` gets the base results, or for a compound the measures it needs.
 
     ``changes`` are context changes of a compound; they apply to the measures it needs.
+    ``use`` and ``ignore`` name relationships of a model that this measure follows or not.
     """
 
     name: str
@@ -75,6 +76,8 @@ class Measure:
     changes: tuple[Callable[[Measure], Measure], ...] = ()
     scope: Scope = Scope()
     tables: tuple[str, ...] = ()
+    use: tuple[str, ...] = ()
+    ignore: tuple[str, ...] = ()
     format_string: str | None = None
 
 
@@ -243,6 +246,16 @@ def calculate_allexcept(measure: Measure, keep: Sequence[str], name: str | None
     return _scoped(measure, Scope("allexcept", tuple(keep)), name)
 
 
+def use_relationship(measure: Measure, *names: str, name: str | None = None) -> Measure:
+    """The measure over these relationships of the model instead of the active ones between the same tables."""
+    return _changed(measure, lambda m: replace(m, use=(*m.use, *names)), name)
+
+
+def ignore_relationship(measure: Measure, *names: str, name: str | None = None) -> Measure:
+    """The measure without these relationships: grouping and filters beyond them do not reach it."""
+    return _changed(measure, lambda m: replace(m, ignore=(*m.ignore, *names)), name)
+
+
 def calc_group_expand(
     measures: Iterable[Measure],
     items: Mapping[str, Callable[[Measure], Measure]],
@@ -286,10 +299,15 @@ def _aggregates(measures: Iterable[Measure]) -> list[Column]:
 
 def _finished(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], show: Sequence[str] | None) -> DataFrame:
     """Finish base measures, then compounds in the order of their needs."""
-    named = {m.name: m for m in measures}
     df = df.withColumns(
         {m.name: m.finish({p: _quoted(_slot(m, p)) for p in m.base}) for m in measures if not m.needs}
     )
+    return compounds(df, measures, by, show)
+
+
+def compounds(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], show: Sequence[str] | None) -> DataFrame:
+    """Compounds over finished base measures, in the order of their needs."""
+    named = {m.name: m for m in measures}
     for name in TopologicalSorter({m.name: m.needs for m in measures}).static_order():
         if name not in named:
             raise KeyError(f"measure {name} is needed but not given")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from tabweave.operators.joins import equi_join
+from tabweave.operators.joins import equi_join, null_safe_join
 from tabweave.operators.transforms import perspective_view
-from tabweave.plans.measures import Measure, Reduction, evaluate, hierarchy_rollup
+from tabweave.plans.measures import Measure, Reduction, compounds, evaluate, hierarchy_rollup, resolved
 from tabweave.session import fits_broadcast
 
 
@@ -207,10 +207,15 @@ class SemanticModel:
         """
         columns, needed = dict(columns or {}), self._needed(metrics)
         self._allowed([*by, *(where or {})], role)
+        measures = resolved(needed.values())
+        if any(m.use or m.ignore for m in measures):
+            if columns:
+                raise ValueError("give grouping columns of the tables where measures differ in their relationships")
+            return self._over_relationships(fact, measures, metrics, by, where or {}, role, use, ignore)
         tables = list(tables) + [self.owner(c) for c in [*by, *(where or {})] if c not in columns]
         tables += [t for m in needed.values() for t in m.tables]
         steps = self._steps(fact, list(dict.fromkeys(tables)), role, use, ignore)
-        measures, where = list(needed.values()), dict(where or {})
+        where = dict(where or {})
         reduction = Reduction(measures)
         reduced = self._reduced_star(fact, steps, reduction, by, where, columns, role)
         if reduced is not None:
@@ -222,6 +227,52 @@ class SemanticModel:
             rows = rows.withColumns(columns)
         return evaluate(rows, measures, by, where or None, show=list(metrics))
 
+    def _over_relationships(
+        self,
+        fact: str,
+        measures: Sequence[Measure],
+        metrics: Sequence[str],
+        by: Sequence[str],
+        where: Mapping[str, Column],
+        role: str | None,
+        use: Sequence[str],
+        ignore: Sequence[str],
+    ) -> DataFrame:
+        """Measures that follow different relationships, each kind over its own star.
+
+        Kinds that see all grouping columns give one row per group each, and meet
+        in one aggregate. A kind that cannot reach a grouping column has the same
+        value for all groups of what it reaches, and is attached to them.
+        """
+        bases = [m for m in measures if not m.needs]
+        full, partial = [], []
+        for kind in dict.fromkeys((m.use, m.ignore) for m in bases):
+            own = [replace(m, use=(), ignore=()) for m in bases if (m.use, m.ignore) == kind]
+            uses, ignores = (*use, *kind[0]), (*ignore, *kind[1])
+            reached = {link.to_table for link in self._steps(fact, None, role, uses, ignores)} | {fact}
+            groups = [c for c in by if self.owner(c) in reached]
+            filters = {c: p for c, p in where.items() if self.owner(c) in reached}
+            part = SemanticModel(self.tables, self.relationships, own, self.roles)
+            names = [m.name for m in own]
+            frame = part.query(fact, names, groups, filters, role, uses, ignores)
+            (full if len(groups) == len(by) else partial).append((frame, groups, names))
+        if not full:
+            raise ValueError(f"no measure reaches all of {list(by)}")
+        out = full[0][0]
+        if len(full) > 1:
+            united = out
+            for frame, _, _ in full[1:]:
+                united = united.unionByName(frame, allowMissingColumns=True)
+            names = [n for _, _, names in full for n in names]
+            out = united.groupBy(*by).agg(*[F.max(f"`{n}`").alias(n) for n in names])
+        for frame, groups, names in partial:
+            if groups:
+                out = null_safe_join(out, frame, groups, "left")
+            else:
+                whole = frame.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("__whole")).scalar()
+                out = out.withColumn("__whole", whole).withColumns({n: F.col("__whole")[n] for n in names}).drop("__whole")
+        return compounds(out, measures, by, list(metrics))
+
     def _reduced_star(
         self,
         fact: str,

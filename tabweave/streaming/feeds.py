@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tabweave.operators.cdc import ACTION, IS_UPDATE, cdc_counts, cdc_merge, cdc_net_changes
+from tabweave.operators.cdc import ACTION, IS_UPDATE, SEQ, cdc_counts, cdc_merge, cdc_net_changes
 from tabweave.plans.measures import Measure, merge_partials, preaggregate, reaggregate
 from tabweave.sources.sinks import read_if_present
 
@@ -133,7 +133,7 @@ class ChangeTable:
         if self.batches.has(batch_id):
             return
         path = self.batches.path("delta", batch_id)
-        net = cdc_net_changes(changes, self.key).select(*self.schema.names, ACTION, IS_UPDATE)
+        net = cdc_net_changes(changes, self.key).select(*self.schema.names, ACTION, IS_UPDATE, F.col(SEQ).cast("long").alias(SEQ))
         net = net.withColumn("_batch", F.lit(batch_id).cast("long"))
         net.write.mode("overwrite").parquet(path)
         counts = cdc_counts(self.spark.read.schema(net.schema).parquet(path)).first()
@@ -149,10 +149,12 @@ class ChangeTable:
             return base
         fields = self.schema.names
         change_schema = T.StructType(
-            [*self.schema, T.StructField(ACTION, T.StringType()), T.StructField(IS_UPDATE, T.BooleanType()), T.StructField("_batch", T.LongType())]
+            [*self.schema, T.StructField(ACTION, T.StringType()), T.StructField(IS_UPDATE, T.BooleanType()), T.StructField(SEQ, T.LongType()), T.StructField("_batch", T.LongType())]
         )
+        # A batch that arrives late with older changes does not undo newer ones.
         changes = self.spark.read.schema(change_schema).parquet(*deltas)
-        net = cdc_net_changes(changes.select(*fields, ACTION, IS_UPDATE, "_batch"), self.key, seq="_batch")
+        changes = changes.select(*fields, ACTION, IS_UPDATE, F.struct(SEQ, "_batch").alias("_order"))
+        net = cdc_net_changes(changes, self.key, seq="_order")
         return cdc_merge(base, net, self.key)
 
     def compact(self) -> None:

@@ -195,3 +195,12 @@ def test_auto_ingest_loads_each_file_once(spark, tmp_path):
 
 def test_lag():
     assert feeds.lag_trigger("hourly") == {"processingTime": "1 hour"}
+
+
+def test_late_batches_do_not_undo_newer_rows(spark, tmp_path):
+    ddl = "k int, v string, _action string, _is_update boolean, _seq long"
+    schema = spark.createDataFrame([], "k int, v string").schema
+    table = feeds.ChangeTable(spark, str(tmp_path / "late"), ["k"], schema)
+    table.apply(spark.createDataFrame([(1, "new", "INSERT", False, 9), (2, "x", "INSERT", False, 3)], ddl), 0)
+    table.apply(spark.createDataFrame([(1, "old", "INSERT", False, 4), (2, "y", "INSERT", True, 5)], ddl), 1)
+    assert rows(table.current()) == [(1, "new"), (2, "y")]

@@ -264,3 +264,18 @@ def test_context_changes_of_compounds(spark):
     assert rows(m.evaluate(df, [*base, *expanded], ["g"], show=[x.name for x in expanded])) == [("a", 2.0, 3.0), ("b", 6.0, 6.0)]
     with pytest.raises(ValueError):
         m.evaluate(df, [*base, m.calculate_allexcept(base[0], ["g"], "x")], ["g"], F.col("k") < 3)
+
+
+def test_relationships_per_measure(spark):
+    """One dimension over two roles side by side, and a measure that a filter does not reach."""
+    fact = spark.createDataFrame([(1, 2, 5.0), (2, 2, 7.0), (3, 1, 1.0)], "a int, b int, v double")
+    dim = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, name string")
+    links = [Relationship("f", "a", "d", "id", name="by_a"), Relationship("f", "b", "d", "id", active=False, name="by_b")]
+    total = m.sum_("total", "v")
+    measures = [total, m.use_relationship(total, "by_b", name="over_b"), m.ignore_relationship(total, "by_a", name="whole"), m.ratio("share", "over_b", "whole")]
+    model = SemanticModel({"f": fact, "d": dim}, links, measures)
+    got = model.query("f", ["total", "over_b", "whole", "share"], ["name"], {"name": F.col("name") != "z"})
+    assert rows(got) == [("x", 5.0, 1.0, 13.0, 1 / 13), ("y", 7.0, 12.0, 13.0, 12 / 13)]
+    filtered = m.use_relationship(m.ratio("half", "total", "twice"), "by_b", name="half_b")
+    model = SemanticModel({"f": fact, "d": dim}, links, [total, m.compound("twice", ("total",), lambda p: p["total"] * 2), filtered])
+    assert rows(model.query("f", ["half_b", "total"], ["name"])) == [("x", 0.5, 5.0), ("y", 0.5, 7.0), ("z", None, 1.0)]

@@ -122,7 +122,7 @@ def sales_model(spark: SparkSession, sf_dir: str, measures: list[Measure] | None
             Relationship("orders", "o_custkey", "customer", "c_custkey"),
             Relationship("customer", "c_nationkey", "nation", "n_nationkey"),
             Relationship("nation", "n_regionkey", "region", "r_regionkey"),
-            Relationship("lineitem", "l_partkey", "part", "p_partkey"),
+            Relationship("lineitem", "l_partkey", "part", "p_partkey", name="line_part"),
             Relationship("lineitem", "l_suppkey", "supplier", "s_suppkey"),
             Relationship("supplier", "s_nationkey", "nation", "n_nationkey", active=False, name="supplier_nation"),
         ],

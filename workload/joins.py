@@ -138,15 +138,22 @@ def bidirectional_join(spark, sf_dir):
 
 @query(
     "inactive_relationship",
-    f"""SELECT n_name, CAST(sum({REVENUE}) AS DOUBLE) AS supplier_revenue, count(*) AS lines
-FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""",
+    f"""WITH c AS (SELECT n_name, sum({REVENUE}) AS v, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
+  LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+s AS (SELECT n_name, sum({REVENUE}) AS v FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey
+  LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
+SELECT coalesce(c.n_name, s.n_name) AS n_name, CAST(c.v AS DOUBLE) AS customer_revenue, CAST(s.v AS DOUBLE) AS supplier_revenue,
+  c.n AS lines, round(CAST(s.v AS DOUBLE) / CAST(c.v AS DOUBLE), 9) AS supplier_share
+FROM c FULL JOIN s ON c.n_name = s.n_name""",
 )
 def inactive_relationship(spark, sf_dir):
-    model = sales_model(spark, sf_dir, [m.sum_("supplier_revenue", revenue()), m.count_rows("lines")])
-    # The customer path to nation is set aside for this measure.
-    model.relationships = [r for r in model.relationships if r.from_table != "customer"]
-    out = model.query("lineitem", ["supplier_revenue", "lines"], by=["n_name"], use=["supplier_nation"])
-    return revenues(out, "supplier_revenue")
+    # The same nations, reached over the customer and over the supplier.
+    customers = m.sum_("customer_revenue", revenue())
+    suppliers = m.use_relationship(customers, "supplier_nation", name="supplier_revenue")
+    share = m.compound("supplier_share", ("supplier_revenue", "customer_revenue"), lambda p: F.round(p["supplier_revenue"] / p["customer_revenue"], 9))
+    model = sales_model(spark, sf_dir, [customers, suppliers, m.count_rows("lines"), share])
+    out = model.query("lineitem", ["customer_revenue", "supplier_revenue", "lines", "supplier_share"], by=["n_name"])
+    return revenues(out, "customer_revenue", "supplier_revenue")
 
 
 @query(
@@ -157,7 +164,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25 GROUP BY 1"""
 def crossfilter_none(spark, sf_dir):
     # The second measure does not see the part relationship: neither grouping nor filter reach it.
     lines = m.count_rows("lines")
-    model = sales_model(spark, sf_dir, [lines, m.calculate_all(lines, "all_lines")])
+    model = sales_model(spark, sf_dir, [lines, m.ignore_relationship(lines, "line_part", name="all_lines")])
     return model.query("lineitem", ["lines", "all_lines"], by=["p_brand"], where={"p_size": F.col("p_size") > 25})
 
 
