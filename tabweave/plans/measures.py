@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from graphlib import TopologicalSorter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tabweave.functions.scalar import divide
@@ -27,12 +27,14 @@ class Agg:
     """An aggregate whose input rows can still be narrowed.
 
     ``merge`` combines partial results; it is absent where that is not possible.
+    ``empty`` is the result over no rows where that is not NULL.
     ``distinct`` marks a fold over the distinct values only.
     """
 
     fold: Callable[[Column], Column]
     value: Column | str | int
     merge: Callable[[Column], Column] | None = None
+    empty: int | None = None
     keep: Column | None = None
     distinct: bool = False
 
@@ -52,6 +54,11 @@ class Agg:
     def column(self) -> Column:
         return self.fold(self.input())
 
+    def merged(self, partial: Column, window: WindowSpec | None = None) -> Column:
+        """Partial results combined, over a window if one is given."""
+        out = self.merge(partial) if window is None else self.merge(partial).over(window)
+        return out if self.empty is None else F.coalesce(out, F.lit(self.empty))
+
 
 @dataclass(frozen=True)
 class Scope:
@@ -92,25 +99,20 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _slot(measure: Measure, part: str) -> str:
+def slot(measure: Measure, part: str) -> str:
     return f"__{measure.name}__{part}"
 
 
 # -- base measures -------------------------------------------------------
 
 
-def _sum_of_counts(counts: Column) -> Column:
-    """Counts merged; the count of nothing is 0."""
-    return F.coalesce(F.sum(counts), F.lit(0))
-
-
 def sum_(name: str, value: Column | str) -> Measure:
     return Measure(name, {"value": Agg(F.sum, value, F.sum)})
 
 
 def count(name: str, value: Column | str | int) -> Measure:
     """Non-NULL values."""
-    return Measure(name, {"value": Agg(F.count, value, _sum_of_counts)})
+    return Measure(name, {"value": Agg(F.count, value, F.sum, empty=0)})
 
 
 def count_rows(name: str) -> Measure:
@@ -130,7 +132,7 @@ def average(name: str, value: Column | str) -> Measure:
     """Kept as sum and count, so partial results can be merged."""
     return Measure(
         name,
-        {"sum": Agg(F.sum, value, F.sum), "count": Agg(F.count, value, _sum_of_counts)},
+        {"sum": Agg(F.sum, value, F.sum), "count": Agg(F.count, value, F.sum, empty=0)},
         lambda parts: divide(parts["sum"], parts["count"]),
     )
 
@@ -294,13 +296,13 @@ def _filtered(df: DataFrame, predicate: Column | None) -> DataFrame:
 
 
 def _aggregates(measures: Iterable[Measure]) -> list[Column]:
-    return [a.column().alias(_slot(m, part)) for m in measures for part, a in m.base.items()]
+    return [a.column().alias(slot(m, part)) for m in measures for part, a in m.base.items()]
 
 
-def _finished(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], show: Sequence[str] | None) -> DataFrame:
+def finished(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], show: Sequence[str] | None) -> DataFrame:
     """Finish base measures, then compounds in the order of their needs."""
     df = df.withColumns(
-        {m.name: m.finish({p: _quoted(_slot(m, p)) for p in m.base}) for m in measures if not m.needs}
+        {m.name: m.finish({p: _quoted(slot(m, p)) for p in m.base}) for m in measures if not m.needs}
     )
     return compounds(df, measures, by, show)
 
@@ -348,16 +350,16 @@ def _scope_totals(
     else:
         rows = _filtered(df, _predicate(where, scope.columns))
         same_rows = where is None or (not isinstance(where, Column) and set(where) <= set(scope.columns))
-    slots = {a.identity(): _slot(m, p) for m in local for p, a in m.base.items()}
+    slots = {a.identity(): slot(m, p) for m in local for p, a in m.base.items()}
     covered = all(a.identity() in slots for m in group for a in m.base.values())
     if not (same_rows and by and covered and mergeable(local)):
         return rows.groupBy(*kept).agg(*_aggregates(group))
     grouped = selected.groupBy(*by).agg(*_aggregates(local))
-    merges = [a.merge(_quoted(slots[a.identity()])).alias(_slot(m, p)) for m in group for p, a in m.base.items()]
+    merges = [a.merged(_quoted(slots[a.identity()])).alias(slot(m, p)) for m in group for p, a in m.base.items()]
     if kept:
         return grouped.groupBy(*kept).agg(*merges)
     # Merging every base result keeps the grouping identical to the query's own.
-    rest = [a.merge(_quoted(_slot(m, p))).alias(_slot(m, p)) for m in local for p, a in m.base.items()]
+    rest = [a.merged(_quoted(slot(m, p))).alias(slot(m, p)) for m in local for p, a in m.base.items()]
     return grouped.agg(*merges, *rest)
 
 
@@ -393,11 +395,11 @@ def evaluate(
         if kept:
             out = null_safe_join(out, totals, kept, "left")
         else:
-            slots = [_slot(m, p) for m in group for p in m.base]
+            slots = [slot(m, p) for m in group for p in m.base]
             whole = totals.select(F.struct(*map(_quoted, totals.columns)).alias("__totals"))
             out = out.withColumn("__totals", whole.scalar())
             out = out.withColumns({s: F.col("__totals")[s] for s in slots}).drop("__totals")
-    return _finished(out, measures, by, show)
+    return finished(out, measures, by, show)
 
 
 def mergeable(measures: Iterable[Measure]) -> bool:
@@ -419,7 +421,7 @@ def merge_partials(partials: DataFrame, measures: Sequence[Measure], by: Sequenc
     """Partial results of several inputs or finer groups merged per ``by``."""
     measures = resolved(measures)
     merges = [
-        a.merge(_quoted(_slot(m, p))).alias(_slot(m, p)) for m in measures if not m.needs for p, a in m.base.items()
+        a.merged(_quoted(slot(m, p))).alias(slot(m, p)) for m in measures if not m.needs for p, a in m.base.items()
     ]
     return partials.groupBy(*by).agg(*merges)
 
@@ -433,7 +435,7 @@ class Reduction:
 
     def __init__(self, measures: Sequence[Measure]):
         self.measures = resolved(measures)
-        aggs = {_slot(m, p): a for m in measures if not m.needs for p, a in m.base.items()}
+        aggs = {slot(m, p): a for m in measures if not m.needs for p, a in m.base.items()}
         self.partial = {s: a for s, a in aggs.items() if a.merge}
         self.values = {s: a for s, a in aggs.items() if a.distinct}
         #: Whether every base result can be computed this way.
@@ -444,7 +446,7 @@ class Reduction:
         return self._group(valued, keys, {s: a.column() for s, a in self.partial.items()})
 
     def reduce(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return self._group(df, keys, {s: a.merge(_quoted(s)) for s, a in self.partial.items()})
+        return self._group(df, keys, {s: a.merged(_quoted(s)) for s, a in self.partial.items()})
 
     def _group(self, df: DataFrame, keys: Sequence[str], folds: Mapping[str, Column]) -> DataFrame:
         groups = [*keys, *map(_quoted, self.values)]
@@ -454,11 +456,11 @@ class Reduction:
 
     def finish(self, df: DataFrame, by: Sequence[str], show: Sequence[str], rollup: bool = False) -> DataFrame:
         """Results per ``by`` group, or per drill level of ``by`` with its depth."""
-        folds = [a.merge(_quoted(s)).alias(s) for s, a in self.partial.items()]
+        folds = [a.merged(_quoted(s)).alias(s) for s, a in self.partial.items()]
         folds += [a.fold(_quoted(s)).alias(s) for s, a in self.values.items()]
         if rollup:
-            return _finished(df.rollup(*by).agg(_depth(by), *folds), self.measures, [*by, "depth"], show)
-        return _finished(df.groupBy(*by).agg(*folds), self.measures, by, show)
+            return finished(df.rollup(*by).agg(_depth(by), *folds), self.measures, [*by, "depth"], show)
+        return finished(df.groupBy(*by).agg(*folds), self.measures, by, show)
 
 
 def reaggregate(
@@ -470,7 +472,7 @@ def reaggregate(
 ) -> DataFrame:
     """Answer a coarser query from stored partial results."""
     merged = merge_partials(_filtered(partials, _predicate(where)), measures, by)
-    return _finished(merged, resolved(measures), by, show or [m.name for m in measures])
+    return finished(merged, resolved(measures), by, show or [m.name for m in measures])
 
 
 def _depth(levels: Sequence[str]) -> Column:
@@ -495,11 +497,11 @@ def hierarchy_rollup(
     if mergeable(bases):
         leaves = preaggregate(df, bases, levels, where)
         rolled = leaves.rollup(*levels).agg(
-            _depth(levels), *[a.merge(_quoted(_slot(m, p))).alias(_slot(m, p)) for m in bases for p, a in m.base.items()]
+            _depth(levels), *[a.merged(_quoted(slot(m, p))).alias(slot(m, p)) for m in bases for p, a in m.base.items()]
         )
     else:
         rolled = _filtered(df, _predicate(where)).rollup(*levels).agg(_depth(levels), *_aggregates(bases))
-    return _finished(rolled, measures, [*levels, "depth"], show)
+    return finished(rolled, measures, [*levels, "depth"], show)
 
 
 def concatenatex(df: DataFrame, value: str, by: Sequence[str] = (), delimiter: str = ", ", out: str = "joined") -> DataFrame:

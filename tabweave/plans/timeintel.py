@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.operators.joins import null_safe_join
-from tabweave.plans.measures import Measure, calculate_filter
+from tabweave.plans.measures import Measure, calculate_filter, evaluate, finished, resolved, slot
 
 #: First day and length of the default calendar (fixed values): 2000-01-01 to 2049-12-31.
 #: ``date_spine_of`` covers the dates that a table holds.
@@ -156,23 +156,62 @@ def dates_in_period(
         width = n * (7 if unit == "week" else 1)
         number = F.datediff(day, _date("1970-01-01"))
         return daily.withColumn(out, F.sum(value).over(frame.orderBy(number).rangeBetween(1 - width, 0)))
-    # The frame reaches back to the same day n units ago, which is not in the period.
-    months = n * MONTHS[unit]
-    over = f"PARTITION BY {', '.join(f'`{b}`' for b in by)}" if by else ""
-    spec = f"({over} ORDER BY `{date_col}` RANGE BETWEEN INTERVAL {months} MONTH PRECEDING AND CURRENT ROW)"
-    whole, first_day, first_value = (
-        F.expr(f"sum(`{value}`) OVER {spec}"),
-        F.expr(f"first(`{date_col}`) OVER {spec}"),
-        F.expr(f"first(`{value}`) OVER {spec}"),
-    )
-    outside = F.when(first_day == F.add_months(day, -months), first_value).otherwise(F.lit(0))
-    return daily.withColumn(out, whole - F.coalesce(outside, F.lit(0)))
+    # Months of 32 numbers: a day's number less n months is the same day n months ago, and no
+    # day of a shorter month lies behind it. The frame starts right after.
+    number = (F.year(day) * 12 + F.month(day)) * 32 + F.day(day)
+    return daily.withColumn(out, F.sum(value).over(frame.orderBy(number).rangeBetween(1 - 32 * n * MONTHS[unit], 0)))
 
 
 def growth(current: Column, previous: Column) -> Column:
     return F.when(previous != 0, (current - previous) / previous)
 
 
+# -- period functions over measures --------------------------------------
+
+
+def measures_per(df: DataFrame, measures: Sequence[Measure], unit: str, date_col: str, by: Sequence[str] = (), show: Sequence[str] | None = None) -> DataFrame:
+    """Any measures per group and day, month, quarter or year; ``date`` is the period's first day.
+
+    ``date_shift`` moves the results: by one unit for the previous period, by a
+    year for the same period of the last year.
+    """
+    rows = df.withColumn("date", period_start(F.col(date_col), unit))
+    return evaluate(rows, measures, [*by, "date"], show=show)
+
+
+def measures_to_date(
+    df: DataFrame, measures: Sequence[Measure], unit: str, date_col: str, by: Sequence[str] = (), show: Sequence[str] | None = None
+) -> DataFrame:
+    """Measures since the start of the year, quarter or month, for every group and every day of the whole span.
+
+    Partial results per day are merged along the period. A distinct value counts
+    on the first day of the period that has it. Measures made of other
+    aggregates cannot be accumulated.
+    """
+    show, measures = show or [m.name for m in measures], resolved(measures)
+    aggs = {slot(m, p): a for m in measures if not m.needs for p, a in m.base.items()}
+    stuck = [m.name for m in measures for a in m.base.values() if not (a.merge or a.distinct)]
+    if stuck:
+        raise ValueError(f"{stuck} cannot be accumulated from daily results")
+    rows = df.withColumn("date", F.col(date_col).cast("date")).where("date IS NOT NULL")
+    merging = {s: a for s, a in aggs.items() if a.merge}
+    daily = rows.groupBy(*by, "date").agg(F.count(F.lit(1)).alias("__rows"), *[a.column().alias(s) for s, a in merging.items()])
+    for s, a in aggs.items():
+        if a.distinct:
+            first = rows.select(*by, "date", a.input().alias("__value")).where("__value IS NOT NULL")
+            first = first.groupBy(*by, "__value", period_start(F.col("date"), unit).alias("__period")).agg(F.min("date").alias("date"))
+            daily = null_safe_join(daily, first.groupBy(*by, "date").agg(F.count(F.lit(1)).alias(s)), [*by, "date"], "left")
+    span = rows.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(F.struct("lo", "hi")).scalar()
+    groups = rows.select(*by).distinct() if by else df.sparkSession.range(1)
+    lo_hi = groups.withColumn("__span", span)
+    axis = lo_hi.select(*by, F.explode(F.sequence("__span.lo", "__span.hi")).alias("date"))
+    dense = null_safe_join(axis, daily, [*by, "date"], "left")
+    window = Window.partitionBy(*by, period_start(F.col("date"), unit)).orderBy("date")
+    window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = {s: a.merged(F.col(f"`{s}`"), window) if a.merge else F.coalesce(F.sum(f"`{s}`").over(window), F.lit(0)) for s, a in aggs.items()}
+    return finished(dense.withColumns(kept), measures, [*by, "date"], show)
+
+
 # -- as_of filters for measures ------------------------------------------
 
 

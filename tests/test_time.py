@@ -1,7 +1,8 @@
 import pytest
-from conftest import day
+from conftest import day, rows
 from pyspark.sql import functions as F
 
+from tabweave.plans import measures as m
 from tabweave.plans import timeintel as ti
 
 
@@ -97,3 +98,25 @@ def test_densify(spark):
 def test_growth(spark):
     df = spark.createDataFrame([(2.0, 1.0), (1.0, 0.0), (1.0, None)], "a double, b double")
     assert [r[0] for r in df.select(ti.growth(F.col("a"), F.col("b"))).collect()] == [1.0, None, None]
+
+
+def test_measures_over_periods(spark):
+    """Distinct counts, means and ratios to date on a dense axis, per period, and exact month frames."""
+    data = [("k", "2001-01-30", 1, 4.0), ("k", "2001-02-01", 1, 2.0), ("k", "2001-02-01", 2, 6.0), ("k", "2001-02-03", 1, None)]
+    df = spark.createDataFrame(data, "g string, d string, c int, v double").withColumn("d", F.to_date("d"))
+    measures = [m.sum_("v", "v"), m.count_rows("n"), m.distinct_count("c", "c"), m.average("mean", "v"), m.ratio("per_c", "v", "c")]
+    got = ti.measures_to_date(df, measures, "month", "d", ["g"])
+    assert rows(got) == [
+        ("k", day("2001-01-30"), 4.0, 1, 1, 4.0, 4.0),
+        ("k", day("2001-01-31"), 4.0, 1, 1, 4.0, 4.0),
+        ("k", day("2001-02-01"), 8.0, 2, 2, 4.0, 4.0),
+        ("k", day("2001-02-02"), 8.0, 2, 2, 4.0, 4.0),
+        ("k", day("2001-02-03"), 8.0, 3, 2, 4.0, 4.0),
+    ]
+    with pytest.raises(ValueError):
+        ti.measures_to_date(df, [m.stddev("s", "v")], "month", "d")
+    months = ti.measures_per(df, measures, "month", "d", show=["c", "mean"])
+    assert rows(ti.date_shift(months, "mean", -1, "month")) == [(day("2001-01-01"), 1, 4.0, None), (day("2001-02-01"), 2, 4.0, 4.0)]
+    edge = spark.createDataFrame([("2001-02-28", 1e17), ("2001-03-01", 1.0), ("2001-03-28", 2.0), ("2001-03-31", 3.0)], "date string, v double")
+    rolled = ti.dates_in_period(edge.withColumn("date", F.to_date("date")), "v", 1, "month")
+    assert [r[2] for r in rows(rolled)] == [1e17, 1e17, 3.0, 6.0]

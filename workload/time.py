@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabweave.functions.scalar import divide
 from tabweave.operators.positions import rank_by
 from tabweave.operators.transforms import dedupe_first
 from tabweave.plans import measures as m
@@ -21,14 +22,29 @@ def daily(spark, sf_dir):
 
 
 def _to_date(name: str, unit: str):
+    """Total, distinct customers and mean per order so far, for every day of the span."""
+
     @query(
         name,
-        f"""WITH {DAILY} SELECT o_orderpriority, date, CAST(value AS DOUBLE) AS value,
-  CAST(sum(value) OVER (PARTITION BY o_orderpriority, date_trunc('{unit}', date) ORDER BY date
-    ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS to_date FROM d""",
+        f"""WITH {DAILY}, o AS (SELECT o_orderpriority, {DAY} AS date, o_custkey FROM orders),
+a AS (SELECT o_orderpriority, CAST(unnest(generate_series((SELECT min(date) FROM o), (SELECT max(date) FROM o), INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT DISTINCT o_orderpriority FROM o)),
+f AS (SELECT o_orderpriority, date, count(*) AS n FROM (SELECT o_orderpriority, o_custkey, min(date) AS date FROM o
+  GROUP BY 1, 2, date_trunc('{unit}', date)) GROUP BY 1, 2),
+c AS (SELECT o_orderpriority, date, count(*) AS n FROM o GROUP BY 1, 2)
+SELECT a.o_orderpriority, a.date, CAST(sum(d.value) OVER w AS DOUBLE) AS to_date,
+  CAST(coalesce(sum(f.n) OVER w, 0) AS BIGINT) AS customers, CAST(sum(d.value) OVER w AS DOUBLE) / CAST(sum(c.n) OVER w AS DOUBLE) AS mean_order
+FROM a LEFT JOIN d ON d.o_orderpriority = a.o_orderpriority AND d.date = a.date
+LEFT JOIN f ON f.o_orderpriority = a.o_orderpriority AND f.date = a.date
+LEFT JOIN c ON c.o_orderpriority = a.o_orderpriority AND c.date = a.date
+WINDOW w AS (PARTITION BY a.o_orderpriority, date_trunc('{unit}', a.date) ORDER BY a.date ROWS UNBOUNDED PRECEDING)""",
     )
     def run(spark, sf_dir):
-        return amounts(ti.total_to_date(daily(spark, sf_dir), "value", unit, KEYS, out="to_date"), "value", "to_date")
+        mean = m.compound("mean_order", ("to_date", "orders"), lambda p: divide(p["to_date"] / 100, p["orders"]))
+        measures = [m.sum_("to_date", order_total()), m.count_rows("orders"), m.distinct_count("customers", "o_custkey"), mean]
+        shown = ["to_date", "customers", "mean_order"]
+        out = ti.measures_to_date(table(spark, sf_dir, "orders"), measures, unit, "o_orderdate", KEYS, shown)
+        return amounts(out, "to_date")
 
 
 _to_date("total_ytd", "year")
@@ -88,7 +104,20 @@ FROM d LEFT JOIN p ON p.o_orderpriority = d.o_orderpriority AND p.start = date_t
 
 
 _whole_period("parallel_period", 1, "quarter", 3, "parallel")
-_whole_period("previous_month", -1, "month", -1, "previous")
+@query(
+    "previous_month",
+    f"""WITH p AS (SELECT o_orderpriority, CAST(date_trunc('month', {DAY}) AS DATE) AS date, count(DISTINCT o_custkey) AS customers,
+  CAST(sum({ORDER_TOTAL}) AS DOUBLE) AS total FROM orders GROUP BY 1, 2)
+SELECT a.o_orderpriority, a.date, a.customers, a.total, b.customers AS previous_customers, b.total AS previous
+FROM p a LEFT JOIN p b ON b.o_orderpriority = a.o_orderpriority AND b.date = CAST(a.date - INTERVAL 1 MONTH AS DATE)""",
+)
+def previous_month(spark, sf_dir):
+    measures = [m.sum_("total", order_total()), m.distinct_count("customers", "o_custkey")]
+    months = amounts(ti.measures_per(table(spark, sf_dir, "orders"), measures, "month", "o_orderdate", KEYS), "total")
+    out = ti.date_shift(months, "total", -1, "month", KEYS, out="previous")
+    return ti.date_shift(out, "customers", -1, "month", KEYS, out="previous_customers")
+
+
 _whole_period("previous_quarter", -1, "quarter", -3, "previous")
 _whole_period("previous_year", -1, "year", -12, "previous")
 
