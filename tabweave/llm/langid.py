@@ -257,8 +257,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], runs: bool =
     limit = max(1 << 16, (4 << 20) * 16 // max(16, size * size))
     added = [T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())]
     if runs:
-        stretch = T._parse_datatype_string("array<struct<lang: string, n_words: int>>")
-        added.append(T.StructField(f"{prefix}word_langs", stretch))
+        stretch = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n_words", T.IntegerType())])
+        added.append(T.StructField(f"{prefix}word_langs", T.ArrayType(stretch)))
     schema = T.StructType([*(docs.schema[c] for c in keep), *added])
     run_type = pa.list_(pa.struct([("lang", pa.string()), ("n_words", pa.int32())]))
 
