@@ -9,7 +9,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.operators.joins import null_safe_join
 
 
 class ValidationError(RuntimeError):
@@ -121,13 +120,20 @@ def measure_parity(
 ) -> DataFrame:
     """The same measure from two sources, one row per group of either side."""
     # One row per side and group meets in one aggregate; a group that a side lacks fails.
-    sides = [
-        df.select(*by, *(F.col(measure).alias(n) if n == name else F.lit(None).cast(df.schema[measure].dataType).alias(n) for n in names), *(F.lit(n == name).alias(f"__{n}") for n in names))
-        for names in [("expected", "actual")]
-        for df, name in ((left, "expected"), (right, "actual"))
-    ]
+    def side(df: DataFrame, name: str) -> DataFrame:
+        other = "actual" if name == "expected" else "expected"
+        return df.select(
+            *by,
+            F.col(measure).alias(name),
+            F.lit(None).cast(df.schema[measure].dataType).alias(other),
+            F.lit(True).alias(f"__{name}"),
+            F.lit(False).alias(f"__{other}"),
+        )
+
+    sides = side(left, "expected"), side(right, "actual")
     both = sides[0].unionByName(sides[1]).groupBy(*by)
-    both = both.agg(*(F.max(n).alias(n) for n in ("expected", "actual")), *(F.bool_or(f"__{n}").alias(f"__{n}") for n in ("expected", "actual")))
+    names = ("expected", "actual")
+    both = both.agg(*[F.max(n).alias(n) for n in names], *[F.bool_or(f"__{n}").alias(f"__{n}") for n in names])
     close = F.abs(F.col("expected") - F.col("actual")) <= tolerance
     blank = F.col("expected").isNull() & F.col("actual").isNull()
     passes = F.col("__expected") & F.col("__actual") & F.coalesce(close, blank)
