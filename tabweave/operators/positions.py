@@ -35,6 +35,8 @@ def running_before(
     repeated values first and pass their count as ``weight``.
     """
     order = [F.col(item) if isinstance(item, str) else item for item in order_by]
+    if weight is None and not within and total is None:
+        return _rows_before(df, order, out)
     size = F.col(weight) if weight else F.lit(1)
     ranged = df.repartitionByRange(*[F.col(c) for c in within], *order)
     sliced = cut_lineage(ranged.withColumn(_SLICE, F.spark_partition_id()))
@@ -56,6 +58,24 @@ def running_before(
     )
 
 
+def _rows_before(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Row counts without groups or weights: one range shuffle.
+
+    Each slice is sorted where it is, and its rows are numbered by
+    ``monotonically_increasing_id``, which holds the slice above bit 33 and the
+    place in the slice below. Checkpointed, these numbers are fixed.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(sorted_.withColumn("__id", F.monotonically_increasing_id()))
+    slice_ = F.shiftright("__id", 33)
+    sizes = placed.groupBy(slice_.alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    # One row per slice: as many as the shuffle has partitions.
+    starts = sizes.select("__at", (F.sum("__n").over(Window.orderBy("__at")) - F.col("__n")).alias("__start"))
+    joined = placed.join(starts, slice_ == F.col("__at"))
+    before = F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.withColumn(out, before.cast("long")).drop("__id", "__at", "__start")
+
+
 def number_rows(df: DataFrame, order_by: Sequence[str | Column], out: str = "row_number", start: int | Column = 1) -> DataFrame:
     """Dense global row numbers from ``start``; ``order_by`` is a unique key."""
     first = start if isinstance(start, Column) else F.lit(start)
