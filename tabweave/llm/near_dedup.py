@@ -244,7 +244,7 @@ class NearDuplicates:
         members = stored(members, "candidate-members")
         sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n_group"), F.sum("n").alias("n_all"))
         sizes = stored(sizes, "candidate-sizes")
-        texts = self.docs.join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        texts = self.docs.join(members.select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         rows = join_groups(members, sizes, "group", "n_group", members.count()).join(texts, "doc_id")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +292,9 @@ class NearDuplicates:
                 yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
         wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        # A class's smallest id may stand in several rows; all of them have its set.
-        texts = stored(self.docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+        # One plan at every size: texts are shuffled once by id. A class's smallest id may stand
+        # in several rows; all of them have its set.
+        texts = stored(self.docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
         sides = [texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
         full = near.join(sides[1], "b").join(sides[0], "a")
         return stored(full.mapInArrow(verify, "a long, b long"), "links")
