@@ -37,8 +37,8 @@ from tabweave.llm.langid import held_out
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5)
-SAMPLE_POSITIVE = 3000
-SAMPLE_UNLABELLED = 9000
+SAMPLE_POSITIVE = 1500
+SAMPLE_UNLABELLED = 5000
 SAMPLE_CHARS = 20_000
 LEAST_SIGMAS = 2.0
 SMOOTHING = 4.0
@@ -111,7 +111,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     parts = [[x for i, x in enumerate(side) if (i % 4 == 3) == late] for late in (False, True) for side in (positive, unlabelled)]
     rows = parts[0] + parts[1]
     buckets = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
     n, p, u = len(rows), len(parts[0]), len(parts[1])
     # Buckets count by how much oftener confirmed documents have them, where that is no
     # chance, so that the many words that only tell single documents apart have no weight.
@@ -122,10 +122,11 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     clear = np.abs(in_positive - expected) >= LEAST_SIGMAS * np.sqrt(expected + 1)
     scale = np.where(clear, lift * np.abs(lift), 0)
     used = np.flatnonzero(scale)
-    number = np.full(BUCKETS, -1)
-    number[used] = np.arange(len(used))
+    number = np.full(BUCKETS, -1, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
     kept = scale[buckets] != 0
-    doc, feature, value = doc[kept], number[buckets[kept]], scale[buckets[kept]]
+    doc, feature, value = doc[kept], number[buckets[kept]], scale[buckets[kept]].astype(np.float32)
+    del buckets, kept
 
     def margins(w: np.ndarray) -> np.ndarray:
         return np.bincount(doc, w[feature] * value, n) + w[-1]
