@@ -7,8 +7,10 @@ length of the longest match that ends there. Where the match reaches a window
 
 Words are runs of ASCII letters and digits and of bytes above 0x7F, with A-Z
 lower-cased. Null and empty texts have no words and no hits; items without words
-match nothing; repeated items all count. Repeated documents get the same answer
-each. Other columns pass through ``remove_spans`` untouched.
+match nothing; repeated items all count. Items without id match like all others;
+together they are one unnamed item: null in ``items``, one in ``n_items``, and no
+part of ``items_sha256``. Repeated documents get the same answer each. Other
+columns pass through ``remove_spans`` untouched.
 
 The benchmark is given to the tasks in blocks of at most ``BLOCK_WORDS`` words,
 so what is broadcast is bounded; several blocks are several passes whose hits
@@ -58,8 +60,8 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.owners: list[set[int]] = [set()]
-        self.whole: list[list[tuple[int, int]]] = [[]]
+        self.owners: list[set[int | None]] = [set()]
+        self.whole: list[list[tuple[int | None, int]]] = [[]]
         self.shortest = window
 
     def _state(self, length: int, following: dict[int, int], link: int, owners: set[int]) -> int:
@@ -205,6 +207,11 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def in_order(items) -> list[int | None]:
+    """Item ids in ascending order, the unnamed item last."""
+    return sorted(items, key=lambda x: (x is None, x or 0))
+
+
 def _item_pieces(window: int):
     """Items as pieces of at most PIECE_WORDS words that overlap by a window less one word."""
 
@@ -224,7 +231,7 @@ def _item_pieces(window: int):
 
 def matcher_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Matcher]:
     """Automata over parts of the benchmark, each of at most about ``block_words`` words."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     pieces = stored(items.mapInArrow(_item_pieces(window), "item_id long, words binary"), "benchmark")
     total = pieces.agg(F.sum(F.length("words"))).first()[0] or 0
     n = max(1, math.ceil(total / 8 / (block_words * 0.8)))
@@ -238,7 +245,7 @@ def _hits_column(found: dict, n_words: np.ndarray) -> pa.Array:
     for i, n in enumerate(n_words.tolist()):
         spans, items = found.get(i, ((), ()))
         n_hit = sum(b - a for a, b in spans)
-        rows.append({"n_words": n, "n_hit": n_hit, "spans": [list(x) for x in spans], "items": sorted(items)})
+        rows.append({"n_words": n, "n_hit": n_hit, "spans": [list(x) for x in spans], "items": in_order(items)})
     kind = pa.struct(
         [("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.int64()))]
     )
@@ -266,7 +273,7 @@ def _only_found(matcher):
             found = matcher.value.batch(h, firsts)
             at = sorted(found)
             spans = pa.array([[list(s) for s in found[i][0]] for i in at], pa.list_(pa.list_(pa.int32())))
-            items = pa.array([sorted(found[i][1]) for i in at], pa.list_(pa.int64()))
+            items = pa.array([in_order(found[i][1]) for i in at], pa.list_(pa.int64()))
             key = batch.column("__key").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([key, spans, items], ["__key", "__spans", "__items"])
 

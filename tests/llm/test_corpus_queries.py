@@ -224,6 +224,31 @@ def test_benchmark_in_blocks(spark, folder):
     assert not again.contaminated.any()
 
 
+def test_benchmark_items_without_id(spark, tmp_path, monkeypatch):
+    """Items without id match like others, and are one unnamed item as in SQL."""
+    import check
+
+    a, b, c = some(12), some(15), some(11)
+    texts = [f"{some(20)} {a} {some(9)}", f"{some(30)} {b} tiny thing {a}", f"{some(30)} {c} {a}", some(20), f"{some(5)} tiny thing"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(None, a), (None, b), (7, c), (None, None), (None, "tiny thing"), (11, c)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(check, "QUERIES", QUERIES)
+    monkeypatch.setattr(check, "ORACLES", ORACLES)
+    con = connect(SF_DIR)
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    ok, note = compare(spark, con, str(tmp_path), "op8_decontaminate")
+    assert ok, note
+    docs, benchmark = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))
+    for block_words in (1000, 10):
+        got = decontaminate.contamination(docs, benchmark, block_words=block_words).toPandas().set_index("doc_id").sort_index()
+        assert got.contaminated.tolist() == [True, True, True, False, True] and got.n_items.tolist() == [1, 1, 3, 0, 1]
+        assert got.n_hit.tolist() == [12, 29, 23, 0, 2] and got.items_sha256[2] == sha("11,7") and got.items_sha256[0] == sha("")
+    kept = decontaminate.remove_spans(docs, benchmark)
+    assert not decontaminate.contamination(kept, benchmark).filter("contaminated").count() and kept.count() == 5
+
+
 def test_url_verdicts(spark, folder):
     got = run(spark, "op7_url_filter", folder)
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
