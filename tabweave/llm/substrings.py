@@ -18,6 +18,8 @@ words before it that a window can reach back to.
   the same window, and the node's smallest id owns it.
 * The prefix of a larger group is lengthened to the whole window. Such a group
   is a single node, so an aggregate gives its smallest id and nothing is gathered.
+  A group's size is its leaves, so an anchor that one document repeats counts each
+  time. Leaves leave a task in slices of LEAF_ROWS.
 
 Documents that equal a smaller one word by word are removed whole when they hold
 a window; they take no part in the search.
@@ -44,6 +46,7 @@ from tabweave.llm.frames import documents, join_groups, shuffle_tasks, stored
 WINDOW = 50
 PREFIX = 25
 GROUP_ROWS = 2000
+LEAF_ROWS = 20_000
 
 
 def _sliding(x: np.ndarray, n: int, ufunc) -> np.ndarray:
@@ -88,7 +91,7 @@ class Repeats:
         self.window, self.k, self.group_rows = window, k, group_rows
 
     def survey(self) -> DataFrame:
-        """Per document: number of words, digests of its words, and the hashes of its anchors."""
+        """Per document: number of words, digests of its words, the hashes of its anchors and how often each occurs."""
         window, k = self.window, self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +101,15 @@ class Repeats:
                 h = tx.hashes(data, starts, ends)
                 at, found = anchors(h, firsts, window, k)
                 cuts = np.searchsorted(at, firsts)
-                shas, digests, lists = [], [], []
+                shas, digests, lists, counts = [], [], [], []
                 for i in range(batch.num_rows):
                     a, b = firsts[i], firsts[i + 1]
                     low = offsets[i]
                     shas.append(_sha(data[low : offsets[i + 1]], starts[a:b] - low, ends[a:b] - low))
                     digests.append(int.from_bytes(hashlib.blake2b(h[a:b].tobytes(), digest_size=8).digest(), "little", signed=True))
-                    lists.append(np.unique(found[cuts[i] : cuts[i + 1]]).view(np.int64))
+                    own, n = np.unique(found[cuts[i] : cuts[i + 1]], return_counts=True)
+                    lists.append(own.view(np.int64))
+                    counts.append(n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
@@ -112,11 +117,12 @@ class Repeats:
                         pa.array(shas),
                         pa.array(digests, pa.int64()),
                         pa.array(lists, pa.list_(pa.int64())),
+                        pa.array(counts, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_words", "sha", "digest", "anchors"],
+                    ["doc_id", "n_words", "sha", "digest", "anchors", "counts"],
                 )
 
-        return self.docs.mapInArrow(run, "doc_id long, n_words long, sha string, digest long, anchors array<long>")
+        return self.docs.mapInArrow(run, "doc_id long, n_words long, sha string, digest long, anchors array<long>, counts array<long>")
 
     def _leaves(self, wanted: DataFrame) -> DataFrame:
         """The suffixes of ``wanted`` (doc_id, text, groups, large): anchor, place, and the words around it.
@@ -127,14 +133,19 @@ class Repeats:
         window, k = self.window, self.k
         back = window - k
 
+        names = ["prefix", "doc_id", "place", "depth", "before", "after", "n_before"]
+        types = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in tx.chunks(batches, limit=1 << 20):
                 h, firsts = tx.words(batch.column("text"))
                 at, found = anchors(h, firsts, window, k)
                 cuts = np.searchsorted(at, firsts)
-                ids = batch.column("doc_id").to_pylist()
-                prefix, doc, place, depth, before, after, n_before = ([] for _ in range(7))
-                for i, doc_id in enumerate(ids):
+                rows: list[tuple] = []
+                for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                     first, end = int(firsts[i]), int(firsts[i + 1])
                     own_at, own = at[cuts[i] : cuts[i + 1]], found[cuts[i] : cuts[i + 1]].view(np.int64)
                     groups = np.array(batch.column("groups")[i].as_py(), np.int64)
@@ -142,29 +153,24 @@ class Repeats:
                     shared = np.isin(own, groups[~large])
                     for p, key in zip(own_at[shared].tolist(), own[shared].tolist(), strict=True):
                         low = max(first, p - back)
-                        prefix.append(key)
-                        doc.append(doc_id)
-                        place.append(p - first)
-                        depth.append(k)
-                        before.append(h[low:p].tobytes())
-                        after.append(h[p : min(end, p + window)].tobytes())
-                        n_before.append(p - low)
-                    hot = own_at[np.isin(own, groups[large])]
+                        rows.append((key, doc_id, p - first, k, h[low:p].tobytes(), h[p : min(end, p + window)].tobytes(), p - low))
+                        if len(rows) >= LEAF_ROWS:
+                            yield packed(rows)
+                            rows = []
+                    hot = own_at[np.isin(own, groups[large])] - first
                     if len(hot):
-                        s = np.unique((hot[:, None] - np.arange(back + 1)[None, :]).ravel())
-                        s = s[(s >= first) & (s + window <= end)]
-                        whole = tx.runs(h[first:end], window)[s - first].view(np.int64)
-                        prefix += whole.tolist()
-                        doc += [doc_id] * len(s)
-                        place += (s - first).tolist()
-                        depth += [window] * len(s)
-                        before += [b""] * len(s)
-                        after += [b""] * len(s)
-                        n_before += [0] * len(s)
-                columns = [pa.array(x, t) for x, t in zip(
-                    (prefix, doc, place, depth, before, after, n_before),
-                    (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["prefix", "doc_id", "place", "depth", "before", "after", "n_before"])
+                        n = end - first
+                        opened = np.bincount(np.maximum(hot - back, 0), minlength=n + 1) - np.bincount(hot + 1, minlength=n + 1)
+                        s = np.flatnonzero(np.cumsum(opened)[: n - window + 1] > 0)
+                        whole = tx.runs(h[first:end], window)[s].view(np.int64)
+                        for start in range(0, len(s), LEAF_ROWS):
+                            part = slice(start, start + LEAF_ROWS)
+                            rows += [(key, doc_id, p, window, b"", b"", 0) for key, p in zip(whole[part].tolist(), s[part].tolist(), strict=True)]
+                            if len(rows) >= LEAF_ROWS:
+                                yield packed(rows)
+                                rows = []
+                if rows:
+                    yield packed(rows)
 
         kind = "prefix long, doc_id long, place int, depth int, before binary, after binary, n_before int"
         return wanted.mapInArrow(run, kind)
@@ -231,11 +237,15 @@ class Repeats:
 
     def spans(self, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Stored texts that share an anchor, and (doc_id, low, high) of their repeated words."""
-        each = seen.filter("doc_id IS NOT NULL").select("doc_id", "digest", F.explode("anchors").alias("anchor"))
-        groups = each.groupBy("anchor").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.count(F.lit(1)).alias("n_rows"))
-        groups = stored(groups.filter("d0 <> d1").select("anchor", "n_rows", (F.col("n_rows") > self.group_rows).alias("large")), "prefixes")
+        usable = seen.filter("doc_id IS NOT NULL")
+        each = usable.select("doc_id", F.explode("anchors").alias("anchor"))
+        counted = usable.select("digest", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("counts").alias("n"))))
+        groups = counted.groupBy("anchor").agg(
+            F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_leaves")
+        )
+        groups = stored(groups.filter("d0 <> d1").select("anchor", "n_rows", (F.col("n_leaves") > self.group_rows).alias("large")), "prefixes")
         total = seen.agg(F.sum(F.size("anchors"))).first()[0] or 0
-        shared = join_groups(each.select("doc_id", "anchor"), groups, "anchor", "n_rows", total)
+        shared = join_groups(each, groups, "anchor", "n_rows", total)
         by_doc = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("groups"), F.collect_list("large").alias("large"))
         wanted = stored(self.docs.dropDuplicates(["doc_id"]).join(by_doc, "doc_id"), "sharing-texts")
         leaves = stored(self._leaves(wanted), "leaves")
@@ -251,7 +261,7 @@ class Repeats:
         seen = stored(self.survey(), "survey")
         usable = seen.filter("doc_id IS NOT NULL")
         first = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows")), "equal-texts")
-        known = join_groups(usable.drop("anchors"), first.select("digest", "first", "n_rows"), "digest", "n_rows", usable.count())
+        known = join_groups(usable.drop("anchors", "counts"), first.select("digest", "first", "n_rows"), "digest", "n_rows", usable.count())
         is_copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= self.window)
         known = stored(known.select("doc_id", "n_words", "sha", is_copy.alias("is_copy")), "known")
         heads = seen.join(known.filter("is_copy").select("doc_id"), "doc_id", "left_anti")
@@ -272,12 +282,12 @@ class Repeats:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tx.chunks(batches):
         removed, shas = [], []
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
+        for i in range(batch.num_rows):
             data, offsets = tx.buffers(batch.column("text").slice(i, 1))
             starts, ends, _ = tx.spans(data, offsets, tx.SPACED)
-            keep = np.ones(len(starts), bool)
-            for s in spans:
-                keep[s["low"] : s["high"]] = False
+            spans = batch.column("spans").slice(i, 1).flatten()
+            low, high = (np.bincount(spans.field(x).to_numpy(), minlength=len(starts) + 1) for x in ("low", "high"))
+            keep = np.cumsum(low - high)[:-1] == 0
             removed.append(int((~keep).sum()))
             shas.append(_sha(data, starts[keep], ends[keep]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(shas)], ["doc_id", "n_removed", "cut_sha"])

@@ -210,6 +210,34 @@ def test_large_prefix_groups(spark, folder, monkeypatch):
     pd.testing.assert_frame_equal(got, want)
 
 
+def test_one_document_that_repeats_its_anchors(spark, monkeypatch):
+    """The leaves of a group stay few where one document holds the same anchor many times."""
+    own, shared = [f"u{i}" for i in range(40)], [f"s{i}" for i in range(70)]
+    docs = {1: ["a"] * 60 + own, 2: own[:9] + ["a"] * 3000 + shared, 3: ["b", "c", "d"] * 500 + shared, 4: ["b", "c", "d"] * 20 + own[5:], 5: ["e"] * 900}
+    owner, want = {}, {}
+    for i, words in docs.items():
+        cut = set()
+        for at in range(len(words) - 49):
+            if owner.setdefault(tuple(words[at : at + 50]), i) < i:
+                cut |= set(range(at, at + 50))
+        want[i] = (len(words), len(cut), sha(" ".join(w for j, w in enumerate(words) if j not in cut)))
+    sizes = []
+    subtrees = substrings.Repeats._subtrees
+
+    def watched(self, leaves):
+        sizes.append(max((r["count"] for r in leaves.groupBy("prefix").count().collect()), default=0))
+        return subtrees(self, leaves)
+
+    monkeypatch.setattr(substrings.Repeats, "_subtrees", watched)
+    monkeypatch.setattr(substrings, "LEAF_ROWS", 70, raising=False)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    for group_rows in (100, 2000, 10**6):
+        got = substrings.Repeats(rows, group_rows=group_rows).remaining().collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == want
+        assert sizes[-1] <= group_rows
+    assert 0 < sizes[0]
+
+
 def test_benchmark_in_blocks(spark, folder):
     docs, benchmark = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     one, many = (decontaminate.contamination(docs, benchmark, block_words=n).toPandas().set_index("doc_id").sort_index() for n in (1000, 20))
