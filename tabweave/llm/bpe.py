@@ -8,8 +8,11 @@ Decoding joins the ids of whole documents with the vocabulary and concatenates
 the bytes by an aggregation ordered by position.
 
 Pieces of more than LONG_BYTES bytes need as many rounds as bytes, each over the
-whole piece, so the same contraction runs on a heap for them. Each worker keeps
-at most CACHE_PIECES encoded pieces and forgets all of them when it is full.
+whole piece, so the same contraction runs on a heap for them. The query's state
+holds every round, about half the square of a piece's bytes, so a query takes
+pieces with at most QUERY_CELLS squared bytes in all. Decoding takes DECODE_IDS
+ids at a time. Each worker keeps at most CACHE_PIECES encoded pieces and forgets
+all of them when it is full.
 
 Null and empty texts have no ids. Repeated rows get the same answer each. Other
 columns are ignored.
@@ -42,6 +45,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 LONG_BYTES = 512
 CACHE_PIECES = 400_000
 QUERY_WORDS = 50_000
+QUERY_CELLS = 10_000_000
+DECODE_IDS = 500_000
 CHUNK_BYTES = 2 << 20
 
 MERGE_SQL = """
@@ -170,8 +175,15 @@ class Tokenizer:
                 self.packed[x] = self.merge_long(word).tobytes()
             else:
                 todo.append((x, word))
-        for start in range(0, len(todo), QUERY_WORDS):
-            part = todo[start : start + QUERY_WORDS]
+        # Pieces of like length need as many rounds.
+        todo.sort(key=lambda x: len(x[1]))
+        cells = np.cumsum([len(word) ** 2 for _, word in todo])
+        start = 0
+        while start < len(todo):
+            before = cells[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(cells, before + QUERY_CELLS, "right")))
+            part = todo[start : min(stop, start + QUERY_WORDS)]
+            start += len(part)
             for (x, _), ids in zip(part, self.merge([w for _, w in part]), strict=True):
                 self.packed[x] = ids.tobytes()
 
@@ -189,10 +201,11 @@ class Tokenizer:
         p = np.arange(len(t), dtype=np.int32)
         d = np.repeat(np.arange(len(packed), dtype=np.int32), lengths)
         out = [b""] * len(packed)
-        if len(t):
-            found = self._rows(DECODE_SQL, "ids", pa.table({"d": d, "p": p, "t": t}))
+        for start in range(0, len(t), DECODE_IDS):
+            part = slice(start, start + DECODE_IDS)
+            found = self._rows(DECODE_SQL, "ids", pa.table({"d": d[part], "p": p[part], "t": t[part]}))
             for i, x in zip(found.column("d").to_pylist(), found.column("bytes").to_pylist(), strict=True):
-                out[i] = x
+                out[i] += x
         return out
 
 

@@ -142,6 +142,21 @@ def test_tokenizer_matches_the_library():
     assert own.merge_long(word).tolist() == own.merge([word])[0].tolist() == library.encode_ordinary(word.decode())
 
 
+def test_long_pieces_within_the_memory_limit():
+    """Many distinct pieces just below LONG_BYTES, and more ids than one decoding query can hold."""
+    import public_tokenizers as public
+    import tiktoken
+
+    own = bpe.Tokenizer(public.path(bpe.RANKS), public.PATTERN)
+    library = tiktoken.Encoding("x", pat_str=public.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(9)
+    text = " ".join("".join(chr(rng.randint(0x0E01, 0x0E30)) for _ in range(170)) for _ in range(400))
+    packed = own.encode([text, "between", text[:5000]])
+    assert [np.frombuffer(x, "<u4").tolist() for x in packed] == [library.encode_ordinary(t) for t in (text, "between", text[:5000])]
+    times = 4_000_000 // (len(packed[0]) // 4) + 1
+    assert own.decode([packed[1], packed[0] * times, packed[2], b""]) == [b"between", text.encode() * times, text[:5000].encode(), b""]
+
+
 def test_non_negative_risk_slope():
     rng = np.random.default_rng(8)
     for shift in (-4.0, 4.0):
