@@ -8,9 +8,11 @@ the text's distribution.
 
 Only document languages are known, so every word of a training document carries
 its document's language. To show switches to the model, stretches of documents in
-different languages are also interleaved. The model learns from at most
-SAMPLE_DOCS documents a language, chosen by a hash of the id, of at most
-SAMPLE_CHARS characters each; that bounds what reaches the driver.
+different languages are also interleaved. The model learns from about
+SAMPLE_DOCS documents a language, chosen by a hash of the id. Of a document of
+more than SAMPLE_CHARS characters it takes stretches from all over the text,
+chosen by a hash, that come to at most SAMPLE_CHARS; that bounds what reaches the
+driver without leaving long documents out.
 
 Words are stretches of ASCII letters and of bytes above 0x7F, lower-cased within
 Latin-1. Null texts and texts without a letter are ``und`` with score 0. With no
@@ -21,6 +23,8 @@ learned from. Repeated rows get the same answer each. Other columns are ignored.
 from __future__ import annotations
 
 import dataclasses
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,7 @@ from tabweave.llm.frames import documents
 BUCKETS = 1 << 18
 SAMPLE_DOCS = 250
 SAMPLE_CHARS = 8_000
+EXCERPT_CHARS = 250
 SEGMENT = 32
 STEPS = 20
 RATE = 0.25
@@ -235,15 +240,44 @@ def train(texts: list[str], langs: list[str]) -> Model:
     return Model(names, w, t)
 
 
+def excerpt(text: str, max_chars: int = SAMPLE_CHARS, size: int = EXCERPT_CHARS) -> str:
+    """``text``, or if it is longer than ``max_chars``, stretches with letters from all over it that are not.
+
+    Stretches begin and end between words, unless that leaves no letter.
+    """
+    if len(text) <= max_chars:
+        return text
+    places = np.arange(-(-len(text) // size), dtype=np.uint64)
+    seed = tx.mix(np.array([zlib.crc32(text.encode())], np.uint64))
+    chosen: list[tuple[int, str]] = []
+    for i in np.argsort(tx.mix(places + seed), kind="stable").tolist():
+        part = text[i * size : (i + 1) * size]
+        inner = re.search(r"\s(.*)\s", part, re.DOTALL)
+        if inner and has_letter(inner[1]):
+            part = inner[1]
+        if has_letter(part):
+            chosen.append((i, part))
+            if len(chosen) >= max_chars // (size + 1):
+                break
+    return " ".join(part for _, part in sorted(chosen))
+
+
 def fit(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> Model | None:
     """A model of the languages in ``docs`` rows that are ``usable``."""
-    rows = docs.filter(usable & F.col("lang").isNotNull() & F.length("text").between(1, max_chars))
+    rows = docs.filter(usable & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
     share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, per_lang / r.n)))))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(chance < share[F.col("lang")]).select("text", "lang").orderBy("lang", "text").toPandas()
+    chosen = rows.filter(chance < share[F.col("lang")]).select("text", "lang")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.chunks(batches):
+            texts = pa.array([excerpt(x, max_chars) for x in batch.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, batch.column("lang")], ["text", "lang"])
+
+    sample = chosen.mapInArrow(cut, chosen.schema).orderBy("lang", "text").toPandas()
     return train(sample.text.tolist(), sample.lang.tolist()) if len(sample) else None
 
 
@@ -308,13 +342,23 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model, ["doc_id", "held_out"])
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.chunks(batches):
+            yield batch.filter(pa.array([has_letter(x or "") for x in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no letter, or no language that holds MIN_SCORE of the words.
 
-    Without any known language nothing is dropped.
+    Without any known language only those without a letter are dropped.
     """
     model = fit(docs, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     if model is None:
-        return docs
+        return lettered(docs)
     named = predict(docs, model, docs.columns, prefix="__")
     return named.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)

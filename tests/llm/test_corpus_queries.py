@@ -184,6 +184,22 @@ def test_languages(spark, folder):
     assert (real.lang_pred == docs.lang)[late].mean() > 0.95
 
 
+def test_languages_of_long_documents(spark, tmp_path):
+    """Languages are learned where every document is long, and letterless texts go where none is known."""
+    words = {"en": "the cat and dog with this thing over there".split(), "de": "der Hund und die Katze nicht mit einem Haus".split()}
+    rows = [(i, " ".join(RNG.choice(words[x]) for _ in range(3000)), x) for i, x in enumerate(["en", "de"] * 12)]
+    rows += [(24, "12 34 " * 3000, None), (25, None, None), (26, "12 " * 5000 + "the cat and this dog", "en")]
+    schema = "doc_id long, text string, lang string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = run(spark, "op4_langid", str(tmp_path))
+    assert got.lang_pred.tolist() == [x or "und" for _, _, x in rows]
+    stage = corpus_pipeline.STAGES[0][1]
+    unnamed = spark.createDataFrame([(i, t, None) for i, t, _ in rows], schema)
+    for docs in (unnamed, spark.createDataFrame(rows, schema)):
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {*range(24), 26}
+
+
 def test_cross_component_blocks(spark, monkeypatch):
     """Chains of near copies, with bands cut into blocks, against all pairs."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)

@@ -142,6 +142,17 @@ def test_tokenizer_matches_the_library():
     assert own.merge_long(word).tolist() == own.merge([word])[0].tolist() == library.encode_ordinary(word.decode())
 
 
+def test_excerpts_are_bounded_and_from_all_over():
+    text = " ".join(f"word{i}x" for i in range(9000))
+    got = langid.excerpt(text, 5000)
+    words = got.split(" ")
+    assert 4000 < len(got) <= 5000 and set(words) <= set(text.split(" ")) and got == langid.excerpt(text, 5000)
+    at = [int(w[4:-1]) for w in words]
+    assert at == sorted(at) and len({i // 1500 for i in at}) == 6
+    assert langid.excerpt("a b", 5000) == "a b" and langid.excerpt("1 " * 9000 + "é", 5000).endswith("é")
+    assert len(langid.excerpt("字" * 20_000, 5000)) > 4000
+
+
 def test_long_pieces_within_the_memory_limit():
     """Many distinct pieces just below LONG_BYTES, and more ids than one decoding query can hold."""
     import public_tokenizers as public
