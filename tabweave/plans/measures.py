@@ -28,7 +28,10 @@ class Agg:
 
     ``merge`` combines partial results; it is absent where that is not possible.
     ``empty`` is the result over no rows where that is not NULL.
-    ``distinct`` marks a fold over the distinct values only.
+    ``distinct`` marks a fold over the distinct values only, ``extreme`` a minimum
+    or maximum, ``signed`` a sum or count that can be undone by a row of opposite
+    sign, ``counts`` one that counts its values instead of adding them, and
+    ``spread`` squared deviations, whose partial results have to be centred first.
     """
 
     fold: Callable[[Column], Column]
@@ -37,6 +40,10 @@ class Agg:
     empty: int | None = None
     keep: Column | None = None
     distinct: bool = False
+    extreme: bool = False
+    signed: bool = False
+    counts: bool = False
+    spread: bool = False
 
     def where(self, predicate: Column) -> Agg:
         return replace(self, keep=predicate if self.keep is None else self.keep & predicate)
@@ -106,13 +113,21 @@ def slot(measure: Measure, part: str) -> str:
 # -- base measures -------------------------------------------------------
 
 
+def _total(value: Column | str) -> Agg:
+    return Agg(F.sum, value, F.sum, signed=True)
+
+
+def _tally(value: Column | str | int) -> Agg:
+    return Agg(F.count, value, F.sum, empty=0, signed=True, counts=True)
+
+
 def sum_(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.sum, value, F.sum)})
+    return Measure(name, {"value": _total(value)})
 
 
 def count(name: str, value: Column | str | int) -> Measure:
     """Non-NULL values."""
-    return Measure(name, {"value": Agg(F.count, value, F.sum, empty=0)})
+    return Measure(name, {"value": _tally(value)})
 
 
 def count_rows(name: str) -> Measure:
@@ -132,17 +147,17 @@ def average(name: str, value: Column | str) -> Measure:
     """Kept as sum and count, so partial results can be merged."""
     return Measure(
         name,
-        {"sum": Agg(F.sum, value, F.sum), "count": Agg(F.count, value, F.sum, empty=0)},
+        {"sum": _total(value), "count": _tally(value)},
         lambda parts: divide(parts["sum"], parts["count"]),
     )
 
 
 def minimum(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.min, value, F.min)})
+    return Measure(name, {"value": Agg(F.min, value, F.min, extreme=True)})
 
 
 def maximum(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.max, value, F.max)})
+    return Measure(name, {"value": Agg(F.max, value, F.max, extreme=True)})
 
 
 def stddev(name: str, value: Column | str) -> Measure:
@@ -154,7 +169,7 @@ def variance(name: str, value: Column | str) -> Measure:
 
 
 def _bounds(value: Column | str) -> dict[str, Agg]:
-    return {"low": Agg(F.min, value, F.min), "high": Agg(F.max, value, F.max)}
+    return {"low": Agg(F.min, value, F.min, extreme=True), "high": Agg(F.max, value, F.max, extreme=True)}
 
 
 def has_one_value(name: str, value: Column | str) -> Measure:

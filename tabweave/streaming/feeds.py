@@ -1,22 +1,22 @@
 """Change feeds and file feeds as streaming queries.
 
-Sinks are replay safe: a batch writes to a place named after its batch id, and
-becomes visible with one row in a log. The checkpoint is the feed's position.
+Tables and aggregates that follow a feed live in the state store of a streaming
+aggregation. The checkpoint is the feed's position and holds that state, so a
+batch that runs again after a failure counts once.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tabweave.operators.cdc import ACTION, IS_UPDATE, SEQ, cdc_counts, cdc_merge, cdc_net_changes
-from tabweave.plans.measures import Measure, merge_partials, preaggregate, reaggregate
-from tabweave.sources.sinks import read_if_present
+from tabweave.operators.cdc import ACTION, IS_UPDATE, SEQ
+from tabweave.plans.measures import Measure, finished, resolved, slot
 
 Trigger = Mapping[str, object]
 AVAILABLE_NOW: Trigger = {"availableNow": True}
@@ -25,11 +25,6 @@ EVERY_MINUTE: Trigger = {"processingTime": "1 minute"}
 #: Refresh cadence and the trigger interval it asks for (fixed values).
 TARGET_LAG = {"real-time": "60 seconds", "hourly": "1 hour", "daily": "1 day", "weekly": "7 days"}
 
-_LOG_DDL = (
-    "kind string, batch_id bigint, path string, inserts bigint, updates bigint, deletes bigint, processed_at timestamp"
-)
-
-
 def lag_trigger(cadence: str) -> Trigger:
     return {"processingTime": TARGET_LAG[cadence]}
 
@@ -81,155 +76,141 @@ def auto_ingest(
     )
 
 
-class BatchLog:
-    """Which batches a sink has taken: a base and the deltas written after it."""
+def state_of(spark: SparkSession, checkpoint: str, columns: Sequence[str]) -> DataFrame | None:
+    """What a streaming aggregation holds after its last batch, by its key and buffer columns; None before the first."""
+    try:
+        state = spark.read.format("statestore").load(checkpoint)
+    except PySparkException as error:
+        if error.getCondition() != "STDS_COMMITTED_BATCH_UNAVAILABLE":
+            raise
+        return None
+    keys, buffers = (state.schema[c].dataType for c in ("key", "value"))
+    # Buffers of one kind share a name. That of a decimal sum is followed by a flag.
+    names = iter(columns[len(keys) :])
+    renamed = T.StructType([T.StructField(f"__flag_{i}" if f.name == "isEmpty" else next(names), f.dataType) for i, f in enumerate(buffers)])
+    named = state.select("key.*", F.col("value").cast(renamed).alias("__value"))
+    return named.select(*named.columns[:-1], "__value.*").toDF(*columns[: len(keys)], *renamed.names)
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
 
-    def entries(self) -> DataFrame:
-        found = read_if_present(self.spark, f"{self.root}/log")
-        return self.spark.createDataFrame([], _LOG_DDL) if found is None else found
+class ChangeTable:
+    """A keyed table held by Spark's state store: per key the change with the highest sequence number.
 
-    def has(self, batch_id: int) -> bool:
-        return not self.entries().where((F.col("kind") == "delta") & (F.col("batch_id") == batch_id)).isEmpty()
+    A deleted key stays as a tombstone with its number, so batches that come late,
+    repeatedly or in any order lead to the same table. Of one number, the live row
+    wins over the deleted one it replaces. A batch costs the keys that it touches.
+    Large tables want ``spark.sql.streaming.stateStore.providerClass`` set to the
+    RocksDB provider.
+    """
 
-    def path(self, kind: str, batch_id: int) -> str:
-        return f"{self.root}/{kind}/{batch_id:020d}"
+    def __init__(self, spark: SparkSession, checkpoint: str, key: Sequence[str], schema: T.StructType):
+        self.spark, self.checkpoint, self.key, self.schema = spark, checkpoint, list(key), schema
 
-    def commit(self, kind: str, batch_id: int, counts: tuple[int, int, int] = (0, 0, 0)) -> None:
-        row = (kind, batch_id, self.path(kind, batch_id), *counts, dt.datetime.now(dt.timezone.utc))
-        self.spark.createDataFrame([row], _LOG_DDL).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+    def latest(self, changes: DataFrame) -> DataFrame:
+        live = (F.col(ACTION) == "INSERT").alias("live")
+        rest = [F.col(c) for c in self.schema.names if c not in self.key]
+        order = F.struct(F.col(SEQ).cast("long").alias("seq"), live)
+        return changes.groupBy(*self.key).agg(F.max_by(F.struct(live, *rest), order).alias("row"))
 
-    def pending(self) -> tuple[str | None, list[str], int]:
-        """Path of the base, paths of the deltas since, and the last batch."""
-        log = self.entries().select("kind", "path", "batch_id")
-        base = log.where(F.col("kind") == "base").orderBy(F.col("batch_id").desc()).first()
-        after = base["batch_id"] if base else -1
-        deltas = log.where((F.col("kind") == "delta") & (F.col("batch_id") > after)).orderBy("batch_id").collect()
-        return base["path"] if base else None, [d["path"] for d in deltas], deltas[-1]["batch_id"] if deltas else after
+    def current(self) -> DataFrame:
+        """The live rows after the last finished batch."""
+        state = state_of(self.spark, self.checkpoint, [*self.key, "__row", "__order"])
+        if state is None:
+            return self.spark.createDataFrame([], self.schema)
+        columns = [F.col(c) if c in self.key else F.col("__row")[c].alias(c) for c in self.schema.names]
+        return state.where("__row.live").select(*columns)
 
 
-class ChangeTable:
-    """A keyed table kept as a base and the net changes of later batches.
+def stream_cdc_foreach_batch(
+    feed: DataFrame,
+    target: ChangeTable,
+    on_batch: Callable[[DataFrame, int], None] | None = None,
+    trigger: Trigger = EVERY_MINUTE,
+) -> StreamingQuery:
+    """Take the change rows of every micro-batch into ``target``; ``batch_counts`` shows what came.
 
-    Applying a batch writes only its changes. Reading merges them into the base,
-    and ``compact`` folds them into a new base, by itself after ``compact_after``
-    batches where that is given.
+    ``on_batch`` gets the keys that a batch has changed, each with its latest change ``row``.
     """
+    kinds = {"inserts": ("INSERT", False), "updates": ("INSERT", True), "deletes": ("DELETE", False)}
+    counts = [F.count_if((F.col(ACTION) == a) & (F.col(IS_UPDATE) == F.lit(u))).alias(n) for n, (a, u) in kinds.items()]
+    writer = target.latest(feed.observe("changes", *counts)).writeStream.outputMode("update")
+    writer = writer.foreachBatch(on_batch) if on_batch else writer.format("noop")
+    return writer.option("checkpointLocation", target.checkpoint).trigger(**trigger).start()
 
-    def __init__(
-        self, spark: SparkSession, root: str, key: Sequence[str], schema: T.StructType, compact_after: int | None = None
-    ):
-        self.spark, self.key, self.schema = spark, list(key), schema
-        self.batches, self.compact_after = BatchLog(spark, root), compact_after
-
-    def log(self) -> DataFrame:
-        """One row per applied batch with its counts: this is also the audit log."""
-        return self.batches.entries()
-
-    def apply(self, changes: DataFrame, batch_id: int) -> None:
-        """Apply a batch of change rows; a batch that is in the log is skipped."""
-        if self.batches.has(batch_id):
-            return
-        path = self.batches.path("delta", batch_id)
-        net = cdc_net_changes(changes, self.key).select(*self.schema.names, ACTION, IS_UPDATE, F.col(SEQ).cast("long").alias(SEQ))
-        net = net.withColumn("_batch", F.lit(batch_id).cast("long"))
-        net.write.mode("overwrite").parquet(path)
-        counts = cdc_counts(self.spark.read.schema(net.schema).parquet(path)).first()
-        self.batches.commit("delta", batch_id, (counts["inserts"], counts["updates"], counts["deletes"]))
-        if self.compact_after and len(self.batches.pending()[1]) >= self.compact_after:
-            self.compact()
 
-    def current(self) -> DataFrame:
-        base_path, deltas, _ = self.batches.pending()
-        reader = self.spark.read.schema(self.schema)
-        base = reader.parquet(base_path) if base_path else self.spark.createDataFrame([], self.schema)
-        if not deltas:
-            return base
-        fields = self.schema.names
-        change_schema = T.StructType(
-            [*self.schema, T.StructField(ACTION, T.StringType()), T.StructField(IS_UPDATE, T.BooleanType()), T.StructField(SEQ, T.LongType()), T.StructField("_batch", T.LongType())]
-        )
-        # A batch that arrives late with older changes does not undo newer ones.
-        changes = self.spark.read.schema(change_schema).parquet(*deltas)
-        changes = changes.select(*fields, ACTION, IS_UPDATE, F.struct(SEQ, "_batch").alias("_order"))
-        net = cdc_net_changes(changes, self.key, seq="_order")
-        return cdc_merge(base, net, self.key)
-
-    def compact(self) -> None:
-        """Write the merged table as the new base."""
-        _, deltas, last = self.batches.pending()
-        if deltas:
-            self.current().write.mode("overwrite").parquet(self.batches.path("base", last))
-            self.batches.commit("base", last)
+def batch_counts(query: StreamingQuery) -> DataFrame:
+    """Inserts, updates and deletes of the query's recent batches, from its progress reports."""
+    spark = SparkSession.active()
+    found = [(p["batchId"], p["observedMetrics"]["changes"]) for p in query.recentProgress if "changes" in p["observedMetrics"]]
+    rows = [(i, c["inserts"], c["updates"], c["deletes"]) for i, c in found]
+    return spark.createDataFrame(rows, "batch_id bigint, inserts bigint, updates bigint, deletes bigint")
 
 
-def stream_cdc_foreach_batch(
-    feed: DataFrame, target: ChangeTable, checkpoint: str, trigger: Trigger = EVERY_MINUTE
-) -> StreamingQuery:
-    """Route the change rows of every micro-batch into ``target``, with counts in its log."""
-    return (
-        feed.writeStream.foreachBatch(target.apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+class IncrementalAggregate:
+    """A grouped result that follows a table through inserts, updates and deletes.
 
+    The state store keeps signed sums and counts per group, and for minima, maxima
+    and distinct counts how many rows hold each value. An update is a DELETE of the
+    old row and an INSERT of the new one. A batch costs the groups and values that
+    it touches; a hot group is combined before the shuffle. Sums are exact for whole
+    numbers and decimals. Rows of a feed without change columns are inserts.
+    """
 
-class IncrementalAggregate:
-    """A grouped result that follows its input by merging partial results."""
-
-    def __init__(
-        self,
-        spark: SparkSession,
-        root: str,
-        measures: Sequence[Measure],
-        by: Sequence[str],
-        compact_after: int | None = None,
-    ):
-        self.spark, self.measures, self.by = spark, list(measures), list(by)
-        self.batches, self.compact_after = BatchLog(spark, root), compact_after
-
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        if self.batches.has(batch_id):
-            return
-        partial = preaggregate(batch, self.measures, self.by)
-        partial.write.mode("overwrite").parquet(self.batches.path("delta", batch_id))
-        self.batches.commit("delta", batch_id)
-        if self.compact_after and len(self.batches.pending()[1]) >= self.compact_after:
-            self.compact()
-
-    def start(self, feed: DataFrame, checkpoint: str, trigger: Trigger = EVERY_MINUTE) -> StreamingQuery:
-        return (
-            feed.writeStream.foreachBatch(self.apply)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**trigger)
-            .start()
-        )
-
-    def partials(self) -> DataFrame:
-        base, deltas, _ = self.batches.pending()
-        paths = ([base] if base else []) + deltas
-        if not paths:
-            raise ValueError("no batch has been taken yet")
-        return self.spark.read.parquet(*paths)
+    def __init__(self, spark: SparkSession, checkpoint: str, measures: Sequence[Measure], by: Sequence[str]):
+        self.spark, self.checkpoint, self.measures, self.by = spark, checkpoint, resolved(measures), list(by)
+        aggs = {slot(x, p): a for x in self.measures if not x.needs for p, a in x.base.items()}
+        self.sums = {s: a for s, a in aggs.items() if a.signed}
+        self.values = {s: a for s, a in aggs.items() if a.distinct or a.extreme}
+        stuck = aggs.keys() - self.sums.keys() - self.values.keys()
+        if stuck:
+            raise ValueError(f"{sorted(stuck)} cannot follow deletes")
+        self.show = [x.name for x in measures]
+
+    def state(self, feed: DataFrame) -> DataFrame:
+        """Signed sums and value counts of the feed's rows."""
+        sign = F.when(F.col(ACTION) == "DELETE", -1).otherwise(1) if ACTION in feed.columns else F.lit(1)
+        kinds = feed.select(*[a.input().alias(s) for s, a in (self.sums | self.values).items()]).schema
+        inputs = feed.select(*self.by, sign.cast("long").alias("__sign"), *[a.input().alias(s) for s, a in (self.sums | self.values).items()])
+
+        def part(number: int, value: str | None) -> Column:
+            """One row of a change: all its sums, or one value."""
+            nothing = {s: F.lit(None).cast(kinds[s].dataType) for s in (*self.sums, *self.values)}
+            shown = {s: F.col(f"`{s}`") for s in (self.sums if value is None else [value])}
+            return F.struct(F.lit(number).alias("__part"), *[(shown | {}).get(s, nothing[s]).alias(s) for s in (*self.sums, *self.values)])
+
+        parts = F.array(part(0, None), *[F.when(F.col(f"`{s}`").isNotNull(), part(i, s)) for i, s in enumerate(self.values, 1)])
+        rows = inputs.select(*self.by, "__sign", F.explode(F.array_compact(parts)).alias("__p")).select(*self.by, "__sign", "__p.*")
+        signed = []
+        for s, a in self.sums.items():
+            held = F.col(f"`{s}`")
+            amount = F.when(held.isNotNull(), F.lit(1)) if a.counts else held
+            signed += [F.sum(amount * F.col("__sign")), F.sum(F.when(held.isNotNull(), F.col("__sign")))]
+        return rows.groupBy(*self.by, "__part", *[F.col(f"`{s}`") for s in self.values]).agg(F.sum("__sign"), *signed)
+
+    def start(self, feed: DataFrame, trigger: Trigger = EVERY_MINUTE) -> StreamingQuery:
+        writer = self.state(feed).writeStream.outputMode("update").format("noop")
+        return writer.option("checkpointLocation", self.checkpoint).trigger(**trigger).start()
 
     def result(self, by: Sequence[str] | None = None) -> DataFrame:
         """The current aggregate, also for a coarser grouping."""
-        return reaggregate(self.partials(), self.measures, self.by if by is None else by)
-
-    def compact(self) -> None:
-        """Write the merged partial results as the new base."""
-        _, deltas, last = self.batches.pending()
-        if not deltas:
-            return
-        partials = self.partials()
-        merged = merge_partials(partials, self.measures, self.by)
-        # A merged decimal is wider; the stored type has to stay the same.
-        kept = merged.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in partials.schema])
-        kept.write.mode("overwrite").parquet(self.batches.path("base", last))
-        self.batches.commit("base", last)
+        by = self.by if by is None else list(by)
+        sums = [c for s in self.sums for c in (s, f"{s} held")]
+        names = [*self.by, "__part", *self.values, "__n", *sums]
+        state = state_of(self.spark, self.checkpoint, names)
+        if state is None:
+            raise ValueError("no batch has been taken yet")
+        own = F.col("__part") == 0
+        folds = []
+        for s, a in self.sums.items():
+            total = F.sum(F.when(own, F.col(f"`{s}`")))
+            held = F.sum(F.when(own, F.col(f"`{s} held`")))
+            folds.append((F.coalesce(total, F.lit(0)) if a.counts else F.when(held > 0, total)).alias(s))
+        for i, (s, a) in enumerate(self.values.items(), 1):
+            folds.append(a.fold(F.when((F.col("__part") == i) & (F.col("__n") > 0), F.col(f"`{s}`"))).alias(s))
+        rows = F.sum(F.when(own, F.col("__n"))).alias("__rows")
+        merged = state.groupBy(*by).agg(rows, *folds)
+        if by:
+            merged = merged.where("__rows > 0")
+        return finished(merged, self.measures, by, self.show)
 
 
 def stream_multi_target(

@@ -9,7 +9,7 @@ from tabweave.operators.transforms import union_all
 from tabweave.plans import measures as m
 from tabweave.session import cut_lineage, scratch_dir
 from tabweave.streaming import feeds
-from workload.base import amounts, cents, query, table
+from workload.base import ORDER_TOTAL, amounts, cents, order_total, query, table
 
 KEY = ["o_orderkey"]
 
@@ -189,9 +189,7 @@ def stream_cdc_foreach_batch(spark, sf_dir):
     rows = event_changes(_event_feed(spark, sf_dir))
     schema = event_changes(table(spark, sf_dir, "events")).select("user_id", "event_id", "event_type", "value").schema
     target = feeds.ChangeTable(spark, scratch_dir(spark, "change-table"), ["user_id"], schema)
-    feeds.stream_cdc_foreach_batch(
-        rows, target, scratch_dir(spark, "change-checkpoint"), feeds.AVAILABLE_NOW
-    ).awaitTermination()
+    feeds.stream_cdc_foreach_batch(rows, target, trigger=feeds.AVAILABLE_NOW).awaitTermination()
     return target.current()
 
 
@@ -226,9 +224,31 @@ def incremental_aggregate(spark, sf_dir):
         m.maximum("largest", "value"),
     ]
     summary = feeds.IncrementalAggregate(spark, scratch_dir(spark, "summary"), measures, ["event_type"])
-    summary.start(
-        _event_feed(spark, sf_dir), scratch_dir(spark, "summary-checkpoint"), feeds.AVAILABLE_NOW
-    ).awaitTermination()
+    summary.start(_event_feed(spark, sf_dir), feeds.AVAILABLE_NOW).awaitTermination()
+    return amounts(summary.result(), "total")
+
+
+@query(
+    "incremental_aggregate_changes",
+    f"""SELECT o_orderstatus, CAST(sum({ORDER_TOTAL}) AS DOUBLE) AS total, count(*) AS n, count(DISTINCT o_custkey) AS customers,
+  min(o_orderdate) AS earliest, max(o_totalprice) AS largest FROM ({NEW_SQL}) GROUP BY 1""",
+)
+def incremental_aggregate_changes(spark, sf_dir):
+    # The old order book comes as inserts, then the deletes, updates and inserts that lead to the new one.
+    old, new = snapshots(spark, sf_dir)
+    path = scratch_dir(spark, "order-changes")
+    for part in (cdc.initial_rows(old), cdc.cdc_diff(old, new, KEY)):
+        part.write.mode("append").parquet(path)
+    feed = feeds.file_feed(spark, path, cdc.initial_rows(old).schema, max_files=6)
+    measures = [
+        m.sum_("total", order_total()),
+        m.count_rows("n"),
+        m.distinct_count("customers", "o_custkey"),
+        m.minimum("earliest", "o_orderdate"),
+        m.maximum("largest", "o_totalprice"),
+    ]
+    summary = feeds.IncrementalAggregate(spark, scratch_dir(spark, "order-summary"), measures, ["o_orderstatus"])
+    summary.start(feed, feeds.AVAILABLE_NOW).awaitTermination()
     return amounts(summary.result(), "total")
 
 
