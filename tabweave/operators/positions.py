@@ -8,7 +8,7 @@ numbered on its own.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,3 +125,32 @@ def exact_percentiles(df: DataFrame, value: str, points: dict[str, float], by: S
             for n in points
         ],
     )
+
+
+def exact_quantiles(df: DataFrame, points: Mapping[str, tuple[Column, float]], by: Sequence[str] = ()) -> DataFrame:
+    """Interpolated exact percentiles of several columns per group, all in one pass.
+
+    ``points`` maps output names to a value column and a fraction; NULL values do
+    not count, so a column can be filtered by making the others NULL. Columns that
+    are given several times are tallied once.
+    """
+    columns = list({id(value): value for value, _ in points.values()}.values())
+    number = {id(value): i for i, value in enumerate(columns)}
+    entries = F.array(*[F.struct(F.lit(i).alias("__column"), v.cast("double").alias("__value")) for i, v in enumerate(columns)])
+    rows = df.select(*by, F.explode(F.filter(entries, lambda e: e["__value"].isNotNull())).alias("__entry"))
+    tallies = rows.select(*by, "__entry.*").groupBy(*by, "__column", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    placed = running_before(tallies, ["__value"], "__n", [*by, "__column"], "__before", total="__size")
+    first, last = F.col("__before"), F.col("__before") + F.col("__n") - 1
+    picks, out = [], []
+    for i, (name, (value, fraction)) in enumerate(points.items()):
+        own = F.col("__column") == number[id(value)]
+        at = F.lit(float(fraction)) * (F.col("__size") - 1)
+        below, above = F.floor(at), F.ceil(at)
+        low, high, part = (f"__{kind}_{i}" for kind in ("low", "high", "part"))
+        picks += [
+            F.max(F.when(own & below.between(first, last), F.col("__value"))).alias(low),
+            F.max(F.when(own & above.between(first, last), F.col("__value"))).alias(high),
+            F.max(F.when(own, at - below)).alias(part),
+        ]
+        out.append((F.col(low) + (F.col(high) - F.col(low)) * F.col(part)).alias(name))
+    return placed.groupBy(*by).agg(*picks).select(*by, *out)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.scalar import divide
 from tabweave.operators.joins import null_safe_join
+from tabweave.operators.positions import exact_quantiles
+from tabweave.plans.bitmaps import BITMAP, BUCKET, SET, bitmap_rows
 
 Where = Column | Mapping[str, Column] | None
 Parts = Mapping[str, Column]
@@ -30,8 +32,9 @@ class Agg:
     ``empty`` is the result over no rows where that is not NULL.
     ``distinct`` marks a fold over the distinct values only, ``extreme`` a minimum
     or maximum, ``signed`` a sum or count that can be undone by a row of opposite
-    sign, ``counts`` one that counts its values instead of adding them, and
-    ``spread`` squared deviations, whose partial results have to be centred first.
+    sign, ``counts`` one that counts its values instead of adding them, ``spread``
+    squared deviations, whose partial results have to be centred first, and
+    ``fraction`` an exact percentile, which is found by position.
     """
 
     fold: Callable[[Column], Column]
@@ -44,6 +47,7 @@ class Agg:
     signed: bool = False
     counts: bool = False
     spread: bool = False
+    fraction: float | None = None
 
     def where(self, predicate: Column) -> Agg:
         return replace(self, keep=predicate if self.keep is None else self.keep & predicate)
@@ -160,12 +164,33 @@ def maximum(name: str, value: Column | str) -> Measure:
     return Measure(name, {"value": Agg(F.max, value, F.max, extreme=True)})
 
 
-def stddev(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.stddev_samp, value)})
+def _squares(value: Column) -> Column:
+    """Squared deviations from the mean of the values."""
+    return F.var_pop(value) * F.count(value)
 
 
 def variance(name: str, value: Column | str) -> Measure:
-    return Measure(name, {"value": Agg(F.var_samp, value)})
+    """Sample variance, kept as count, sum and squared deviations, so partial results can be merged."""
+    real = _c(value).cast("double")
+    base = {"count": _tally(value), "sum": _total(real), "square": Agg(_squares, real, F.sum, spread=True)}
+    return Measure(name, base, lambda p: F.when(p["count"] > 1, p["square"] / (p["count"] - 1)))
+
+
+def stddev(name: str, value: Column | str) -> Measure:
+    """Sample standard deviation, mergeable like ``variance``."""
+    squared = variance(name, value)
+    return replace(squared, finish=lambda p: F.sqrt(squared.finish(p)))
+
+
+def percentile(name: str, value: Column | str, fraction: float) -> Measure:
+    """Exact interpolated percentile of the values in context."""
+    if not 0 <= fraction <= 1:
+        raise ValueError("a percentile's fraction lies between 0 and 1")
+    return Measure(name, {"value": Agg(lambda c: F.percentile(c, fraction), value, fraction=fraction)})
+
+
+def median(name: str, value: Column | str) -> Measure:
+    return percentile(name, value, 0.5)
 
 
 def _bounds(value: Column | str) -> dict[str, Agg]:
@@ -310,8 +335,64 @@ def _filtered(df: DataFrame, predicate: Column | None) -> DataFrame:
     return df if predicate is None else df.where(predicate)
 
 
+def _slots(measures: Iterable[Measure]) -> dict[str, Agg]:
+    return {slot(m, part): a for m in measures for part, a in m.base.items()}
+
+
 def _aggregates(measures: Iterable[Measure]) -> list[Column]:
-    return [a.column().alias(slot(m, part)) for m in measures for part, a in m.base.items()]
+    return [a.column().alias(s) for s, a in _slots(measures).items()]
+
+
+def _attached(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the totals of its ``keys`` group, or with the only row there is without keys."""
+    if keys:
+        return null_safe_join(df, totals, keys, "left")
+    whole = totals.select(F.struct(*map(_quoted, totals.columns)).alias("__totals")).scalar()
+    named = {c: F.col("__totals")[c] for c in totals.columns}
+    return df.withColumn("__totals", whole).withColumns(named).drop("__totals")
+
+
+def _grouped(rows: DataFrame, by: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
+    """Base results per group: one aggregate, and one pass by position for all percentiles."""
+    aggs = _slots(measures)
+    placed = {s: (a.input(), a.fraction) for s, a in aggs.items() if a.fraction is not None}
+    folds = [a.column().alias(s) for s, a in aggs.items() if s not in placed]
+    if not placed:
+        return rows.groupBy(*by).agg(*folds)
+    plain = rows.groupBy(*by).agg(*folds or [F.count(F.lit(1)).alias("__rows")])
+    return _attached(plain, exact_quantiles(rows, placed, by), by)
+
+
+def centred(partials: DataFrame, measures: Iterable[Measure], by: Sequence[str]) -> DataFrame:
+    """Partial squared deviations moved to the mean of their ``by`` group, so that their sum is the group's.
+
+    Deviations are taken between means. Nothing is lost where a mean is far above its spread.
+    """
+    spreads = [m for m in measures if any(a.spread for a in m.base.values())]
+    if not spreads:
+        return partials
+    part = lambda m, p: _quoted(slot(m, p))
+    means = {f"__mean_{i}": divide(F.sum(part(m, "sum")), F.sum(part(m, "count"))) for i, m in enumerate(spreads)}
+    known = _attached(partials, partials.groupBy(*by).agg(*[c.alias(n) for n, c in means.items()]), by)
+    off = [divide(part(m, "sum"), part(m, "count")) - F.col(n) for n, m in zip(means, spreads, strict=True)]
+    moved = {slot(m, "square"): part(m, "square") + part(m, "count") * d * d for m, d in zip(spreads, off, strict=True)}
+    return known.withColumns(moved).drop(*means)
+
+
+def accumulated(df: DataFrame, measures: Iterable[Measure], window: WindowSpec, whole: WindowSpec) -> DataFrame:
+    """Mergeable partial results combined over ``window``, a moving part of ``whole``."""
+    measures = [m for m in measures if not m.needs]
+    part = lambda m, p: _quoted(slot(m, p))
+    spreads = [m for m in measures if any(a.spread for a in m.base.values())]
+    mean = {f"__mean_{i}": divide(F.sum(part(m, "sum")).over(whole), F.sum(part(m, "count")).over(whole)) for i, m in enumerate(spreads)}
+    df = df.withColumns(mean) if mean else df
+    out = {s: a.merged(_quoted(s), window) for s, a in _slots(measures).items() if a.merge and not a.spread}
+    for n, m in zip(mean, spreads, strict=True):
+        off, rows = divide(part(m, "sum"), part(m, "count")) - F.col(n), part(m, "count")
+        squares = F.sum(part(m, "square") + rows * off * off).over(window)
+        aside = F.sum(rows * off).over(window)
+        out[slot(m, "square")] = squares - divide(aside * aside, F.sum(rows).over(window))
+    return df.withColumns(out).drop(*mean)
 
 
 def finished(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], show: Sequence[str] | None) -> DataFrame:
@@ -366,9 +447,9 @@ def _scope_totals(
         rows = _filtered(df, _predicate(where, scope.columns))
         same_rows = where is None or (not isinstance(where, Column) and set(where) <= set(scope.columns))
     slots = {a.identity(): slot(m, p) for m in local for p, a in m.base.items()}
-    covered = all(a.identity() in slots for m in group for a in m.base.values())
+    covered = all(a.identity() in slots and not a.spread for m in group for a in m.base.values())
     if not (same_rows and by and covered and mergeable(local)):
-        return rows.groupBy(*kept).agg(*_aggregates(group))
+        return _grouped(rows, kept, group)
     grouped = selected.groupBy(*by).agg(*_aggregates(local))
     merges = [a.merged(_quoted(slots[a.identity()])).alias(slot(m, p)) for m in group for p, a in m.base.items()]
     if kept:
@@ -397,7 +478,7 @@ def evaluate(
     local = [m for m in bases if m.scope.kind == "local"]
     selected = _filtered(df, _predicate(where))
     if local:
-        out = selected.groupBy(*by).agg(*_aggregates(local))
+        out = _grouped(selected, by, local)
     elif by:
         out = selected.select(*by).distinct()
     else:
@@ -422,23 +503,43 @@ def mergeable(measures: Iterable[Measure]) -> bool:
     return all(a.merge for m in measures for a in m.base.values())
 
 
-def preaggregate(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], where: Where = None) -> DataFrame:
-    """Partial results per group, to be stored and re-aggregated later."""
-    measures = resolved(measures)
-    for m in measures:
-        if any(a.merge is None for a in m.base.values()):
-            raise ValueError(f"{m.name} cannot be computed from partial results")
+def preaggregate(
+    df: DataFrame,
+    measures: Sequence[Measure],
+    by: Sequence[str],
+    where: Where = None,
+    codes: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Partial results per group, to be stored and re-aggregated later.
+
+    ``codes`` has a dictionary (``tabweave.plans.bitmaps``) for each measure that
+    counts distinct values. Their partial results are rows of their own: one bitmap
+    per group and bucket of codes.
+    """
+    measures, codes = resolved(measures), codes or {}
     bases = [m for m in measures if not m.needs]
-    return _filtered(df, _predicate(where)).groupBy(*by).agg(*_aggregates(bases))
+    for m in bases:
+        if any(a.merge is None and not (a.distinct and m.name in codes) for a in m.base.values()):
+            raise ValueError(f"{m.name} cannot be computed from partial results")
+    rows = _filtered(df, _predicate(where))
+    folds = [a.column().alias(s) for s, a in _slots(bases).items() if a.merge]
+    if not any(a.distinct for a in _slots(bases).values()):
+        return rows.groupBy(*by).agg(*folds)
+    plain = rows.groupBy(*by).agg(*folds or [F.count(F.lit(1)).alias("__rows")])
+    sets = [
+        bitmap_rows(rows, by, slot(m, p), a.input(), codes[m.name]) for m in bases for p, a in m.base.items() if a.distinct
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [plain, *sets])
 
 
 def merge_partials(partials: DataFrame, measures: Sequence[Measure], by: Sequence[str]) -> DataFrame:
     """Partial results of several inputs or finer groups merged per ``by``."""
-    measures = resolved(measures)
-    merges = [
-        a.merged(_quoted(slot(m, p))).alias(slot(m, p)) for m in measures if not m.needs for p, a in m.base.items()
-    ]
-    return partials.groupBy(*by).agg(*merges)
+    bases = [m for m in resolved(measures) if not m.needs]
+    merges = [a.merged(_quoted(s)).alias(s) for s, a in _slots(bases).items() if a.merge]
+    moved = centred(partials, bases, by)
+    if BITMAP not in partials.columns:
+        return moved.groupBy(*by).agg(*merges)
+    return moved.groupBy(*by, SET, BUCKET).agg(*merges, F.bitmap_or_agg(BITMAP).alias(BITMAP))
 
 
 class Reduction:
@@ -461,7 +562,11 @@ class Reduction:
         return self._group(valued, keys, {s: a.column() for s, a in self.partial.items()})
 
     def reduce(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return self._group(df, keys, {s: a.merged(_quoted(s)) for s, a in self.partial.items()})
+        moved = self._centred(df, [*keys, *self.values])
+        return self._group(moved, keys, {s: a.merged(_quoted(s)) for s, a in self.partial.items()})
+
+    def _centred(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return centred(df, [m for m in self.measures if not m.needs], keys)
 
     def _group(self, df: DataFrame, keys: Sequence[str], folds: Mapping[str, Column]) -> DataFrame:
         groups = [*keys, *map(_quoted, self.values)]
@@ -474,8 +579,12 @@ class Reduction:
         folds = [a.merged(_quoted(s)).alias(s) for s, a in self.partial.items()]
         folds += [a.fold(_quoted(s)).alias(s) for s, a in self.values.items()]
         if rollup:
-            return finished(df.rollup(*by).agg(_depth(by), *folds), self.measures, [*by, "depth"], show)
-        return finished(df.groupBy(*by).agg(*folds), self.measures, by, show)
+            if any(a.spread for a in self.partial.values()):
+                rolled = _levels(by, lambda keys: self._centred(df, keys).groupBy(*keys).agg(*folds))
+            else:
+                rolled = df.rollup(*by).agg(_depth(by), *folds)
+            return finished(rolled, self.measures, [*by, "depth"], show)
+        return finished(self._centred(df, by).groupBy(*by).agg(*folds), self.measures, by, show)
 
 
 def reaggregate(
@@ -486,14 +595,27 @@ def reaggregate(
     show: Sequence[str] | None = None,
 ) -> DataFrame:
     """Answer a coarser query from stored partial results."""
+    show, measures = show or [m.name for m in measures], resolved(measures)
     merged = merge_partials(_filtered(partials, _predicate(where)), measures, by)
-    return finished(merged, resolved(measures), by, show or [m.name for m in measures])
+    if BITMAP in merged.columns:
+        slots = _slots(m for m in measures if not m.needs)
+        counts = {s: F.sum(F.when(F.col(SET) == s, F.bitmap_count(BITMAP))) for s, a in slots.items() if a.distinct}
+        # The rows of a group are one with its sums and one per bucket, so nothing is centred again.
+        folds = [a.merged(_quoted(s)).alias(s) for s, a in slots.items() if a.merge]
+        merged = merged.groupBy(*by).agg(*folds, *[F.coalesce(c, F.lit(0)).alias(s) for s, c in counts.items()])
+    return finished(merged, measures, by, show)
 
 
 def _depth(levels: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(1) - F.grouping(c) for c in levels]).cast("int").alias("depth")
 
 
+def _levels(levels: Sequence[str], grouped: Callable[[Sequence[str]], DataFrame]) -> DataFrame:
+    """Drill levels one by one, for aggregates that a rollup cannot merge."""
+    parts = [grouped(levels[:k]).withColumn("depth", F.lit(k)) for k in range(len(levels), -1, -1)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def hierarchy_rollup(
     df: DataFrame,
     levels: Sequence[str],
@@ -509,7 +631,14 @@ def hierarchy_rollup(
     show = show or [m.name for m in measures]
     measures = resolved(measures)
     bases = [m for m in measures if not m.needs]
-    if mergeable(bases):
+    slots = _slots(bases).values()
+    if any(a.fraction is not None for a in slots):
+        rows = _filtered(df, _predicate(where))
+        rolled = _levels(levels, lambda keys: _grouped(rows, keys, bases))
+    elif mergeable(bases) and any(a.spread for a in slots):
+        leaves = preaggregate(df, bases, levels, where)
+        rolled = _levels(levels, lambda keys: merge_partials(leaves, bases, keys))
+    elif mergeable(bases):
         leaves = preaggregate(df, bases, levels, where)
         rolled = leaves.rollup(*levels).agg(
             _depth(levels), *[a.merged(_quoted(slot(m, p))).alias(slot(m, p)) for m in bases for p, a in m.base.items()]

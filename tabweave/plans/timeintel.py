@@ -9,13 +9,13 @@ and key, which bounds them by the length of the calendar.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tabweave.operators.joins import null_safe_join
-from tabweave.plans.measures import Measure, calculate_filter, evaluate, finished, resolved, slot
+from tabweave.plans.measures import Measure, accumulated, calculate_filter, evaluate, finished, resolved, slot
 
 #: First day and length of the default calendar (fixed values): 2000-01-01 to 2049-12-31.
 #: ``date_spine_of`` covers the dates that a table holds.
@@ -150,16 +150,8 @@ def dates_in_period(
     daily: DataFrame, value: str, n: int, unit: str, by: Sequence[str] = (), date_col: str = "date", out: str = "rolling"
 ) -> DataFrame:
     """Rolling total of the last ``n`` units that end at each date."""
-    day = F.col(date_col)
-    frame = Window.partitionBy(*by)
-    if unit in ("day", "week"):
-        width = n * (7 if unit == "week" else 1)
-        number = F.datediff(day, _date("1970-01-01"))
-        return daily.withColumn(out, F.sum(value).over(frame.orderBy(number).rangeBetween(1 - width, 0)))
-    # Months of 32 numbers: a day's number less n months is the same day n months ago, and no
-    # day of a shorter month lies behind it. The frame starts right after.
-    number = (F.year(day) * 12 + F.month(day)) * 32 + F.day(day)
-    return daily.withColumn(out, F.sum(value).over(frame.orderBy(number).rangeBetween(1 - 32 * n * MONTHS[unit], 0)))
+    number, width = _day_number(F.col(date_col), n, unit)
+    return daily.withColumn(out, F.sum(value).over(Window.partitionBy(*by).orderBy(number).rangeBetween(1 - width, 0)))
 
 
 def growth(current: Column, previous: Column) -> Column:
@@ -189,27 +181,97 @@ def measures_to_date(
     aggregates cannot be accumulated.
     """
     show, measures = show or [m.name for m in measures], resolved(measures)
+    rows = df.withColumn("date", F.col(date_col).cast("date")).where("date IS NOT NULL")
+    start = period_start(F.col("date"), unit)
+
+    def firsts(value: Column) -> DataFrame:
+        first = rows.select(*by, "date", value.alias("__value")).where("__value IS NOT NULL")
+        return first.groupBy(*by, "__value", start.alias("__period")).agg(F.min("date").alias("date")).withColumn("__change", F.lit(1))
+
+    dense = _dense_days(rows, measures, by, firsts)
+    period = Window.partitionBy(*by, start)
+    window = period.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return finished(_moving(dense, measures, window, period, window), measures, [*by, "date"], show)
+
+
+def measures_in_period(
+    df: DataFrame, measures: Sequence[Measure], n: int, unit: str, date_col: str, by: Sequence[str] = (), show: Sequence[str] | None = None
+) -> DataFrame:
+    """Measures over the last ``n`` units, for every group and every day of the whole span.
+
+    Partial results per day are merged over the moving frame. A distinct value is
+    present from each day that has it until the frame has left that day or the value
+    comes again; its arrivals and departures are summed up along the days. No row
+    is copied to the days that see it.
+    """
+    show, measures = show or [m.name for m in measures], resolved(measures)
+    rows = df.withColumn("date", F.col(date_col).cast("date")).where("date IS NOT NULL")
+
+    def presence(value: Column) -> DataFrame:
+        seen = rows.select(*by, "date", value.alias("__value")).where("__value IS NOT NULL").distinct()
+        again = F.lead("date").over(Window.partitionBy(*by, "__value").orderBy("date"))
+        until = F.least(period_end(F.col("date"), n, unit), F.col("__again"))
+        events = F.array(F.struct(F.col("date"), F.lit(1).alias("__change")), F.struct(until.alias("date"), F.lit(-1).alias("__change")))
+        return seen.withColumn("__again", again).select(*by, F.explode(events).alias("__event")).select(*by, "__event.*")
+
+    dense = _dense_days(rows, measures, by, presence)
+    group = Window.partitionBy(*by)
+    number, width = _day_number(F.col("date"), n, unit)
+    moving = group.orderBy(number).rangeBetween(1 - width, 0)
+    so_far = group.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return finished(_moving(dense, measures, moving, group, so_far), measures, [*by, "date"], show)
+
+
+def measures_parallel(
+    df: DataFrame, measures: Sequence[Measure], n: int, unit: str, date_col: str, by: Sequence[str] = (), show: Sequence[str] | None = None
+) -> DataFrame:
+    """Any measures of each period and of the whole period ``n`` units away, named ``parallel_<measure>``."""
+    show = show or [m.name for m in measures]
+    periods = measures_per(df, measures, unit, date_col, by, show)
+    other = periods.select(*by, F.col("date").alias("__at"), *[F.col(f"`{c}`").alias(f"parallel_{c}") for c in show])
+    return null_safe_join(periods.withColumn("__at", shift(F.col("date"), n, unit)), other, [*by, "__at"], "left").drop("__at")
+
+
+def _day_number(day: Column, n: int, unit: str) -> tuple[Column, int]:
+    """A number per day and how many of them ``n`` units take."""
+    if unit in ("day", "week"):
+        return F.datediff(day, _date("1970-01-01")), n * (7 if unit == "week" else 1)
+    # Months of 32 numbers: a day's number less n months is the same day n months ago, and no
+    # day of a shorter month lies behind it.
+    return (F.year(day) * 12 + F.month(day)) * 32 + F.day(day), 32 * n * MONTHS[unit]
+
+
+def period_end(day: Column, n: int, unit: str) -> Column:
+    """The first day whose last ``n`` units do not reach back to ``day``."""
+    moved = shift(day, n, unit)
+    return moved if unit in ("day", "week") else F.when(F.day(moved) < F.day(day), F.date_add(moved, 1)).otherwise(moved)
+
+
+def _dense_days(rows: DataFrame, measures: Sequence[Measure], by: Sequence[str], changes: Callable[[Column], DataFrame]) -> DataFrame:
+    """Partial results of each group for every day of the span; ``changes`` gives the steps of a distinct count."""
     aggs = {slot(m, p): a for m in measures if not m.needs for p, a in m.base.items()}
     stuck = [m.name for m in measures for a in m.base.values() if not (a.merge or a.distinct)]
     if stuck:
         raise ValueError(f"{stuck} cannot be accumulated from daily results")
-    rows = df.withColumn("date", F.col(date_col).cast("date")).where("date IS NOT NULL")
     merging = {s: a for s, a in aggs.items() if a.merge}
     daily = rows.groupBy(*by, "date").agg(F.count(F.lit(1)).alias("__rows"), *[a.column().alias(s) for s, a in merging.items()])
-    for s, a in aggs.items():
-        if a.distinct:
-            first = rows.select(*by, "date", a.input().alias("__value")).where("__value IS NOT NULL")
-            first = first.groupBy(*by, "__value", period_start(F.col("date"), unit).alias("__period")).agg(F.min("date").alias("date"))
-            daily = null_safe_join(daily, first.groupBy(*by, "date").agg(F.count(F.lit(1)).alias(s)), [*by, "date"], "left")
     span = rows.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(F.struct("lo", "hi")).scalar()
-    groups = rows.select(*by).distinct() if by else df.sparkSession.range(1)
+    groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1)
     lo_hi = groups.withColumn("__span", span)
     axis = lo_hi.select(*by, F.explode(F.sequence("__span.lo", "__span.hi")).alias("date"))
     dense = null_safe_join(axis, daily, [*by, "date"], "left")
-    window = Window.partitionBy(*by, period_start(F.col("date"), unit)).orderBy("date")
-    window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = {s: a.merged(F.col(f"`{s}`"), window) if a.merge else F.coalesce(F.sum(f"`{s}`").over(window), F.lit(0)) for s, a in aggs.items()}
-    return finished(dense.withColumns(kept), measures, [*by, "date"], show)
+    for s, a in aggs.items():
+        if a.distinct:
+            steps = changes(a.input()).groupBy(*by, "date").agg(F.sum("__change").alias(s))
+            dense = null_safe_join(dense, steps, [*by, "date"], "left")
+    return dense
+
+
+def _moving(dense: DataFrame, measures: Sequence[Measure], window: WindowSpec, whole: WindowSpec, so_far: WindowSpec) -> DataFrame:
+    """Partial results merged over ``window``; the steps of distinct counts added up over ``so_far``."""
+    steps = [slot(m, p) for m in measures if not m.needs for p, a in m.base.items() if a.distinct]
+    counted = {s: F.coalesce(F.sum(f"`{s}`").over(so_far), F.lit(0)) for s in steps}
+    return accumulated(dense, measures, window, whole).withColumns(counted)
 
 
 # -- as_of filters for measures ------------------------------------------

@@ -1,7 +1,11 @@
+import statistics
+
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tabweave.plans import bitmaps
 from tabweave.plans import measures as m
 from tabweave.plans.model import Relationship, Role, SemanticModel
 
@@ -279,3 +283,96 @@ def test_relationships_per_measure(spark):
     filtered = m.use_relationship(m.ratio("half", "total", "twice"), "by_b", name="half_b")
     model = SemanticModel({"f": fact, "d": dim}, links, [total, m.compound("twice", ("total",), lambda p: p["total"] * 2), filtered])
     assert rows(model.query("f", ["half_b", "total"], ["name"])) == [("x", 0.5, 5.0), ("y", 0.5, 7.0), ("z", None, 1.0)]
+
+
+FAR = [(g, h, 1e9 + i % 7 + (g == "b") * 1e6) for i, (g, h) in enumerate(("ab"[i % 2], i % 5) for i in range(200))] + [("c", 0, 5.0), ("d", 1, None)]
+
+
+def test_merged_deviations_equal_direct_ones(spark):
+    """A mean far above its spread, and groups far from each other: partial results lose nothing."""
+    df = spark.createDataFrame(FAR, "g string, h int, x double")
+    measures = [m.variance("v", "x"), m.stddev("s", "x"), m.count_rows("n")]
+    partials = m.preaggregate(df, measures, ["g", "h"])
+
+    def want(keep):
+        xs = [x for g, h, x in FAR if keep(g, h) and x is not None]
+        return statistics.variance([x - 1e9 for x in xs]) if len(xs) > 1 else None
+
+    for out in (m.reaggregate(partials, measures, ["g"]), m.reaggregate(m.merge_partials(partials, measures, ["g", "h"]), measures, ["g"])):
+        for r in out.collect():
+            expected = want(lambda g, _: g == r.g)
+            assert r.v == (None if expected is None else pytest.approx(expected, rel=1e-6))
+            assert r.s == (None if expected is None else pytest.approx(expected**0.5, rel=1e-6))
+    assert m.reaggregate(partials, measures).first().v == pytest.approx(want(lambda *_: True), rel=1e-6)
+    rolled = m.hierarchy_rollup(df, ["g", "h"], measures).collect()
+    assert len(rolled) == 1 + 4 + 12
+    for r in rolled:
+        expected = want(lambda g, h: (r.depth < 1 or g == r.g) and (r.depth < 2 or h == r.h))
+        assert r.v == (None if expected is None else pytest.approx(expected, rel=1e-6))
+
+
+def test_deviations_through_a_large_dimension(spark, monkeypatch):
+    """The star reduces a fact to partial deviations before it meets a dimension that is not broadcast."""
+    from tabweave.plans import model as model_module
+
+    fact = spark.createDataFrame([(i % 10, 1e9 + i % 4) for i in range(100)], "k int, x double")
+    one = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(10)], "k int, g string")
+    model = model_module.SemanticModel({"f": fact, "d": one}, [model_module.Relationship("f", "k", "d", "k")], [m.variance("v", "x")], hierarchies={"h": ["g"]})
+    plain, drilled = rows(model.query("f", ["v"], ["g"])), rows(model.drill("f", ["v"], "h"))
+    monkeypatch.setattr(model_module, "fits_broadcast", lambda df: False)
+    for (a, x), (b, y) in zip(plain, rows(model.query("f", ["v"], ["g"])), strict=True):
+        assert a == b and x == pytest.approx(y, rel=1e-6)
+    for a, b in zip(drilled, rows(model.drill("f", ["v"], "h")), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-6)
+
+
+def test_percentiles_in_context(spark):
+    data = [(g, h, v) for g in "ab" for h in (1, 2) for v in [1, 5, 9, None, 5][: h * 2 + 1]] + [("z", 1, None)]
+    df = spark.createDataFrame(data, "g string, h int, v int")
+    small = m.calculate_filter(m.median("mid", "v"), F.col("v") < 9, "small")
+    measures = [m.median("mid", "v"), small, m.percentile("top", "v", 1), m.count("n", "v"), m.calculate_all(m.median("mid", "v"), "all"), m.ratio("part", "mid", "all")]
+    pick = lambda keep, p=0.5: (lambda xs: None if not xs else float(np.quantile(xs, p)))([v for g, h, v in data if v is not None and keep(g, h, v)])
+    for by in ([], ["g"], ["g", "h"]):
+        for r in m.evaluate(df, measures, by).collect():
+            own = lambda g, h, v: all({"g": g, "h": h}[c] == r[c] for c in by)
+            assert (r.mid, r.top, r.all) == (pick(own), pick(own, 1), pick(lambda *_: True))
+            assert r.small == pick(lambda g, h, v: own(g, h, v) and v < 9)
+    limited = m.evaluate(df, measures, ["g"], {"h": F.col("h") == 2})
+    assert {(r.g, r.mid, r.all) for r in limited.collect()} == {("a", 5.0, 5.0), ("b", 5.0, 5.0)}
+    rolled = {(r.g, r.depth): r.mid for r in m.hierarchy_rollup(df, ["g"], measures).collect()}
+    assert rolled[None, 0] == pick(lambda *_: True) and rolled["a", 1] == pick(lambda g, h, v: g == "a")
+    with pytest.raises(ValueError):
+        m.percentile("p", "v", 1.5)
+
+
+def test_percentile_of_a_group_with_most_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2900, "big").otherwise("small").alias("g"), (F.col("id") % 7).alias("v"))
+    got = {r.g: r.mid for r in m.evaluate(df, [m.median("mid", "v")], ["g"]).collect()}
+    assert got == {g: float(np.median([i % 7 for i in range(3000) if (i < 2900) == (g == "big")])) for g in ("big", "small")}
+
+
+def test_distinct_sets_merge(spark):
+    data = [(d, g, v) for d in range(6) for g in "ab" for v in range(d, d + 4)] + [(0, "c", None)]
+    df = spark.createDataFrame(data, "d int, g string, v int")
+    codes = bitmaps.dictionary(df, "v")
+    assert sorted(r.code for r in codes.collect()) == list(range(1, 10))
+    more = bitmaps.extended(codes, spark.createDataFrame([(3,), (50,), (40,), (None,)], "v int"), "v")
+    assert rows(more) == [(40, 10), (50, 11)]
+    measures = [m.distinct_count("kinds", "v"), m.count_rows("n"), m.calculate_filter(m.distinct_count("few", "v"), F.col("v") < 5), m.ratio("each", "n", "kinds")]
+    partials = m.preaggregate(df, measures, ["d", "g"], codes={"kinds": codes, "few": codes})
+    for by in ([], ["g"], ["d"]):
+        want = rows(m.evaluate(df, measures, by))
+        assert rows(m.reaggregate(partials, measures, by)) == want
+        twice = m.merge_partials(m.merge_partials(partials, measures, ["d", "g"]), measures, by)
+        assert rows(m.reaggregate(twice, measures, by)) == want
+    with pytest.raises(Exception, match="not in the dictionary"):
+        m.preaggregate(df, measures, ["g"], codes={"kinds": codes.where("code > 1"), "few": codes}).collect()
+
+
+def test_sets_over_several_buckets(spark):
+    df = spark.range(70_000).select((F.col("id") % 3).alias("g"), "id")
+    codes = df.select(F.col("id").alias("value"), (F.col("id") + 1).alias("code"))
+    measures = [m.distinct_count("kinds", "id")]
+    partials = m.preaggregate(df, measures, ["g"], codes={"kinds": codes})
+    assert partials.where("__bucket IS NOT NULL").select("__bucket").distinct().count() == 3
+    assert m.reaggregate(partials, measures).first().kinds == 70_000

@@ -1,3 +1,7 @@
+import datetime as dt
+import random
+import statistics
+
 import pytest
 from conftest import day, rows
 from pyspark.sql import functions as F
@@ -114,9 +118,51 @@ def test_measures_over_periods(spark):
         ("k", day("2001-02-03"), 8.0, 3, 2, 4.0, 4.0),
     ]
     with pytest.raises(ValueError):
-        ti.measures_to_date(df, [m.stddev("s", "v")], "month", "d")
+        ti.measures_to_date(df, [m.median("s", "v")], "month", "d")
     months = ti.measures_per(df, measures, "month", "d", show=["c", "mean"])
     assert rows(ti.date_shift(months, "mean", -1, "month")) == [(day("2001-01-01"), 1, 4.0, None), (day("2001-02-01"), 2, 4.0, 4.0)]
     edge = spark.createDataFrame([("2001-02-28", 1e17), ("2001-03-01", 1.0), ("2001-03-28", 2.0), ("2001-03-31", 3.0)], "date string, v double")
     rolled = ti.dates_in_period(edge.withColumn("date", F.to_date("date")), "v", 1, "month")
     assert [r[2] for r in rows(rolled)] == [1e17, 1e17, 3.0, 6.0]
+
+
+def test_rolling_measures_match_all_pairs(spark):
+    """Distinct counts, sums, extremes and deviations over moving frames, against every row in the frame."""
+    rng = random.Random(4)
+    start = dt.date(2000, 1, 20)
+    data = [(rng.choice("ab"), start + dt.timedelta(rng.randrange(110)), rng.randrange(6), 1e9 + rng.randrange(9)) for _ in range(60)]
+    data += [("a", dt.date(2000, 1, 31), 9, 1e9), ("a", None, 1, 1.0), ("b", dt.date(2000, 2, 3), None, None)]
+    df = spark.createDataFrame(data, "k string, d date, v int, x double")
+    measures = [m.distinct_count("kinds", "v"), m.count("n", "x"), m.maximum("top", "x"), m.variance("spread", "x")]
+    for n, unit in ((1, "month"), (2, "month"), (9, "day"), (2, "week")):
+        got = {(r.k, r.date): r for r in ti.measures_in_period(df, measures, n, unit, "d", ["k"]).collect()}
+        days = (max(d for _, d, _, _ in data if d) - min(d for _, d, _, _ in data if d)).days + 1
+        assert len(got) == 2 * days
+        for (k, day), r in got.items():
+            before = day - dt.timedelta(n * {"day": 1, "week": 7}.get(unit, 0))
+            if unit == "month":
+                month = day.year * 12 + day.month - 1 - n
+                last = (dt.date(month // 12 + (month % 12 == 11), (month + 1) % 12 + 1, 1) - dt.timedelta(1)).day
+                before = dt.date(month // 12, month % 12 + 1, min(day.day, last))
+            inside = [(v, x) for key, d, v, x in data if d and key == k and before < d <= day]
+            xs = [x for _, x in inside if x is not None]
+            assert (r.kinds, r.n) == (len({v for v, _ in inside if v is not None}), len(xs))
+            assert r.top == (max(xs) if xs else None)
+            if len(xs) < 2:
+                assert r.spread is None
+            else:
+                assert r.spread == pytest.approx(statistics.variance([x - 1e9 for x in xs]), abs=1e-4)
+
+
+def test_to_date_deviations_far_from_zero(spark):
+    data = [(dt.date(2000, 1, d), 1e9 + (d * 7) % 5) for d in range(1, 29) for _ in range(d % 3)]
+    got = ti.measures_to_date(spark.createDataFrame(data, "d date, x double"), [m.stddev("s", "x")], "month", "d").collect()
+    for r in got:
+        xs = [x - 1e9 for d, x in data if d <= r.date]
+        assert r.s == pytest.approx(statistics.stdev(xs), abs=1e-4) if len(xs) > 1 else r.s is None
+
+
+def test_parallel_measures(spark):
+    df = spark.createDataFrame([(dt.date(2000, 1, 5), 1), (dt.date(2000, 1, 9), 1), (dt.date(2000, 4, 1), 2)], "d date, v int")
+    out = ti.measures_parallel(df, [m.distinct_count("kinds", "v")], -1, "quarter", "d")
+    assert rows(out.select("date", "kinds", "parallel_kinds")) == [(dt.date(2000, 1, 1), 1, None), (dt.date(2000, 4, 1), 1, 1)]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tabweave.operators.joins import lookup_join
 from tabweave.operators.positions import exact_percentiles
 from tabweave.operators.joins import null_safe_join
+from tabweave.operators.transforms import union_all
+from tabweave.plans import bitmaps
 from tabweave.plans import measures as m
 from tabweave.plans.timeintel import daily_total, parallel_period, time_items
 from tabweave.session import scratch_dir
@@ -154,6 +156,30 @@ def agg_statistics(spark, sf_dir):
     )
 
 
+@query(
+    "agg_percentiles_in_context",
+    f"""SELECT l_returnflag, l_linestatus, CAST(sum({REVENUE}) AS DOUBLE) AS revenue, round(median(l_extendedprice), 4) AS median_price,
+  round(median(l_extendedprice) FILTER (WHERE l_quantity > 25), 4) AS median_large, round(median(l_discount) FILTER (WHERE l_tax < 0.04), 6) AS median_discount,
+  round(quantile_cont(l_extendedprice, 0.9) FILTER (WHERE l_shipdate >= TIMESTAMP '1998-01-01'), 4) AS p90_late,
+  round((SELECT median(l_extendedprice) FROM lineitem), 4) AS median_all FROM lineitem GROUP BY 1, 2""",
+)
+def agg_percentiles_in_context(spark, sf_dir):
+    """Percentiles beside a sum, each under its own filter, by two columns and over all."""
+    price = m.median("median_price", "l_extendedprice")
+    late = F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    measures = [
+        m.sum_("revenue", revenue()),
+        price,
+        m.calculate_filter(price, F.col("l_quantity") > 25, "median_large"),
+        m.calculate_filter(m.median("median_discount", "l_discount"), F.col("l_tax") < 0.04),
+        m.calculate_filter(m.percentile("p90_late", "l_extendedprice", 0.9), late),
+        m.calculate_all(price, "median_all"),
+    ]
+    out = revenues(_by_flag(spark, sf_dir, *measures, by=("l_returnflag", "l_linestatus")), "revenue")
+    digits = {"median_price": 4, "median_large": 4, "median_discount": 6, "p90_late": 4, "median_all": 4}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 @query(
     "agg_distinct_noblank",
     "SELECT source, count(DISTINCT nullif(trim(lang), '')) AS langs FROM documents GROUP BY 1",
@@ -502,6 +528,53 @@ def preaggregate(spark, sf_dir):
     return amounts(m.reaggregate(spark.read.parquet(path), measures, ["o_orderstatus"]), "total")
 
 
+@query(
+    "preaggregate_statistics",
+    """SELECT o_orderpriority, CAST(year(o_orderdate) AS BIGINT) AS year, round(stddev_samp(o_totalprice), 4) AS spread,
+  round(var_samp(CAST(o_custkey AS DOUBLE)), 2) AS customer_variance, count(*) AS order_rows FROM orders GROUP BY 1, 2""",
+)
+def preaggregate_statistics(spark, sf_dir):
+    """Deviations kept per day and status answer priority and year."""
+    measures = [m.stddev("spread", "o_totalprice"), m.variance("customer_variance", "o_custkey"), m.count_rows("order_rows")]
+    rows = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    path = scratch_dir(spark, "preaggregate-statistics")
+    mart_overwrite(m.preaggregate(rows, measures, ["day", "o_orderstatus", "o_orderpriority"]), path)
+    partials = spark.read.parquet(path).withColumn("year", F.year("day").cast("bigint"))
+    out = m.reaggregate(partials, measures, ["o_orderpriority", "year"])
+    return out.withColumns({"spread": F.round("spread", 4), "customer_variance": F.round("customer_variance", 2)})
+
+
+@query(
+    "preaggregate_distinct",
+    f"""WITH o AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(date_trunc('year', o_orderdate) AS DATE) AS year FROM orders)
+SELECT 'month' AS grain, month AS start, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities, CAST(sum({ORDER_TOTAL}) AS DOUBLE) AS total FROM o GROUP BY 2
+UNION ALL SELECT 'year', year, count(DISTINCT o_custkey), count(DISTINCT o_orderpriority), CAST(sum({ORDER_TOTAL}) AS DOUBLE) FROM o GROUP BY 2
+UNION ALL SELECT 'all', NULL, count(DISTINCT o_custkey), count(DISTINCT o_orderpriority), CAST(sum({ORDER_TOTAL}) AS DOUBLE) FROM o""",
+)
+def preaggregate_distinct(spark, sf_dir):
+    """Daily sets of customers, stored as bitmaps, answer months, years and the whole exactly."""
+    orders = table(spark, sf_dir, "orders")
+    measures = [m.distinct_count("customers", "o_custkey"), m.distinct_count("priorities", "o_orderpriority"), m.sum_("total", order_total())]
+    codes = {}
+    for name, column in (("customers", "o_custkey"), ("priorities", "o_orderpriority")):
+        path = scratch_dir(spark, f"codes-{name}")
+        # The dictionary of an earlier load, then the values that came since.
+        known = bitmaps.dictionary(orders.where("o_orderstatus = 'F'"), column)
+        known.write.parquet(path)
+        bitmaps.extended(spark.read.parquet(path), orders, column).write.mode("append").parquet(path)
+        codes[name] = spark.read.parquet(path)
+    daily = scratch_dir(spark, "preaggregate-distinct")
+    rows = orders.withColumn("day", F.to_date("o_orderdate"))
+    mart_overwrite(m.preaggregate(rows, measures, ["day", "o_orderstatus"], codes=codes), daily)
+    partials = spark.read.parquet(daily)
+    grains = [
+        m.reaggregate(partials.withColumn("start", F.trunc("day", unit)), measures, ["start"]).select(F.lit(unit).alias("grain"), "*")
+        for unit in ("month", "year")
+    ]
+    whole = m.reaggregate(partials, measures).select(F.lit("all").alias("grain"), F.lit(None).cast("date").alias("start"), "*")
+    return amounts(union_all(*grains, whole), "total")
+
+
 @query(
     "row_context_metric",
     f"""SELECT r_name, p_brand, CAST(sum({REVENUE}) AS DOUBLE) AS revenue, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS orders

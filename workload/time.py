@@ -135,6 +135,38 @@ def dates_in_period(spark, sf_dir):
     return amounts(rows.drop("value"), "rolling_30d", "rolling_3m")
 
 
+@query(
+    "dates_in_period_measures",
+    f"""WITH o AS (SELECT o_orderpriority, {DAY} AS date, o_custkey, {ORDER_TOTAL} AS value FROM orders),
+a AS (SELECT o_orderpriority, CAST(unnest(generate_series((SELECT min(date) FROM o), (SELECT max(date) FROM o), INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT DISTINCT o_orderpriority FROM o))
+SELECT a.o_orderpriority, a.date, count(DISTINCT o.o_custkey) AS customers, CAST(sum(o.value) AS DOUBLE) AS total, CAST(sum(o.value) AS DOUBLE) / nullif(CAST(count(o.value) AS DOUBLE), 0) AS mean_order,
+  round(stddev_samp(CAST(o.value AS DOUBLE)), 2) AS spread
+FROM a LEFT JOIN o ON o.o_orderpriority = a.o_orderpriority AND o.date <= a.date AND o.date > CAST(a.date - INTERVAL 3 MONTH AS DATE) GROUP BY 1, 2""",
+)
+def dates_in_period_measures(spark, sf_dir):
+    """Customers, total, mean and spread of the last three months, for every day."""
+    mean = m.compound("mean_order", ("total", "orders"), lambda p: divide(p["total"] / 100, p["orders"]))
+    measures = [m.sum_("total", order_total()), m.count_rows("orders"), m.distinct_count("customers", "o_custkey"), mean, m.stddev("spread", "o_totalprice")]
+    shown = ["customers", "total", "mean_order", "spread"]
+    out = ti.measures_in_period(table(spark, sf_dir, "orders"), measures, 3, "month", "o_orderdate", KEYS, shown)
+    return amounts(out, "total").withColumn("spread", F.round("spread", 2))
+
+
+@query(
+    "parallel_period_measures",
+    f"""WITH q AS (SELECT o_orderpriority, CAST(date_trunc('quarter', {DAY}) AS DATE) AS date, count(DISTINCT o_custkey) AS customers,
+  CAST(sum({ORDER_TOTAL}) AS DOUBLE) / count(DISTINCT o_custkey) AS per_customer FROM orders GROUP BY 1, 2)
+SELECT a.o_orderpriority, a.date, a.customers, a.per_customer, b.customers AS parallel_customers, b.per_customer AS parallel_per_customer
+FROM q a LEFT JOIN q b ON b.o_orderpriority = a.o_orderpriority AND b.date = CAST(a.date - INTERVAL 12 MONTH AS DATE)""",
+)
+def parallel_period_measures(spark, sf_dir):
+    """A distinct count and a ratio of each quarter and of the same quarter a year before."""
+    ratio = m.compound("per_customer", ("total", "customers"), lambda p: divide(p["total"] / 100, p["customers"]))
+    measures = [m.sum_("total", order_total()), m.distinct_count("customers", "o_custkey"), ratio]
+    return ti.measures_parallel(table(spark, sf_dir, "orders"), measures, -4, "quarter", "o_orderdate", KEYS, ["customers", "per_customer"])
+
+
 @query(
     "dates_between",
     f"SELECT o_orderpriority, count(*) AS order_rows FROM orders WHERE {DAY} BETWEEN DATE '1998-02-15' AND DATE '1999-06-30' GROUP BY 1",
