@@ -18,7 +18,7 @@ from tabweave.session import cut_lineage
 Keys = Sequence[str] | Mapping[str, str]
 
 
-def _pairs(on: Keys | str) -> list[tuple[str, str]]:
+def key_pairs(on: Keys | str) -> list[tuple[str, str]]:
     if isinstance(on, str):
         return [(on, on)]
     if isinstance(on, Mapping):
@@ -28,7 +28,7 @@ def _pairs(on: Keys | str) -> list[tuple[str, str]]:
 
 def equi_join(left: DataFrame, right: DataFrame, on: Keys | str, how: str = "inner", null_safe: bool = False) -> DataFrame:
     """Join on column pairs; the right-hand key columns are dropped."""
-    pairs = _pairs(on)
+    pairs = key_pairs(on)
     marked = {r: f"__key_{i}" for i, (_, r) in enumerate(pairs)}
     keyed = right.withColumnsRenamed(marked)
     compare = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
@@ -68,7 +68,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], l
 
 def lookup_first_match(df: DataFrame, ref: DataFrame, on: Keys | str, order_by: Sequence[str]) -> DataFrame:
     """Left lookup of the first reference row per key in a fixed order."""
-    keys = [r for _, r in _pairs(on)]
+    keys = [r for _, r in key_pairs(on)]
     taken = first_per_key(ref, keys, order_by)
     return lookup_join(df, taken.drop(*[c for c in order_by if c in df.columns and c not in keys]), on)
 
@@ -86,7 +86,7 @@ def merge_join(left: DataFrame, right: DataFrame, on: Keys | str, how: str = "in
     plus the right rows without partner: adaptive execution can split skewed
     partitions of these two, but not of a full outer join.
     """
-    pairs = _pairs(on)
+    pairs = key_pairs(on)
     if how in ("inner", "left"):
         return equi_join(left, right, on, how)
     if how != "full":
@@ -110,13 +110,13 @@ def prefix_join(df: DataFrame, ref: DataFrame, column: str, ref_column: str, len
 
 def related(df: DataFrame, table: DataFrame, on: Keys | str, *columns: str) -> DataFrame:
     """Bring attributes of the one side to the many side."""
-    keys = [r for _, r in _pairs(on)]
+    keys = [r for _, r in key_pairs(on)]
     return lookup_join(df, table.select(*dict.fromkeys([*keys, *columns])), on)
 
 
 def related_table(one: DataFrame, many: DataFrame, on: Keys | str, **aggregates: Column) -> DataFrame:
     """Aggregate the many side to its key, then attach it to the one side."""
-    keys = [r for _, r in _pairs(on)]
+    keys = [r for _, r in key_pairs(on)]
     return lookup_join(one, many.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]), on)
 
 
@@ -139,7 +139,7 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
 
 
 def _exists_join(left: DataFrame, right: DataFrame, on: Keys | str, how: str, null_safe: bool = False) -> DataFrame:
-    pairs = _pairs(on)
+    pairs = key_pairs(on)
     compare = (lambda a, b: a.eqNullSafe(b)) if null_safe else (lambda a, b: a == b)
     keys = right.select(*[F.col(r).alias(f"__key_{i}") for i, (_, r) in enumerate(pairs)])
     condition = reduce(lambda a, b: a & b, [compare(F.col(l), F.col(f"__key_{i}")) for i, (l, _) in enumerate(pairs)])

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tabweave.functions.scalar import divide
-from tabweave.operators.joins import null_safe_join
+from tabweave.operators.joins import Keys, anti_join, equi_join, key_pairs, null_safe_join, semi_join
 from tabweave.operators.positions import exact_quantiles
 from tabweave.plans.bitmaps import BITMAP, BUCKET, SET, bitmap_rows
+from tabweave.session import cut_lineage
 
 Where = Column | Mapping[str, Column] | None
 Parts = Mapping[str, Column]
@@ -648,6 +649,73 @@ def hierarchy_rollup(
     return finished(rolled, measures, [*levels, "depth"], show)
 
 
+def bridge_measures(
+    facts: DataFrame,
+    bridge: DataFrame,
+    groups: DataFrame,
+    fact_on: Keys | str,
+    group_on: Keys | str,
+    measures: Sequence[Measure],
+    by: Sequence[str],
+    show: Sequence[str] | None = None,
+) -> DataFrame:
+    """Mergeable measures of facts by the far side of a many-to-many bridge, and their total.
+
+    ``fact_on`` leads from the facts to the bridge, ``group_on`` from the bridge to
+    the groups. A fact counts once in every group that it has a path to, however
+    many paths there are, and once in the total (``is_total``), so the total is not
+    the sum of the groups. Facts that share a key are one row of partial results
+    before they meet their groups.
+    """
+    show, measures = show or [m.name for m in measures], resolved(measures)
+    on = dict(key_pairs(fact_on))
+    keys, ends = list(on), list(on.values())
+    pairs = equi_join(bridge, groups, group_on).select(*ends, *by).distinct()
+    partials = preaggregate(facts, measures, keys)
+    parts = merge_partials(equi_join(partials, pairs, on), measures, by).withColumn("is_total", F.lit(False))
+    total = merge_partials(semi_join(partials, pairs, on), measures, []).withColumn("is_total", F.lit(True))
+    return finished(parts.unionByName(total, allowMissingColumns=True), measures, [*by, "is_total"], show)
+
+
+def parent_child_rollup(
+    facts: DataFrame,
+    nodes: DataFrame,
+    key: str,
+    parent: str,
+    measures: Sequence[Measure],
+    fact_key: str | None = None,
+    show: Sequence[str] | None = None,
+) -> DataFrame:
+    """Mergeable measures of every node of a parent-child table with all that is below it.
+
+    ``nodes`` has one row per node; ``parent`` is NULL at the top. Each round a
+    node hands what it has gathered to its ancestor 1, 2, 4, 8 ... levels up, so a
+    chain of n nodes takes log2(n) rounds, and a parent of very many children is
+    summed before the shuffle. A cycle is an error, as is a parent without row.
+    Facts of unknown nodes are left out.
+    """
+    show, measures = show or [m.name for m in measures], resolved(measures)
+    slots = [_quoted(s) for s in _slots(m for m in measures if not m.needs)]
+    own = preaggregate(facts.withColumn("__node", F.col(fact_key or key)), measures, ["__node"])
+    tree = nodes.select(F.col(key).alias("__node"), F.col(parent).alias("__up"))
+    sums = cut_lineage(equi_join(tree.select("__node"), own, "__node", "left"))
+    jumps = cut_lineage(tree.where("__up IS NOT NULL"))
+    lost = anti_join(jumps, tree.select(F.col("__node").alias("__up")), "__up").first()
+    if lost is not None:
+        raise ValueError(f"node {lost['__node']} has an unknown parent {lost['__up']}")
+    rounds = max(tree.count(), 1).bit_length()
+    while not jumps.isEmpty():
+        if rounds == 0:
+            raise ValueError("the nodes have a cycle")
+        handed = equi_join(sums, jumps, "__node").select(F.col("__up").alias("__node"), *slots)
+        sums = cut_lineage(merge_partials(sums.unionByName(handed), measures, ["__node"]))
+        further = jumps.select(F.col("__node").alias("__up"), F.col("__up").alias("__top"))
+        jumps = cut_lineage(equi_join(jumps, further, "__up").select("__node", F.col("__top").alias("__up")))
+        rounds -= 1
+    done = finished(sums, measures, ["__node"], show)
+    return equi_join(nodes, done, {key: "__node"}, "left")
+
+
 def concatenatex(df: DataFrame, value: str, by: Sequence[str] = (), delimiter: str = ", ", out: str = "joined") -> DataFrame:
     """Values of a group in order as one text, repeats included.
 

@@ -37,6 +37,10 @@ class Role:
     hidden_columns: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
 
+def qualified(table: str, column: str) -> str:
+    return f"{table}__{column}"
+
+
 class SemanticModel:
     def __init__(
         self,
@@ -142,12 +146,25 @@ class SemanticModel:
         return list({link.to_table: link for t in wanted for link in paths[t]}.values())
 
     def _attach(self, df: DataFrame, link: Relationship, role: str | None) -> DataFrame:
+        """``df`` with the columns of the linked table.
+
+        A name that ``df`` has already stays that of the table that came first; a
+        key of the new table that further links need is kept under its qualified name.
+        """
         secured = bool(role) and link.to_table in self.roles[role].rows
         how = "inner" if link.both_directions or secured else "left"
         one = self._rows(link.to_table, role)
-        if link.from_column == link.to_column:
-            return equi_join(df, one, link.from_column, how)
-        return equi_join(df, one.withColumn("__to", F.col(link.to_column)), {link.from_column: "__to"}, how)
+        source = self._source(df, link)
+        further = {r.from_column for r in self.relationships if r.from_table == link.to_table}
+        clashing = [c for c in one.columns if c in df.columns]
+        copies = {qualified(link.to_table, c): F.col(c) for c in clashing if c in further}
+        keyed = one.withColumns({**copies, "__to": F.col(link.to_column)}).drop(*clashing)
+        return equi_join(df, keyed, {source: "__to"}, how)
+
+    def _source(self, df: DataFrame, link: Relationship) -> str:
+        """The column of the joined rows that holds the link's key."""
+        name = qualified(link.from_table, link.from_column)
+        return name if name in df.columns else link.from_column
 
     def _needed(self, metrics: Sequence[str]) -> dict[str, Measure]:
         """The metrics and every measure they are computed from."""
@@ -184,9 +201,70 @@ class SemanticModel:
     def owner(self, column: str) -> str:
         holders = [name for name, df in self.tables.items() if column in df.columns]
         if len(holders) != 1:
-            raise ValueError(f"column {column} is in {holders or 'no table'}")
+            raise ValueError(f"column {column} is in {holders or 'no table'}; a shared name is asked for as table.column")
         return holders[0]
 
+    def _parts(self, name: str) -> tuple[str, str] | None:
+        """Table and column of a qualified name."""
+        table, dot, column = name.partition(".")
+        return (table, column) if dot and table in self.tables else None
+
+    def _name(self, name: str) -> str:
+        parts = self._parts(name)
+        return qualified(*parts) if parts else name
+
+    def _qualified(self, names: Sequence[str], role: str | None) -> SemanticModel:
+        """The model with a copy of each of the columns under its qualified name."""
+        tables = dict(self.tables)
+        for table, column in map(self._parts, dict.fromkeys(names)):
+            if role and column in self.roles[role].hidden_columns.get(table, ()):
+                raise PermissionError(f"column {table}.{column} does not exist or is not authorized")
+            tables[table] = tables[table].withColumn(qualified(table, column), F.col(column))
+        return SemanticModel(tables, self.relationships, self.measures.values(), self.roles, self.hierarchies, self.perspectives)
+
+    def query_facts(
+        self,
+        metrics: Mapping[str, Sequence[str]],
+        by: Sequence[str] = (),
+        where: Mapping[str, Column] | None = None,
+        role: str | None = None,
+        across: Sequence[str] = (),
+        columns: Mapping[str, Column] | None = None,
+        tables: Sequence[str] = (),
+    ) -> DataFrame:
+        """Metrics of several facts side by side, by dimensions that they share.
+
+        Each fact is aggregated to the grouping columns on its own, so no rows are
+        multiplied, and the results meet in one aggregate. A fact that cannot reach
+        a grouping or filter column is of another grain, which is an error.
+        ``across`` names compounds over metrics of different facts.
+        """
+        names = [n for own in metrics.values() for n in own]
+        repeated = sorted({n for n in names if names.count(n) > 1})
+        if repeated:
+            raise ValueError(f"{repeated} are asked of several facts")
+        frames = []
+        for fact, own in metrics.items():
+            reached = {link.to_table for link in self._steps(fact, None, role, (), ())} | {fact}
+            wanted = {c: (self._parts(c) or (None,))[0] or self.owner(c) for c in [*by, *(where or {})] if c not in (columns or {})}
+            lost = [c for c, t in wanted.items() if t not in reached] + [t for t in tables if t not in reached]
+            if lost:
+                raise ValueError(f"{fact} is not of the grain of {lost}")
+            frames.append(self.query(fact, own, by, where, role, columns=columns, tables=tables))
+        united = frames[0]
+        for frame in frames[1:]:
+            united = united.unionByName(frame, allowMissingColumns=True)
+        keys = [self._name(c) for c in by]
+        met = united.groupBy(*keys).agg(*[self._met(n) for n in names])
+        measures = [replace(self.measures[n], needs=(), changes=(), base={}) for n in names]
+        return compounds(met, measures + [self.measures[n] for n in across], keys, [*names, *across])
+
+    def _met(self, name: str) -> Column:
+        """The one value of a metric in a group; a count of a fact without rows there is 0."""
+        found, base = F.max(f"`{name}`"), list(self.measures[name].base.values())
+        counted = len(base) == 1 and (base[0].distinct or base[0].empty == 0)
+        return (F.coalesce(found, F.lit(0)) if counted else found).alias(name)
+
     def query(
         self,
         fact: str,
@@ -203,8 +281,15 @@ class SemanticModel:
 
         ``columns`` names grouping expressions, e.g. a year of a date column;
         ``tables`` adds the tables such expressions need beyond those of the
-        grouping and filter columns.
+        grouping and filter columns. A name that several tables share is asked for
+        as ``table.column`` and shown as ``table__column``; a filter on it is a
+        function of the column.
         """
+        named = [c for c in [*by, *(where or {})] if self._parts(c)]
+        if named:
+            known = self._qualified(named, role)
+            inner = {self._name(c): p(F.col(self._name(c))) if self._parts(c) else p for c, p in (where or {}).items()}
+            return known.query(fact, metrics, [self._name(c) for c in by], inner, role, use, ignore, columns, tables)
         columns, needed = dict(columns or {}), self._needed(metrics)
         self._allowed([*by, *(where or {})], role)
         measures = resolved(needed.values())
@@ -307,6 +392,7 @@ class SemanticModel:
                 break
             if not fits_broadcast(self._rows(link.to_table, role)):
                 later = {step.from_column for step in steps[i:]} | set(by)
+                later |= {qualified(step.from_table, step.from_column) for step in steps[i:]}
                 keys = [c for c in df.columns if c in later]
                 df = reduction.reduce(df, keys) if reduced else reduction.start(df, keys)
                 reduced = True

@@ -376,3 +376,71 @@ def test_sets_over_several_buckets(spark):
     partials = m.preaggregate(df, measures, ["g"], codes={"kinds": codes})
     assert partials.where("__bucket IS NOT NULL").select("__bucket").distinct().count() == 3
     assert m.reaggregate(partials, measures).first().kinds == 70_000
+
+
+def test_metrics_of_several_facts(spark):
+    orders = spark.createDataFrame([(1, 10, 5), (2, 10, 7), (3, 11, 1), (4, None, 2)], "o int, c int, amount int")
+    lines = spark.createDataFrame([(1, 2), (1, 3), (2, 9), (9, 4)], "o int, qty int")
+    targets = spark.createDataFrame([("x", 100), ("z", 50)], "g string, goal int")
+    customers = spark.createDataFrame([(10, "x"), (11, "y")], "c int, g string")
+    links = [Relationship("lines", "o", "orders", "o"), Relationship("orders", "c", "customers", "c")]
+    measures = [m.sum_("amount", "amount"), m.count_rows("orders"), m.sum_("qty", "qty"), m.count_rows("lines"), m.ratio("per_line", "amount", "lines"), m.sum_("goal", "goal")]
+    model = SemanticModel({"orders": orders, "lines": lines, "customers": customers, "targets": targets}, links, measures)
+    facts = {"orders": ["amount", "orders"], "lines": ["qty", "lines"]}
+    out = model.query_facts(facts, ["customers.g"], across=["per_line"])
+    assert rows(out) == [(None, 2, 1, 4, 1, 2.0), ("x", 12, 2, 14, 3, 4.0), ("y", 1, 1, None, 0, None)]
+    assert rows(model.query_facts(facts)) == [(15, 4, 18, 4)]
+    limited = model.query_facts(facts, ["customers.g"], {"customers.g": lambda c: c == "x"})
+    assert rows(limited) == [("x", 12, 2, 14, 3)]
+    with pytest.raises(ValueError, match="grain"):
+        model.query_facts({"orders": ["amount"], "targets": ["goal"]}, ["customers.g"])
+    with pytest.raises(ValueError, match="several facts"):
+        model.query_facts({"orders": ["amount"], "lines": ["amount"]})
+
+
+def test_names_that_tables_share(spark, monkeypatch):
+    from tabweave.plans import model as model_module
+
+    tables = {
+        "sales": spark.createDataFrame([(1, 4), (2, 6), (2, 1)], "parent int, key int"),
+        "shop": spark.createDataFrame([(1, "s1", 7), (2, "s2", 8)], "key int, name string, parent int"),
+        "city": spark.createDataFrame([(7, "c7"), (8, "c8")], "key int, name string"),
+    }
+    links = [Relationship("sales", "parent", "shop", "key"), Relationship("shop", "parent", "city", "key")]
+    model = SemanticModel(tables, links, [m.sum_("total", "key"), m.count_rows("n")], {"r": Role(hidden_columns={"shop": ("name",)})})
+    want = [("c7", "s1", 4, 1), ("c8", "s2", 7, 2)]
+    for small in (True, False):
+        monkeypatch.setattr(model_module, "fits_broadcast", lambda df: small)
+        out = model.query("sales", ["total", "n"], ["city.name", "shop.name"])
+        assert out.columns == ["city__name", "shop__name", "total", "n"] and rows(out) == want
+        assert rows(model.query("sales", ["n"], ["city.name"], {"shop.name": lambda c: c == "s2"})) == [("c8", 2)]
+    with pytest.raises(ValueError, match="table.column"):
+        model.query("sales", ["n"], ["name"])
+    with pytest.raises(PermissionError):
+        model.query("sales", ["n"], ["shop.name"], role="r")
+    assert rows(model.query("sales", ["n"], ["city.name"], role="r")) == [("c7", 1), ("c8", 2)]
+
+
+def test_bridge_counts_a_fact_once_per_group(spark):
+    facts = spark.createDataFrame([(1, 10), (1, 5), (2, 7), (3, 100), (None, 1)], "account int, amount int")
+    bridge = spark.createDataFrame([(1, "ann"), (1, "bob"), (1, "cy"), (2, "bob"), (2, "bob"), (4, "dee"), (None, "ann")], "account int, person string")
+    people = spark.createDataFrame([("ann", "x"), ("bob", "y"), ("cy", "x"), ("dee", "z")], "person string, team string")
+    measures = [m.sum_("total", "amount"), m.count_rows("n"), m.ratio("mean", "total", "n")]
+    out = m.bridge_measures(facts, bridge, people, "account", "person", measures, ["team"])
+    assert rows(out, "team") == [(None, True, 22, 3, 22 / 3), ("x", False, 15, 2, 7.5), ("y", False, 22, 3, 22 / 3)]
+
+
+def test_measures_at_every_node(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(2000)], "node int, parent int")
+    facts = spark.range(2000).select(F.col("id").cast("int").alias("node"), F.lit(1).alias("v"))
+    got = m.parent_child_rollup(facts, chain, "node", "parent", [m.sum_("total", "v"), m.maximum("top", "node")]).collect()
+    assert all((r.total, r.top) == (2000 - r.node, 1999) for r in got) and len(got) == 2000
+    star = spark.createDataFrame([(0, None), (5000, 0), *((i, 0) for i in range(1, 3000))], "node int, parent int")
+    hanging = spark.createDataFrame([(1, 5), (1, None), (0, 2), (77777, 9)], "at int, v int")
+    got = {r.node: r for r in m.parent_child_rollup(hanging, star, "node", "parent", [m.sum_("total", "v"), m.count_rows("n"), m.variance("s", "v")], "at").collect()}
+    assert (got[0].total, got[0].n, got[0].s) == (7, 3, 4.5) and (got[1].total, got[1].n) == (5, 2)
+    assert (got[5000].total, got[5000].n) == (None, 0)
+    with pytest.raises(ValueError, match="cycle"):
+        m.parent_child_rollup(facts, spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "node int, parent int"), "node", "parent", [m.count_rows("n")])
+    with pytest.raises(ValueError, match="unknown parent"):
+        m.parent_child_rollup(facts, spark.createDataFrame([(1, 2)], "node int, parent int"), "node", "parent", [m.count_rows("n")])

@@ -8,7 +8,7 @@ from tabweave.operators import joins as j
 from tabweave.operators.transforms import union_all
 from tabweave.plans import measures as m
 from tabweave.plans.model import Relationship, SemanticModel
-from workload.base import REVENUE, SALES_SQL, amounts, cents, order_total, query, revenue, revenues, sales_model, table
+from workload.base import ORDER_TOTAL, REVENUE, SALES_SQL, amounts, cents, order_total, query, revenue, revenues, sales_model, table
 
 
 @query(
@@ -183,6 +183,31 @@ def bridge_join(spark, sf_dir):
     return amounts(values, "list_value")
 
 
+_BRIDGED = f"""SELECT DISTINCT n_name, o_orderkey, {ORDER_TOTAL} AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"""
+
+
+@query(
+    "bridge_join_measures",
+    f"""SELECT n_name, false AS is_total, CAST(sum(total) AS DOUBLE) AS total, count(*) AS order_rows, round(stddev_samp(CAST(total AS DOUBLE)), 4) AS spread FROM ({_BRIDGED}) GROUP BY 1
+UNION ALL SELECT NULL, true, CAST(sum(total) AS DOUBLE), count(*), round(stddev_samp(CAST(total AS DOUBLE)), 4) FROM (SELECT DISTINCT o_orderkey, total FROM ({_BRIDGED}))""",
+)
+def bridge_join_measures(spark, sf_dir):
+    """Order value by the nations of all suppliers of an order's lines, and over all orders."""
+    suppliers = j.equi_join(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation"), {"s_nationkey": "n_nationkey"})
+    measures = [m.sum_("total", order_total()), m.count_rows("order_rows"), m.stddev("spread", "o_totalprice")]
+    out = m.bridge_measures(
+        table(spark, sf_dir, "orders"),
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"),
+        suppliers.select("s_suppkey", "n_name"),
+        {"o_orderkey": "l_orderkey"},
+        {"l_suppkey": "s_suppkey"},
+        measures,
+        ["n_name"],
+    )
+    return amounts(out, "total").withColumn("spread", F.round("spread", 4))
+
+
 @query(
     "natural_join",
     """SELECT doc_id, lang, quality FROM documents NATURAL JOIN labels""",

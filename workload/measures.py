@@ -10,6 +10,7 @@ from tabweave.operators.joins import null_safe_join
 from tabweave.operators.transforms import union_all
 from tabweave.plans import bitmaps
 from tabweave.plans import measures as m
+from tabweave.plans.model import Relationship, SemanticModel
 from tabweave.plans.timeintel import daily_total, parallel_period, time_items
 from tabweave.session import scratch_dir
 from tabweave.sources.sinks import mart_overwrite
@@ -516,6 +517,35 @@ def hierarchy_rollup(spark, sf_dir):
     return amounts(model.drill("orders", ["total", "order_rows"], "geography"), "total")
 
 
+def _tree(spark, sf_dir):
+    """World, regions, nations and customers as one parent-child table."""
+    text = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
+    regions = table(spark, sf_dir, "region").select(text("r", "r_regionkey").alias("node"), F.lit("world").alias("parent"))
+    nations = table(spark, sf_dir, "nation").select(text("n", "n_nationkey").alias("node"), text("r", "n_regionkey").alias("parent"))
+    customers = table(spark, sf_dir, "customer").select(text("c", "c_custkey").alias("node"), text("n", "c_nationkey").alias("parent"))
+    top = regions.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")).distinct()
+    return union_all(top, regions, nations, customers)
+
+
+@query(
+    "hierarchy_rollup_parent_child",
+    f"""WITH f AS (SELECT 'c' || o_custkey AS c, 'n' || c_nationkey AS n, 'r' || n_regionkey AS r, {ORDER_TOTAL} AS total FROM orders
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT NULL, 'n' || s_nationkey, 'r' || n_regionkey, CAST(s_acctbal AS DECIMAL(12,2)) FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+t AS (SELECT 'world' AS node, NULL AS parent UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
+s AS (SELECT c AS node, total FROM f WHERE c IS NOT NULL UNION ALL SELECT n, total FROM f UNION ALL SELECT r, total FROM f UNION ALL SELECT 'world', total FROM f)
+SELECT t.node, t.parent, CAST(sum(total) AS DOUBLE) AS total, count(total) AS n, CAST(max(total) AS DOUBLE) AS largest FROM t LEFT JOIN s ON s.node = t.node GROUP BY 1, 2""",
+)
+def hierarchy_rollup_parent_child(spark, sf_dir):
+    """Orders at customers and balances at nations, at every node of a ragged tree."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), order_total().alias("amount"))
+    balances = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("node"), cents("s_acctbal").alias("amount"))
+    measures = [m.sum_("total", "amount"), m.count("n", "amount"), m.maximum("largest", "amount")]
+    out = m.parent_child_rollup(union_all(orders, balances), _tree(spark, sf_dir), "node", "parent", measures)
+    return amounts(out, "total", "largest")
+
+
 @query(
     "preaggregate",
     f"SELECT o_orderstatus, CAST(sum({ORDER_TOTAL}) AS DOUBLE) AS total, count(*) AS order_rows, max(o_totalprice) AS largest FROM orders GROUP BY 1",
@@ -575,6 +605,56 @@ def preaggregate_distinct(spark, sf_dir):
     return amounts(union_all(*grains, whole), "total")
 
 
+@query(
+    "row_context_metric_facts",
+    f"""WITH o AS (SELECT r_name, CAST(year(o_orderdate) AS BIGINT) AS order_year, CAST(sum({ORDER_TOTAL}) AS DOUBLE) AS order_value, count(*) AS n_orders
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+  WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2),
+l AS (SELECT r_name, CAST(year(o_orderdate) AS BIGINT) AS order_year, CAST(sum({REVENUE}) AS DOUBLE) AS revenue, count(*) AS lines
+  FROM {SALES_SQL} WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2)
+SELECT r_name, order_year, order_value, n_orders, revenue, coalesce(lines, 0) AS lines, CAST(lines AS DOUBLE) / n_orders AS lines_per_order
+FROM o FULL JOIN l USING (r_name, order_year)""",
+)
+def row_context_metric_facts(spark, sf_dir):
+    """Metrics of orders and of their lines side by side; no order is counted once per line."""
+    measures = [
+        m.sum_("order_value", order_total()),
+        m.count_rows("n_orders"),
+        m.sum_("revenue", revenue()),
+        m.count_rows("lines"),
+        m.ratio("lines_per_order", "lines", "n_orders"),
+    ]
+    out = sales_model(spark, sf_dir, measures).query_facts(
+        {"orders": ["order_value", "n_orders"], "lineitem": ["revenue", "lines"]},
+        by=["r_name", "order_year"],
+        where={"c_mktsegment": F.col("c_mktsegment") == "BUILDING"},
+        across=["lines_per_order"],
+        columns={"order_year": F.year("o_orderdate").cast("bigint")},
+        tables=["orders"],
+    )
+    return revenues(amounts(out, "order_value"), "revenue")
+
+
+@query(
+    "row_context_metric_qualified",
+    f"""SELECT n_name AS nation__name, r_name AS region__name, count(*) AS order_rows, CAST(sum({ORDER_TOTAL}) AS DOUBLE) AS total FROM orders
+LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+WHERE r_name <> 'ASIA' AND c_name LIKE '%1' GROUP BY 1, 2""",
+)
+def row_context_metric_qualified(spark, sf_dir):
+    """Tables whose keys and names are all called alike."""
+    named = {"customer": ("custkey", "nationkey"), "nation": ("nationkey", "regionkey"), "region": ("regionkey", None)}
+    tables = {"orders": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("parent"), "o_totalprice")}
+    for name, (key, parent) in named.items():
+        columns = [F.col(f"{name[0]}_{key}").alias("key"), F.col(f"{name[0]}_name").alias("name")]
+        tables[name] = table(spark, sf_dir, name).select(*columns, *([F.col(f"{name[0]}_{parent}").alias("parent")] if parent else []))
+    chain = ["orders", *named]
+    links = [Relationship(a, "parent", b, "key") for a, b in zip(chain, chain[1:])]
+    model = SemanticModel(tables, links, [m.count_rows("order_rows"), m.sum_("total", order_total())])
+    where = {"region.name": lambda c: c != "ASIA", "customer.name": lambda c: c.endswith("1")}
+    return amounts(model.query("orders", ["order_rows", "total"], ["nation.name", "region.name"], where), "total")
+
+
 @query(
     "row_context_metric",
     f"""SELECT r_name, p_brand, CAST(sum({REVENUE}) AS DOUBLE) AS revenue, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS orders
