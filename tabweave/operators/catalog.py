@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.operators.joins import anti_join, lookup_join, null_safe_join
+from tabweave.operators.joins import anti_join, equi_join, lookup_join, null_safe_join, semi_join
 from tabweave.session import cut_lineage
 
 #: Effort in hours per component by status (fixed values).
@@ -139,3 +139,68 @@ def dependency_levels(
         settled.append(ready.withColumn("level", F.lit(level)))
     unresolved = open_edges.select(F.col("__from").alias("node")).distinct().withColumn("level", F.lit(None).cast("int"))
     return reduce(DataFrame.unionByName, [*settled, unresolved])
+
+
+def _spread(values: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
+    """Every node's largest ``color`` among its own and those of all nodes that ``edges`` lead from to it."""
+    known = cut_lineage(values)
+    fresh = known
+    while not fresh.isEmpty():
+        handed = equi_join(edges, fresh, {start: "node"}).groupBy(F.col(end).alias("node")).agg(F.max("color").alias("color"))
+        better = equi_join(handed, known.withColumnRenamed("color", "__own"), "node")
+        fresh = cut_lineage(better.where(F.col("color") > F.col("__own")).select("node", "color"))
+        known = cut_lineage(anti_join(known, fresh, "node").unionByName(fresh))
+    return known
+
+
+def _members(colors: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that reach the node their color is named after, over nodes of that color."""
+    tinted = equi_join(edges, colors.withColumnsRenamed({"color": "__color"}), {"__from": "node"})
+    inner = cut_lineage(equi_join(tinted, colors, {"__to": "node"}).where(F.col("__color") == F.col("color")).select("__from", "__to"))
+    found = fresh = cut_lineage(colors.where(F.col("color") == F.col("node")))
+    while not fresh.isEmpty():
+        before = equi_join(inner, fresh, {"__to": "node"}).select(F.col("__from").alias("node"), "color").distinct()
+        fresh = cut_lineage(anti_join(before, found, "node"))
+        found = cut_lineage(found.unionByName(fresh))
+    return found
+
+
+def dependency_components(
+    edges: DataFrame, nodes: DataFrame | None = None, source: str = "from", target: str = "to"
+) -> DataFrame:
+    """Each node with its cycle and a level that counts a cycle as one step.
+
+    Nodes that depend on each other are one component, named after its smallest
+    node; other nodes are components of their own. Only what is neither below nor
+    above all cycles is searched: every node takes the largest name that reaches
+    it, and those that reach the node of that name in turn are its component. The
+    components are then levelled like nodes, so what stands on a cycle has a level.
+    """
+    clean = cut_lineage(edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).where("__from IS NOT NULL AND __to IS NOT NULL").distinct())
+    ends = clean.select(F.explode(F.array("__from", "__to")).alias("node"))
+    if nodes is not None:
+        ends = ends.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")))
+    ends = cut_lineage(ends.distinct())
+    core, found = clean.where("__from <> __to"), None
+    for up, down in (("__from", "__to"), ("__to", "__from")):
+        stuck = dependency_levels(core, source=up, target=down).where("level IS NULL").select("node")
+        stuck = cut_lineage(stuck)
+        core = cut_lineage(semi_join(semi_join(core, stuck, {"__from": "node"}), stuck, {"__to": "node"}))
+    while not core.isEmpty():
+        names = core.select(F.explode(F.array("__from", "__to")).alias("node")).distinct()
+        colors = _spread(names.withColumn("color", F.col("node")), core, "__from", "__to")
+        members = _members(colors, core)
+        found = members if found is None else found.unionByName(members)
+        core = cut_lineage(anti_join(anti_join(core, members, {"__from": "node"}), members, {"__to": "node"}))
+    if found is None:
+        named = ends.withColumn("component", F.col("node")).withColumn("members", F.lit(1).cast("long"))
+    else:
+        sizes = found.groupBy("color").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("members"))
+        named = lookup_join(ends, equi_join(found, sizes, "color").select("node", "component", "members"), "node")
+        named = named.withColumns({"component": F.coalesce("component", "node"), "members": F.coalesce("members", F.lit(1).cast("long"))})
+    named = cut_lineage(named)
+    part = named.select("node", "component")
+    over = equi_join(clean, part.withColumnRenamed("component", "__a"), {"__from": "node"})
+    over = equi_join(over, part.withColumnRenamed("component", "__b"), {"__to": "node"}).where("__a <> __b")
+    levels = dependency_levels(over.select("__a", "__b"), part.select("component").distinct(), "__a", "__b")
+    return equi_join(named, levels.withColumnRenamed("node", "__component"), {"component": "__component"})

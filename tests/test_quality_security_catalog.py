@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import Observation
@@ -184,3 +186,30 @@ def test_roles_in_perspectives_and_hidden_keys(spark):
     assert model.visible("r") == {"f": ["v"], "d": ["name"]} and "k" not in model.star("f", role="r").columns
     with pytest.raises(PermissionError):
         model.query("f", ["total"], ["id"], role="r")
+
+
+def test_cycles_are_named_and_what_stands_on_them_has_levels(spark):
+    pairs = [("c", "a"), ("c", "b"), ("b", "a"), ("e", "d"), ("d", "e"), ("f", "e"), ("f", "c"), ("s", "s"), ("g", "f"), (None, "a")]
+    pairs += [("h", "i"), ("i", "j"), ("j", "h"), ("i", "k"), ("k", "l"), ("l", "m"), ("m", "k"), ("n", "h")]
+    edges = spark.createDataFrame(pairs, "from string, to string")
+    got = {r.node: (r.component, r.members, r.level) for r in c.dependency_components(edges, spark.createDataFrame([("lone",)], "node string")).collect()}
+    assert got == {
+        "a": ("a", 1, 0), "b": ("b", 1, 1), "c": ("c", 1, 2), "d": ("d", 2, 0), "e": ("d", 2, 0), "f": ("f", 1, 3), "g": ("g", 1, 4),
+        "s": ("s", 1, 0), "lone": ("lone", 1, 0), "k": ("k", 3, 0), "l": ("k", 3, 0), "m": ("k", 3, 0),
+        "h": ("h", 3, 1), "i": ("h", 3, 1), "j": ("h", 3, 1), "n": ("n", 1, 2),
+    }
+    plain = c.dependency_components(edges.where("from in ('b', 'c')"))
+    assert rows(plain) == [("a", "a", 1, 0), ("b", "b", 1, 1), ("c", "c", 1, 2)]
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(2)
+    pairs = {(rng.randrange(25), rng.randrange(25)) for _ in range(38)}
+    reach = {a: {a} for a in range(25)}
+    for _ in range(25):
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    seen = {x for p in pairs for x in p}
+    want = {a: min(b for b in seen if b in reach[a] and a in reach[b]) for a in seen}
+    got = {r.node: r.component for r in c.dependency_components(spark.createDataFrame(sorted(pairs), "from int, to int")).collect()}
+    assert got == want

@@ -1,3 +1,5 @@
+import datetime as dt
+import glob
 import json
 
 import pytest
@@ -221,3 +223,37 @@ def test_append_and_clustering_rules(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     with pytest.raises(ValueError):
         sinks.clustered_write(df, path, ["k", "v", "k", "v"])
+
+
+def test_curve_lets_filters_on_every_key_skip_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(16_000).select(*[(F.xxhash64("id", F.lit(i)) % 5000).alias(f"k{i}") for i in range(3)], "id")
+    paths = {"curve": str(tmp_path / "curve"), "plain": str(tmp_path / "plain")}
+    sinks.curve_write(df, paths["curve"], ["k0", "k1", "k2"], files=64)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        sinks.clustered_write(df, paths["plain"], ["k0", "k1", "k2"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+    def read(path, key, value):
+        """Files whose range of the key holds the value."""
+        stats = [f.metadata.row_group(0).column(key).statistics for f in map(pq.ParquetFile, glob.glob(f"{path}/*.parquet")) if f.metadata.num_rows]
+        return sum(s.min <= value <= s.max for s in stats), len(stats)
+
+    for key in (1, 2):
+        (few, files), (many, plain) = (read(paths[n], key, 1234) for n in ("curve", "plain"))
+        assert few < files / 2 and many > plain * 0.8
+    assert read(paths["curve"], 0, 1234)[0] < 32
+    assert rows(spark.read.parquet(paths["curve"])) == rows(df)
+
+
+def test_curve_with_hot_missing_and_text_keys(spark, tmp_path):
+    df = spark.createDataFrame([(None if i % 5 == 0 else 7 if i % 2 else i, f"t{i % 3}", dt.date(2000, 1, 1 + i % 28)) for i in range(300)], "a int, b string, d date")
+    sinks.curve_write(df, str(tmp_path / "out"), ["a", "b", "d", F.col("a") + 1], files=5)
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(df)
+    sinks.curve_write(df.limit(0), str(tmp_path / "none"), ["a"])
+    assert spark.read.schema(df.schema).parquet(str(tmp_path / "none")).isEmpty()
+    with pytest.raises(ValueError):
+        sinks.curve_write(df, str(tmp_path / "x"), [])

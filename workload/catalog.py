@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabweave.operators import catalog as c
@@ -128,6 +129,26 @@ def dependency_levels(spark, sf_dir):
     return c.dependency_levels(trade_edges(spark, sf_dir, distinct=False))
 
 
+@query(
+    "dependency_levels_cycles",
+    """WITH n AS (SELECT n_nationkey, n_regionkey, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS first, count(*) OVER (PARTITION BY n_regionkey) AS size FROM nation),
+f AS (SELECT n_regionkey, min('n' || n_nationkey) AS component FROM nation GROUP BY 1)
+SELECT 'r' || r_regionkey AS node, 'r' || r_regionkey AS component, 1::BIGINT AS members, 0 AS level FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+UNION ALL SELECT 'n' || n_nationkey, component, size, 1 FROM n JOIN f USING (n_regionkey)
+UNION ALL SELECT 'c' || c_custkey, 'c' || c_custkey, 1, 2 FROM customer UNION ALL SELECT 'o' || o_orderkey, 'o' || o_orderkey, 1, 3 FROM orders""",
+)
+def dependency_levels_cycles(spark, sf_dir):
+    """The nations of a region need each other in a ring; customers and orders stand on these cycles."""
+    nations = table(spark, sf_dir, "nation")
+    ring = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    whole = Window.partitionBy("n_regionkey")
+    after = F.coalesce(F.lead("n_nationkey").over(ring), F.min("n_nationkey").over(whole))
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    rings = nations.select(name(F.col("n_nationkey")).alias("from"), name(after).alias("to"))
+    up = relations(spark, sf_dir).select(F.col("from_table").alias("from"), F.col("to_table").alias("to"))
+    return c.dependency_components(union_all(up, rings))
+
+
 @query(
     "dependency_fanin",
     """SELECT node AS "from", count(*) AS dependencies FROM (SELECT 'o' || o_orderkey AS node FROM orders

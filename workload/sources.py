@@ -218,6 +218,14 @@ def clustered_write(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("clustered_write_curve", "SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem")
+def clustered_write_curve(spark, sf_dir):
+    path = scratch_dir(spark, "curve")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    sinks.curve_write(lines, path, ["l_shipdate", "l_orderkey", "l_partkey"])
+    return spark.read.parquet(path)
+
+
 @query(
     "partition_split_write",
     "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'sales' WHEN event_type = 'error' THEN 'faults' ELSE 'default' END AS route FROM events",
