@@ -43,6 +43,7 @@ SAMPLE_CHARS = 8_000
 EXCERPT_CHARS = 250
 SEGMENT = 32
 STEPS = 20
+BLOCK_WORDS = 1 << 15
 RATE = 0.25
 RIDGE = 1e-6
 STRETCH = 25
@@ -131,7 +132,8 @@ class Model:
 def word_sums(weights: np.ndarray, words: Words) -> np.ndarray:
     if not len(words.features):
         return np.zeros((0, weights.shape[1]))
-    return np.add.reduceat(weights[words.features], words.feature_starts[:-1], axis=0).astype(np.float64)
+    columns = [np.add.reduceat(weights[words.features, k], words.feature_starts[:-1]) for k in range(weights.shape[1])]
+    return np.stack(columns, 1).astype(np.float64)
 
 
 def forward_backward(e: np.ndarray, t: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,19 +222,28 @@ def train(texts: list[str], langs: list[str]) -> Model:
     size, n = len(names), max(len(numbers), 1)
     w, t = np.zeros((BUCKETS, size), np.float32), np.zeros((size, size))
     state = [np.zeros_like(x) for x in (w, w, t, t)]
-    owner = np.repeat(np.arange(len(words.feature_starts) - 1), np.diff(words.feature_starts))
+    types = len(words.feature_starts) - 1
+    repeats = np.diff(words.feature_starts)
+    # Sequences are worked on in blocks, so memory follows BLOCK_WORDS and not the sample.
+    cuts = np.unique(np.append(np.searchsorted(firsts, np.arange(0, len(numbers), BLOCK_WORDS)), len(firsts) - 1))
     for step in range(1, STEPS + 1 if len(numbers) else 1):
-        p, alpha, beta, e, potentials, begins = marginals(word_sums(w, words), t, numbers, firsts)
-        miss = -p
-        miss[np.arange(len(y)), y] += 1
-        per_word = np.stack([np.bincount(numbers, miss[:, k], len(words.feature_starts) - 1) for k in range(size)], 1)
-        grad_w = np.stack([np.bincount(words.features, per_word[owner, k], BUCKETS) for k in range(size)], 1) / n - RIDGE * w
-        inner = np.flatnonzero(~begins)
-        eb = e[inner] * beta[inner]
-        before = alpha[inner - 1]
-        z = ((before @ potentials) * eb).sum(1, keepdims=True)
-        seen = np.bincount(y[inner - 1] * size + y[inner], minlength=size * size).reshape(size, size)
-        grad_t = (seen - potentials * (before.T @ (eb / z))) / n - RIDGE * t
+        scores, per_word, grad_t = word_sums(w, words), np.zeros((types, size)), np.zeros((size, size))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            low, high = firsts[a], firsts[b]
+            own, labels = numbers[low:high], y[low:high]
+            p, alpha, beta, e, potentials, begins = marginals(scores, t, own, firsts[a : b + 1] - low)
+            miss = -p
+            miss[np.arange(len(labels)), labels] += 1
+            for k in range(size):
+                per_word[:, k] += np.bincount(own, miss[:, k], types)
+            inner = np.flatnonzero(~begins)
+            eb = e[inner] * beta[inner]
+            before = alpha[inner - 1]
+            z = ((before @ potentials) * eb).sum(1, keepdims=True)
+            seen = np.bincount(labels[inner - 1] * size + labels[inner], minlength=size * size).reshape(size, size)
+            grad_t += seen - potentials * (before.T @ (eb / z))
+        grad_w = np.stack([np.bincount(words.features, np.repeat(per_word[:, k], repeats), BUCKETS) for k in range(size)], 1) / n - RIDGE * w
+        grad_t = grad_t / n - RIDGE * t
         for x, g, a, b in ((w, grad_w, state[0], state[1]), (t, grad_t, state[2], state[3])):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)

@@ -9,9 +9,9 @@ A text's features are the distinct hashes of its words and of its words' first
 bytes (affixes PREFIXES), in BUCKETS. Words are runs of ASCII letters and digits
 and bytes above 0x7F, with A-Z lower-cased. The prior is the share of toxic rows
 among the labelled ones. Training takes at most SAMPLE_POSITIVE confirmed and
-SAMPLE_UNLABELLED other documents, chosen by a hash of the id, of at most
-SAMPLE_CHARS characters; features are made by Spark, and the bounded sample is
-fitted in numpy on the driver.
+SAMPLE_UNLABELLED other documents, chosen by a hash of the id; features are made
+by Spark, of a text with more than SAMPLE_FEATURES those with the smallest hashes,
+and the bounded sample is fitted in numpy on the driver. Scores use all features.
 
 Null and empty texts have no features and the score of the bias alone. Without
 confirmed examples every score is 0. Repeated rows get the same answer each, rows
@@ -39,10 +39,11 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5)
 SAMPLE_POSITIVE = 1500
 SAMPLE_UNLABELLED = 5000
-SAMPLE_CHARS = 20_000
+SAMPLE_FEATURES = 8192
 LEAST_SIGMAS = 2.0
 SMOOTHING = 4.0
 STEPS = 100
+FOLDS = 4
 LINE_STEPS = 3000
 RATE = 0.05
 RIDGE = 1e-2
@@ -102,17 +103,11 @@ def descend(w: np.ndarray, slope, steps: int) -> np.ndarray:
     return w
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Minimise the non-negative risk with logistic loss.
-
-    Every fourth document is kept for the last step, which fits the scale and the
-    offset of the margins to the same risk, without a ridge.
-    """
-    parts = [[x for i, x in enumerate(side) if (i % 4 == 3) == late] for late in (False, True) for side in (positive, unlabelled)]
-    rows = parts[0] + parts[1]
+def weigh(rows: list[np.ndarray], p: int, prior: float) -> np.ndarray:
+    """Weights of all buckets that minimise the non-negative risk with logistic loss; the first ``p`` rows are confirmed."""
     buckets = np.concatenate(rows)
     doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
-    n, p, u = len(rows), len(parts[0]), len(parts[1])
+    n, u = len(rows), len(rows) - p
     # Buckets count by how much oftener confirmed documents have them, where that is no
     # chance, so that the many words that only tell single documents apart have no weight.
     in_positive = np.bincount(buckets[doc < p], minlength=BUCKETS)
@@ -128,37 +123,63 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     doc, feature, value = doc[kept], number[buckets[kept]], scale[buckets[kept]].astype(np.float32)
     del buckets, kept
 
-    def margins(w: np.ndarray) -> np.ndarray:
-        return np.bincount(doc, w[feature] * value, n) + w[-1]
-
     def slope(w: np.ndarray) -> np.ndarray:
-        by_doc = risk_slope(margins(w), p, prior)
+        by_doc = risk_slope(np.bincount(doc, w[feature] * value, n) + w[-1], p, prior)
         by_feature = np.bincount(feature, by_doc[doc] * value, len(used)) + RIDGE * w[:-1]
         return np.concatenate([by_feature, [by_doc.sum()]])
 
-    start = np.log(prior / (1 - prior))
-    w = descend(np.concatenate([np.zeros(len(used)), [start]]), slope, STEPS)
+    w = descend(np.concatenate([np.zeros(len(used)), [np.log(prior / (1 - prior))]]), slope, STEPS)
     weights = np.zeros(BUCKETS, np.float32)
     weights[used] = w[:-1] * scale[used]
-    kept_positive, kept_other = parts[2] or parts[0], parts[3] or parts[1]
-    f = np.array([weights[x].sum(dtype=np.float64) for x in kept_positive + kept_other])
+    return weights
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """Weights averaged over FOLDS fits, and the scale and offset of the margins.
+
+    Each fit leaves out one part of the documents, and the margins of these under
+    it are those of documents it has not seen. Scale and offset are fitted to the
+    same risk on the margins of all documents, without a ridge.
+    """
+    folds = min(FOLDS, len(positive), len(unlabelled))
+    out = [np.zeros(len(side)) for side in (positive, unlabelled)]
+    weights = np.zeros(BUCKETS, np.float32)
+    for fold in range(folds):
+        held = [[i for i in range(len(side)) if folds > 1 and i % folds == fold] for side in out]
+        seen = [[x for i, x in enumerate(side) if folds == 1 or i % folds != fold] for side in (positive, unlabelled)]
+        own = weigh(seen[0] + seen[1], len(seen[0]), prior)
+        weights += own / folds
+        for into, side, late in zip(out, (positive, unlabelled), held, strict=True):
+            for i in late or range(len(side)):
+                into[i] = own[side[i]].sum(dtype=np.float64)
+    f, p = np.concatenate(out), len(positive)
     # Above the lower quartile of confirmed documents all count as equally sure, else the few largest margins rule the fit.
-    cap = float(np.quantile(f[: len(kept_positive)], 0.25))
+    cap = float(np.quantile(f[:p], 0.25))
     f = np.minimum(f, cap)
     unit = f.std() or 1.0
 
     def line_slope(v: np.ndarray) -> np.ndarray:
-        by_doc = risk_slope(v[0] * f / unit + v[1], len(kept_positive), prior)
+        by_doc = risk_slope(v[0] * f / unit + v[1], p, prior)
         return np.array([(by_doc * f / unit).sum(), by_doc.sum()])
 
-    factor, bias = descend(np.array([1.0, start]), line_slope, LINE_STEPS)
+    factor, bias = descend(np.array([1.0, np.log(prior / (1 - prior))]), line_slope, LINE_STEPS)
     return Model(weights, cap, float(factor / unit), float(bias))
 
 
+def thinned(buckets: np.ndarray, cuts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` features of each text, those with the smallest hashes."""
+    parts = [buckets[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for i, x in enumerate(parts):
+        if len(x) > most:
+            parts[i] = np.sort(x[np.argpartition(tx.mix(x.astype(np.uint64)), most)[:most]])
+    return np.concatenate(parts or [buckets]), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+
+
 def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.chunks(batches):
             buckets, cuts = buckets_of(batch.column("text"))
+            buckets, cuts = thinned(buckets, cuts, SAMPLE_FEATURES)
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(buckets))
             yield pa.RecordBatch.from_arrays([batch.column("confirmed"), batch.column("chance"), lists], ["confirmed", "chance", "buckets"])
 
@@ -167,14 +188,14 @@ def features(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
     """A model from ``usable`` documents: those with a toxic label, and the others as unlabelled text."""
-    rows = docs.filter(usable & F.col("doc_id").isNotNull() & F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
+    rows = docs.filter(usable & F.col("doc_id").isNotNull() ).select("doc_id", "text")
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     marks = marks.groupBy("doc_id").agg((F.max("toxic") == 1).alias("confirmed"))
     ids = rows.select("doc_id").join(marks, "doc_id", "left")
     n, p, known = ids.agg(F.count(F.lit(1)), F.count_if("confirmed"), F.count("confirmed")).first()
     if not p:
         return None
-    prior = min(max(p / known, 1e-4), 0.5)
+    prior = min(max(p / known, 1e-4), 1 - 1e-4)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
     of_positive, of_all = min(1.0, SAMPLE_POSITIVE / p), min(1.0, SAMPLE_UNLABELLED / n)
     chosen = rows.withColumn("chance", chance).filter(F.col("chance") < max(of_positive, of_all))
