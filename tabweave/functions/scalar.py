@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,16 +112,28 @@ def mod(x: Column, n: Value) -> Column:
     return F.when(_c(n) != 0, x % _c(n))
 
 
+def _to_digits(x: Column, digits: int, whole: Callable[[Column], Column]) -> Column:
+    """``x`` with its digits after the given one cut off by ``whole``, away from the sign.
+
+    A shifted value within the last bits of a whole number is that number, as the
+    digits of a double that shows 0.29 stand for 0.29. From 2**53 on all are whole.
+    """
+    scale, size = float(10 ** abs(digits)), F.abs(x).cast("double")
+    shifted = size * scale if digits >= 0 else size / scale
+    near = F.rint(shifted)
+    cut = F.when(F.abs(shifted - near) <= shifted * 2.0**-51, near).otherwise(whole(shifted).cast("double"))
+    back = cut / scale if digits >= 0 else cut * scale
+    return F.signum(x) * F.when(shifted >= 2.0**53, size).otherwise(back)
+
+
 def round_up(x: Column, digits: int) -> Column:
     """Away from zero, in the decimal digits that the number shows."""
-    scale = 10**digits
-    return F.signum(x) * F.ceil(F.abs(x).cast("decimal(28,12)") * scale).cast("double") / float(scale)
+    return _to_digits(x, digits, F.ceil)
 
 
 def round_down(x: Column, digits: int) -> Column:
     """Towards zero, in the decimal digits that the number shows."""
-    scale = 10**digits
-    return F.signum(x) * F.floor(F.abs(x).cast("decimal(28,12)") * scale).cast("double") / float(scale)
+    return _to_digits(x, digits, F.floor)
 
 
 def to_units(x: Column, digits: int = 2) -> Column:

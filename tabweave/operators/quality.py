@@ -21,12 +21,18 @@ class ValidationError(RuntimeError):
         self.code = code
 
 
+#: Error conditions of an input that does not exist.
+MISSING = ("TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "PATH_NOT_FOUND")
+
+
 def _exists_nonempty(spark: SparkSession, table: str | DataFrame) -> bool | None:
     """None when the input does not exist, else whether it has a row."""
     try:
         df = table if isinstance(table, DataFrame) else spark.table(table)
         return not df.isEmpty()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in MISSING:
+            raise
         return None
 
 

@@ -36,8 +36,7 @@ def _as_text(schema: T.StructType) -> T.StructType:
 
 
 def _reader(spark: SparkSession, sep: str, header: bool, line_sep: str | None, recursive: bool, glob: str | None, **options):
-    # A quote inside a quoted field is doubled.
-    reader = spark.read.options(sep=sep, header=header, mode="PERMISSIVE", escape='"', **options)
+    reader = spark.read.options(sep=sep, header=header, mode="PERMISSIVE", **({"escape": '"'} | options))
     if line_sep:
         reader = reader.option("lineSep", line_sep)
     if recursive:
@@ -58,14 +57,19 @@ def text_rows(
     recursive: bool = False,
     glob: str | None = None,
     keep_corrupt: bool = False,
+    encoding: str | None = None,
+    quote: str = '"',
+    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited rows as text under the declared names, null tokens replaced.
 
-    Short rows are filled with NULLs and surplus fields dropped.
+    Short rows are filled with NULLs and surplus fields dropped. A quote inside a
+    quoted field is doubled. With ``multi_line`` quoted fields may hold line breaks;
+    such a file cannot be split, so one task reads it.
     """
     text = _as_text(_struct(schema))
     names = text.names
-    options = {}
+    options = {"quote": quote, "escape": quote, "multiLine": multi_line} | ({"encoding": encoding} if encoding else {})
     if keep_corrupt:
         text = text.add(CORRUPT, "string")
         # A pruned read does not look at the other fields, so it cannot tell their number.

@@ -104,5 +104,8 @@ def test_rounding_and_units(spark):
     one = spark.range(1)
     got = one.select(s.round_up(F.lit(0.07), 2), s.round_down(F.lit(0.29), 2), s.round_up(F.lit(-1.21), 1), s.to_units(F.lit(0.29))).first()
     assert tuple(got) == (0.07, 0.29, -1.3, 29)
+    sizes = spark.createDataFrame([(1e17,), (1e-14,), (-1e300,), (3.3000000000000003,), (2.675,), (None,), (1234.0,), (0.0,)], "x double")
+    up, down = ([r[0] for r in sizes.select(f(F.col("x"), n)).collect()] for f, n in ((s.round_up, 2), (s.round_down, -2)))
+    assert up == [1e17, 0.01, -1e300, 3.3, 2.68, None, 1234.0, 0.0] and down == [1e17, 0.0, -1e300, 0.0, 0.0, None, 1200.0, 0.0]
     large = spark.range(0, 1000, 1, 7).select((F.lit(9_007_199_254_740.99) * 100).cast("bigint").alias("u"))
     assert large.agg(F.sum("u")).first()[0] == 1000 * 900719925474099

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.errors import AnalysisException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -213,3 +214,8 @@ def test_components_of_random_graphs(spark):
     want = {a: min(b for b in seen if b in reach[a] and a in reach[b]) for a in seen}
     got = {r.node: r.component for r in c.dependency_components(spark.createDataFrame(sorted(pairs), "from int, to int")).collect()}
     assert got == want
+
+
+def test_only_missing_inputs_are_missing(spark):
+    with pytest.raises(AnalysisException):
+        q.validate_required_tables(spark, {"odd": "not a name!"})

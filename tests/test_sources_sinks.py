@@ -257,3 +257,11 @@ def test_curve_with_hot_missing_and_text_keys(spark, tmp_path):
     assert spark.read.schema(df.schema).parquet(str(tmp_path / "none")).isEmpty()
     with pytest.raises(ValueError):
         sinks.curve_write(df, str(tmp_path / "x"), [])
+
+
+def test_encoding_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "latin" / "a.csv"
+    path.parent.mkdir()
+    path.write_bytes("id,name\n1,'Zo\u00e9, ''x''\nend'\n2,plain\n".encode("latin-1"))
+    out = files.delimited_source(spark, str(path.parent), "id int, name string", encoding="ISO-8859-1", quote="'", multi_line=True)
+    assert rows(out) == [(1, "Zo\u00e9, 'x'\nend"), (2, "plain")]
