@@ -112,10 +112,14 @@ def weigh(rows: list[np.ndarray], p: int, prior: float) -> np.ndarray:
     # chance, so that the many words that only tell single documents apart have no weight.
     in_positive = np.bincount(buckets[doc < p], minlength=BUCKETS)
     in_unlabelled = np.bincount(buckets[doc >= p], minlength=BUCKETS)
+    some = np.flatnonzero(in_positive + in_unlabelled)
+    in_positive, in_unlabelled = in_positive[some], in_unlabelled[some]
     lift = np.log((in_positive + SMOOTHING * p / n) / p) - np.log((in_unlabelled + SMOOTHING * u / n) / u)
     expected = in_unlabelled * (p / u)
     clear = np.abs(in_positive - expected) >= LEAST_SIGMAS * np.sqrt(expected + 1)
-    scale = np.where(clear, lift * np.abs(lift), 0)
+    scale = np.zeros(BUCKETS)
+    scale[some] = np.where(clear, lift * np.abs(lift), 0)
+    del some, in_positive, in_unlabelled, lift, expected, clear
     used = np.flatnonzero(scale)
     number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
@@ -202,9 +206,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
     chosen = chosen.join(marks.filter("confirmed"), "doc_id", "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
     chosen = chosen.filter((F.col("chance") < of_all) | F.col("confirmed")).orderBy("chance", "doc_id")
     sample = features(chosen).toPandas()
-    positive = sample[sample.confirmed & (sample.chance < of_positive)]
+    positive = sample[sample.confirmed & (sample.chance < of_positive)].buckets.tolist()
     # Unlabelled text is drawn from all documents; confirmed ones among it stay, as the prior counts them.
-    return train(positive.buckets.tolist(), sample[sample.chance < of_all].buckets.tolist(), prior) if len(positive) else None
+    unlabelled = sample[sample.chance < of_all].buckets.tolist()
+    del sample
+    return train(positive, unlabelled, prior) if positive else None
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
