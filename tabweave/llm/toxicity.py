@@ -145,6 +145,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     it are those of documents it has not seen. Scale and offset are fitted to the
     same risk on the margins of all documents, without a ridge.
     """
+    # Empty lists come without their type.
+    positive, unlabelled = ([np.asarray(x, np.int32) for x in side] for side in (positive, unlabelled))
     folds = min(FOLDS, len(positive), len(unlabelled))
     out = [np.zeros(len(side)) for side in (positive, unlabelled)]
     weights = np.zeros(BUCKETS, np.float32)
