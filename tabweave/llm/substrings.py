@@ -9,17 +9,20 @@ equal windows hold the same anchor at the same place. The suffixes that start at
 anchors are the leaves. Each carries its words up to a window's length and the
 words before it that a window can reach back to.
 
-* An anchor's k words are the prefix by which suffixes are split into groups.
+* Leaves with the same words around them form a class. A class is one row with
+  its smallest id, whatever the number of its leaves, so a passage that a third
+  of all documents share makes no large group. Leaves of larger ids lose all
+  windows that the class holds.
+* An anchor's k words are the prefix by which classes are split into groups.
   Only prefixes that occur in different texts go on.
-* A group of up to ``group_rows`` leaves is sorted by the words that follow. With
+* A group of up to ``group_rows`` classes is sorted by the words that follow. With
   the common prefixes of neighbours this is the group's suffix tree: a node of
-  depth d is a stretch of leaves whose common prefixes reach d. Under each node
-  deep enough for a window, leaves that also agree in the words before them hold
+  depth d is a stretch of classes whose common prefixes reach d. Under each node
+  deep enough for a window, classes that also agree in the words before them hold
   the same window, and the node's smallest id owns it.
-* The prefix of a larger group is lengthened to the whole window. Such a group
-  is a single node, so an aggregate gives its smallest id and nothing is gathered.
-  A group's size is its leaves, so an anchor that one document repeats counts each
-  time. Leaves leave a task in slices of LEAF_ROWS.
+* The prefix of a larger group is lengthened by ``step`` words at a time, until
+  its parts are small enough or hold whole windows. Windows that end within the
+  added words are settled by an aggregate over classes before the group is split.
 
 Documents that equal a smaller one word by word are removed whole when they hold
 a window; they take no part in the search.
@@ -45,8 +48,9 @@ from tabweave.llm.frames import documents, join_groups, shuffle_tasks, stored
 
 WINDOW = 50
 PREFIX = 25
-GROUP_ROWS = 2000
-LEAF_ROWS = 20_000
+GROUP_ROWS = 20_000
+STEP = 5
+LEAF_ROWS = 5_000
 
 
 def _sliding(x: np.ndarray, n: int, ufunc) -> np.ndarray:
@@ -85,13 +89,25 @@ def _sha(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
     return hashlib.sha256(b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])).hexdigest()
 
 
+def _digest(before: bytes, after: bytes) -> bytes:
+    """128-bit digest of word hashes and of the place where ``after`` begins."""
+    return hashlib.blake2b(before + after, digest_size=16, salt=len(before).to_bytes(8, "little")).digest()
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 class Repeats:
     def __init__(self, docs: DataFrame, window: int = WINDOW, k: int = PREFIX, group_rows: int = GROUP_ROWS) -> None:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.window, self.k, self.group_rows = window, k, group_rows
+        # Windows reach up to this many words before an anchor; a class's late windows are a bit each.
+        self.back = window - k
+        assert 0 < self.back < 63, "a window has 1 to 62 words more than a prefix"
 
     def survey(self) -> DataFrame:
-        """Per document: number of words, digests of its words, the hashes of its anchors and how often each occurs."""
+        """Per document: number of words, digests of its words and the hashes of its anchors."""
         window, k = self.window, self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +117,13 @@ class Repeats:
                 h = tx.hashes(data, starts, ends)
                 at, found = anchors(h, firsts, window, k)
                 cuts = np.searchsorted(at, firsts)
-                shas, digests, lists, counts = [], [], [], []
+                shas, digests, lists = [], [], []
                 for i in range(batch.num_rows):
                     a, b = firsts[i], firsts[i + 1]
                     low = offsets[i]
                     shas.append(_sha(data[low : offsets[i + 1]], starts[a:b] - low, ends[a:b] - low))
                     digests.append(int.from_bytes(hashlib.blake2b(h[a:b].tobytes(), digest_size=8).digest(), "little", signed=True))
-                    own, n = np.unique(found[cuts[i] : cuts[i + 1]], return_counts=True)
-                    lists.append(own.view(np.int64))
-                    counts.append(n)
+                    lists.append(np.unique(found[cuts[i] : cuts[i + 1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
@@ -117,24 +131,17 @@ class Repeats:
                         pa.array(shas),
                         pa.array(digests, pa.int64()),
                         pa.array(lists, pa.list_(pa.int64())),
-                        pa.array(counts, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_words", "sha", "digest", "anchors", "counts"],
+                    ["doc_id", "n_words", "sha", "digest", "anchors"],
                 )
 
-        return self.docs.mapInArrow(run, "doc_id long, n_words long, sha string, digest long, anchors array<long>, counts array<long>")
+        return self.docs.mapInArrow(run, "doc_id long, n_words long, sha string, digest long, anchors array<long>")
 
     def _leaves(self, wanted: DataFrame) -> DataFrame:
-        """The suffixes of ``wanted`` (doc_id, text, groups, large): anchor, place, and the words around it.
-
-        For anchors whose group is large, one row per window that holds it instead,
-        with the window's hash as its prefix.
-        """
-        window, k = self.window, self.k
-        back = window - k
-
-        names = ["prefix", "doc_id", "place", "depth", "before", "after", "n_before"]
-        types = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()
+        """The suffixes of ``wanted`` (doc_id, text, groups): class, anchor, place, and the words around it."""
+        window, k, back = self.window, self.k, self.back
+        names = ["class", "prefix", "doc_id", "place", "before", "after"]
+        types = pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -148,126 +155,167 @@ class Repeats:
                 for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                     first, end = int(firsts[i]), int(firsts[i + 1])
                     own_at, own = at[cuts[i] : cuts[i + 1]], found[cuts[i] : cuts[i + 1]].view(np.int64)
-                    groups = np.array(batch.column("groups")[i].as_py(), np.int64)
-                    large = np.array(batch.column("large")[i].as_py(), bool)
-                    shared = np.isin(own, groups[~large])
+                    shared = np.isin(own, np.array(batch.column("groups")[i].as_py(), np.int64))
                     for p, key in zip(own_at[shared].tolist(), own[shared].tolist(), strict=True):
-                        low = max(first, p - back)
-                        rows.append((key, doc_id, p - first, k, h[low:p].tobytes(), h[p : min(end, p + window)].tobytes(), p - low))
+                        before, after = h[max(first, p - back) : p].tobytes(), h[p : min(end, p + window)].tobytes()
+                        rows.append((_digest(before, after), key, doc_id, p - first, before, after))
                         if len(rows) >= LEAF_ROWS:
                             yield packed(rows)
                             rows = []
-                    hot = own_at[np.isin(own, groups[large])] - first
-                    if len(hot):
-                        n = end - first
-                        opened = np.bincount(np.maximum(hot - back, 0), minlength=n + 1) - np.bincount(hot + 1, minlength=n + 1)
-                        s = np.flatnonzero(np.cumsum(opened)[: n - window + 1] > 0)
-                        whole = tx.runs(h[first:end], window)[s].view(np.int64)
-                        for start in range(0, len(s), LEAF_ROWS):
-                            part = slice(start, start + LEAF_ROWS)
-                            rows += [(key, doc_id, p, window, b"", b"", 0) for key, p in zip(whole[part].tolist(), s[part].tolist(), strict=True)]
-                            if len(rows) >= LEAF_ROWS:
-                                yield packed(rows)
-                                rows = []
                 if rows:
                     yield packed(rows)
 
-        kind = "prefix long, doc_id long, place int, depth int, before binary, after binary, n_before int"
-        return wanted.mapInArrow(run, kind)
+        return wanted.mapInArrow(run, "class binary, prefix long, doc_id long, place int, before binary, after binary")
 
-    def _subtrees(self, leaves: DataFrame) -> DataFrame:
-        """Repeated stretches (doc_id, low, high) that the suffix trees of the groups show."""
-        window, k = self.window, self.k
-        back = window - k
+    def _subtrees(self, classes: DataFrame) -> DataFrame:
+        """(class, late) of the classes in groups (class, key, owner, before, after, reach).
+
+        Bit r of ``late`` is set if a smaller id than the class's own holds the window
+        that starts r words before it. Only windows of up to ``reach`` words before
+        the anchor are looked at.
+        """
+        window, back = self.window, self.back
 
         def matrix(column, width: int, right: bool) -> np.ndarray:
             out = np.zeros((len(column), width), np.uint64)
             for i, x in enumerate(column.to_pylist()):
                 words = np.frombuffer(x, np.uint64)
-                if len(words):
-                    out[i, width - len(words) :] = words if right else 0
-                    if not right:
-                        out[i] = 0
-                        out[i, : len(words)] = words
+                out[i, width - len(words) if right else 0 : width if right else len(words)] = words
             return out
 
         def tree(batch: pa.RecordBatch) -> pa.RecordBatch:
-            key, doc = batch.column("prefix").to_numpy(), batch.column("doc_id").to_numpy()
-            place, n_before = batch.column("place").to_numpy(), batch.column("n_before").to_numpy()
-            n_after = np.array([len(x) // 8 for x in batch.column("after").to_pylist()])
+            key, doc, most = (batch.column(c).to_numpy() for c in ("key", "owner", "reach"))
+            n_before, n_after = (np.array([len(x) // 8 for x in batch.column(c).to_pylist()]) for c in ("before", "after"))
             after, before = matrix(batch.column("after"), window, False), matrix(batch.column("before"), back, True)
-            # Leaves come sorted by prefix and following words: common prefix of each with the one above it.
+            # Classes come sorted by key and following words: common prefix of each with the one above it.
             same = after[1:] == after[:-1]
             common = np.where(same.all(1), window, np.argmin(same, axis=1))
             common = np.concatenate([[0], np.where(key[1:] == key[:-1], common, 0)])
-            backward = np.zeros(len(key), np.uint64)
-            docs, lows, highs = [], [], []
+            backward, late = np.zeros(len(key), np.uint64), np.zeros(len(key), np.int64)
             for reach in range(back + 1):
                 if reach:
                     backward = tx.mix(backward ^ before[:, back - reach])
-                fits = np.flatnonzero((n_before >= reach) & (n_after >= window - reach))
+                fits = np.flatnonzero((n_before >= reach) & (n_after >= window - reach) & (most >= reach))
                 node = np.cumsum(common < window - reach)[fits]
                 order = np.lexsort((doc[fits], backward[fits], node))
-                rows = fits[order]
+                rows, node = fits[order], node[order]
                 head = np.ones(len(rows), bool)
-                head[1:] = (node[order][1:] != node[order][:-1]) | (backward[rows][1:] != backward[rows][:-1])
-                owner = doc[rows][head][np.cumsum(head) - 1]
-                late = rows[doc[rows] > owner]
-                docs.append(doc[late])
-                lows.append(place[late] - reach)
-                highs.append(place[late] - reach + window)
-            docs, lows, highs = (np.concatenate(x) for x in (docs, lows, highs))
-            return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(lows.astype(np.int32)), pa.array(highs.astype(np.int32))], ["doc_id", "low", "high"])
+                head[1:] = (node[1:] != node[:-1]) | (backward[rows][1:] != backward[rows][:-1])
+                smallest = doc[rows][head][np.cumsum(head) - 1]
+                late[rows[doc[rows] > smallest]] |= 1 << reach
+            some = np.flatnonzero(late)
+            return pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(some)), pa.array(late[some])], ["class", "late"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
+            held: list[pa.RecordBatch] = []
             for batch in batches:
-                held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-                keys = held.column("prefix").to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+                if not batch.num_rows:
+                    continue
+                keys = batch.column("key").to_numpy()
+                if held and held[-1].column("key")[-1].as_py() != keys[0]:
+                    yield tree(_joined(held))
+                    held = []
+                cut = int(np.flatnonzero(keys == keys[-1])[0])
                 if cut:
-                    yield tree(held.slice(0, cut))
-                    held = held.slice(cut)
-            if held is not None and held.num_rows:
-                yield tree(held)
+                    yield tree(_joined([*held, batch.slice(0, cut)]))
+                    held = []
+                held.append(batch.slice(cut))
+            if held:
+                yield tree(_joined(held))
 
-        tasks = shuffle_tasks(leaves.sparkSession)
-        dealt = leaves.repartition(tasks, "prefix").sortWithinPartitions("prefix", "after")
-        return dealt.mapInArrow(run, "doc_id long, low int, high int")
+        tasks = shuffle_tasks(classes.sparkSession)
+        rows = classes.select("class", "key", "owner", "reach", "before", "after")
+        return rows.repartition(tasks, "key").sortWithinPartitions("key", "after").mapInArrow(run, "class binary, late long")
+
+    def _windows(self, classes: DataFrame, low: int, high: int) -> DataFrame:
+        """(class, late) for the windows that start ``low`` to ``high`` words before the anchor, by an aggregate over classes."""
+        window = self.window
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                wholes, places, bits = [], [], []
+                for i, (before, after) in enumerate(zip(batch.column("before").to_pylist(), batch.column("after").to_pylist(), strict=True)):
+                    for reach in range(low, high + 1):
+                        if len(before) >= 8 * reach and len(after) >= 8 * (window - reach):
+                            wholes.append(_digest(before[len(before) - 8 * reach :], after[: 8 * (window - reach)]))
+                            places.append(i)
+                            bits.append(1 << reach)
+                columns = [batch.column(c).take(pa.array(places, pa.int64())) for c in ("class", "owner")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(bits, pa.int64()), pa.array(wholes, pa.binary())], ["class", "owner", "bit", "whole"]
+                )
+
+        rows = classes.select("class", "owner", "before", "after").mapInArrow(run, "class binary, owner long, bit long, whole binary")
+        rows = stored(rows, "windows")
+        smallest = rows.groupBy("whole").agg(F.min("owner").alias("smallest"), F.count(F.lit(1)).alias("n_rows"))
+        joined = join_groups(rows, stored(smallest, "window-owners"), "whole", "n_rows", rows.count())
+        return joined.filter("owner > smallest").groupBy("class").agg(F.bit_or("bit").alias("late"))
+
+    def _late(self, classes: DataFrame) -> DataFrame:
+        """(class, late) of all classes; a class may come several times."""
+        window, reach = self.window, self.back
+        found = None
+        while True:
+            sizes = stored(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"), "groups")
+            rows = join_groups(classes, sizes, "key", "n_rows", classes.count())
+            large = F.col("n_rows") > self.group_rows
+            trees = self._subtrees(rows.filter(~large).withColumn("reach", F.lit(reach)))
+            found = trees if found is None else found.unionByName(trees)
+            if not sizes.filter(large).head(1):
+                return found
+            rest = stored(rows.filter(large).drop("n_rows"), "large-groups")
+            low = max(reach - STEP + 1, 0)
+            found = found.unionByName(self._windows(rest, low, reach))
+            reach = low - 1
+            if reach < 0:
+                return found
+            n_bytes = 8 * (window - reach)
+            # Classes too short for the windows that are left have none to lose.
+            classes = stored(
+                rest.filter(F.length("after") >= n_bytes).withColumn("key", F.xxhash64(F.substring("after", 1, n_bytes))), "longer-prefixes"
+            )
 
     def spans(self, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Stored texts that share an anchor, and (doc_id, low, high) of their repeated words."""
+        """Stored texts that share an anchor, and (doc_id, place, n_before, n_after, late) of their leaves that lose windows."""
         usable = seen.filter("doc_id IS NOT NULL")
-        each = usable.select("doc_id", F.explode("anchors").alias("anchor"))
-        counted = usable.select("digest", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("counts").alias("n"))))
-        groups = counted.groupBy("anchor").agg(
-            F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_leaves")
-        )
-        groups = stored(groups.filter("d0 <> d1").select("anchor", "n_rows", (F.col("n_leaves") > self.group_rows).alias("large")), "prefixes")
+        each = usable.select("doc_id", "digest", F.explode("anchors").alias("anchor"))
+        groups = each.groupBy("anchor").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.count(F.lit(1)).alias("n_rows"))
+        groups = stored(groups.filter("d0 <> d1").select("anchor", "n_rows"), "prefixes")
         total = seen.agg(F.sum(F.size("anchors"))).first()[0] or 0
-        shared = join_groups(each, groups, "anchor", "n_rows", total)
-        by_doc = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("groups"), F.collect_list("large").alias("large"))
+        by_doc = join_groups(each, groups, "anchor", "n_rows", total).groupBy("doc_id").agg(F.collect_list("anchor").alias("groups"))
         wanted = stored(self.docs.dropDuplicates(["doc_id"]).join(by_doc, "doc_id"), "sharing-texts")
         leaves = stored(self._leaves(wanted), "leaves")
-        small = self._subtrees(leaves.filter(F.col("depth") < self.window))
-        deep = leaves.filter(F.col("depth") == self.window).select("prefix", "doc_id", "place")
-        owners = stored(deep.groupBy("prefix").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n_rows")), "window-owners")
-        late = join_groups(deep, owners, "prefix", "n_rows", deep.count()).filter("doc_id > owner")
-        found = small.unionByName(late.select("doc_id", F.col("place").alias("low"), (F.col("place") + self.window).alias("high")))
-        return wanted.select("doc_id", "text"), found
+        classes = leaves.groupBy("class", F.col("prefix").alias("key"), "before", "after").agg(
+            F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n_rows")
+        )
+        classes = stored(classes, "classes")
+        late = self._late(classes.drop("n_rows")).groupBy("class").agg(F.bit_or("late").alias("late"))
+        known = classes.select("class", "owner", "n_rows").join(late, "class", "left")
+        known = stored(known.filter("n_rows > 1 OR late IS NOT NULL"), "late-classes")
+        here = leaves.select(
+            "class",
+            "doc_id",
+            "place",
+            (F.length("before") / 8).cast("int").alias("n_before"),
+            (F.length("after") / 8).cast("int").alias("n_after"),
+        )
+        found = join_groups(here, known, "class", "n_rows", leaves.count())
+        every = F.lit((1 << (self.back + 1)) - 1)
+        found = found.withColumn("late", F.when(F.col("doc_id") > F.col("owner"), every).otherwise(F.col("late")))
+        return wanted.select("doc_id", "text"), found.filter("late IS NOT NULL").select("doc_id", "place", "n_before", "n_after", "late")
 
     def remaining(self) -> DataFrame:
         """Per document: n_words, n_removed, digest of the kept words, and the kept words' spans to remove."""
         seen = stored(self.survey(), "survey")
         usable = seen.filter("doc_id IS NOT NULL")
         first = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows")), "equal-texts")
-        known = join_groups(usable.drop("anchors", "counts"), first.select("digest", "first", "n_rows"), "digest", "n_rows", usable.count())
+        known = join_groups(usable.drop("anchors"), first.select("digest", "first", "n_rows"), "digest", "n_rows", usable.count())
         is_copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= self.window)
         known = stored(known.select("doc_id", "n_words", "sha", is_copy.alias("is_copy")), "known")
         heads = seen.join(known.filter("is_copy").select("doc_id"), "doc_id", "left_anti")
         texts, spans = self.spans(heads)
-        by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-        cut = texts.join(by_doc, "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, cut_sha string")
+        by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "n_before", "n_after", "late")).alias("leaves"))
+        cut = texts.join(by_doc, "doc_id").mapInArrow(_cutter(self.window, self.back), "doc_id long, n_removed long, cut_sha string")
         nothing = F.sha2(F.lit(""), 256)
         out = known.join(stored(cut, "cut"), "doc_id", "left").select(
             "doc_id",
@@ -279,18 +327,27 @@ class Repeats:
         return out.unionByName(rest)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tx.chunks(batches):
-        removed, shas = [], []
-        for i in range(batch.num_rows):
-            data, offsets = tx.buffers(batch.column("text").slice(i, 1))
-            starts, ends, _ = tx.spans(data, offsets, tx.SPACED)
-            spans = batch.column("spans").slice(i, 1).flatten()
-            low, high = (np.bincount(spans.field(x).to_numpy(), minlength=len(starts) + 1) for x in ("low", "high"))
-            keep = np.cumsum(low - high)[:-1] == 0
-            removed.append(int((~keep).sum()))
-            shas.append(_sha(data, starts[keep], ends[keep]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(shas)], ["doc_id", "n_removed", "cut_sha"])
+def _cutter(window: int, back: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.chunks(batches):
+            removed, shas = [], []
+            for i in range(batch.num_rows):
+                data, offsets = tx.buffers(batch.column("text").slice(i, 1))
+                starts, ends, _ = tx.spans(data, offsets, tx.SPACED)
+                leaves = batch.column("leaves").slice(i, 1).flatten()
+                place, n_before, n_after, late = (leaves.field(c).to_numpy() for c in ("place", "n_before", "n_after", "late"))
+                opened = np.zeros(len(starts) + 1, np.int64)
+                for reach in range(back + 1):
+                    # Places of one document differ, so no index comes twice.
+                    low = place[(late >> reach & 1 == 1) & (n_before >= reach) & (n_after >= window - reach)] - reach
+                    opened[low] += 1
+                    opened[low + window] -= 1
+                keep = np.cumsum(opened)[:-1] == 0
+                removed.append(int((~keep).sum()))
+                shas.append(_sha(data, starts[keep], ends[keep]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(shas)], ["doc_id", "n_removed", "cut_sha"])
+
+    return run
 
 
 SQL = rf"""

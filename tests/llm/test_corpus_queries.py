@@ -235,6 +235,31 @@ def test_large_prefix_groups(spark, folder, monkeypatch):
     pd.testing.assert_frame_equal(got, want)
 
 
+def test_near_copies_share_windows(spark):
+    """Near copies of one passage, with edits in unlike places, by brute force at every size of group."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(60)}" for _ in range(160)]
+    docs: dict[int, list[str]] = {}
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words[rng.randrange(160)] = f"x{rng.randrange(5)}"
+        low = rng.choice([0, 0, 20])
+        docs[i + 1] = [f"p{rng.randrange(3)}"] * rng.randrange(3) + words[low : rng.choice([60, 110, 160])] + [f"q{i}"] * rng.randrange(2)
+    docs[41] = docs[7] + docs[7]
+    owner, want = {}, {}
+    for i, words in docs.items():
+        cut = set()
+        for at in range(len(words) - 49):
+            if owner.setdefault(tuple(words[at : at + 50]), i) < i:
+                cut |= set(range(at, at + 50))
+        want[i] = (len(words), len(cut), sha(" ".join(w for j, w in enumerate(words) if j not in cut)))
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    for group_rows in (1, 4, 10**6):
+        got = substrings.Repeats(rows, group_rows=group_rows).remaining().collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == want
+
+
 def test_one_document_that_repeats_its_anchors(spark, monkeypatch):
     """The leaves of a group stay few where one document holds the same anchor many times."""
     own, shared = [f"u{i}" for i in range(40)], [f"s{i}" for i in range(70)]
@@ -250,7 +275,7 @@ def test_one_document_that_repeats_its_anchors(spark, monkeypatch):
     subtrees = substrings.Repeats._subtrees
 
     def watched(self, leaves):
-        sizes.append(max((r["count"] for r in leaves.groupBy("prefix").count().collect()), default=0))
+        sizes.append(max((r["count"] for r in leaves.groupBy("key").count().collect()), default=0))
         return subtrees(self, leaves)
 
     monkeypatch.setattr(substrings.Repeats, "_subtrees", watched)
