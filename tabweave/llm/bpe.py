@@ -49,20 +49,27 @@ QUERY_CELLS = 10_000_000
 DECODE_IDS = 500_000
 CHUNK_BYTES = 2 << 20
 
+# A row is a token with the next one of its word. Contracting a pair drops its first row and turns its second into the
+# merged token, so a round needs no join of neighbours.
 MERGE_SQL = """
 WITH RECURSIVE state AS (
-  SELECT w, p, t, 0 AS round FROM bytes
+  SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS u, 0 AS round FROM bytes
   UNION ALL
-  SELECT w, p - (p > spot)::INT, CASE WHEN p = spot THEN merged ELSE t END, round + 1
+  SELECT
+    w,
+    p - (p > spot)::INT,
+    CASE WHEN p = spot + 1 THEN merged ELSE t END,
+    CASE WHEN p + 1 = spot THEN merged ELSE u END,
+    round + 1
   FROM state JOIN (
     SELECT w, (best % 1048576)::INT AS spot, (best // 1048576)::INT AS merged
     FROM (
       SELECT x.w, min(m.r::BIGINT * 1048576 + x.p) AS best
-      FROM state x JOIN state y ON x.w = y.w AND x.p + 1 = y.p JOIN merges m ON m.a = x.t AND m.b = y.t
+      FROM state x JOIN merges m ON m.a = x.t AND m.b = x.u
       GROUP BY x.w
     )
   ) USING (w)
-  WHERE p <> spot + 1
+  WHERE p <> spot
 )
 SELECT w, p, t FROM state JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w, round) ORDER BY w, p
 """
@@ -122,8 +129,8 @@ class Tokenizer:
         finally:
             self.sql.unregister(name)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word by the recursive query."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word by the recursive query, as little-endian unsigned 32-bit integers."""
         lengths = np.array([len(w) for w in words])
         starts = np.cumsum(lengths) - lengths
         w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
@@ -131,7 +138,9 @@ class Tokenizer:
         t = self.byte_tokens[np.frombuffer(b"".join(words), np.uint8)]
         found = self._rows(MERGE_SQL, "bytes", pa.table({"w": w, "p": p, "t": t}))
         w, t = (found.column(c).to_numpy() for c in "wt")
-        return np.split(t.astype("<u4"), np.searchsorted(w, np.arange(1, len(words))))
+        ids = t.astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(w, np.arange(len(words) + 1))).tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
 
     def merge_long(self, word: bytes) -> np.ndarray:
         """Ids of one word: the same contraction on a heap of pairs."""
@@ -184,8 +193,7 @@ class Tokenizer:
             stop = max(start + 1, int(np.searchsorted(cells, before + QUERY_CELLS, "right")))
             part = todo[start : min(stop, start + QUERY_WORDS)]
             start += len(part)
-            for (x, _), ids in zip(part, self.merge([w for _, w in part]), strict=True):
-                self.packed[x] = ids.tobytes()
+            self.packed.update(zip((x for x, _ in part), self.merge([w for _, w in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
