@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
-HASH_BYTES = 1 << 19
+HASH_BYTES = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -95,19 +95,27 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, in blocks so that wide arrays stay small."""
-    out = np.empty(len(starts), np.uint64)
+    """64-bit hash of each word, in blocks of bytes so that wide arrays stay small.
+
+    It sums a mixed value of each byte and its place in the word. A polynomial
+    modulo 2**64 would not do: whatever its base, it is equal for some words of
+    1,024 letters and their complements.
+    """
+    out = np.zeros(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, "right")))
-        low, high = starts[i], ends[j - 1]
-        up, down = POWERS.upto(high - low + 1)
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        a, b = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mix((total[b] - total[a]) * down[a])
+        first, last = int(starts[i]), int(ends[j - 1])
+        for low in range(first, last, HASH_BYTES):  # more than once for a single long word only
+            high = min(low + HASH_BYTES, last)
+            origin = first if j == i + 1 else np.repeat(starts[i:j], np.diff(starts[i:j], append=last))
+            place = (np.arange(low, high) - origin).astype(np.uint64)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(mix((place << np.uint64(8)) + data[low:high] + np.uint64(1)), out=total[1:])
+            a, b = (np.clip(x[i:j] - low, 0, high - low) for x in (starts, ends))
+            out[i:j] += total[b] - total[a]
         i = j
-    return out
+    return mix(out)
 
 
 def words(column, table: np.ndarray = SPACED, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +128,10 @@ def words(column, table: np.ndarray = SPACED, lower: bool = False) -> tuple[np.n
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the ``n`` words that start at each word; shorter by n - 1 than ``h``."""
+    """Hash of the ``n`` words that start at each word; shorter by n - 1 than ``h``.
+
+    A polynomial of the words' hashes; safe for runs of far fewer than 1,024 words.
+    """
     if len(h) < n:
         return np.empty(0, np.uint64)
     up, down = POWERS.upto(len(h) + 1)

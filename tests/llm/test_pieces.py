@@ -33,6 +33,17 @@ def test_words(table, pattern, monkeypatch):
     assert len(set(h.tolist())) == len(set(flat)) and len({*zip(h.tolist(), flat)}) == len(set(flat))
 
 
+def test_complementary_words_differ():
+    """Words for which a polynomial modulo 2**64 is equal, whatever its base."""
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    for n in (1024, 2048, 4096):
+        pair = ["".join("ab"[b ^ flip] for b in bits[:n]) for flip in (0, 1)]
+        h, _ = tx.words(pa.array(pair))
+        assert h[0] != h[1]
+        a, b = near_dedup.shingle_sets(pa.array(pair), 3)
+        assert a[0] != b[0]
+
+
 def test_runs_and_chunks():
     h, _ = tx.words(pa.array(["a b a b a b c"]))
     two = tx.runs(h, 2)
