@@ -371,5 +371,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     if model is None:
         return lettered(docs)
-    named = predict(docs, model, docs.columns, prefix="__")
-    return named.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+    prefix = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so that none clashes
+    named = predict(docs, model, docs.columns, prefix=prefix)
+    return named.filter((F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}score") >= MIN_SCORE)).select(*docs.columns)

@@ -13,7 +13,7 @@ import pytest
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from check import compare, connect
-from tabweave.llm import ORACLES, QUERIES, decontaminate, near_dedup, ngrams, substrings
+from tabweave.llm import ORACLES, QUERIES, decontaminate, langid, near_dedup, ngrams, substrings
 from tabweave.llm.base import query
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -373,6 +373,17 @@ def test_repeated_and_unnamed_rows(spark, tmp_path):
             assert len(QUERIES[name](spark, path).toPandas()) == len(extra), name
 
 
+def test_stages_take_columns_of_any_name(spark, folder):
+    plain = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    other = plain.selectExpr("*", "1 AS __score", "2 AS __lang_pred", "3 AS _score", "4 AS __hits")
+    for stage in (langid.stage, decontaminate.stage):
+        want, got = (stage(spark, x, folder) for x in (plain, other))
+        assert got.columns == other.columns
+        rows = [tuple(r) for r in got.collect()]
+        assert {r[4:] for r in rows} == {(2, 3, 4)}
+        assert sorted(r[0] for r in rows) == sorted(r.doc_id for r in want.collect())
+
+
 def test_pipeline(spark, folder, empty):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     ids = [set(range(len(TEXTS)))]
