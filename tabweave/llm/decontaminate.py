@@ -22,7 +22,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -303,15 +303,21 @@ def marked(
     text: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], T.StructType] | None = None,
 ) -> DataFrame:
-    """Columns ``keep`` of every document, and in HITS its words, hit words, spans of hit words and items found."""
+    """Columns ``keep`` of every document, and in HITS its words, hit words, spans of hit words and items found.
+
+    ``then``, a function on such batches and its result's schema, runs in the same Python worker: a second
+    function of its own would take a second worker for every task.
+    """
     spark = docs.sparkSession
     columns = list(dict.fromkeys([*keep, text]))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(HITS, HITS_TYPE)])
+    follow, schema = then or (iter, T.StructType([*(docs.schema[c] for c in keep), T.StructField(HITS, HITS_TYPE)]))
     matchers = matcher_blocks(benchmark, window, block_words)
     first, second = next(matchers), next(matchers, None)
     if second is None:
-        return docs.select(*columns).mapInArrow(_mark(spark.sparkContext.broadcast(first), keep, text), schema)
+        mark = _mark(spark.sparkContext.broadcast(first), keep, text)
+        return docs.select(*columns).mapInArrow(lambda batches: follow(mark(batches)), schema)
 
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     texts = docs.select(key.alias("__key"), F.col(text).alias("__text"))
@@ -327,7 +333,8 @@ def marked(
         "hits-of-texts",
     )
     joined = docs.select(*columns).withColumn("__key", key).join(found, "__key", "left").drop("__key")
-    return joined.mapInArrow(_combine(keep, text), schema)
+    combine = _combine(keep, text)
+    return joined.mapInArrow(lambda batches: follow(combine(batches)), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -353,21 +360,21 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MA
     last word. Documents without hits stay as they are, byte by byte.
     """
     names = docs.columns
-    hits = F.col(HITS)
-    found = marked(docs, benchmark, names, text, **options)
-    found = found.filter((hits["n_hit"] == 0) | (hits["n_hit"] < max_coverage * hits["n_words"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.chunks(batches, text):
-            texts = batch.column(text).to_pylist()
-            for i, x in enumerate(batch.column(HITS).to_pylist()):
+        for batch in batches:
+            *columns, hits = batch.columns
+            at = names.index(text)
+            texts, kept = columns[at].to_pylist(), []
+            for i, x in enumerate(hits.to_pylist()):
                 if x["n_hit"]:
                     texts[i] = without(texts[i], x["spans"])
-            columns = {c: batch.column(c) for c in names}
-            columns[text] = pa.array(texts, batch.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+                if not x["n_hit"] or x["n_hit"] < max_coverage * x["n_words"]:
+                    kept.append(i)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names).take(pa.array(kept, pa.int64()))
 
-    return found.mapInArrow(cut, docs.schema)
+    return marked(docs, benchmark, names, text, then=(cut, docs.schema), **options)
 
 
 def without(text: str, spans) -> str:
