@@ -256,14 +256,15 @@ class Repeats:
         window, reach = self.window, self.back
         found = None
         while True:
-            sizes = stored(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"), "groups")
-            rows = join_groups(classes, sizes, "key", "n_rows", classes.count())
-            large = F.col("n_rows") > self.group_rows
-            trees = self._subtrees(rows.filter(~large).withColumn("reach", F.lit(reach)))
+            sizes = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
+            # At most one key per group_rows classes, so the keys can be broadcast. No other key is large,
+            # and the rest needs no join: it is shuffled once, into its trees.
+            large = stored(sizes.filter(F.col("n_rows") > self.group_rows).select("key"), "large-keys")
+            trees = self._subtrees(classes.join(F.broadcast(large), "key", "left_anti").withColumn("reach", F.lit(reach)))
             found = trees if found is None else found.unionByName(trees)
-            if not sizes.filter(large).head(1):
+            if not large.head(1):
                 return found
-            rest = stored(rows.filter(large).drop("n_rows"), "large-groups")
+            rest = stored(classes.join(F.broadcast(large), "key"), "large-groups")
             low = max(reach - STEP + 1, 0)
             found = found.unionByName(self._windows(rest, low, reach))
             reach = low - 1

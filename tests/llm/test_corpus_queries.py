@@ -235,6 +235,22 @@ def test_large_prefix_groups(spark, folder, monkeypatch):
     pd.testing.assert_frame_equal(got, want)
 
 
+def test_large_groups_repeat_no_join_of_all_classes(spark, folder, monkeypatch):
+    """Where groups are too large, taking them out does not join the classes of all other groups once more."""
+    plans = {}
+    stored = substrings.stored
+
+    def watched(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(substrings, "stored", watched)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    substrings.Repeats(docs, group_rows=2).remaining().count()
+    assert "LeftAnti" not in plans["large-groups"]
+    assert plans["late-classes"].count("LeftAnti") >= 1
+
+
 def test_near_copies_share_windows(spark):
     """Near copies of one passage, with edits in unlike places, by brute force at every size of group."""
     rng = random.Random(11)
