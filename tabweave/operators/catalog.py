@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.operators.joins import anti_join, equi_join, lookup_join, null_safe_join, semi_join
+from tabweave.operators.joins import anti_join, equi_join, lookup_join, null_safe_join
 from tabweave.session import cut_lineage
 
 #: Effort in hours per component by status (fixed values).
@@ -112,33 +111,53 @@ def dependency_fanin(edges: DataFrame, node: str = "from", minimum: int = 2) ->
     return edges.groupBy(node).agg(F.count(F.lit(1)).alias("dependencies")).where(F.col("dependencies") >= minimum)
 
 
+def _peeled(
+    edges: DataFrame, source: str, target: str, nodes: DataFrame | None = None
+) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Nodes settled in each round, the nodes left and the edges among them.
+
+    A round drops the edges to the nodes settled last. Nodes that have no edge
+    then are settled next. Only what is left is written, once a round, so a round
+    costs no more than the edges and nodes still open before it.
+    """
+    open_edges = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to"))
+    seen = open_edges.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("__from").alias("node"), F.lit(True).alias("__needs")),
+                F.struct(F.col("__to").alias("node"), F.lit(False).alias("__needs")),
+            )
+        )
+    )
+    if nodes is not None:
+        seen = seen.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node"), F.lit(False).alias("__needs")))
+    # NULL is never equal to a source, so as a target it is settled at once.
+    sides = cut_lineage(seen.groupBy("node").agg(F.bool_or("__needs").alias("__needs"), F.bool_and("__needs").alias("__only")))
+    ready = sides.where(~F.col("__needs") | (F.col("node").isNull() & ~F.col("__only"))).select("node")
+    left = sides.where("__needs").select("node")
+    settled = [ready]
+    while True:
+        open_edges = cut_lineage(anti_join(open_edges, ready, {"__to": "node"}))
+        waiting = open_edges.select(F.col("__from").alias("node")).distinct()
+        ready = cut_lineage(anti_join(left, waiting, ["node"], null_safe=True))
+        if ready.isEmpty():
+            return settled, left, open_edges
+        settled.append(ready)
+        left = cut_lineage(waiting)
+        if left.isEmpty():
+            return settled, left, open_edges
+
+
 def dependency_levels(
     edges: DataFrame, nodes: DataFrame | None = None, source: str = "from", target: str = "to"
 ) -> DataFrame:
     """Level of each node, leaves at 0; nodes on or above a cycle have level NULL.
 
-    Each round marks the edges whose target is settled. A node all of whose
-    edges are marked is settled next, and marked edges are dropped, so the work
-    shrinks with every round.
+    ``edges`` is read twice; one that is costly to make should be written before.
     """
-    open_edges = cut_lineage(edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).distinct())
-    ends = open_edges.select(F.col("__to").alias("node"))
-    if nodes is not None:
-        ends = ends.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")))
-    ready = cut_lineage(anti_join(ends.distinct(), open_edges, {"node": "__from"}))
-    settled = [ready.withColumn("level", F.lit(0))]
-    for level in itertools.count(1):
-        done = ready.select(F.col("node").alias("__to"), F.lit(True).alias("__done"))
-        marked = cut_lineage(
-            lookup_join(open_edges, done, "__to").withColumn("__done", F.coalesce("__done", F.lit(False)))
-        )
-        ready = marked.groupBy(F.col("__from").alias("node")).agg(F.bool_and("__done").alias("__done")).where("__done").drop("__done")
-        open_edges = marked.where(~F.col("__done")).drop("__done")
-        if ready.isEmpty():
-            break
-        settled.append(ready.withColumn("level", F.lit(level)))
-    unresolved = open_edges.select(F.col("__from").alias("node")).distinct().withColumn("level", F.lit(None).cast("int"))
-    return reduce(DataFrame.unionByName, [*settled, unresolved])
+    settled, left, _ = _peeled(edges, source, target, nodes)
+    levels = [ready.withColumn("level", F.lit(level)) for level, ready in enumerate(settled)]
+    return reduce(DataFrame.unionByName, [*levels, left.withColumn("level", F.lit(None).cast("int"))])
 
 
 def _spread(values: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
@@ -176,31 +195,38 @@ def dependency_components(
     it, and those that reach the node of that name in turn are its component. The
     components are then levelled like nodes, so what stands on a cycle has a level.
     """
-    clean = cut_lineage(edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).where("__from IS NOT NULL AND __to IS NOT NULL").distinct())
-    ends = clean.select(F.explode(F.array("__from", "__to")).alias("node"))
-    if nodes is not None:
-        ends = ends.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")))
-    ends = cut_lineage(ends.distinct())
+    clean = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to"))
+    clean = cut_lineage(clean.where("__from IS NOT NULL AND __to IS NOT NULL"))
     core, found = clean.where("__from <> __to"), None
-    for up, down in (("__from", "__to"), ("__to", "__from")):
-        stuck = dependency_levels(core, source=up, target=down).where("level IS NULL").select("node")
-        stuck = cut_lineage(stuck)
-        core = cut_lineage(semi_join(semi_join(core, stuck, {"__from": "node"}), stuck, {"__to": "node"}))
+    for up, down in (("__to", "__from"), ("__from", "__to")):
+        _, _, core = _peeled(core, up, down)
+        core = core.select(F.col("__from").alias(up), F.col("__to").alias(down)).select("__from", "__to")
+    core = cut_lineage(core.distinct())
     while not core.isEmpty():
         names = core.select(F.explode(F.array("__from", "__to")).alias("node")).distinct()
         colors = _spread(names.withColumn("color", F.col("node")), core, "__from", "__to")
         members = _members(colors, core)
         found = members if found is None else found.unionByName(members)
         core = cut_lineage(anti_join(anti_join(core, members, {"__from": "node"}), members, {"__to": "node"}))
+    alone = [clean.where("__from = __to").select(F.col("__from").alias("node"))]
+    if nodes is not None:
+        alone.append(nodes.select(F.col(nodes.columns[0]).alias("node")).where("node IS NOT NULL"))
+    alone = reduce(DataFrame.unionByName, alone)
+    one = F.lit(1).cast("long")
     if found is None:
-        named = ends.withColumn("component", F.col("node")).withColumn("members", F.lit(1).cast("long"))
-    else:
-        sizes = found.groupBy("color").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("members"))
-        named = lookup_join(ends, equi_join(found, sizes, "color").select("node", "component", "members"), "node")
-        named = named.withColumns({"component": F.coalesce("component", "node"), "members": F.coalesce("members", F.lit(1).cast("long"))})
-    named = cut_lineage(named)
-    part = named.select("node", "component")
-    over = equi_join(clean, part.withColumnRenamed("component", "__a"), {"__from": "node"})
-    over = equi_join(over, part.withColumnRenamed("component", "__b"), {"__to": "node"}).where("__a <> __b")
-    levels = dependency_levels(over.select("__a", "__b"), part.select("component").distinct(), "__a", "__b")
-    return equi_join(named, levels.withColumnRenamed("node", "__component"), {"component": "__component"})
+        levels = dependency_levels(clean.where("__from <> __to"), alone, "__from", "__to")
+        return levels.select("node", F.col("node").alias("component"), one.alias("members"), "level")
+    sizes = found.groupBy("color").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("members"))
+    # A node that is not found is its own component, so only the found ones are looked up.
+    found = cut_lineage(equi_join(found, sizes, "color").select("node", "component", "members"))
+
+    def named(df: DataFrame, node: str) -> DataFrame:
+        known = lookup_join(df, found.select(F.col("node").alias("__node"), "component"), {node: "__node"})
+        return known.withColumn(node, F.coalesce("component", node)).drop("component")
+
+    over = cut_lineage(named(named(clean, "__from"), "__to").where("__from <> __to"))
+    levels = dependency_levels(over, named(alone, "node").unionByName(found.select(F.col("component").alias("node"))), "__from", "__to")
+    whole = lookup_join(levels, found.withColumnsRenamed({"node": "__member", "component": "__component"}), {"node": "__component"})
+    return whole.select(
+        F.coalesce("__member", "node").alias("node"), F.col("node").alias("component"), F.coalesce("members", one).alias("members"), "level"
+    )

@@ -161,6 +161,27 @@ def test_dependencies(spark):
     assert rows(c.dependency_fanin(edges)) == [("b", 2), ("c", 2)]
 
 
+def test_rounds_write_only_what_is_left(spark, monkeypatch):
+    written = []
+    cut = c.cut_lineage
+
+    def watched(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(c, "cut_lineage", watched)
+    pairs = [(f"n{i}", f"leaf{i % 3 + j}") for i in range(60) for j in range(8)]
+    got = c.dependency_levels(spark.createDataFrame([*pairs, ("top", "n7"), ("top", "n7")], "from string, to string"))
+    assert rows(got) == sorted([(f"leaf{i}", 0) for i in range(10)] + [(f"n{i}", 1) for i in range(60)] + [("top", 2)])
+    assert sum(written) < len(pairs)
+
+
+def test_dependencies_on_null(spark):
+    edges = spark.createDataFrame([(None, "a"), ("b", None), ("b", "a")], "from string, to string")
+    assert rows(c.dependency_levels(edges)) == [(None, 0), (None, 1), ("a", 0), ("b", None)]
+
+
 def test_scratch_is_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark, "x").startswith(f"{shared}/tabweave/x-")
