@@ -9,6 +9,7 @@ numbered on its own.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,23 +128,36 @@ def exact_percentiles(df: DataFrame, value: str, points: dict[str, float], by: S
     )
 
 
-def exact_quantiles(df: DataFrame, points: Mapping[str, tuple[Column, float]], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, points: Mapping[str, tuple[Column, float, Column | None]], by: Sequence[str] = ()
+) -> DataFrame:
     """Interpolated exact percentiles of several columns per group, all in one pass.
 
-    ``points`` maps output names to a value column and a fraction; NULL values do
-    not count, so a column can be filtered by making the others NULL. Columns that
-    are given several times are tallied once.
+    ``points`` maps output names to a value column, a fraction and, if some rows only
+    count, the predicate that holds for these. NULL values do not count. A column that
+    is given several times is tallied once: an entry per row and column goes into the
+    tally, and each predicate is a count beside it.
     """
-    columns = list({id(value): value for value, _ in points.values()}.values())
-    number = {id(value): i for i, value in enumerate(columns)}
-    entries = F.array(*[F.struct(F.lit(i).alias("__column"), v.cast("double").alias("__value")) for i, v in enumerate(columns)])
-    rows = df.select(*by, F.explode(F.filter(entries, lambda e: e["__value"].isNotNull())).alias("__entry"))
-    tallies = rows.select(*by, "__entry.*").groupBy(*by, "__column", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    columns: dict[int, Column] = {id(value): value for value, _, _ in points.values()}
+    keeps: dict[int, dict[int, Column]] = {i: {} for i in columns}
+    for value, _, keep in points.values():
+        keeps[id(value)][id(keep)] = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    width = max(map(len, keeps.values()))
+    number = {(i, k): at * width + j for at, i in enumerate(columns) for j, k in enumerate(keeps[i])}
+    flags = [f"__flag_{j}" for j in range(width)]
+    entries = []
+    for at, (i, value) in enumerate(columns.items()):
+        own = [*keeps[i].values(), *[F.lit(False)] * (width - len(keeps[i]))]
+        entries.append(F.struct(F.lit(at).alias("__at"), value.cast("double").alias("__value"), *[k.alias(f) for k, f in zip(own, flags, strict=True)]))
+    rows = df.select(*by, F.inline(F.array(*entries))).where(F.col("__value").isNotNull() & reduce(lambda a, b: a | b, map(F.col, flags)))
+    counted = rows.groupBy(*by, "__at", "__value").agg(*[F.count_if(F.col(f)).alias(f) for f in flags])
+    parts = [F.struct((F.col("__at") * width + j).alias("__column"), F.col(f).alias("__n")) for j, f in enumerate(flags)]
+    tallies = counted.select(*by, "__value", F.inline(F.array(*parts))).where("__n > 0")
     placed = running_before(tallies, ["__value"], "__n", [*by, "__column"], "__before", total="__size")
     first, last = F.col("__before"), F.col("__before") + F.col("__n") - 1
     picks, out = [], []
-    for i, (name, (value, fraction)) in enumerate(points.items()):
-        own = F.col("__column") == number[id(value)]
+    for i, (name, (value, fraction, keep)) in enumerate(points.items()):
+        own = F.col("__column") == number[id(value), id(keep)]
         at = F.lit(float(fraction)) * (F.col("__size") - 1)
         below, above = F.floor(at), F.ceil(at)
         low, high, part = (f"__{kind}_{i}" for kind in ("low", "high", "part"))

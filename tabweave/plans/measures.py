@@ -356,7 +356,9 @@ def _attached(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFram
 def _grouped(rows: DataFrame, by: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
     """Base results per group: one aggregate, and one pass by position for all percentiles."""
     aggs = _slots(measures)
-    placed = {s: (a.input(), a.fraction) for s, a in aggs.items() if a.fraction is not None}
+    # Percentiles of one value under several filters share its column, so it is tallied once.
+    values = {a.identity()[1]: _c(a.value) for a in aggs.values() if a.fraction is not None}
+    placed = {s: (values[a.identity()[1]], a.fraction, a.keep) for s, a in aggs.items() if a.fraction is not None}
     folds = [a.column().alias(s) for s, a in aggs.items() if s not in placed]
     if not placed:
         return rows.groupBy(*by).agg(*folds)

@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tabweave.operators import positions
 from tabweave.plans import bitmaps
 from tabweave.plans import measures as m
 from tabweave.plans.model import Relationship, Role, SemanticModel
@@ -345,6 +346,30 @@ def test_percentiles_in_context(spark):
         m.percentile("p", "v", 1.5)
 
 
+def test_percentiles_of_one_value_under_filters_are_tallied_once(spark, monkeypatch):
+    tallies = []
+    placed = positions.running_before
+
+    def watched(df, *args, **kwargs):
+        tallies.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return placed(df, *args, **kwargs)
+
+    monkeypatch.setattr(positions, "running_before", watched)
+    data = [(f"g{i % 3}", None if i % 11 == 0 else float(i * 7 % 40), None if i % 5 == 0 else i % 4) for i in range(200)]
+    df = spark.createDataFrame(data, "g string, v double, k int")
+    mid = m.median("mid", "v")
+    measures = [mid, m.calculate_filter(mid, F.col("k") > 1, "some"), m.calculate_filter(mid, F.col("k") > 9, "none"), m.percentile("p", F.col("k") + 1, 0.3)]
+    got = {r.g: tuple(r)[1:] for r in m.evaluate(df, measures, ["g"]).collect()}
+    for g in ("g0", "g1", "g2"):
+        own = [(v, k) for h, v, k in data if h == g]
+        want = np.median([v for v, _ in own if v is not None]), np.median([v for v, k in own if v is not None and k is not None and k > 1])
+        assert got[g][:2] == want and got[g][2] is None
+        assert got[g][3] == pytest.approx(np.quantile([k + 1 for _, k in own if k is not None], 0.3))
+    # One entry for each of the two values, whatever the filters, and no function interpreted per row.
+    assert len(tallies) == 1 and "lambda" not in tallies[0]
+    assert "__at, 1" in tallies[0] and "__at, 2" not in tallies[0]
+
+
 def test_percentile_of_a_group_with_most_rows(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 2900, "big").otherwise("small").alias("g"), (F.col("id") % 7).alias("v"))
     got = {r.g: r.mid for r in m.evaluate(df, [m.median("mid", "v")], ["g"]).collect()}
