@@ -111,6 +111,11 @@ def dependency_fanin(edges: DataFrame, node: str = "from", minimum: int = 2) ->
     return edges.groupBy(node).agg(F.count(F.lit(1)).alias("dependencies")).where(F.col("dependencies") >= minimum)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` written in a few even parts per core; adaptive execution would leave narrow rows to one task."""
+    return cut_lineage(df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *df.columns))
+
+
 def _peeled(
     edges: DataFrame, source: str, target: str, nodes: DataFrame | None = None
 ) -> tuple[list[DataFrame], DataFrame, DataFrame]:
@@ -137,13 +142,13 @@ def _peeled(
     left = sides.where("__needs").select("node")
     settled = [ready]
     while True:
-        open_edges = cut_lineage(anti_join(open_edges, ready, {"__to": "node"}))
+        open_edges = _dealt(anti_join(open_edges, ready, {"__to": "node"}))
         waiting = open_edges.select(F.col("__from").alias("node")).distinct()
-        ready = cut_lineage(anti_join(left, waiting, ["node"], null_safe=True))
+        ready = _dealt(anti_join(left, waiting, ["node"], null_safe=True))
         if ready.isEmpty():
             return settled, left, open_edges
         settled.append(ready)
-        left = cut_lineage(waiting)
+        left = _dealt(waiting)
         if left.isEmpty():
             return settled, left, open_edges
 
