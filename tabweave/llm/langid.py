@@ -23,6 +23,7 @@ learned from. Repeated rows get the same answer each. Other columns are ignored.
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ EXCERPT_CHARS = 250
 SEGMENT = 32
 STEPS = 20
 BLOCK_WORDS = 1 << 15
+FEATURE_BYTES = 1 << 16
 RATE = 0.25
 RIDGE = 1e-6
 STRETCH = 25
@@ -113,9 +115,16 @@ def words_of(column) -> Words:
     data = folded(data)
     starts, ends, firsts = tx.spans(data, offsets, LETTERS)
     h = tx.hashes(data, starts, ends)
-    _, one, numbers = np.unique(h, return_index=True, return_inverse=True)
-    features, feature_starts = features_of(data, starts[one], ends[one], h[one])
-    return Words(features, feature_starts, numbers, firsts)
+    whole, one, numbers = np.unique(h, return_index=True, return_inverse=True)
+    starts, ends = starts[one], ends[one]
+    # The arrays behind the features are some hundred times as large as the words, so these are taken in blocks.
+    size = np.cumsum(ends - starts)
+    cuts = np.searchsorted(size, np.arange(FEATURE_BYTES, size[-1] if len(size) else 0, FEATURE_BYTES))
+    cuts = np.unique(np.concatenate([[0], cuts, [len(size)]]))
+    parts = [features_of(data, starts[a:b], ends[a:b], whole[a:b]) for a, b in itertools.pairwise(cuts)]
+    features = np.concatenate([np.empty(0, np.int32), *(x for x, _ in parts)])
+    n = np.concatenate([np.zeros(1, np.int64), *(np.diff(x) for _, x in parts)])
+    return Words(features, np.cumsum(n), numbers, firsts)
 
 
 @dataclasses.dataclass
@@ -203,6 +212,23 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, numbers: np.ndarray,
     return p / p.sum(1, keepdims=True), alpha, beta, e, t, begins
 
 
+def text_blocks(firsts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that come to about BLOCK_WORDS words, or one text that is longer."""
+    cuts = np.searchsorted(firsts, np.arange(0, firsts[-1], BLOCK_WORDS))
+    return itertools.pairwise(np.unique(np.append(cuts, len(firsts) - 1)).tolist())
+
+
+def distributions(model: Model, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """In blocks of texts: number of the first, first word of each (one more at the end), languages of each and of its words."""
+    scores = model.scores(words)
+    for a, b in text_blocks(words.firsts):
+        firsts = words.firsts[a : b + 1] - words.firsts[a]
+        numbers = words.numbers[words.firsts[a] : words.firsts[b]]
+        p = marginals(scores[numbers], model.transitions, np.arange(len(numbers)), firsts)[0]
+        total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
+        yield a, firsts, (total[firsts[1:]] - total[firsts[:-1]]) / np.maximum(np.diff(firsts), 1)[:, None], p
+
+
 def train(texts: list[str], langs: list[str]) -> Model:
     """Maximum likelihood by Adam on whole batches."""
     names = sorted(set(langs))
@@ -225,10 +251,10 @@ def train(texts: list[str], langs: list[str]) -> Model:
     types = len(words.feature_starts) - 1
     repeats = np.diff(words.feature_starts)
     # Sequences are worked on in blocks, so memory follows BLOCK_WORDS and not the sample.
-    cuts = np.unique(np.append(np.searchsorted(firsts, np.arange(0, len(numbers), BLOCK_WORDS)), len(firsts) - 1))
+    blocks = list(text_blocks(firsts))
     for step in range(1, STEPS + 1 if len(numbers) else 1):
         scores, per_word, grad_t = word_sums(w, words), np.zeros((types, size)), np.zeros((size, size))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for a, b in blocks:
             low, high = firsts[a], firsts[b]
             own, labels = numbers[low:high], y[low:high]
             p, alpha, beta, e, potentials, begins = marginals(scores, t, own, firsts[a : b + 1] - low)
@@ -314,16 +340,13 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], runs: bool =
             preds, scores, stretches = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), [[]] * batch.num_rows
             words = words_of(texts)
             if own and len(words.numbers):
-                p = marginals(own.scores(words), own.transitions, words.numbers, words.firsts)[0]
-                total = np.concatenate([np.zeros((1, size)), np.cumsum(p, axis=0)])
-                n = np.diff(words.firsts)
-                mean = (total[words.firsts[1:]] - total[words.firsts[:-1]]) / np.maximum(n, 1)[:, None]
-                best, labels = mean.argmax(1), p.argmax(1)
-                for i in np.flatnonzero(n).tolist():
-                    if has_letter(texts[i].as_py()):
-                        preds[i], scores[i] = own.langs[best[i]], min(1.0, float(mean[i, best[i]]))
-                        if runs:
-                            stretches[i] = run_lengths(labels[words.firsts[i] : words.firsts[i + 1]], own.langs)
+                for a, firsts, mean, p in distributions(own, words):
+                    best, labels = mean.argmax(1), p.argmax(1)
+                    for i in np.flatnonzero(np.diff(firsts)).tolist():
+                        if has_letter(texts[a + i].as_py()):
+                            preds[a + i], scores[a + i] = own.langs[best[i]], min(1.0, float(mean[i, best[i]]))
+                            if runs:
+                                stretches[a + i] = run_lengths(labels[firsts[i] : firsts[i + 1]], own.langs)
             columns = [*(batch.column(c) for c in keep), pa.array(preds), pa.array(scores)]
             if runs:
                 columns.append(pa.array(stretches, run_type))

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,39 @@ def test_forward_backward(monkeypatch):
             assert np.allclose(p[a:b], want / want.sum(1, keepdims=True))
 
 
+def test_language_memory_and_blocks(monkeypatch):
+    """Blocks change no features and no distributions; what is held beside the words' features follows the block, not the batch."""
+    rng = np.random.default_rng(8)
+    letters = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    letters[rng.random(len(letters)) < 0.15] = 32
+    text = letters.tobytes().decode()
+    texts = pa.array(["", *(text[i : i + 4000] for i in range(0, len(text), 4000)), None, "1 2", "ab " * 40_000])
+    model = langid.Model(["x", "y"], rng.normal(size=(langid.BUCKETS, 2)).astype(np.float32), np.eye(2))
+    tracemalloc.start()
+    words = langid.words_of(texts)
+    n, means = np.diff(words.firsts), np.zeros((len(texts), 2))
+    for a, firsts, mean, _ in langid.distributions(model, words):
+        assert np.diff(firsts).tolist() == n[a : a + len(mean)].tolist()
+        means[a : a + len(mean)] = mean
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * words.features.nbytes / 4
+    p = langid.marginals(model.scores(words), model.transitions, words.numbers, words.firsts)[0]
+    assert np.allclose(means, [p[a:b].sum(0) / max(b - a, 1) for a, b in itertools.pairwise(words.firsts)])
+
+    monkeypatch.setattr(langid, "FEATURE_BYTES", 1 << 30)
+    whole = langid.words_of(texts)
+    for name in ("features", "feature_starts", "numbers", "firsts"):
+        assert np.array_equal(getattr(words, name), getattr(whole, name))
+    monkeypatch.setattr(langid, "FEATURE_BYTES", 5)
+    monkeypatch.setattr(langid, "BLOCK_WORDS", 2)
+    for column in (pa.array(["", None, "12"]), pa.array([], pa.string()), pa.array(["a", "", "bc de f", None, "g" * 9])):
+        words = langid.words_of(column)
+        assert len(words.feature_starts) == len(set(words.numbers.tolist())) + 1
+        found = [(a + i, int(b - c)) for a, firsts, _, _ in langid.distributions(model, words) for i, (c, b) in enumerate(itertools.pairwise(firsts))]
+        assert {i: k for i, k in found if k} == {i: k for i, k in enumerate(np.diff(words.firsts).tolist()) if k}
+
+
 def test_tokenizer_matches_the_library():
     import public_tokenizers as public
     import tiktoken
